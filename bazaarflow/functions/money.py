@@ -93,24 +93,26 @@ def rates_table(spark, rates=vocab.RATES_TO_EUR) -> DataFrame:
     return spark.createDataFrame(list(rates), "currency string, rate double")
 
 
-def process_price(price: Column, currency: Column, text: Column, rates=vocab.STAGE_RATES,
-                  low=vocab.PRICE_MIN_EUR, flag=vocab.PRICE_FLAG_EUR, absurd=vocab.PRICE_ABSURD_EUR) -> Column:
-    """struct(eur, estimated): the stated price, else the first price in the text, else null.
+def process_price(df: DataFrame, price: str, currency: str, text: Column, *, rates=vocab.STAGE_RATES, out: str = "eur",
+                  flag_out: str = "estimated", low=vocab.PRICE_MIN_EUR, flag=vocab.PRICE_FLAG_EUR,
+                  absurd=vocab.PRICE_ABSURD_EUR) -> DataFrame:
+    """Adds the price in EUR and whether it is an estimate: the stated price, else the first price in the text.
 
-    A stated price outside [low, absurd) is dropped, not replaced by one from the text.
+    A stated price outside [low, absurd) is dropped, not replaced by one from the text. Each step is a column
+    of its own, so no pattern runs twice on a row.
     """
-    def code(c):
-        return F.upper(F.trim(F.coalesce(c, F.lit("EUR"))))
-
-    stated = convert(price, rate_of(code(currency), rates))
-    mention = text_price(text)
-    mentioned = convert(mention["amount"], rate_of(mention["currency"], rates))
-    has_stated = F.coalesce(price > 0, F.lit(False))
+    code = F.upper(F.trim(F.coalesce(F.col(currency), F.lit("EUR"))))
+    stated, found = F.col("_stated"), F.col("_found")
+    has_stated = F.coalesce(F.col(price) > 0, F.lit(False))
     ok = F.coalesce((stated >= low) & (stated < absurd), F.lit(False))
-    mentioned_ok = F.coalesce((mentioned >= low) & (mentioned < absurd), F.lit(False))
-    eur = F.when(has_stated, F.when(ok, stated)).when(mentioned_ok, mentioned)
-    estimated = F.when(has_stated & ok, stated > flag).when(~has_stated & mentioned_ok, F.lit(False)).otherwise(F.lit(True))
-    return F.struct(eur.alias("eur"), estimated.alias("estimated"))
+    found_ok = F.coalesce((found >= low) & (found < absurd), F.lit(False))
+    eur = F.when(has_stated, F.when(ok, stated)).when(found_ok, found)
+    estimated = F.when(has_stated & ok, stated > flag).when(~has_stated & found_ok, F.lit(False)).otherwise(F.lit(True))
+    return (df.withColumn("_stated", convert(F.col(price), rate_of(code, rates)))
+            .withColumn("_mention", F.when(~has_stated, text_price(text)))
+            .withColumn("_found", convert(F.col("_mention.amount"), rate_of(F.col("_mention.currency"), rates)))
+            .withColumns({"_eur": eur, "_est": estimated}).drop("_stated", "_mention", "_found")
+            .withColumns({out: F.col("_eur"), flag_out: F.col("_est")}).drop("_eur", "_est"))
 
 
 def price_bound(activity: Column, side: int, bounds=vocab.PRICE_BOUNDS, default=vocab.PRICE_BOUNDS_DEFAULT) -> Column:

@@ -126,7 +126,7 @@ def heading_products(html: Column, words=vocab.HEADING_WORDS, cap: int | None =
     pieces = F.filter(F.split(body, r"(?i)(?=<h[1-4][\s>])"), lambda p: p.rlike(r"(?i)^<h[1-4][\s>]"))
     found = F.transform(pieces, lambda p: F.struct(
         decode_entities(drop_tags(F.regexp_extract(p, r"(?is)^<h[1-4][^>]*>(.*?)</h[1-4]>", 1))).alias("title"),
-        F.coalesce(F.trim(price_near(p)), F.lit("")).alias("price_raw")))
+        decode_entities(F.coalesce(F.trim(price_near(p)), F.lit(""))).alias("price_raw")))
     good = F.filter(found, lambda x: (F.length(x["title"]) > 10) & (F.length(x["title"]) < 150)
                     & (has_any(F.lower(x["title"]), words) if words else F.lit(True)))
     titles = F.transform(good, lambda x: x["title"])

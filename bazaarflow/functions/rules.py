@@ -1,20 +1,36 @@
-"""Ordered keyword rules as native column expressions."""
+"""Ordered keyword rules as native column expressions.
+
+Short vocabularies become plain conditions. Long ones go through a constant array and an array function, so
+that the text is computed once per row and the generated code stays small enough to be compiled as a whole.
+"""
 
 from __future__ import annotations
 
 import functools
 import operator
 import re
+from collections.abc import Callable
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+SHORT = 12
+
 
 def lit_map(pairs) -> Column:
     """A literal map from (key, value) pairs known on the driver."""
     return F.create_map(*[F.lit(x) for pair in pairs for x in pair])
 
 
+def lit_array(values) -> Column:
+    return F.array(*map(F.lit, values))
+
+
+def once(value: Column, use: Callable[[Column], Column]) -> Column:
+    """``use(value)`` with the value computed a single time per row."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
 def any_of(conditions) -> Column:
     return functools.reduce(operator.or_, conditions, F.lit(False))
 
@@ -27,45 +43,77 @@ def has(text: Column, keyword: str, match: str = "substring") -> Column:
 
 def has_any(text: Column, keywords, match: str = "substring") -> Column:
     """True when a keyword occurs (substring test unless ``match='word'``); false on null text."""
-    return F.coalesce(any_of(has(text, k, match) for k in keywords), F.lit(False))
+    keywords = list(keywords)
+    if match == "word":
+        found = text.rlike(r"(?U)\b(?:" + "|".join(map(re.escape, keywords)) + r")\b")
+    elif len(keywords) <= SHORT:
+        found = any_of(has(text, k) for k in keywords)
+    else:
+        found = once(text, lambda t: F.exists(lit_array(keywords), lambda k: F.contains(t, k)))
+    return F.coalesce(found, F.lit(False))
 
 
 def matches_any(text: Column, patterns, flags: str = "") -> Column:
-    return F.coalesce(any_of(text.rlike(flags + p) for p in patterns), F.lit(False))
+    """True when one of the regular expressions occurs; one alternation, so the text is read once."""
+    return F.coalesce(text.rlike(flags + "|".join(f"(?:{p})" for p in patterns)), F.lit(False))
 
 
 def first_label(text: Column, rules, default=None, match: str = "substring") -> Column:
     """The label of the first rule (keywords, label), in order, with a keyword in the text."""
-    out = None
-    for keywords, label in rules:
-        value = label if isinstance(label, Column) else F.lit(label)
-        cond = has_any(text, keywords, match)
-        out = F.when(cond, value) if out is None else out.when(cond, value)
+    rules = [(list(keywords), label) for keywords, label in rules]
+    labels = [label if isinstance(label, Column) else F.lit(label) for _, label in rules]
     default = default if isinstance(default, Column) else F.lit(default)
-    return default if out is None else out.otherwise(default)
+    if match == "word" or sum(len(k) for k, _ in rules) <= SHORT:
+        out = None
+        for (keywords, _), label in zip(rules, labels):
+            cond = has_any(text, keywords, match)
+            out = F.when(cond, label) if out is None else out.when(cond, label)
+        return default if out is None else out.otherwise(default)
+    # Keyword k of rule i: the first one found, in rule order, decides.
+    words = lit_array([k for keywords, _ in rules for k in keywords])
+    owner = lit_array([i for i, (keywords, _) in enumerate(rules, 1) for _ in keywords])
+    hit = once(text, lambda t: F.try_element_at(F.filter(
+        F.zip_with(words, owner, lambda w, i: F.when(F.contains(t, w), i)), lambda i: i.isNotNull()), F.lit(1)))
+    return F.coalesce(F.try_element_at(F.array(*labels), hit), default)
 
 
 def first_pattern(text: Column, rules, default=None) -> Column:
-    """As first_label, for (regex, label) rules."""
-    out = None
+    """As first_label, for (regex, label) rules; neighbouring rules of one label are one alternation."""
+    merged: list[tuple[list[str], str]] = []
     for pattern, label in rules:
-        cond = text.rlike(pattern)
+        if merged and merged[-1][1] == label:
+            merged[-1][0].append(pattern)
+        else:
+            merged.append(([pattern], label))
+    out = None
+    for patterns, label in merged:
+        cond = matches_any(text, patterns)
         out = F.when(cond, F.lit(label)) if out is None else out.when(cond, F.lit(label))
     return out.otherwise(default if isinstance(default, Column) else F.lit(default))
 
 
 def hits(text: Column, keywords) -> Column:
     """How many of the keywords occur."""
-    return functools.reduce(operator.add, [has(text, k).cast("int") for k in keywords], F.lit(0))
+    keywords = list(keywords)
+    if not keywords:
+        return F.lit(0)
+    return once(text, lambda t: F.size(F.filter(lit_array(keywords), lambda k: F.contains(t, k))))
+
+
+def _vocabulary(vocabulary) -> Column:
+    return F.array(*[F.struct(F.lit(label).alias("label"), F.lit(-i).alias("order"), lit_array(kws).alias("words"))
+                     for i, (label, kws) in enumerate(vocabulary)])
 
 
 def scored_label(text: Column, vocabulary, threshold: float, default: str) -> Column:
     """Label with most keyword hits per square root of length; ties go to the first label."""
-    scored = [F.struct(hits(text, kws).alias("n"), F.lit(-i).alias("order"), F.lit(label).alias("label"))
-              for i, (label, kws) in enumerate(vocabulary)]
-    best = F.array_max(F.array(*scored))
-    score = best["n"] / F.sqrt(F.greatest(F.length(text), F.lit(100)))
-    return F.when(score > threshold, best["label"]).otherwise(F.lit(default))
+    def score(t: Column) -> Column:
+        counted = F.transform(_vocabulary(vocabulary), lambda v: F.struct(
+            F.size(F.filter(v["words"], lambda k: F.contains(t, k))).alias("n"), v["order"].alias("order"), v["label"].alias("label")))
+        return once(F.array_max(counted), lambda best: F.when(
+            best["n"] / F.sqrt(F.greatest(F.length(t), F.lit(100))) > threshold, best["label"]))
+
+    return F.coalesce(once(text, score), F.lit(default))
 
 
 def flags(text: Column, vocabulary) -> Column:
@@ -75,8 +123,9 @@ def flags(text: Column, vocabulary) -> Column:
 
 def tags(text: Column, vocabulary, limit: int) -> Column:
     """Sorted array of the labels that occur, at most ``limit``."""
-    found = F.array(*[F.when(has_any(text, kws), F.lit(label)) for label, kws in vocabulary])
-    return F.slice(F.array_sort(F.array_compact(found)), 1, limit)
+    found = once(text, lambda t: F.transform(
+        F.filter(_vocabulary(vocabulary), lambda v: F.exists(v["words"], lambda k: F.contains(t, k))), lambda v: v["label"]))
+    return F.slice(F.array_sort(found), 1, limit)
 
 
 def weighted_presence(parts, cap: float = 1.0) -> Column:

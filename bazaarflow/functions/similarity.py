@@ -7,6 +7,7 @@ import difflib
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from bazaarflow import vocab
 from bazaarflow.functions.rules import any_of, has_any
@@ -29,32 +30,52 @@ def transfer_direction(title: Column) -> Column:
             .otherwise("UNKNOWN"))
 
 
-def title_words(title: Column, is_transfer: Column, stop=vocab.TITLE_STOP, direction=vocab.DIRECTION_STOP) -> Column:
-    words = F.array_except(ascii_words(F.coalesce(title, F.lit("")), 3), F.array(*map(F.lit, stop)))
-    return F.when(is_transfer, words).otherwise(F.array_except(words, F.array(*map(F.lit, direction))))
+def title_words(title: Column, stop=vocab.TITLE_STOP) -> Column:
+    """Keywords of a title, "from" among them: it tells the direction of a transfer."""
+    return F.array_except(ascii_words(F.coalesce(title, F.lit("")), 3), F.array(*map(F.lit, stop)))
 
 
-def title_score(left: Column, right: Column, right_en: Column, activity: Column) -> Column:
+def title_features(title: Column, title_en: Column | None = None, direction=vocab.DIRECTION_STOP) -> Column:
+    """What the title score needs of one side: both word sets, direction, and the lower-case titles."""
+    words, way = title_words(title), transfer_direction(title)
+    texts = [F.lower(F.coalesce(title, F.lit("")))]
+    if title_en is not None:
+        words = F.array_union(words, title_words(title_en))
+        way = F.when(way == "UNKNOWN", transfer_direction(title_en)).otherwise(way)
+        texts.append(F.lower(F.coalesce(title_en, F.lit(""))))
+    return F.struct(words.alias("all"), F.array_except(words, F.array(*map(F.lit, direction))).alias("plain"),
+                    way.alias("way"), F.array(*texts).alias("texts"))
+
+
+def title_score_of(left: Column, right: Column, activity: Column) -> Column:
     """Word overlap with the union of both catalogue titles, +0.1 when one is contained.
 
-    Opposite transfer directions give 0.1.
+    Opposite transfer directions give 0.1. ``left`` and ``right`` are title_features.
     """
     is_transfer = F.coalesce(activity == "TRANSFER", F.lit(False))
-    right_direction = transfer_direction(right)
-    right_direction = F.when(right_direction == "UNKNOWN", transfer_direction(right_en)).otherwise(right_direction)
-    left_direction = transfer_direction(left)
-    opposite = (is_transfer & (left_direction != "UNKNOWN") & (right_direction != "UNKNOWN")
-                & (left_direction != right_direction))
-    a = title_words(left, is_transfer)
-    b = F.array_union(title_words(right, is_transfer), title_words(right_en, is_transfer))
-    contained = any_of(F.coalesce(present(t) & F.contains(F.lower(left), F.lower(t)), F.lit(False))
-                       for t in (right, right_en))
+    opposite = (is_transfer & (left["way"] != "UNKNOWN") & (right["way"] != "UNKNOWN") & (left["way"] != right["way"]))
+    a = F.when(is_transfer, left["all"]).otherwise(left["plain"])
+    b = F.when(is_transfer, right["all"]).otherwise(right["plain"])
+    contained = F.exists(right["texts"], lambda t: (t != "") & F.contains(left["texts"][0], t))
     score = F.least(_jaccard(a, b) + F.when(contained, 0.1).otherwise(0.0), F.lit(1.0))
-    return (F.when(opposite, F.lit(0.1)).when((F.size(a) == 0) | (F.size(b) == 0), F.lit(0.0)).otherwise(score))
+    return F.when(opposite, F.lit(0.1)).when((F.size(a) == 0) | (F.size(b) == 0), F.lit(0.0)).otherwise(score)
+
+
+def title_score(left: Column, right: Column, right_en: Column, activity: Column) -> Column:
+    """Title score of two titles (features computed on the spot)."""
+    return title_score_of(title_features(left), title_features(right, right_en), activity)
+
+
+def description_words(c: Column) -> Column:
+    return ascii_words(F.coalesce(c, F.lit("")), 4)
+
+
+def word_overlap(a: Column, b: Column) -> Column:
+    return _jaccard(a, b)
 
 
 def description_score(left: Column, right: Column) -> Column:
-    return _jaccard(ascii_words(F.coalesce(left, F.lit("")), 4), ascii_words(F.coalesce(right, F.lit("")), 4))
+    return _jaccard(description_words(left), description_words(right))
 
 
 def country_score(left: Column, right: Column) -> Column:
@@ -99,7 +120,7 @@ def city_score_native(left: Column, right: Column) -> Column:
             .when(inside, 0.85))
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(T.DoubleType())
 def _ratio(a: pd.Series, b: pd.Series) -> pd.Series:
     return pd.Series([difflib.SequenceMatcher(None, x, y).ratio() for x, y in zip(a, b)], dtype="float64")
 

@@ -122,15 +122,14 @@ def resolve_places(df: DataFrame, key: str, cities: DataFrame, countries: DataFr
     base = df.withColumn("_city_raw", F.when(~is_garbage_city(F.col(city_raw)), F.trim(F.col(city_raw)))) \
         .withColumn("_country_raw", blank_to_null(F.col(country_raw))) \
         .withColumn("_text", F.concat_ws(" ", title, description))
+    # The trigram step works on the distinct stated places, from these two columns alone.
+    base = base.withColumn("_within", F.lower("_country_raw"))
+    fuzzy = best_city(base.where(F.col("_city_raw").isNotNull()).select(
+        F.col("_city_raw").alias("phrase"), F.col("_within").alias("country")), cities)
     mention = text_mention(base, key, "_text", cities).withColumnRenamed("mention", "_m").withColumnRenamed(
         "mention_country", "_mc")
     base = base.join(mention, key, "left")
-
-    # Stated city: inside the mention's country, else inside the stated one, else anywhere.
-    base = base.withColumn("_phrase", F.when(F.col("_m").isNull(), F.col("_city_raw"))).withColumn(
-        "_within", F.lower("_country_raw"))
-    fuzzy = best_city(base.select(F.col("_phrase").alias("phrase"), F.col("_within").alias("country"))
-                      .where("phrase is not null"), cities)
+    base = base.withColumn("_phrase", F.when(F.col("_m").isNull(), F.col("_city_raw")))
     fuzzy = fuzzy.select(F.col("phrase").alias("_p"), F.col("country").alias("_pc"), F.col("city").alias("_f"),
                          F.col("city_country").alias("_fc"))
     base = base.join(fuzzy, (F.col("_phrase") == F.col("_p")) & F.col("_within").eqNullSafe(F.col("_pc")), "left")

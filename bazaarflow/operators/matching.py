@@ -31,16 +31,21 @@ def score_candidates(candidates: DataFrame, products: DataFrame, catalogue: Data
     ``products``: left_id, title, city, country, activity, description, category, price. ``catalogue``:
     right_id and the same with prefix ``cat_``, plus cat_title_en. Vectors stay out of this join.
     """
-    wide = candidates.withColumnRenamed("score", "vector_sim").join(products, "left_id").join(catalogue, "right_id")
-    wide = sim.with_city_score(wide, "city", "cat_city")
     c = F.col
+    # Word sets are made once per row of each side; a pair only intersects them.
+    lhs = products.withColumns({"_title": sim.title_features(c("title")), "_words": sim.description_words(c("description"))}) \
+        .drop("description")
+    rhs = catalogue.withColumns({"_cat_title": sim.title_features(c("cat_title"), c("cat_title_en")),
+                                 "_cat_words": sim.description_words(c("cat_description"))}).drop("cat_description")
+    wide = candidates.withColumnRenamed("score", "vector_sim").join(lhs, "left_id").join(rhs, "right_id")
+    wide = sim.with_city_score(wide, "city", "cat_city")
     scores = {
-        "title_score": sim.title_score(c("title"), c("cat_title"), c("cat_title_en"), c("activity")),
+        "title_score": sim.title_score_of(c("_title"), c("_cat_title"), c("activity")),
         "country_score": sim.country_score(c("country"), c("cat_country")),
-        "description_score": sim.description_score(c("description"), c("cat_description")),
+        "description_score": sim.word_overlap(c("_words"), c("_cat_words")),
         "category_score": sim.category_score(c("category"), c("cat_category")),
         "price_score": sim.price_score(c("price"), c("cat_price"))}
-    wide = wide.withColumns(scores)
+    wide = wide.withColumns(scores).drop("_title", "_cat_title", "_words", "_cat_words")
     total = sim.composite(c("title_score"), c("city_score"), c("country_score"), c("description_score"),
                           c("category_score"), c("price_score"), c("vector_sim"))
     return wide.withColumn("similarity", total)

@@ -44,13 +44,13 @@ def _best(scores: np.ndarray, right_ids: np.ndarray, k: int) -> tuple[np.ndarray
 def tiled_topk(left: DataFrame, right: DataFrame, block: Sequence[str], k: int | str, *,
                left_vec: str = "left_vec", right_vec: str = "right_vec", tile_rows: int = TILE_ROWS,
                score: Callable[[np.ndarray, pd.DataFrame, pd.DataFrame], np.ndarray] | None = None,
-               left_extra: Sequence[str] = (), right_extra: Sequence[str] = ()) -> DataFrame:
+               left_extra: Sequence[str] = (), right_extra: Sequence[str] = (), keep: Sequence[str] = ()) -> DataFrame:
     """The k best right rows for every left row of the same block.
 
     ``left`` has left_id and a vector, ``right`` has right_id and a vector; rows without a vector or block
     take no part. ``k`` may name a column of the left side. ``score`` may turn the cosine matrix of a tile
     pair into another score (it sees the extra columns of both sides).
-    Returns left_id, right_id, score, rank.
+    Returns left_id, right_id, score, rank and the block columns named in ``keep``.
     """
     block = list(block)
     k_col = F.col(k) if isinstance(k, str) else F.lit(k)
@@ -71,16 +71,19 @@ def tiled_topk(left: DataFrame, right: DataFrame, block: Sequence[str], k: int |
 
     def match(lp: pd.DataFrame, rp: pd.DataFrame) -> pd.DataFrame:
         if lp.empty or rp.empty:
-            return pd.DataFrame({"left_id": [], "right_id": [], "score": [], "_k": []})
+            return pd.DataFrame({name: [] for name in columns})
         matrix = _unit(lp["_v"]) @ _unit(rp["_v"]).T
         if score is not None:
             matrix = score(matrix, lp, rp)
         rows, cols = _best(matrix, rp["right_id"].to_numpy(), int(lp["_k"].max()))
         return pd.DataFrame({"left_id": lp["left_id"].to_numpy()[rows], "right_id": rp["right_id"].to_numpy()[cols],
-                             "score": matrix[rows, cols], "_k": lp["_k"].to_numpy()[rows]})
+                             "score": matrix[rows, cols], "_k": lp["_k"].to_numpy()[rows],
+                             **{b: lp[b].to_numpy()[rows] for b in keep}})
 
     types = {f.name: f.dataType.simpleString() for f in (*left.schema, *right.schema)}
-    schema = f"left_id {types['left_id']}, right_id {types['right_id']}, score double, _k int"
+    columns = {"left_id": types["left_id"], "right_id": types["right_id"], "score": "double", "_k": "int",
+               **{b: types[b] for b in keep}}
+    schema = ", ".join(f"{name} {kind}" for name, kind in columns.items())
     found = a.groupBy(*keys).cogroup(b.groupBy(*keys)).applyInPandas(match, schema)
     rank = F.row_number().over(Window.partitionBy("left_id").orderBy(F.desc("score"), "right_id"))
     return found.withColumn("rank", rank).where(F.col("rank") <= F.col("_k")).drop("_k")
@@ -88,42 +91,40 @@ def tiled_topk(left: DataFrame, right: DataFrame, block: Sequence[str], k: int |
 
 def ladder_levels(left: DataFrame, right: DataFrame, levels: Sequence[tuple[Sequence[Column], Sequence[Column], int]],
                   *, left_vec: str, right_vec: str) -> tuple[DataFrame, DataFrame]:
-    """Gives every left row the first level whose block exists on the right.
+    """Gives every left row the first level whose block exists on the right; right rows get one copy per level.
 
     ``levels``: (left key columns, right key columns, k), finest first. A row with a null key skips a level.
     Which level applies depends on existence alone, so it is found from the distinct keys, before any vector
-    work; right rows are copied only to levels that some left row uses.
+    work. Left rows without a block at any level drop out.
     """
-    with_vec = right.where(F.col(right_vec).isNotNull())
-
     def key(cols: Sequence[Column]) -> Column:
-        missing = F.lit(False)
+        whole = F.lit(True)
         for c in cols:
-            missing = missing | c.isNull()
-        return F.when(~missing, F.to_json(F.struct(*[c.cast("string").alias(f"k{i}") for i, c in enumerate(cols)])))
-
-    rest, placed = left.where(F.col(left_vec).isNotNull()), None
-    for number, (lcols, rcols, k) in enumerate(levels, 1):
-        blocks = with_vec.select(key(rcols).alias("block")).where("block is not null").distinct()
-        keyed = rest.withColumn("block", key(lcols))
-        hit = keyed.join(blocks, "block", "left_semi").withColumn("level", F.lit(number)).withColumn("k", F.lit(k))
-        placed = hit if placed is None else placed.unionByName(hit)
-        rest = keyed.join(blocks, "block", "left_anti").drop("block")
-    used = placed.select("level", "block").distinct()
-    copies = None
-    for number, (_, rcols, _) in enumerate(levels, 1):
-        part = with_vec.withColumn("block", key(rcols)).where("block is not null").withColumn("level", F.lit(number))
-        copies = part if copies is None else copies.unionByName(part)
-    return placed, copies.join(used, ["level", "block"], "left_semi")
+            whole = whole & c.isNotNull()
+        return F.when(whole, F.to_json(F.struct(*[c.cast("string").alias(f"k{i}") for i, c in enumerate(cols)])))
+
+    placed = left.where(F.col(left_vec).isNotNull())
+    with_vec = right.where(F.col(right_vec).isNotNull())
+    copies = with_vec.withColumn("_l", F.explode(F.array(*[
+        F.struct(F.lit(n).alias("level"), key(rcols).alias("block")) for n, (_, rcols, _) in enumerate(levels, 1)])))
+    copies = copies.select("*", "_l.level", "_l.block").drop("_l").where("block is not null")
+    known = copies.select("level", "block").distinct()
+    choice = []
+    for n, (lcols, _, k) in enumerate(levels, 1):
+        there = known.where(F.col("level") == n).select(F.col("block").alias(f"_b{n}"))
+        placed = placed.withColumn(f"_k{n}", key(lcols)).join(there, F.col(f"_k{n}") == F.col(f"_b{n}"), "left")
+        choice.append(F.when(F.col(f"_b{n}").isNotNull(), F.struct(
+            F.lit(n).alias("level"), F.col(f"_b{n}").alias("block"), F.lit(k).alias("k"))))
+    placed = placed.withColumn("_c", F.coalesce(*choice)).where("_c is not null").select("*", "_c.*")
+    return placed.drop("_c", *[f"_{x}{n}" for n in range(1, len(levels) + 1) for x in "kb"]), copies
 
 
 def ladder_topk(left: DataFrame, right: DataFrame, levels, *, left_vec: str = "left_vec", right_vec: str = "right_vec",
                 tile_rows: int = TILE_ROWS) -> DataFrame:
     """Candidates of each left row from the first non-empty level: left_id, right_id, score, rank, level."""
     placed, copies = ladder_levels(left, right, levels, left_vec=left_vec, right_vec=right_vec)
-    best = tiled_topk(placed, copies, ["level", "block"], "k", left_vec=left_vec, right_vec=right_vec,
-                      tile_rows=tile_rows)
-    return best.join(placed.select("left_id", "level"), "left_id")
+    return tiled_topk(placed, copies, ["level", "block"], "k", left_vec=left_vec, right_vec=right_vec,
+                      tile_rows=tile_rows, keep=["level"])
 
 
 def place_levels(city: str, country: str, activity: str, right_city: str, right_country: str, right_activity: str,

@@ -46,17 +46,18 @@ def qualify_leads(places: DataFrame, pages_by_host: DataFrame, *, cities=(), not
     leads = places.withColumn("domain", text.host(F.col("url"))).where(
         (F.length("name") >= 3) & ~has_any(F.lower("name"), not_words) & (F.length("domain") >= 5)
         & ~has_any(F.col("domain"), skip) & pages.is_travel_supplier(F.col("name"), F.col("domain")))
-    wide = leads.join(pages_by_host.where(F.length("html") >= min_html), F.col("domain") == F.col("host"), "left")
-    signals = pages.supplier_signals(F.col("html"), cities)
-    link = pages.connection(F.concat_ws(" ", "name", "description", "domain"))
-    geo = pages.embedded_geo(F.coalesce("html", F.lit("")), F.col("address"))
-    wide = (wide.withColumn("score", F.when(F.col("html").isNull(), 0).otherwise(signals["score"]))
-            .withColumn("_link", link).withColumn("_geo", geo).drop("html", "host"))
+    # Pages are scored before the join, so their text is not shuffled with the places.
+    scored = (pages_by_host.where(F.length("html") >= min_html)
+              .withColumns({"_s": pages.supplier_signals(F.col("html"), cities), "_geo": pages.embedded_geo(F.col("html"))})
+              .select("host", F.col("_s.score").alias("_score"), "_geo"))
+    wide = (leads.join(scored, F.col("domain") == F.col("host"), "left").withColumn("score", F.coalesce("_score", F.lit(0)))
+            .withColumn("_link", pages.connection(F.concat_ws(" ", "name", "description", "domain"))))
+    street = F.nullif(F.trim(F.get(F.split("address", ","), F.lit(0))), F.lit(""))
     has_channel = F.col("_link.has_channel") | (F.col("score") >= 50)
     out = wide.select("seq", "name", "domain", "score", F.col("_link.has_api").alias("has_api"), has_channel.alias("has_channel"),
                       F.col("_link.channel_name").alias("channel_name"),
                       pages.connection_type(F.col("_link.has_api"), has_channel).alias("connection"),
-                      F.col("_geo.country").alias("country"), F.col("_geo.city").alias("city"))
+                      F.col("_geo.country").alias("country"), F.coalesce(F.col("_geo.city"), street).alias("city"))
     connected = out.where(pages.is_connected(F.col("has_api"), F.col("has_channel")))
     first = connected.groupBy("domain").agg(F.min_by(F.struct(*[c for c in out.columns if c != "domain"]), "seq").alias("r"))
     return first.select("domain", "r.*")

@@ -21,7 +21,8 @@ def money(expr: str) -> str:
     return f"CAST(CAST({expr} AS DECIMAL(12,2)) AS STRING)"
 
 
-PRICE = "CAST(CAST(p_retailprice * p_size / 40 AS DECIMAL(12,2)) AS DOUBLE)"
+# Whole cents, so that both engines get the same number.
+PRICE = "floor(CAST(round(p_retailprice * 100) AS BIGINT) * p_size / 40) / 100"
 RAW = [
     ("product_id", "p_partkey"), ("supplier_id", "p_partkey % 10"), ("run_id", "'run-' || CAST(p_size % 4 AS STRING)"),
     ("title", pick("p_size",

@@ -132,8 +132,8 @@ def normalise(raw: DataFrame, cities: DataFrame, countries: DataFrame, *, title_
             .withColumn("activity", activity_of(F.col("title"), F.col("description"), F.col("category_raw"))))
     rows = resolve_places(rows, "product_id", cities, countries)
     body = F.concat_ws(" ", "title", "description")
-    price = money.process_price(F.col("price"), F.col("currency"), body)
-    rows = (rows.withColumn("_price", price).withColumn("_route", route_of(body, F.col("activity")))
+    rows = money.process_price(rows, "price", "currency", body)
+    rows = (rows.withColumn("_route", route_of(body, F.col("activity")))
             .withColumn("category", category_of(F.col("activity"), F.col("title"), F.col("description")))
             .withColumn("duration_minutes", money.minutes_first(F.col("duration")))
             .withColumn("matching_signature", text.signature(F.col("city"), F.col("activity"), F.col("title")))
@@ -142,11 +142,11 @@ def normalise(raw: DataFrame, cities: DataFrame, countries: DataFrame, *, title_
         F.col("title"), F.col("description"), F.col("city"), F.col("country"), F.col("activity"), F.col("category")))
     return rows.select(
         "product_id", "supplier_id", "run_id", "title", "description", "city", "country", "lat", "lng", "location_confidence",
-        "location_sources", "activity", "category", F.col("_price.eur").alias("price"), F.lit("EUR").alias("currency"),
-        F.col("_price.estimated").alias("price_is_estimated"), "duration_minutes", F.col("_route.origin").alias("origin"),
+        "location_sources", "activity", "category", F.col("eur").alias("price"), F.lit("EUR").alias("currency"),
+        F.col("estimated").alias("price_is_estimated"), "duration_minutes", F.col("_route.origin").alias("origin"),
         F.col("_route.destination").alias("destination"), F.col("_route.signature").alias("route_signature"),
         "matching_signature", "activity_tags", "embedding_text",
-        stage_confidence(F.col("title"), F.col("description"), F.col("_price.eur"), F.col("_price.estimated"), F.col("city"),
+        stage_confidence(F.col("title"), F.col("description"), F.col("eur"), F.col("estimated"), F.col("city"),
                          F.col("country"), F.col("location_confidence")).alias("confidence"))
 
 
