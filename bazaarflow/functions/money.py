@@ -157,8 +157,11 @@ def minutes_of(hours: Column, minutes: Column) -> Column:
 
 
 def derived_prices(price: Column, purchase: float = 0.85, low: float = 0.8, high: float = 1.2) -> Column:
-    return F.struct(F.round(price * purchase, 2).alias("purchase"), F.round(price * low, 2).alias("minimum"),
-                    F.round(price * high, 2).alias("maximum"))
+    """struct(purchase, minimum, maximum), in fixed-point arithmetic."""
+    def share(factor: float) -> Column:
+        return F.round(price.cast(MONEY) * F.lit(factor).cast("decimal(4,2)"), 2).cast("double")
+
+    return F.struct(share(purchase).alias("purchase"), share(low).alias("minimum"), share(high).alias("maximum"))
 
 
 def code_label(code: Column, pairs, default: str) -> Column:

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from bazaarflow import vocab
-from bazaarflow.functions.rules import any_of, has_any
+from bazaarflow.functions.rules import has_any, lit_array
 from bazaarflow.functions.text import ascii_words, fold, present
 
 
@@ -78,19 +78,45 @@ def description_score(left: Column, right: Column) -> Column:
     return _jaccard(description_words(left), description_words(right))
 
 
+def place_features(c: Column) -> Column:
+    """A place name as compared: null when missing, lower case, and without accents."""
+    named = F.when(present(F.coalesce(c, F.lit(""))), F.trim(c))
+    return F.struct(F.lower(named).alias("low"), F.lower(fold(named)).alias("plain"))
+
+
+def country_score_of(left: Column, right: Column) -> Column:
+    missing = left["low"].isNull() | right["low"].isNull()
+    return F.when(missing, 0.5).when(left["plain"] == right["plain"], 1.0).otherwise(0.0)
+
+
 def country_score(left: Column, right: Column) -> Column:
-    a, b = F.lower(fold(F.trim(left))), F.lower(fold(F.trim(right)))
-    missing = ~present(F.coalesce(left, F.lit(""))) | ~present(F.coalesce(right, F.lit("")))
-    return F.when(missing, 0.5).when(a == b, 1.0).otherwise(0.0)
+    return country_score_of(place_features(left), place_features(right))
+
+
+def category_features(c: Column, groups=vocab.CATEGORY_GROUPS, related=vocab.RELATED_CATEGORIES) -> Column:
+    """A category as compared, and the numbers of the equivalence and related groups it belongs to."""
+    key = F.nullif(F.upper(F.trim(c)), F.lit(""))
+
+    def members(lists) -> Column:
+        words: dict[str, list[int]] = {}
+        for n, names in enumerate(lists):
+            for name in dict.fromkeys(names):
+                words.setdefault(name, []).append(n)
+        table = F.create_map(*[x for w, ns in words.items() for x in (F.lit(w), lit_array(ns))])
+        return F.coalesce(F.try_element_at(table, key), F.array().cast("array<int>"))
 
+    return F.struct(key.alias("key"), members([[n, *w] for n, w in groups]).alias("groups"), members(related).alias("near"))
 
-def category_score(left: Column, right: Column, groups=vocab.CATEGORY_GROUPS,
-                   related=vocab.RELATED_CATEGORIES) -> Column:
-    a, b = F.upper(F.trim(left)), F.upper(F.trim(right))
-    missing = ~present(F.coalesce(left, F.lit(""))) | ~present(F.coalesce(right, F.lit("")))
-    same_group = any_of(a.isin(name, *words) & b.isin(name, *words) for name, words in groups)
-    near = any_of(a.isin(*words) & b.isin(*words) for words in related)
-    return F.when(missing, 0.3).when(a == b, 1.0).when(same_group, 0.8).when(near, 0.6).otherwise(0.0)
+
+def category_score_of(left: Column, right: Column) -> Column:
+    missing = left["key"].isNull() | right["key"].isNull()
+    return (F.when(missing, 0.3).when(left["key"] == right["key"], 1.0)
+            .when(F.arrays_overlap(left["groups"], right["groups"]), 0.8)
+            .when(F.arrays_overlap(left["near"], right["near"]), 0.6).otherwise(0.0))
+
+
+def category_score(left: Column, right: Column) -> Column:
+    return category_score_of(category_features(left), category_features(right))
 
 
 def price_score(left: Column, right: Column) -> Column:
@@ -112,31 +138,39 @@ def cosine(a: Column, b: Column) -> Column:
 
 
 def city_score_native(left: Column, right: Column) -> Column:
-    """City score where no edit comparison is needed; null where it is."""
-    a, b = F.lower(fold(F.trim(left))), F.lower(fold(F.trim(right)))
-    missing = (F.coalesce(left, F.lit("")) == "") | (F.coalesce(right, F.lit("")) == "")
+    """City score of two place_features where no edit comparison is needed; null where it is."""
+    a, b = left["plain"], right["plain"]
+    missing = left["low"].isNull() | right["low"].isNull()
     inside = (a != "") & (b != "") & (F.contains(a, b) | F.contains(b, a))
-    return (F.when(missing, 0.0).when(F.lower(F.trim(left)) == F.lower(F.trim(right)), 1.0).when(a == b, 1.0)
-            .when(inside, 0.85))
+    return F.when(missing, 0.0).when(left["low"] == right["low"], 1.0).when(a == b, 1.0).when(inside, 0.85)
 
 
 @F.pandas_udf(T.DoubleType())
 def _ratio(a: pd.Series, b: pd.Series) -> pd.Series:
-    return pd.Series([difflib.SequenceMatcher(None, x, y).ratio() for x, y in zip(a, b)], dtype="float64")
+    """Edit ratio of the given pairs, once per distinct pair of the batch; null where a side is null."""
+    known: dict = {}
+    for pair in zip(a, b):
+        if pair not in known:
+            known[pair] = None if pair[0] is None or pair[1] is None else difflib.SequenceMatcher(None, *pair).ratio()
+    return pd.Series([known[p] for p in zip(a, b)], dtype="float64")
+
+
+def city_score_from(pairs: DataFrame, left: str, right: str, out: str = "city_score") -> DataFrame:
+    """Adds the city score of two place_features columns.
+
+    The edit ratio has no native form; only pairs the native steps leave open reach it.
+    """
+    scored = pairs.withColumn("_native", city_score_native(F.col(left), F.col(right)))
+    still = F.col("_native").isNull()
+    scored = scored.withColumn("_r", _ratio(F.when(still, F.col(left)["plain"]), F.when(still, F.col(right)["plain"])))
+    band = (F.when(F.col("_r") >= 0.80, 1.0).when(F.col("_r") >= 0.65, 0.85).when(F.col("_r") >= 0.50, 0.60).otherwise(0.0))
+    return scored.withColumn(out, F.coalesce("_native", band)).drop("_native", "_r")
 
 
 def with_city_score(pairs: DataFrame, left: str, right: str, out: str = "city_score") -> DataFrame:
-    """Adds the city score. The edit ratio (no native form) runs once per distinct unresolved pair."""
-    scored = pairs.withColumn(out, city_score_native(F.col(left), F.col(right)))
-    fresh = (scored.where(F.col(out).isNull())
-             .select(F.lower(fold(F.trim(F.col(left)))).alias("_a"), F.lower(fold(F.trim(F.col(right)))).alias("_b"))
-             .distinct().withColumn("_r", _ratio("_a", "_b"))
-             .select("_a", "_b", F.when(F.col("_r") >= 0.80, 1.0).when(F.col("_r") >= 0.65, 0.85)
-                     .when(F.col("_r") >= 0.50, 0.60).otherwise(0.0).alias("_s")))
-    keyed = (scored.withColumn("_ka", F.when(F.col(out).isNull(), F.lower(fold(F.trim(F.col(left))))))
-             .withColumn("_kb", F.when(F.col(out).isNull(), F.lower(fold(F.trim(F.col(right)))))))
-    joined = keyed.join(fresh, (F.col("_ka") == F.col("_a")) & (F.col("_kb") == F.col("_b")), "left")
-    return joined.withColumn(out, F.coalesce(out, "_s")).drop("_ka", "_kb", "_a", "_b", "_s")
+    """Adds the city score of two city columns."""
+    staged = pairs.withColumns({"_a": place_features(F.col(left)), "_b": place_features(F.col(right))})
+    return city_score_from(staged, "_a", "_b", out).drop("_a", "_b")
 
 
 def composite(title: Column, city: Column, country: Column, description: Column, category: Column, price: Column,

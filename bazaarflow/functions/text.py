@@ -12,7 +12,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from bazaarflow import vocab
-from bazaarflow.functions.rules import has_any, matches_any
+from bazaarflow.functions.rules import has_any, matches_any, once
 
 ENTITIES = [("&amp;", "&"), ("&lt;", "<"), ("&gt;", ">"), ("&nbsp;", " "), ("&quot;", '"'), ("&#39;", "'"),
             ("&apos;", "'")]
@@ -39,6 +39,34 @@ def squeeze(c: Column) -> Column:
     return F.trim(F.regexp_replace(c, r"(?U)\s+", " "))
 
 
+def required_word(pattern: str) -> str | None:
+    """A lower-case word every match of the pattern contains, if one is easy to see."""
+    plain = re.sub(r"\[[^\]]*\]|\([^)]*\)|\\.", " ", pattern)
+    if "|" in plain:
+        return None
+    runs = [m[1][:-1] if m[2] else m[1] for m in re.finditer(r"([a-z]+)([?*{]?)", plain)]
+    longest = max(runs, key=len, default="")
+    return longest if len(longest) >= 3 else None
+
+
+def blank_patterns(c: Column, patterns) -> Column:
+    """Replaces the patterns by a blank, one after the other, ignoring case.
+
+    A pattern is only tried on texts that contain its word: a plain search is far cheaper than a pass of the
+    regular expression. Blanks never join two letters, so the words can be looked up in the original text.
+    """
+    def replace(value: Column, pattern: str, cond: Column) -> Column:
+        return once(value, lambda v: F.when(cond, F.regexp_replace(v, "(?i)" + pattern, " ")).otherwise(v))
+
+    def chain(low: Column, value: Column) -> Column:
+        for p in patterns:
+            word = required_word(p)
+            value = replace(value, p, F.lit(True) if word is None else F.contains(low, F.lit(word)))
+        return value
+
+    return once(c, lambda v: once(F.lower(v), lambda low: chain(low, v)))
+
+
 def drop_tags(c: Column) -> Column:
     return squeeze(F.regexp_replace(c, "<[^>]+>", " "))
 
@@ -85,19 +113,16 @@ def navigation_title(c: Column, noise=vocab.NAVIGATION_NOISE, min_length=vocab.M
         c = F.trim(F.regexp_replace(c, "(?i)" + pattern, ""))
     c = F.trim(F.regexp_replace(c, r"^[\s|>\-»]+|[\s|>\-«]+$", ""))
     c = squeeze(F.regexp_replace(c, r"^[A-Z][a-z]\s+[A-Z][a-z]\s+", ""))
-    return F.when(F.length(c) < min_length, F.lit("")).otherwise(c)
+    return once(c, lambda x: F.when(F.length(x) < min_length, F.lit("")).otherwise(x))
 
 
 def clean_description(c: Column, noise=(*vocab.BOOKING_NOISE, *vocab.SEO_NOISE), min_sentence: int = 20,
                       min_length=vocab.MIN_CLEAN_DESCRIPTION) -> Column:
     """Description without booking and search noise; keeps sentences longer than ``min_sentence``."""
-    c = strip_html(F.coalesce(c, F.lit("")))
-    for pattern in noise:
-        c = F.regexp_replace(c, "(?i)" + pattern, " ")
+    c = blank_patterns(strip_html(F.coalesce(c, F.lit(""))), noise)
     sentences = F.transform(F.split(c, r"\."), lambda s: F.trim(s))
     kept = F.array_join(F.filter(sentences, lambda s: F.length(s) > min_sentence), ". ")
-    c = squeeze(kept)
-    return F.when(F.length(c) < min_length, F.lit("")).otherwise(c)
+    return once(squeeze(kept), lambda x: F.when(F.length(x) < min_length, F.lit("")).otherwise(x))
 
 
 def without_marketing(c: Column, phrases=vocab.MARKETING_PHRASES, cap: int | None = None) -> Column:
@@ -128,17 +153,21 @@ def markdown_product(md: Column, max_lines: int = 20) -> Column:
     tagged = F.transform(lines, lambda s, i: F.struct(
         i.alias("pos"), s.alias("line"), s.rlike(r"^##? ").alias("heading"),
         F.trim(F.regexp_replace(s, r"^##? ", "")).alias("head")))
-    title = F.try_element_at(
-        F.filter(tagged, lambda x: x["heading"] & is_good_title(x["head"])), F.lit(1))
-    # Only headings that could become the title are consumed; a later H1 never counts as text,
-    # nor does an H2 before the title is found.
-    body = F.filter(tagged, lambda x: (x["pos"] > title["pos"]) & ~x["line"].startswith("# ")
-                    & is_good_line(x["line"]))
-    text = F.array_join(F.slice(F.transform(body, lambda x: x["line"]), 1, max_lines), " ")
-    return F.struct(
-        navigation_title(title["head"]).alias("title"),
-        F.when(title.isNull(), F.lit("")).otherwise(clean_description(text)).alias("description"),
-        F.regexp_extract_all(md, F.lit(r"!\[.*?\]\((https?://[^\)]+)\)"), 1).alias("images"))
+
+    def product(rows: Column, title: Column) -> Column:
+        # A later H1 never counts as text.
+        body = F.filter(rows, lambda x: (x["pos"] > title["pos"]) & ~x["line"].startswith("# ") & is_good_line(x["line"]))
+        text = F.array_join(F.slice(F.transform(body, lambda x: x["line"]), 1, max_lines), " ")
+        return F.struct(
+            navigation_title(title["head"]).alias("title"),
+            F.when(title.isNull(), F.lit("")).otherwise(clean_description(text)).alias("description"))
+
+    def first_title(rows: Column) -> Column:
+        return F.try_element_at(F.filter(rows, lambda x: x["heading"] & is_good_title(x["head"])), F.lit(1))
+
+    parts = once(tagged, lambda rows: once(first_title(rows), lambda title: product(rows, title)))
+    return F.struct(parts["title"].alias("title"), parts["description"].alias("description"),
+                    F.regexp_extract_all(md, F.lit(r"!\[.*?\]\((https?://[^\)]+)\)"), 1).alias("images"))
 
 
 def fold(c: Column) -> Column:

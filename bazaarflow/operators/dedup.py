@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from bazaarflow import vocab
 from bazaarflow.functions.rules import has_any
 from bazaarflow.functions.text import host
-from bazaarflow.session import cut_lineage
+from bazaarflow.session import materialise
 
 
 def accept_in_order(batch: DataFrame, existing: DataFrame, seq: str, url: str, name: str, supplier: str,
@@ -34,18 +34,18 @@ def accept_in_order(batch: DataFrame, existing: DataFrame, seq: str, url: str, n
         .where("_ns is not null").distinct()
     heads = (base.where("_ok").groupBy("_url", "_ns").agg(F.min(seq).alias("_seq"))
              .join(known_urls, "_url", "left_anti").join(known_names, "_ns", "left_anti"))
-    open_rows, saved = cut_lineage(heads), None
+    open_rows, saved = materialise(heads), None
     for _ in range(max_rounds):
         if open_rows.isEmpty():
             break
         # A row without URL is first for "its URL" by definition; the same holds for the name.
         by_url = open_rows.where("_url is not null").groupBy("_url").agg(F.min("_seq").alias("_u1"))
         by_name = open_rows.where("_ns is not null").groupBy("_ns").agg(F.min("_seq").alias("_n1"))
-        ranked = cut_lineage(open_rows.join(by_url, "_url", "left").join(by_name, "_ns", "left").withColumn(
+        ranked = materialise(open_rows.join(by_url, "_url", "left").join(by_name, "_ns", "left").withColumn(
             "_win", (F.coalesce("_u1", "_seq") == F.col("_seq")) & (F.coalesce("_n1", "_seq") == F.col("_seq"))))
         won = ranked.where("_win").select("_url", "_ns", "_seq")
         saved = won if saved is None else saved.unionByName(won)
-        open_rows = cut_lineage(ranked.where("not _win").select("_url", "_ns", "_seq")
+        open_rows = materialise(ranked.where("not _win").select("_url", "_ns", "_seq")
                                 .join(won.select("_url").where("_url is not null"), "_url", "left_anti")
                                 .join(won.select("_ns").where("_ns is not null"), "_ns", "left_anti"))
     else:

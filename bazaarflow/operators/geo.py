@@ -12,6 +12,7 @@ from bazaarflow.functions.rules import has_any
 from bazaarflow.functions.text import blank_to_null, word_count
 from bazaarflow.operators.lookup import first_by, lookup
 from bazaarflow.operators.trigram import best_city
+from bazaarflow.session import materialise
 
 
 def is_garbage_city(city: Column, words=vocab.GARBAGE_CITY_WORDS, countries=vocab.COUNTRY_AS_CITY,
@@ -32,9 +33,12 @@ def text_mention(df: DataFrame, key: str, text: str, cities: DataFrame, *, max_w
     names = names.where(~garbage(F.col("_n")))
     words = F.filter(F.split(F.lower(F.col(text)), r"[^\p{L}\p{N}'-]+"), lambda w: w != "")
     rows = df.select(key, words.alias("_w"))
-    spans = F.flatten(F.transform(F.col("_w"), lambda w, i: F.transform(
-        F.sequence(F.lit(1), F.least(F.lit(max_words), F.size("_w") - i)),
-        lambda n: F.struct(i.alias("pos"), n.alias("len"), F.array_join(F.slice(F.col("_w"), i + 1, n), " ").alias("_n")))))
+    def run(i: Column, w: Column, n: int) -> Column:
+        """The n words from position i on; null past the end."""
+        return F.concat(w, *[F.concat(F.lit(" "), F.get("_w", i + k)) for k in range(1, n)])
+
+    spans = F.flatten(F.transform(F.col("_w"), lambda w, i: F.array(*[
+        F.struct(i.alias("pos"), F.lit(n).alias("len"), run(i, w, n).alias("_n")) for n in range(1, max_words + 1)])))
     # Spans meet the gazetteer before any grouping: only the few that are cities get shuffled.
     hits = rows.select(key, F.inline(spans)).join(names, "_n")
     return hits.groupBy(key).agg(F.min_by(F.struct(F.col("name").alias("mention"), F.col("country").alias("mention_country")),
@@ -130,7 +134,7 @@ def resolve_places(df: DataFrame, key: str, cities: DataFrame, countries: DataFr
         "mention_country", "_mc")
     base = base.join(mention, key, "left")
     base = base.withColumn("_phrase", F.when(F.col("_m").isNull(), F.col("_city_raw")))
-    fuzzy = fuzzy.select(F.col("phrase").alias("_p"), F.col("country").alias("_pc"), F.col("city").alias("_f"),
+    fuzzy = materialise(fuzzy, "cities").select(F.col("phrase").alias("_p"), F.col("country").alias("_pc"), F.col("city").alias("_f"),
                          F.col("city_country").alias("_fc"))
     base = base.join(fuzzy, (F.col("_phrase") == F.col("_p")) & F.col("_within").eqNullSafe(F.col("_pc")), "left")
 

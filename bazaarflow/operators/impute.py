@@ -7,6 +7,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from bazaarflow.session import materialise
+
 BUCKETS = 1024
 
 
@@ -54,20 +56,21 @@ def price_reference(reference: DataFrame, city: str, country: str, activity: str
             .select(F.lower(city).alias("_city"), F.lower(country).alias("_country"), F.col(activity).alias("_type"),
                     F.col(price).alias("_v"))
             .groupBy("_city", "_country", "_type", "_v").agg(F.count("*").alias("_c")))
+    base = materialise(base, "price-counts")
     out = []
     for keys in (["_city", "_type"], ["_country", "_type"], ["_type"]):
         counts = base
         for k in keys:
             counts = counts.where(F.col(k).isNotNull())
         counts = counts.groupBy(*keys, "_v").agg(F.sum("_c").alias("_c"))
-        out.append(median_of_counts(counts, keys, "_m"))
+        out.append(materialise(median_of_counts(counts, keys, "_m"), "medians"))
     return out
 
 
 def fill_prices(df: DataFrame, reference: DataFrame, *, price: str = "price", flag: str = "price_is_estimated",
                 city: str = "city", country: str = "country", activity: str = "activity", ref_city: str = "city",
                 ref_country: str = "country", ref_activity: str = "activity", ref_price: str = "price",
-                last_resort: Column | None = None) -> DataFrame:
+                last_resort: Column | None = None, digits: int = 2) -> DataFrame:
     """Fills null or zero prices from the first level that has a median, then from ``last_resort``.
 
     Adds ``price_level`` (0 stated, 1-3 ladder, 4 last resort, null when nothing was found).
@@ -77,7 +80,7 @@ def fill_prices(df: DataFrame, reference: DataFrame, *, price: str = "price", fl
     out = df.withColumn("_missing", missing)
     joins = [[(city, "_city"), (activity, "_type")], [(country, "_country"), (activity, "_type")], [(activity, "_type")]]
     for n, (table, keys) in enumerate(zip(tables, joins), 1):
-        named = table.select(*[F.col(t).alias(f"_j{n}{t}") for _, t in keys], F.round("_m", 2).alias(f"_m{n}"))
+        named = table.select(*[F.col(t).alias(f"_j{n}{t}") for _, t in keys], F.round("_m", digits).alias(f"_m{n}"))
         cond = F.col("_missing")
         for left, t in keys:
             value = F.col(left) if t == "_type" else F.lower(left)

@@ -7,15 +7,20 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from bazaarflow.session import materialise
+
 
 def norm_key(c: Column) -> Column:
     return F.nullif(F.lower(F.trim(c)), F.lit(""))
 
 
 def first_by(df: DataFrame, keys: Sequence[str], order: str, values: Sequence[str]) -> DataFrame:
-    """One row per key: the values of the row with the lowest ``order``."""
+    """One row per key: the values of the row with the lowest ``order``.
+
+    Meant for dimensions: the result is written out, so that a join knows how small it is.
+    """
     best = df.groupBy(*keys).agg(F.min_by(F.struct(*values), order).alias("_v"))
-    return best.select(*keys, "_v.*")
+    return materialise(best.select(*keys, "_v.*"), "dimension")
 
 
 def pending(df: DataFrame, done: DataFrame, key: str) -> DataFrame:
@@ -36,6 +41,7 @@ def lookup(df: DataFrame, key: Column, dim: DataFrame, dim_key: Column, values:
     table = (dim.withColumn("_k", norm_key(dim_key)).where("_k is not null")
              .groupBy("_k").agg(F.min_by(F.struct(*[F.col(c).alias(out) for c, out in values]), order).alias("_v"))
              .select("_k", "_v.*"))
+    table = materialise(table, "dimension")
     return df.withColumn("_key", norm_key(key)).join(table, F.col("_key") == F.col("_k"), "left").drop("_key", "_k")
 
 
@@ -59,6 +65,7 @@ def verify_city(df: DataFrame, city: str, country: str, cities: DataFrame, out:
              .join(anywhere, F.col("_key") == F.col("_n"), "left").drop("_n")
              .join(starts, F.col("_key") == F.col("_p"), "left")
              .select("_key", "_kc", F.coalesce("_in", "_any", "_start").alias(out)))
+    found = materialise(found, "cities")
     return (df.withColumn("_k", key).withColumn("_kk", F.lower(F.col(country)))
             .join(found, (F.col("_k") == F.col("_key")) & F.col("_kk").eqNullSafe(F.col("_kc")), "left")
             .drop("_k", "_kk", "_key", "_kc"))
@@ -136,7 +143,7 @@ def get_or_create(df: DataFrame, name: str, localities: DataFrame, *, name_colum
     for column in name_columns:
         part = localities.select(norm_key(F.col(column)).alias("_k"), "locality_id").where("_k is not null")
         keys = part if keys is None else keys.unionByName(part)
-    keys = keys.groupBy("_k").agg(F.min("locality_id").alias("_id"))
+    keys = materialise(keys.groupBy("_k").agg(F.min("locality_id").alias("_id")), "localities")
     default = localities.agg(F.coalesce(F.min("locality_id"), F.lit(1)).alias("_default"))
     out = df.withColumn("_key", norm_key(F.col(name))).join(keys, F.col("_key") == F.col("_k"), "left").drop("_k")
     out = out.join(F.broadcast(default))  # exactly one row

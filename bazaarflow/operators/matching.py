@@ -32,20 +32,25 @@ def score_candidates(candidates: DataFrame, products: DataFrame, catalogue: Data
     right_id and the same with prefix ``cat_``, plus cat_title_en. Vectors stay out of this join.
     """
     c = F.col
-    # Word sets are made once per row of each side; a pair only intersects them.
-    lhs = products.withColumns({"_title": sim.title_features(c("title")), "_words": sim.description_words(c("description"))}) \
-        .drop("description")
-    rhs = catalogue.withColumns({"_cat_title": sim.title_features(c("cat_title"), c("cat_title_en")),
-                                 "_cat_words": sim.description_words(c("cat_description"))}).drop("cat_description")
+    # Everything that depends on one side is made once per row of that side; a pair only compares.
+    lhs = products.withColumns({
+        "_title": sim.title_features(c("title")), "_words": sim.description_words(c("description")),
+        "_place": sim.place_features(c("city")), "_land": sim.place_features(c("country")),
+        "_kind": sim.category_features(c("category"))}).drop("description")
+    rhs = catalogue.withColumns({
+        "_cat_title": sim.title_features(c("cat_title"), c("cat_title_en")), "_cat_words": sim.description_words(c("cat_description")),
+        "_cat_place": sim.place_features(c("cat_city")), "_cat_land": sim.place_features(c("cat_country")),
+        "_cat_kind": sim.category_features(c("cat_category"))}).drop("cat_description")
     wide = candidates.withColumnRenamed("score", "vector_sim").join(lhs, "left_id").join(rhs, "right_id")
-    wide = sim.with_city_score(wide, "city", "cat_city")
+    wide = sim.city_score_from(wide, "_place", "_cat_place")
     scores = {
         "title_score": sim.title_score_of(c("_title"), c("_cat_title"), c("activity")),
-        "country_score": sim.country_score(c("country"), c("cat_country")),
+        "country_score": sim.country_score_of(c("_land"), c("_cat_land")),
         "description_score": sim.word_overlap(c("_words"), c("_cat_words")),
-        "category_score": sim.category_score(c("category"), c("cat_category")),
+        "category_score": sim.category_score_of(c("_kind"), c("_cat_kind")),
         "price_score": sim.price_score(c("price"), c("cat_price"))}
-    wide = wide.withColumns(scores).drop("_title", "_cat_title", "_words", "_cat_words")
+    made = ["title", "words", "place", "land", "kind"]
+    wide = wide.withColumns(scores).drop(*[f"_{x}" for x in made], *[f"_cat_{x}" for x in made])
     total = sim.composite(c("title_score"), c("city_score"), c("country_score"), c("description_score"),
                           c("category_score"), c("price_score"), c("vector_sim"))
     return wide.withColumn("similarity", total)

@@ -15,6 +15,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from bazaarflow import vocab
+from bazaarflow.session import materialise
 
 TILE_ROWS = 2048
 
@@ -60,6 +61,8 @@ def tiled_topk(left: DataFrame, right: DataFrame, block: Sequence[str], k: int |
     tiles = F.ceil(F.count("*") / F.lit(float(tile_rows))).cast("int")
     sizes = (left.groupBy(*block).agg(tiles.alias("_nl"))
              .join(right.groupBy(*block).agg(tiles.alias("_nr")), block))
+    # Known size: with few blocks neither side is shuffled for this join, only once for the tiles.
+    sizes = materialise(sizes, "tiles")
 
     def deal(df, id_col, own, other, own_tile, other_tile):
         return (df.join(sizes, block).withColumn(own_tile, F.pmod(F.xxhash64(id_col), F.col(own)).cast("int"))
@@ -108,7 +111,7 @@ def ladder_levels(left: DataFrame, right: DataFrame, levels: Sequence[tuple[Sequ
     copies = with_vec.withColumn("_l", F.explode(F.array(*[
         F.struct(F.lit(n).alias("level"), key(rcols).alias("block")) for n, (_, rcols, _) in enumerate(levels, 1)])))
     copies = copies.select("*", "_l.level", "_l.block").drop("_l").where("block is not null")
-    known = copies.select("level", "block").distinct()
+    known = materialise(copies.select("level", "block").distinct(), "blocks")
     choice = []
     for n, (lcols, _, k) in enumerate(levels, 1):
         there = known.where(F.col("level") == n).select(F.col("block").alias(f"_b{n}"))

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from bazaarflow import vocab
+from bazaarflow.session import materialise
 
 
 def trigrams(c: Column) -> Column:
@@ -32,7 +33,7 @@ def fuzzy_pairs(left: DataFrame, right: DataFrame, threshold: float = vocab.TRIG
         return df.where(F.col(col).isNotNull()).select(F.col(col)).distinct().withColumn("grams", trigrams(F.col(col))) \
             .where(F.size("grams") > 0)
 
-    a, b = grams(left, "phrase"), grams(right, "name")
+    a, b = materialise(grams(left, "phrase"), "grams"), materialise(grams(right, "name"), "grams")
     counts = (b.select(F.explode("grams").alias("gram")).unionByName(a.select(F.explode("grams").alias("gram")))
               .groupBy("gram").agg(F.count("*").alias("n")))
 
@@ -59,7 +60,7 @@ def best_city(phrases: DataFrame, cities: DataFrame, threshold: float = vocab.TR
     ``phrases``: phrase, country. ``cities``: city_id, name, country, lat, lng.
     Order: score, then the lowest id. Returns phrase, country, city, city_country, lat, lng, score.
     """
-    wanted = phrases.where(F.length("phrase") >= 2).select("phrase", "country").distinct()
+    wanted = materialise(phrases.where(F.length("phrase") >= 2).select("phrase", "country").distinct(), "phrases")
     scored = fuzzy_pairs(wanted.select("phrase"), cities.select("name"), threshold)
     value = F.struct(F.col("name").alias("city"), F.col("country").alias("city_country"), "lat", "lng")
     key = F.struct(F.col("score"), -F.col("city_id"))

@@ -350,10 +350,10 @@ sc AS (SELECT *, CAST(round((title_score::DOUBLE * {w['title']}::DOUBLE + city_s
 
 
 @query("sim7_composite", f"""
-WITH {inputs.CATALOG_SQL}, {_PAIR}, pv AS (SELECT *, CAST((left_id + right_id) % 7 AS DOUBLE) / 7 AS vector_sim FROM pair), {sql_dimensions('pv')}
+WITH {inputs.CATALOG_SQL}, {_PAIR}, pv AS (SELECT *, CAST((left_id + right_id) % 7 + 1 AS DOUBLE) / 13 AS vector_sim FROM pair), {sql_dimensions('pv')}
 SELECT left_id, right_id, similarity, description_score, CASE WHEN similarity >= 0.6 THEN 'SIMILAR' ELSE 'NEW_PRODUCT' END AS status, CASE WHEN similarity >= 0.6 THEN 'AUTO_REJECT' ELSE 'AUTO_ACCEPT' END AS type FROM sc""")
 def _(t):
-    p = _pairs(t).withColumnRenamed("name", "title").withColumn("vector_sim", ((c("left_id") + c("right_id")) % 7) / 7)
+    p = _pairs(t).withColumnRenamed("name", "title").withColumn("vector_sim", ((c("left_id") + c("right_id")) % 7 + 1) / 13)
     cand = p.select("left_id", "right_id", c("vector_sim").alias("score"))
     cat = inputs.catalog(t)
     left = cat.withColumnRenamed("catalog_id", "left_id").withColumnRenamed("name", "title").drop("name_en")
@@ -475,8 +475,8 @@ WITH {inputs.CATALOG_SQL}, {_FULL}, {_FULL_CAND}, cp AS (SELECT * EXCLUDE (v, v_
 best AS (SELECT *, min(CASE WHEN cat_price > 0 THEN cat_price END) OVER (PARTITION BY left_id) AS min_price, max(CASE WHEN cat_price > 0 THEN cat_price END) OVER (PARTITION BY left_id) AS max_price,
  row_number() OVER (PARTITION BY left_id ORDER BY similarity DESC, vector_sim DESC, right_id) AS rn FROM sc)
 SELECT l.left_id, b.right_id, coalesce(b.similarity, 0) AS similarity, CASE WHEN b.similarity >= 0.6 THEN 'SIMILAR' ELSE 'NEW_PRODUCT' END AS match_status, CASE WHEN b.similarity >= 0.6 THEN 'AUTO_REJECT' ELSE 'AUTO_ACCEPT' END AS match_type,
- CASE WHEN b.left_id IS NULL THEN 'No similar catalogue products found in same city/activity type' WHEN b.similarity >= 0.6 THEN 'High similarity (' || printf('%.2f', b.similarity) || ') with catalogue product ''' || coalesce(nullif(b.cat_title_en, ''), b.cat_title) || ''' in ' || b.cat_city
- ELSE 'Low similarity (' || printf('%.2f', b.similarity) || ') — new product not in catalogue. Closest match: ''' || coalesce(nullif(b.cat_title_en, ''), b.cat_title) || '''' END AS reason, b.min_price, b.max_price
+ CASE WHEN b.left_id IS NULL THEN 'No similar catalogue products found in same city/activity type' WHEN b.similarity >= 0.6 THEN 'High similarity (' || CAST(round(CAST(b.similarity AS DECIMAL(10,4)), 2) AS STRING) || ') with catalogue product ''' || coalesce(nullif(b.cat_title_en, ''), b.cat_title) || ''' in ' || b.cat_city
+ ELSE 'Low similarity (' || CAST(round(CAST(b.similarity AS DECIMAL(10,4)), 2) AS STRING) || ') — new product not in catalogue. Closest match: ''' || coalesce(nullif(b.cat_title_en, ''), b.cat_title) || '''' END AS reason, b.min_price, b.max_price
 FROM l LEFT JOIN (SELECT * FROM best WHERE rn = 1) b USING (left_id)""")
 def _(t):
     return matching.match_products(*_full(t)).select("left_id", "right_id", "similarity", "match_status", "match_type", "reason", "min_price", "max_price")

@@ -58,7 +58,12 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     return f"{shared_folder(spark).rstrip('/')}/bazaarflow/{name}-{uuid.uuid4().hex}"
 
 
-def cut_lineage(df: DataFrame) -> DataFrame:
-    """Materialise in the shared folder, so a lost executor does not restart an iteration."""
-    shared_folder(df.sparkSession)
-    return df.checkpoint(eager=True)
+def materialise(df: DataFrame, name: str = "step") -> DataFrame:
+    """Writes the table to the shared folder and reads it back.
+
+    It is computed once however often it is used, a lost executor does not restart what came before, and
+    Spark knows its true size: small tables are broadcast, larger ones are joined by a shuffle.
+    """
+    path = scratch_path(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
