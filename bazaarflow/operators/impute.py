@@ -10,37 +10,49 @@ from pyspark.sql import functions as F
 from bazaarflow.session import materialise
 
 BUCKETS = 1024
+MAX_VALUES = 200_000
 
 
 def value_counts(df: DataFrame, keys: Sequence[str], value: str) -> DataFrame:
     return df.where(F.col(value).isNotNull()).groupBy(*keys, F.col(value).alias("_v")).agg(F.count("*").alias("_c"))
 
 
-def median_of_counts(counts: DataFrame, keys: Sequence[str], out: str = "median", buckets: int = BUCKETS) -> DataFrame:
+def _middle_range(part: DataFrame, keys: Sequence[str], buckets: int) -> DataFrame:
+    """Keeps the values of the equal-width steps that hold the middle ranks, and counts what lies before them."""
+    low, high = F.floor((F.col("_n") - 1) / 2), F.floor(F.col("_n") / 2)
+    stats = part.groupBy(*keys).agg(F.min("_v").alias("_lo"), F.max("_v").alias("_hi"))
+    width = F.nullif((F.col("_hi") - F.col("_lo")).cast("double"), F.lit(0.0))
+    step = F.least(F.floor((F.col("_v") - F.col("_lo")) / width * buckets), F.lit(buckets - 1))
+    placed = part.join(stats, keys).withColumn("_b", F.coalesce(step, F.lit(0)).cast("int")).drop("_lo", "_hi")
+    histogram = placed.groupBy(*keys, "_b").agg(F.sum("_c").alias("_bc"), F.first("_n").alias("_n"), F.first("_before").alias("_before"))
+    running = Window.partitionBy(*keys).orderBy("_b")  # at most ``buckets`` rows per key
+    end = F.col("_before") + F.sum("_bc").over(running)
+    middle = (histogram.withColumn("_end", end).where((F.col("_end") > low) & (F.col("_end") - F.col("_bc") <= high))
+              .groupBy(*keys).agg(F.min("_b").alias("_b1"), F.max("_b").alias("_b2"),
+                                  F.min(F.col("_end") - F.col("_bc")).alias("_new")))
+    return (placed.join(middle, keys).where(F.col("_b").between(F.col("_b1"), F.col("_b2")))
+            .select(*keys, "_v", "_c", "_n", F.col("_new").alias("_before")))
+
+
+def median_of_counts(counts: DataFrame, keys: Sequence[str], out: str = "median", buckets: int = BUCKETS,
+                     max_values: int = MAX_VALUES) -> DataFrame:
     """Exact interpolated median per group from (keys, _v, _c).
 
-    No group is ever sorted as a whole. The values of a group fall into at most ``buckets`` equal steps
-    between its extremes; the running total of that short histogram tells in which step the middle ranks
-    lie, and only the distinct values of these steps are ranked.
+    Distinct values are ranked in one window per group only while no group has more than ``max_values`` of
+    them. Larger groups are first narrowed to the steps around their middle, as often as it takes.
     """
     keys = list(keys)
-    stats = counts.groupBy(*keys).agg(F.min("_v").alias("_lo"), F.max("_v").alias("_hi"), F.sum("_c").alias("_n"))
-    width = F.nullif((F.col("_hi") - F.col("_lo")).cast("double"), F.lit(0.0))
-    step = F.least(F.floor((F.col("_v") - F.col("_lo")) / width * buckets), F.lit(buckets - 1))
-    placed = counts.join(stats, keys).withColumn("_b", F.coalesce(step, F.lit(0)).cast("int"))
-    histogram = placed.groupBy(*keys, "_b").agg(F.sum("_c").alias("_bc"), F.first("_n").alias("_n"))
-    running = Window.partitionBy(*keys).orderBy("_b")
+    totals = counts.groupBy(*keys).agg(F.sum("_c").alias("_n"))
+    part = materialise(counts.join(totals, keys).withColumn("_before", F.lit(0).cast("bigint")), "values")
+    while (part.groupBy(*keys).count().agg(F.max("count")).first()[0] or 0) > max_values:
+        part = materialise(_middle_range(part, keys, buckets), "values")
     low, high = F.floor((F.col("_n") - 1) / 2), F.floor(F.col("_n") / 2)
-    middle = (histogram.withColumn("_end", F.sum("_bc").over(running))
-              .where((F.col("_end") > low) & (F.col("_end") - F.col("_bc") <= high))
-              .select(*keys, "_b", (F.col("_end") - F.col("_bc")).alias("_before")))
-    inner = Window.partitionBy(*keys, "_b").orderBy("_v")
-    ranked = (placed.join(middle, [*keys, "_b"]).withColumn("_end", F.sum("_c").over(inner) + F.col("_before"))
-              .withColumn("_start", F.col("_end") - F.col("_c")))
-    hits = ranked.where((F.col("_end") > low) & (F.col("_start") <= high))
-    at_low = F.min(F.when((F.col("_start") <= low) & (F.col("_end") > low), F.col("_v").cast("double")))
-    at_high = F.min(F.when((F.col("_start") <= high) & (F.col("_end") > high), F.col("_v").cast("double")))
-    return hits.groupBy(*keys).agg(((at_low + at_high) / 2).alias(out))
+    end = F.col("_before") + F.sum("_c").over(Window.partitionBy(*keys).orderBy("_v"))
+    ranked = part.withColumn("_end", end).withColumn("_start", F.col("_end") - F.col("_c"))
+    value = F.col("_v").cast("double")
+    at_low = F.min(F.when((F.col("_start") <= low) & (F.col("_end") > low), value))
+    at_high = F.min(F.when((F.col("_start") <= high) & (F.col("_end") > high), value))
+    return ranked.groupBy(*keys).agg(((at_low + at_high) / 2).alias(out))
 
 
 def exact_median(df: DataFrame, keys: Sequence[str], value: str, out: str = "median") -> DataFrame:
