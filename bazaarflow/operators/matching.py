@@ -161,8 +161,10 @@ def best_suppliers(products: DataFrame, suppliers: DataFrame, weights=vocab.RELA
     ``products``: left_id, left_vec, city, category. ``suppliers``: right_id, right_vec, sup_city, sup_category.
     Every product is compared with every supplier, tile by tile; one row per product and tile comes back.
     """
-    one = F.lit(0)
-    best = tiled_topk(products.withColumn("_all", one), suppliers.withColumn("_all", one), ["_all"], 1,
+    # One block for everything, written so that it stays an equality join on a column.
+    left = products.withColumn("_all", F.when(F.col("left_id").isNotNull(), 1))
+    right = suppliers.withColumn("_all", F.when(F.col("right_id").isNotNull(), 1))
+    best = tiled_topk(left, right, ["_all"], 1,
                       score=_relation(weights), left_extra=("city", "category"),
                       right_extra=("sup_city", "sup_category"), tile_rows=tile_rows)
     return best.where(F.col("score") >= threshold).select("left_id", "right_id", "score")

@@ -391,7 +391,7 @@ def _(t):
     cities = t.supplier.join(t.nation, c("s_nationkey") == c("n_nationkey")).groupBy("n_name").agg(
         F.transform(F.array_sort(F.collect_list(F.struct("s_suppkey", "s_name"))), lambda x: x["s_name"]).alias("l"))
     required = cities.select(F.create_map("n_name", "l").alias("cities"))
-    known = t.region.select(F.lit("getyourguide.com").alias("domain")).distinct()
+    known = t.region.select(F.when(c("r_regionkey") >= 0, "getyourguide.com").alias("domain")).distinct()
     return expand.marketplace_suppliers(required, "cities", known).select("domain", "marketplace", "city")
 
 
