@@ -73,8 +73,6 @@ def merge_suppliers(existing: DataFrame, incoming: DataFrame, *, host_col: str =
     Same host: the higher score is kept. New host but same (name, country): dropped. Within the batch the
     same rules apply in ``seq`` order. Rows without host or name are dropped.
     """
-    from pyspark.sql import Window
-
     usable = incoming.where(F.col(host_col).isNotNull() & (F.col(host_col) != "") & F.col(name).isNotNull() & (F.col(name) != ""))
     best = usable.groupBy(host_col).agg(F.max(score).alias("_best"), F.min_by(F.struct(name, country), seq).alias("_f"),
                                         F.min(seq).alias("_seq"))
@@ -84,8 +82,10 @@ def merge_suppliers(existing: DataFrame, incoming: DataFrame, *, host_col: str =
                         F.col("_best").alias(score), "_seq").join(existing.select(host_col), host_col, "left_anti")
     known = existing.where(F.col(country).isNotNull()).select(name, country).distinct()
     fresh = fresh.join(known, [name, country], "left_anti")
-    first = F.row_number().over(Window.partitionBy(name, country).orderBy("_seq"))
-    fresh = fresh.withColumn("_n", F.when(F.col(country).isNull(), F.lit(1)).otherwise(first)).where("_n = 1")
+    # One per (name, country), the first; without a country names may repeat.
+    placed = fresh.where(F.col(country).isNotNull()).groupBy(name, country).agg(
+        F.min_by(F.struct(host_col, score), "_seq").alias("_r")).select(f"_r.{host_col}", name, country, f"_r.{score}")
+    fresh = placed.unionByName(fresh.where(F.col(country).isNull()).select(host_col, name, country, score))
     return raised.select(host_col, name, country, score).unionByName(fresh.select(host_col, name, country, score))
 
 

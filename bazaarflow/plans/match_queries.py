@@ -239,9 +239,10 @@ def _(t):
 
 @query("geo7_place_priority", """
 SELECT s_suppkey, coalesce(n_name, 'Addr ' || s_name) AS city, CAST(CASE WHEN n_name IS NOT NULL AND s_acctbal > 3000 THEN 0.9 WHEN n_name IS NOT NULL THEN 0.5 ELSE 0.3 END AS DOUBLE) AS confidence
-FROM supplier LEFT JOIN (SELECT * FROM nation WHERE n_regionkey < 4) ON s_nationkey = n_nationkey""")
+FROM supplier LEFT JOIN nation ON s_nationkey + CASE WHEN s_acctbal < 1500 THEN 100 ELSE 0 END = n_nationkey""")
 def _(t):
-    s = t.supplier.join(t.nation.where("n_regionkey < 4"), c("s_nationkey") == c("n_nationkey"), "left")
+    s = t.supplier.withColumn("place_id", F.expr("s_nationkey + CASE WHEN s_acctbal < 1500 THEN 100 ELSE 0 END")).join(
+        t.nation, c("place_id") == c("n_nationkey"), "left")
     addr = F.concat(F.lit("Addr "), c("s_name"))
     lat = F.when(c("s_acctbal") > 3000, c("s_acctbal"))
     return s.select("s_suppkey", F.coalesce(text.blank_to_null(c("n_name")), addr).alias("city"),

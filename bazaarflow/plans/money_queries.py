@@ -307,8 +307,7 @@ _SVC = "CASE p_size % 3 WHEN 0 THEN 'airport to ' || p_name WHEN 1 THEN 'Transfe
 
 
 @query("cls8_service_route", f"""
-SELECT p_partkey, CASE p_size % 3 WHEN 0 THEN NULL WHEN 1 THEN {_title_case('p_name')} ELSE 'AEROPUERTO' END AS origin FROM part WHERE p_size % 3 <> 0
-UNION ALL SELECT p_partkey, 'Airport' FROM part WHERE p_size % 3 = 0""")
+SELECT p_partkey, CASE p_size % 3 WHEN 0 THEN 'Airport' WHEN 1 THEN {_title_case('p_name')} ELSE 'AEROPUERTO' END AS origin FROM part""")
 def _(t):
     # "x airport to y" needs a word before the airport, so a blank-led airport takes the pattern with the word itself.
     d = F.expr(_SVC.replace("'airport to '", "'the airport to '"))

@@ -66,7 +66,8 @@ def correct_labels(df: DataFrame, *, activity: str = "activity", category: str =
 
     Overwrites the columns and adds ``corrections``, the names of what changed, and ``was_corrected``.
     """
-    low = F.lower(F.col(body))
+    low = F.col("_low")
+    df = df.withColumn("_low", F.lower(body))
     forced = rules.first_label(low, [(vocab.FORCE_TRANSFER, "TRANSFER"), (vocab.FORCE_TICKET, "TICKET")])
     out = df.withColumn("_a", F.coalesce(forced, F.col(activity)))
     words = dict(positive)
@@ -90,7 +91,7 @@ def correct_labels(df: DataFrame, *, activity: str = "activity", category: str =
     notes = F.array_compact(F.array(*[F.when(~F.col(old).eqNullSafe(F.col(new)), F.lit(name)) for name, old, new in changed]))
     out = out.withColumn("corrections", notes).withColumn("was_corrected", F.size("corrections") > 0)
     return (out.withColumn(activity, F.col("_a")).withColumn(category, F.col("_c")).withColumn(country, F.col("_n"))
-            .withColumn(price, F.col("_p")).drop("_a", "_c", "_n", "_p"))
+            .withColumn(price, F.col("_p")).drop("_a", "_c", "_n", "_p", "_low"))
 
 
 def stage_confidence(title, description, price, estimated, city, country, place_confidence) -> Column:

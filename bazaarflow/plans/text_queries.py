@@ -118,12 +118,12 @@ _alpha = "CAST(length(regexp_replace(line, '\\P{L}', '', 'g')) AS DOUBLE) / grea
 
 
 @query("txt7_quality_predicates", f"""
-WITH x AS (SELECT doc_id, string_split(text, chr(10))[1] AS line FROM documents)
-SELECT doc_id, (length(line) >= 10 AND NOT {any_match('line', vocab.NAVIGATION_NOISE, 'i')} AND {_alpha} > 0.5) AS good_title,
+WITH x AS (SELECT doc_id, CAST(unnest(range(len(string_split(text, chr(10))))) AS INTEGER) AS pos, unnest(string_split(text, chr(10))) AS line FROM documents)
+SELECT doc_id, pos, (length(line) >= 10 AND NOT {any_match('line', vocab.NAVIGATION_NOISE, 'i')} AND {_alpha} > 0.5) AS good_title,
  (length(line) >= 15 AND NOT {any_match('line', (*vocab.BOOKING_NOISE, *vocab.NAVIGATION_NOISE), 'i')}) AS good_line FROM x""")
 def _(t):
-    line = F.get(F.split("text", "\n"), F.lit(0))
-    return t.documents.select("doc_id", text.is_good_title(line).alias("good_title"), text.is_good_line(line).alias("good_line"))
+    lines = t.documents.select("doc_id", F.posexplode(F.split("text", "\n")).alias("pos", "line"))
+    return lines.select("doc_id", "pos", text.is_good_title(c("line")).alias("good_title"), text.is_good_line(c("line")).alias("good_line"))
 
 
 @query("txt8_markdown_product", """
@@ -284,11 +284,11 @@ def _(t):
 
 
 @query("flt2_garbage_title", f"""
-WITH x AS (SELECT doc_id, CASE doc_id % 5 WHEN 0 THEN 'Gift shop' WHEN 1 THEN 'Book now' WHEN 2 THEN 'All ' || source ELSE regexp_extract(text, '^([^.\\n]*)', 1) END AS title FROM documents)
+WITH x AS (SELECT doc_id, CASE doc_id % 5 WHEN 0 THEN 'Gift shop' WHEN 1 THEN 'Book now' WHEN 2 THEN 'All ' || source ELSE text END AS title FROM documents)
 SELECT doc_id, (length(title) < 8 OR {_wc('title')} < 2 OR {in_list('lower(trim(title))', vocab.GARBAGE_TITLES)}
  OR {any_match('lower(trim(title))', vocab.GARBAGE_TITLE_PATTERNS)}) AS garbage FROM x""")
 def _(t):
-    title = F.expr(r"CASE doc_id % 5 WHEN 0 THEN 'Gift shop' WHEN 1 THEN 'Book now' WHEN 2 THEN 'All ' || source ELSE regexp_extract(text, r'^([^.\n]*)', 1) END")
+    title = F.expr("CASE doc_id % 5 WHEN 0 THEN 'Gift shop' WHEN 1 THEN 'Book now' WHEN 2 THEN 'All ' || source ELSE text END")
     return t.documents.select("doc_id", pages.is_garbage_title(title).alias("garbage"))
 
 

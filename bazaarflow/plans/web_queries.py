@@ -81,13 +81,24 @@ def _(t):
     return items.select("p_partkey", "title", "description", "price_raw", "category", "city", "url", "activity")
 
 
+_PRICED = "replace(html, '</h1>', CASE WHEN page_id % 2 = 0 THEN '</h1><span>From €' || CAST(page_id AS STRING) || '</span>' ELSE '</h1>' END)"
+_BODY = f"({_PRICED})"
+for _e in ("script", "style", "nav", "footer", "header", "aside", "form", "iframe"):
+    _BODY = f"regexp_replace({_BODY}, '<{_e}\\b[^>]*>.*?</{_e}>', ' ', 'gis')"
+
+
+def sql_decode(expr: str) -> str:
+    for a, b in text.ENTITIES:
+        expr = f"replace({expr}, {quoted(a)}, {quoted(b)})"
+    return expr
+
+
 @query("web5_heading_products", f"""
-WITH x AS (SELECT page_id, {sql_strip("regexp_extract(html, '(?s)<h1>(.*?)</h1>', 1)")} AS title FROM pages)
-SELECT page_id, title, CASE WHEN regexp_matches(title, '[$€£¥]|USD|EUR|AED|DZD|TND') THEN title WHEN page_id % 2 = 0 THEN 'From €' || CAST(page_id AS STRING) ELSE '' END AS price_raw FROM x WHERE length(title) > 10 AND length(title) < 150""")
+WITH b AS (SELECT page_id, {_BODY} AS html FROM pages), x AS (SELECT page_id, regexp_extract(html, '(?is)(<h[1-4][\\s>].*)', 1) AS piece FROM b),
+y AS (SELECT page_id, {sql_strip("regexp_extract(piece, '(?is)^<h[1-4][^>]*>(.*?)</h[1-4]>', 1)")} AS title, trim(regexp_extract(piece, '>([^<>]*(?:[$€£¥]|USD|EUR|AED|DZD|TND)[^<>]*)<', 1)) AS price FROM x)
+SELECT page_id, title, {sql_decode('price')} AS price_raw FROM y WHERE length(title) > 10 AND length(title) < 150""")
 def _(t):
-    priced = F.expr("replace(html, '</h1>', CASE WHEN page_id % 2 = 0 THEN '</h1><span>From €' || CAST(page_id AS STRING) || '</span>' ELSE '</h1>' END)")
-    body = F.regexp_extract(priced, r"(?is)^(.*?</h1>(?:<span>[^<]*</span>)?)", 1)
-    return t.pages.select("page_id", F.inline(pages.heading_products(body, words=())))
+    return t.pages.select("page_id", F.inline(pages.heading_products(F.expr(_PRICED), words=())))
 
 
 @query("web6_line_products", f"""
