@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from bazaarflow import vocab
 from bazaarflow.functions.money import price_near
-from bazaarflow.functions.rules import any_of, first_label, first_pattern, has_any, hits, matches_any
+from bazaarflow.functions.rules import any_of, first_label, first_pattern, has_any, hits, matches_any, one_of
 from bazaarflow.functions.text import decode_entities, drop_tags, host, present, word_count
 
 ACTIVITIES = ["EXCURSION", "TICKET", "TRANSFER"]
@@ -224,5 +224,5 @@ def reply_place(reply: Column) -> Column:
 def is_garbage_title(title: Column, titles=vocab.GARBAGE_TITLES, patterns=vocab.GARBAGE_TITLE_PATTERNS,
                      min_length: int = 8, min_words: int = 2) -> Column:
     low = F.lower(F.trim(title))
-    return (F.coalesce((F.length(title) < min_length) | (word_count(title) < min_words) | low.isin(*titles), F.lit(True))
+    return (F.coalesce((F.length(title) < min_length) | (word_count(title) < min_words) | one_of(low, titles), F.lit(True))
             | matches_any(low, patterns))

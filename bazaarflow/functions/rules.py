@@ -17,13 +17,32 @@ from pyspark.sql import functions as F
 SHORT = 12
 
 
+_ITEM, _PAIR = "\x1f", "\x1e"
+
+
 def lit_map(pairs) -> Column:
-    """A literal map from (key, value) pairs known on the driver."""
-    return F.create_map(*[F.lit(x) for pair in pairs for x in pair])
+    """A literal map from (key, value) pairs known on the driver; values are all strings or all numbers.
+
+    Written as one string that the optimizer turns into a constant, which keeps building the plan cheap.
+    """
+    pairs = list(pairs)
+    text = _ITEM.join(f"{key}{_PAIR}{value}" for key, value in pairs)
+    out = F.str_to_map(F.lit(text), F.lit(_ITEM), F.lit(_PAIR))
+    return out if all(isinstance(v, str) for _, v in pairs) else out.cast("map<string,double>")
 
 
 def lit_array(values) -> Column:
-    return F.array(*map(F.lit, values))
+    """A literal array of strings or of integers, written like lit_map."""
+    values = list(values)
+    if not values:
+        return F.array().cast("array<string>")
+    out = F.split(F.lit(_ITEM.join(map(str, values))), _ITEM)
+    return out if all(isinstance(v, str) for v in values) else out.cast("array<int>")
+
+
+def one_of(value: Column, words) -> Column:
+    """Whether the value is among the words; null on null."""
+    return F.array_contains(lit_array(words), value)
 
 
 def once(value: Column, use: Callable[[Column], Column]) -> Column:
@@ -53,15 +72,52 @@ def has_any(text: Column, keywords, match: str = "substring") -> Column:
     return F.coalesce(found, F.lit(False))
 
 
+def _plain(pattern: str) -> str:
+    """The pattern without classes, groups and escapes."""
+    return re.sub(r"\[[^\]]*\]|\([^)]*\)|\\.", " ", pattern)
+
+
+def required_word(pattern: str) -> str | None:
+    """A lower-case word every match of the pattern contains, if one is easy to see."""
+    plain = _plain(pattern)
+    if "|" in plain:
+        return None
+    runs = [m[1][:-1] if m[2] else m[1] for m in re.finditer(r"([a-z]+)([?*{]?)", plain)]
+    longest = max(runs, key=len, default="")
+    return longest if len(longest) >= 3 else None
+
+
 def matches_any(text: Column, patterns, flags: str = "") -> Column:
-    """True when one of the regular expressions occurs; one alternation, so the text is read once."""
-    return F.coalesce(text.rlike(flags + "|".join(f"(?:{p})" for p in patterns)), F.lit(False))
+    """True when one of the regular expressions occurs; false on null text.
+
+    Patterns bound to the start share one look there. Any other is only tried on texts that contain its word.
+    """
+    patterns = list(patterns)
+    start = [p[1:] for p in patterns if p.startswith("^") and "|" not in _plain(p)]
+    rest = [p for p in patterns if not (p.startswith("^") and "|" not in _plain(p))]
+
+    def test(t: Column, low: Column) -> Column:
+        conditions = [t.rlike(flags + "^(?:" + "|".join(start) + ")")] if start else []
+        for p in rest:
+            word = required_word(p)
+            hit = t.rlike(flags + p)
+            conditions.append(hit if word is None else F.contains(low, F.lit(word)) & hit)
+        return any_of(conditions)
+
+    if not rest:
+        found = test(text, text)
+    elif "i" in flags:
+        found = once(text, lambda t: once(F.lower(t), lambda low: test(t, low)))
+    else:
+        found = once(text, lambda t: test(t, t))
+    return F.coalesce(found, F.lit(False))
 
 
 def first_label(text: Column, rules, default=None, match: str = "substring") -> Column:
     """The label of the first rule (keywords, label), in order, with a keyword in the text."""
     rules = [(list(keywords), label) for keywords, label in rules]
-    labels = [label if isinstance(label, Column) else F.lit(label) for _, label in rules]
+    plain = all(isinstance(label, str) for _, label in rules)
+    labels = [label if isinstance(label, Column) else F.lit(label) for _, label in rules] if not plain or len(rules) <= SHORT else []
     default = default if isinstance(default, Column) else F.lit(default)
     if match == "word" or sum(len(k) for k, _ in rules) <= SHORT:
         out = None
@@ -74,7 +130,8 @@ def first_label(text: Column, rules, default=None, match: str = "substring") ->
     owner = lit_array([i for i, (keywords, _) in enumerate(rules, 1) for _ in keywords])
     hit = once(text, lambda t: F.try_element_at(F.filter(
         F.zip_with(words, owner, lambda w, i: F.when(F.contains(t, w), i)), lambda i: i.isNotNull()), F.lit(1)))
-    return F.coalesce(F.try_element_at(F.array(*labels), hit), default)
+    named = lit_array([label for _, label in rules]) if plain else F.array(*labels)
+    return F.coalesce(F.try_element_at(named, hit), default)
 
 
 def first_pattern(text: Column, rules, default=None) -> Column:

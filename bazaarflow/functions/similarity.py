@@ -32,7 +32,7 @@ def transfer_direction(title: Column) -> Column:
 
 def title_words(title: Column, stop=vocab.TITLE_STOP) -> Column:
     """Keywords of a title, "from" among them: it tells the direction of a transfer."""
-    return F.array_except(ascii_words(F.coalesce(title, F.lit("")), 3), F.array(*map(F.lit, stop)))
+    return F.array_except(ascii_words(F.coalesce(title, F.lit("")), 3), lit_array(stop))
 
 
 def title_features(title: Column, title_en: Column | None = None, direction=vocab.DIRECTION_STOP) -> Column:
@@ -43,7 +43,7 @@ def title_features(title: Column, title_en: Column | None = None, direction=voca
         words = F.array_union(words, title_words(title_en))
         way = F.when(way == "UNKNOWN", transfer_direction(title_en)).otherwise(way)
         texts.append(F.lower(F.coalesce(title_en, F.lit(""))))
-    return F.struct(words.alias("all"), F.array_except(words, F.array(*map(F.lit, direction))).alias("plain"),
+    return F.struct(words.alias("all"), F.array_except(words, lit_array(direction)).alias("plain"),
                     way.alias("way"), F.array(*texts).alias("texts"))
 
 

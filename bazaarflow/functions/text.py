@@ -12,7 +12,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from bazaarflow import vocab
-from bazaarflow.functions.rules import has_any, matches_any, once
+from bazaarflow.functions.rules import has_any, lit_array, matches_any, once, one_of, required_word
 
 ENTITIES = [("&amp;", "&"), ("&lt;", "<"), ("&gt;", ">"), ("&nbsp;", " "), ("&quot;", '"'), ("&#39;", "'"),
             ("&apos;", "'")]
@@ -39,32 +39,19 @@ def squeeze(c: Column) -> Column:
     return F.trim(F.regexp_replace(c, r"(?U)\s+", " "))
 
 
-def required_word(pattern: str) -> str | None:
-    """A lower-case word every match of the pattern contains, if one is easy to see."""
-    plain = re.sub(r"\[[^\]]*\]|\([^)]*\)|\\.", " ", pattern)
-    if "|" in plain:
-        return None
-    runs = [m[1][:-1] if m[2] else m[1] for m in re.finditer(r"([a-z]+)([?*{]?)", plain)]
-    longest = max(runs, key=len, default="")
-    return longest if len(longest) >= 3 else None
-
-
 def blank_patterns(c: Column, patterns) -> Column:
     """Replaces the patterns by a blank, one after the other, ignoring case.
 
     A pattern is only tried on texts that contain its word: a plain search is far cheaper than a pass of the
     regular expression. Blanks never join two letters, so the words can be looked up in the original text.
     """
-    def replace(value: Column, pattern: str, cond: Column) -> Column:
-        return once(value, lambda v: F.when(cond, F.regexp_replace(v, "(?i)" + pattern, " ")).otherwise(v))
+    rules = F.arrays_zip(lit_array([required_word(p) or "" for p in patterns]).alias("word"),
+                         lit_array([f"(?i){p}" for p in patterns]).alias("pattern"))
 
-    def chain(low: Column, value: Column) -> Column:
-        for p in patterns:
-            word = required_word(p)
-            value = replace(value, p, F.lit(True) if word is None else F.contains(low, F.lit(word)))
-        return value
+    def step(low: Column):
+        return lambda v, r: F.when(F.contains(low, r["word"]), F.regexp_replace(v, r["pattern"], F.lit(" "))).otherwise(v)
 
-    return once(c, lambda v: once(F.lower(v), lambda low: chain(low, v)))
+    return once(c, lambda v: once(F.lower(v), lambda low: F.aggregate(rules, v, step(low))))
 
 
 def drop_tags(c: Column) -> Column:
@@ -194,7 +181,7 @@ def ascii_words(c: Column, min_length: int) -> Column:
 
 def english_share(c: Column, words=vocab.ENGLISH_WORDS) -> Column:
     found = ascii_words(c, 1)
-    return F.size(F.array_intersect(found, F.array(*map(F.lit, words)))) / F.nullif(F.size(found), F.lit(0))
+    return F.size(F.array_intersect(found, lit_array(words))) / F.nullif(F.size(found), F.lit(0))
 
 
 def is_likely_english(c: Column, words=vocab.ENGLISH_WORDS, share: float = 0.25) -> Column:
@@ -263,7 +250,7 @@ def entity_embedding_text(service: Column, city: Column, country: Column, family
 def signature(city: Column, activity: Column, title: Column, stop=vocab.SIGNATURE_STOP) -> Column:
     """``city|type|first three title words`` (80 characters) plus the start of its md5."""
     words = F.filter(F.split(F.lower(title), r"\s+"),
-                     lambda w: (w != "") & ~w.isin(*stop))
+                     lambda w: (w != "") & ~one_of(w, stop))
     key = F.concat(F.lower(F.coalesce(city, F.lit(""))), F.lit("|"), activity, F.lit("|"),
                    F.array_join(F.slice(words, 1, 3), " "))
     return F.concat(F.substring(key, 1, 80), F.lit("_"), F.substring(F.md5(key), 1, 16))

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from bazaarflow import vocab
-from bazaarflow.functions.rules import has_any
+from bazaarflow.functions.rules import has_any, one_of
 from bazaarflow.functions.text import blank_to_null, word_count
 from bazaarflow.operators.lookup import first_by, lookup
 from bazaarflow.operators.trigram import best_city
@@ -19,7 +19,7 @@ def is_garbage_city(city: Column, words=vocab.GARBAGE_CITY_WORDS, countries=voca
                     attractions=vocab.CITY_ATTRACTION_WORDS) -> Column:
     low = F.lower(F.trim(city))
     short = F.coalesce(F.length(low) <= 2, F.lit(True))
-    return short | low.isin(*words, *countries) | (has_any(low, attractions) & (word_count(low) > 1))
+    return short | one_of(low, [*words, *countries]) | (has_any(low, attractions) & (word_count(low) > 1))
 
 
 def text_mention(df: DataFrame, key: str, text: str, cities: DataFrame, *, max_words: int = 3,

@@ -172,10 +172,10 @@ def gate_products(df: DataFrame, *, title: str = "title", city: str = "city_raw"
     """Adds ``reject_reason`` (null = accepted) and clears junk or overlong cities and empty countries."""
     name = F.trim(F.coalesce(F.col(title), F.lit("")))
     low = F.lower(name)
-    reason = (F.when(name == "", "missing").when(F.length(name) < min_length, "short").when(low.isin(*junk), "junk_title")
+    reason = (F.when(name == "", "missing").when(F.length(name) < min_length, "short").when(rules.one_of(low, junk), "junk_title")
               .when(rules.matches_any(low, patterns), "junk_pattern").when(text.word_count(name) < 2, "single_word"))
     stated = F.trim(F.coalesce(F.col(city), F.lit("")))
-    bad_city = F.lower(stated).isin(*junk_cities) | (text.word_count(stated) > city_words)
+    bad_city = rules.one_of(F.lower(stated), junk_cities) | (text.word_count(stated) > city_words)
     return (df.withColumn("reject_reason", reason).withColumn(city, F.when(~bad_city, F.col(city)))
             .withColumn(country, F.nullif(F.col(country), F.lit(""))))
 
