@@ -29,8 +29,9 @@ def text_mention(df: DataFrame, key: str, text: str, cities: DataFrame, *, max_w
     Every run of 1 to ``max_words`` words is looked up by equality; ``cities`` is (city_id, name, country).
     A name of several countries takes the city with the lowest id. Returns key, mention, mention_country.
     """
-    names = first_by(cities.withColumn("_n", F.lower("name")), ["_n"], "city_id", ["name", "country"])
-    names = names.where(~garbage(F.col("_n")))
+    # Filtered before it is written out; as a filter in the join, Spark would infer it for every span as well.
+    named = cities.withColumn("_n", F.lower("name"))
+    names = first_by(named.where(~garbage(F.col("_n"))), ["_n"], "city_id", ["name", "country"])
     words = F.filter(F.split(F.lower(F.col(text)), r"[^\p{L}\p{N}'-]+"), lambda w: w != "")
     rows = df.select(key, words.alias("_w"))
     def run(i: Column, w: Column, n: int) -> Column:
@@ -40,7 +41,8 @@ def text_mention(df: DataFrame, key: str, text: str, cities: DataFrame, *, max_w
     spans = F.flatten(F.transform(F.col("_w"), lambda w, i: F.array(*[
         F.struct(i.alias("pos"), F.lit(n).alias("len"), run(i, w, n).alias("_n")) for n in range(1, max_words + 1)])))
     # Spans meet the gazetteer before any grouping: only the few that are cities get shuffled.
-    hits = rows.select(key, F.inline(spans)).join(names, "_n")
+    # The outer form, because Spark would compute the spans of the plain one a second time to test them for emptiness.
+    hits = rows.select(key, F.inline_outer(spans)).join(names, "_n")
     return hits.groupBy(key).agg(F.min_by(F.struct(F.col("name").alias("mention"), F.col("country").alias("mention_country")),
                                           F.struct(F.col("pos"), -F.col("len"))).alias("_m")).select(key, "_m.*")
 
