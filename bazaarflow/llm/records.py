@@ -3,7 +3,8 @@
 A record is framed as: payload length (8 bytes), masked checksum of those 8 bytes (4), payload, masked checksum of the
 payload (4). Numbers are little-endian. The checksum is CRC-32, rotated right by 15 bits with a constant added, so that a
 checksum stored inside a payload does not disturb the outer one. A payload is the document's id (8 bytes), a flag byte
-(1: the id is null) and the ids as unsigned 32-bit integers.
+(1: the id is null, 2: ids take two bytes instead of four) and the ids as unsigned integers; two bytes are used where the
+vocabulary has at most 65,536 ids.
 
 Beside each file lies an index: for every record its offset and its whole length (8 bytes each), then the number of
 records and of ids. Shuffled reads take places from it and seek.
@@ -64,13 +65,15 @@ def unframe(read) -> bytes | None:
     return body[:size]
 
 
-def payload(doc_id: int | None, ids: bytes) -> bytes:
-    return struct.pack("<qB", doc_id or 0, doc_id is None) + ids
+def payload(doc_id: int | None, ids: bytes, narrow: bool) -> bytes:
+    return struct.pack("<qB", doc_id or 0, (doc_id is None) + 2 * narrow) + ids
 
 
 def parsed(data: bytes) -> tuple[int | None, bytes]:
-    doc_id, null = struct.unpack("<qB", data[:9])
-    return None if null else doc_id, data[9:]
+    """The id and the ids as four bytes each."""
+    doc_id, flags = struct.unpack("<qB", data[:9])
+    ids = np.frombuffer(data[9:], "<u2").astype("<u4").tobytes() if flags & 2 else data[9:]
+    return None if flags & 1 else doc_id, ids
 
 
 def _open(path: str):
@@ -80,8 +83,6 @@ def _open(path: str):
 def write(docs: DataFrame, tokenizer: str, end: int = 2, spaced: bool = False, folder: str | None = None) -> DataFrame:
     """Encodes and writes all texts; returns the manifest, with a row for each file."""
     folder = folder or scratch_path(docs.sparkSession, "records")
-    if "://" not in folder and not folder.startswith("/"):
-        folder = folder.replace("file:", "", 1)
 
     def part(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = tokens.encoder(tokenizer, spaced)
@@ -89,6 +90,7 @@ def write(docs: DataFrame, tokenizer: str, end: int = 2, spaced: bool = False, f
         name = f"{folder}/part-{task.partitionId():06d}-{task.taskAttemptId()}"
         system, path = _open(name)
         out, index, at, n_tokens = None, [], 0, 0
+        width = 2 if max(encoder.tokenizer.get_vocab_size(), end + 1) <= 1 << 16 else 4
         for batch in batches:
             ids, texts = batch.column(0).to_pylist(), batch.column(1).to_pylist()
             for some in tokens.slices(texts):
@@ -96,9 +98,9 @@ def write(docs: DataFrame, tokenizer: str, end: int = 2, spaced: bool = False, f
                 if out is None and len(bounds) > 1:
                     system.create_dir(path.rpartition("/")[0], recursive=True)
                     out = system.open_output_stream(path + ".rec")
-                raw = memoryview(flat.astype("<u4").tobytes())
+                raw = memoryview(flat.astype(f"<u{width}").tobytes())
                 for i, doc_id in enumerate(ids[some]):
-                    framed = frame(payload(doc_id, raw[4 * bounds[i] : 4 * bounds[i + 1]].tobytes()))
+                    framed = frame(payload(doc_id, raw[width * bounds[i] : width * bounds[i + 1]].tobytes(), width == 2))
                     index.append((at, len(framed)))
                     at += len(framed)
                     out.write(framed)
