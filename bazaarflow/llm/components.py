@@ -8,6 +8,8 @@ neighbours is aggregated before the shuffle, and its join is one that Spark spli
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -34,3 +36,29 @@ def components(links: DataFrame) -> DataFrame:
         links = materialise(small, "small-star")
     return links.select(F.col("u").alias("node"), F.col("v").alias("component")) \
         .unionByName(links.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct())
+
+
+def linked(entries: DataFrame, verified: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """Rows (node, component) of the nodes that have a link, from candidates (bucket, node), each once.
+
+    ``verified`` keeps the pairs (u, v), u < v, that are links. In a bucket every node is compared with the one whose buckets
+    hold most nodes, not with all. Where a bucket then still holds several components, nodes of different ones are
+    compared too. So no link between components is missed, and a group of copies does not become all its pairs.
+    """
+    sizes = entries.groupBy("bucket").agg(F.count("*").alias("_n")).where("_n > 1")
+    shared = materialise(entries.join(sizes, "bucket"), "buckets")
+    degree = shared.groupBy("node").agg(F.sum("_n").alias("_degree"))
+    pivots = shared.join(degree, "node").groupBy("bucket").agg(F.max_by("node", F.struct("_degree", "node")).alias("_pivot"))
+    first = shared.join(pivots, "bucket").where("node <> _pivot") \
+        .select(F.least("node", "_pivot").alias("u"), F.greatest("node", "_pivot").alias("v")).distinct()
+    first = materialise(first, "pairs")
+    links = materialise(verified(first).select("u", "v"), "verified")
+    parts = components(links).withColumnRenamed("node", "_member")
+    placed = materialise(shared.join(parts, F.col("node") == F.col("_member"), "left")
+                         .select("bucket", "node", F.coalesce("component", "node").alias("_part")), "placed")
+    mixed = placed.groupBy("bucket").agg(F.min("_part").alias("_low"), F.max("_part").alias("_high")).where("_low < _high")
+    left = materialise(placed.join(mixed.select("bucket"), "bucket"), "mixed")
+    a, b = (left.select("bucket", F.col("node").alias(u), F.col("_part").alias(p)) for u, p in (("u", "_pu"), ("v", "_pv")))
+    more = a.join(b, "bucket").where("_pu < _pv").select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v"))
+    more = materialise(more.distinct().join(first, ["u", "v"], "left_anti"), "pairs")
+    return components(links.unionByName(verified(more).select("u", "v")))

@@ -29,7 +29,7 @@ from pyspark.sql import functions as F
 
 from bazaarflow.llm import wordhash
 from bazaarflow.llm.common import materialise
-from bazaarflow.llm.components import components
+from bazaarflow.llm.components import linked
 
 SHINGLE = 5
 PICKED, SKETCHES = 3, 16
@@ -139,7 +139,6 @@ def signatures(rows: DataFrame) -> DataFrame:
 
 def verified(pairs: DataFrame, rows: DataFrame, threshold: float) -> DataFrame:
     """Of pairs (u, v): those whose texts reach the threshold."""
-    pairs = materialise(pairs, "pairs")
     wanted = pairs.select(F.explode(F.array("u", "v")).alias("_rid")).distinct()
     texts = materialise(rows.select("_rid", "text").join(wanted, "_rid", "left_semi"), "texts")
     joined = pairs.join(texts.select(F.col("_rid").alias("u"), F.col("text").alias("_a")), "u") \
@@ -161,7 +160,7 @@ def verified(pairs: DataFrame, rows: DataFrame, threshold: float) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([some.column(0).filter(keep), some.column(1).filter(keep), pa.array(near[near > 0])],
                                                  names=["u", "v", "similarity"])
 
-    return materialise(joined.mapInArrow(compare, "u long, v long, similarity double"), "verified")
+    return joined.mapInArrow(compare, "u long, v long, similarity double")
 
 
 def numbered(docs: DataFrame) -> DataFrame:
@@ -175,28 +174,8 @@ def groups(rows: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     digest = ["_d1", "_d2"]
     exact = materialise(signed.groupBy(*digest).agg(F.min("_rid").alias("_rep"), F.first("_sketches").alias("_sketches")), "exact")
     # equal sketches of one text lead to one bucket, too
-    entries = exact.select("_rep", F.explode(F.array_distinct("_sketches")).alias("bucket"))
-    sizes = entries.groupBy("bucket").agg(F.count("*").alias("_n")).where("_n > 1")
-    shared = materialise(entries.join(sizes, "bucket"), "buckets")
-    # the class that meets most others is the one that its buckets are compared with
-    degree = shared.groupBy("_rep").agg(F.sum("_n").alias("_degree"))
-    ranked = shared.join(degree, "_rep")
-    pivots = ranked.groupBy("bucket").agg(F.max(F.struct("_degree", (-F.col("_rep")).alias("_minus"))).alias("_top")) \
-        .select("bucket", (-F.col("_top._minus")).alias("_pivot"))
-    first = shared.join(pivots, "bucket").where("_rep <> _pivot") \
-        .select(F.least("_rep", "_pivot").alias("u"), F.greatest("_rep", "_pivot").alias("v")).distinct()
-    links = verified(first, rows, threshold)
-    # buckets that hold several components: their classes are compared across them
-    parts = components(links)
-    placed = materialise(shared.select("bucket", "_rep").join(parts, F.col("_rep") == F.col("node"), "left")
-                         .select("bucket", "_rep", F.coalesce("component", "_rep").alias("_part")), "placed")
-    mixed = placed.groupBy("bucket").agg(F.min("_part").alias("_low"), F.max("_part").alias("_high")).where("_low < _high")
-    left = materialise(placed.join(mixed.select("bucket"), "bucket"), "mixed")
-    a, b = (left.select("bucket", F.col("_rep").alias(u), F.col("_part").alias(p)) for u, p in (("u", "_pu"), ("v", "_pv")))
-    more = a.join(b, "bucket").where("_pu < _pv").select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).distinct()
-    tested = first.select("u", "v")
-    links = links.unionByName(verified(more.join(tested, ["u", "v"], "left_anti"), rows, threshold))
-    parts = components(links)
+    entries = exact.select(F.explode(F.array_distinct("_sketches")).alias("bucket"), F.col("_rep").alias("node"))
+    parts = linked(entries, lambda pairs: verified(pairs, rows, threshold))
     classes = exact.select(*digest, "_rep").join(parts, F.col("_rep") == F.col("node"), "left") \
         .select(*digest, F.coalesce("component", "_rep").alias("_class"))
     found = signed.select("_rid", *digest).join(classes, digest).select("_rid", "_class")
