@@ -119,24 +119,26 @@ def write(pages: DataFrame, folder: str | None = None, chunk_bytes: int = 1 << 1
           url: str = "url", payload: str = "html") -> DataFrame:
     """Writes one archive per task; returns the manifest of the archives that count."""
     folder = folder or scratch_path(pages.sparkSession, "warc")
-    # a row for each page that refers to another; the rest, mostly nearly all, needs no partner
-    revisits = roles(pages, page_id, payload).where("refers_to is not null") \
-        .select(F.col("page_id").alias("_id"), F.col("sha1").alias("_sha1"), F.col("n_bytes").alias("_n"), "refers_to").distinct()
-    pieces = chunks(pages, chunk_bytes, page_id, url, payload)
-    rows = pieces.join(revisits, F.col("page_id").eqNullSafe(F.col("_id")) & (F.col("sha1") == F.col("_sha1"))
-                       & (F.col("n_bytes") == F.col("_n")), "left").drop("_id", "_sha1", "_n")
-    # a revisit needs its first chunk's headers only
-    rows = rows.withColumn("data", F.when(F.col("refers_to").isNull(), F.col("data"))) \
-        .where(F.col("refers_to").isNull() | (F.col("chunk") == 0))
+    # a page that refers to another gets a row before its chunks, so that one shuffle brings both together
+    marks = roles(pages, page_id, payload).where("refers_to is not null").distinct().select(
+        "page_id", "sha1", F.lit(-1).cast("long").alias("copy"), F.lit(-1).alias("chunk"), "refers_to")
     record = ["page_id", "sha1", "copy"]
-    rows = rows.repartition(*record).sortWithinPartitions(*record, "chunk")
+    rows = chunks(pages, chunk_bytes, page_id, url, payload).unionByName(marks, allowMissingColumns=True) \
+        .repartition("page_id", "sha1").sortWithinPartitions(*record, "chunk")
 
     def archive(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         task = TaskContext.get()
         name = f"{folder}/part-{task.partitionId():06d}-{task.taskAttemptId()}.warc.gz"
-        out, n, digest = None, 0, None
+        out, n, digest, mark = None, 0, None, None
         for batch in batches:
             for row in batch.to_pylist():
+                if row["chunk"] < 0:
+                    mark = row
+                    continue
+                if mark and (mark["page_id"], mark["sha1"]) == (row["page_id"], row["sha1"]):
+                    row["refers_to"] = mark["refers_to"]
+                    if row["chunk"]:
+                        continue
                 if out is None:
                     system, path = fs.FileSystem.from_uri(name)
                     system.create_dir(path.rpartition("/")[0], recursive=True)
@@ -147,7 +149,7 @@ def write(pages: DataFrame, folder: str | None = None, chunk_bytes: int = 1 << 1
                     out.begin()
                     for part in _head(row):
                         out.put(part)
-                data = row["data"] or b""
+                data = b"" if row["refers_to"] is not None else row["data"]
                 digest.update(data)
                 size += len(data)
                 out.put(data)
