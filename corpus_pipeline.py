@@ -5,8 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from bazaarflow.llm import quality
+from bazaarflow.llm import decontam, linedup, neardup, quality
 from bazaarflow.llm.common import materialise, table
+from bazaarflow.llm.packing_query import packed_documents
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -17,7 +18,32 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
     return featured.where(kept).select(*[F.col(f"`{c}`") for c in docs.columns])
 
 
-STAGES = [("quality rules", quality_rules)]
+def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Keeps one line of each group of like lines; a document all of whose lines are kept elsewhere goes."""
+    found = linedup.deduplicated(docs)
+    gone = (F.col("n_lines") > 0) & (F.col("n_lines") == F.col("n_removed"))
+    columns = [F.when(F.col("n_removed") > 0, F.char_length("text")).otherwise(F.col(c)).cast(docs.schema[c].dataType).alias(c)
+               if c == "n_chars" else F.col(f"`{c}`") for c in docs.columns]
+    return found.where(~gone).select(*columns)
+
+
+def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Keeps one document of each class of near copies."""
+    return neardup.deduplicated(docs)
+
+
+def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Keeps documents into which no benchmark item has leaked."""
+    return decontam.clean(docs, table(spark, sf_dir, "benchmark"))
+
+
+def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The pieces of the documents with their places in sequences of at most 1024 tokens."""
+    return packed_documents(docs)
+
+
+STAGES = [("quality rules", quality_rules), ("line dedup", line_dedup), ("MinHash near-dedup", near_duplicates),
+          ("benchmark decontamination", decontamination), ("best-fit packing", packing)]
 
 #: The learned rules, signatures and tokens have no SQL; tests hold each stage against a brute-force version.
 ORACLE_SQL = None
