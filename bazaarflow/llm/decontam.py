@@ -12,7 +12,7 @@ A candidate is a leak if the longest common subsequence of its words and the ite
 The benchmark is the query set: its words and items are broadcast, in blocks of ``BLOCK`` items. Words beyond ``TERMS``
 distinct ones share columns, which bounds the matrices.
 
-Defined results: a null or wordless text leaks nothing; a null or wordless item is left out; equal items are items of their
+Letters are compared without case. Defined results: a null or wordless text leaks nothing; a null or wordless item is left out; equal items are items of their
 own; several windows give one row for each document and item, with the best values.
 """
 
@@ -184,7 +184,7 @@ def vocabulary_of(words: np.ndarray) -> Vocabulary:
 def fit(docs: DataFrame, items: list[str], seed: int = 0) -> Space:
     """The latent space of all passages."""
     spark = docs.sparkSession
-    texts = docs.select(F.col("text").cast("string").alias("text"))
+    texts = docs.select(F.lower(F.col("text").cast("string")).alias("text"))
     runs = list(wordhash.words(pa.array(items, pa.string())))
     vocabulary = vocabulary_of(np.concatenate([w.hashes for w in runs]) if runs else np.empty(0, np.uint64))
     counts = {r["column"]: r["n"] for r in passage_counts(texts, spark.sparkContext.broadcast(vocabulary)).collect()}
@@ -269,12 +269,12 @@ def leaks(docs: DataFrame, benchmark: DataFrame, cosine: float = COSINE, share:
     """Rows (doc_id, _rid where docs has it, item_id, cosine, lcs_share, answer_found) of the leaks found."""
     spark = docs.sparkSession
     # the benchmark is the query set; it is read here in whole and broadcast in blocks
-    rows = benchmark.select(F.col("item_id").cast("long"), F.col("text").cast("string")).where(
+    rows = benchmark.select(F.col("item_id").cast("long"), F.lower(F.col("text").cast("string")).alias("text")).where(
         F.col("text").rlike("[^\\x20\\x09-\\x0D]")).orderBy("item_id", "text").collect()
     ids, texts = [r[0] for r in rows], [r[1] for r in rows]
     keys = [c for c in ("doc_id", "_rid") if c in docs.columns]
     fields = ", ".join(f"{k} long" for k in keys) + ", item_id long, cosine double, lcs_share double, answer_found boolean"
-    source = docs.select(*[F.col(k).cast("long") for k in keys], F.col("text").cast("string"))
+    source = docs.select(*[F.col(k).cast("long") for k in keys], F.lower(F.col("text").cast("string")))
     if not rows:
         return spark.createDataFrame([], fields)
     space = fit(docs, texts)
