@@ -13,7 +13,8 @@ The benchmark is the query set: its words and items are broadcast, in blocks of
 distinct ones share columns, which bounds the matrices.
 
 Letters are compared without case. Defined results: a null or wordless text leaks nothing; a null or wordless item is left out; equal items are items of their
-own; several windows give one row for each document and item, with the best values.
+own; several windows give one row for each document and item, with the best values; equal rows leak alike; clean()
+drops columns that begin with an underscore.
 """
 
 from __future__ import annotations
@@ -27,7 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from bazaarflow.llm import wordhash
-from bazaarflow.llm.common import materialise
+from bazaarflow.llm.common import materialise, numbered
 
 WINDOWS = (32, 64, 128)
 MAX_SHARE = 0.05
@@ -317,6 +318,6 @@ def leaks(docs: DataFrame, benchmark: DataFrame, cosine: float = COSINE, share:
 
 def clean(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """The documents without leaks, all columns."""
-    rows = materialise(docs.withColumn("_rid", F.monotonically_increasing_id()), "numbered")
+    rows = numbered(docs, "_rid")
     leaked = materialise(leaks(rows, benchmark).select("_rid").distinct(), "leaked")
     return rows.join(leaked, "_rid", "left_anti").drop("_rid")

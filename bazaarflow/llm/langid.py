@@ -12,7 +12,8 @@ Calibration: the temperature that makes the softmax of negative cross-entropies
 set aside, and for each language the cross-entropy beyond which a text is rejected.
 
 Defined results: a null text, or one without a letter, is ``und`` with score 0, rejected; ties go to the language whose
-name is first; a row without label, or with a null text, is not learned from; without any labelled text all is ``und``.
+name is first; a row without label, or with a null text, is not learned from; without any labelled text all is ``und``;
+equal rows get equal results; columns that predict() adds replace those of the same name.
 """
 
 from __future__ import annotations
@@ -28,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from bazaarflow.llm.common import crc32_of_id, materialise
+from bazaarflow.llm.common import crc32_of_id, materialise, own_columns
 
 ORDER = 5
 LETTERS = re.compile(r"[^\W\d_]+")
@@ -146,8 +147,13 @@ class Scorer:
 def sampled(docs: DataFrame, usable: Column, rows_per_lang: int) -> DataFrame:
     """Rows (doc_id, lang, text, held): at most ``rows_per_lang`` of each language."""
     rows = docs.where(usable & F.col("lang").isNotNull() & F.col("text").isNotNull())
-    place = F.row_number().over(Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id"))
-    ids = rows.select("doc_id", "lang").withColumn("_place", place).where(F.col("_place") <= rows_per_lang)
+    place = F.row_number().over(Window.partitionBy("lang").orderBy(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 20)), "doc_id"))
+    # languages with many rows are thinned by the hash first, to about twice what is wanted
+    counts = F.broadcast(rows.groupBy(F.col("lang").alias("_of")).agg(F.count("*").alias("_n")))
+    part = F.pmod(F.xxhash64("doc_id"), F.lit(1 << 20))
+    thin = rows.select("doc_id", "lang").join(counts, F.col("lang") == F.col("_of")) \
+        .where(part * F.col("_n") <= (2 * rows_per_lang + 1000) * (1 << 20)).select("doc_id", "lang")
+    ids = thin.withColumn("_place", place).where(F.col("_place") <= rows_per_lang)
     ids = ids.select(F.col("doc_id").alias("_id"), F.col("lang").alias("_lang"), (F.col("_place") % 5 == 0).alias("held")).distinct()
     # the sample has a bounded number of rows
     return rows.join(F.broadcast(ids), F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("lang") == F.col("_lang"))) \
@@ -253,7 +259,7 @@ def calibrate(models: Models, sample: DataFrame) -> Models:
 
 def predict(docs: DataFrame, models: Models) -> DataFrame:
     """Adds lang_pred, score, cross_entropy and rejected to rows (doc_id, text)."""
-    kept = [c for c in docs.columns if c != "text"]
+    kept = own_columns(docs, ("text", "lang_pred", "score", "cross_entropy", "rejected"))
     if not models.langs:
         return docs.select(*kept, F.lit("und").alias("lang_pred"), F.lit(0.0).alias("score"),
                            F.lit(None).cast("double").alias("cross_entropy"), F.lit(True).alias("rejected"))

@@ -15,7 +15,8 @@ The base score needs exact counts of all tokens. Those of the ``head_rows`` most
 text has of the others is joined to their counts by shuffle. Tokens are told apart by 64-bit hashes.
 
 Defined results: a null text is an empty one, a single end token; rows with equal ids are scored row by row; without
-training rows all counts, N and V are 0.
+training rows all counts, N and V are 0; columns that score() adds replace those of the same name, and columns that begin
+with an underscore go.
 """
 
 from __future__ import annotations
@@ -29,7 +30,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from bazaarflow.llm import wordhash
-from bazaarflow.llm.common import materialise
+from bazaarflow.llm.common import materialise, own_columns
 
 #: The end of a text, as a token. Not the hash of any word but by chance.
 END = np.uint64(0x5F1D7A3C9B24E681)
@@ -248,7 +249,7 @@ def score(docs: DataFrame, training: Column, **options) -> DataFrame:
 
     Adds n_tokens, n_known, train_tokens, base_score and score; ``text`` goes.
     """
-    kept = [c for c in docs.columns if c != "text"]
+    kept = own_columns(docs, ("text", "n_tokens", "n_known", "train_tokens", "base_score", "score"))
     model, tokens, low = fit(docs.where(training).select("text"), **options)
     shared = docs.sparkSession.sparkContext.broadcast(model)
 

@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from bazaarflow.llm import tokens
-from bazaarflow.llm.common import materialise
+from bazaarflow.llm.common import materialise, own_columns
 
 PIECE = "doc_id long, piece int, start long, length long, ids binary"
 
@@ -85,13 +85,13 @@ def place(lengths: np.ndarray, capacity: int, max_pieces: int, max_cost: float,
 
 
 def pack(pieces: DataFrame, rows: int, capacity: int = 1024, max_pieces: int = 1024, max_cost: float | None = None,
-         weights: tuple[float, float, float] = (1.0, 0.1, 0.1), cell_rows: int = 8192, slack: int = 4) -> DataFrame:
+         weights: tuple[float, float, float] = (1.0, 0.1, 0.1), cell_rows: int = 4096, slack: int = 4) -> DataFrame:
     """Adds ``sequence_id`` and ``offset`` to rows with a ``length`` of at most ``capacity``.
 
     ``rows``: about how many pieces are shorter than a sequence; it only sets the number of cells.
     """
     cost = float(capacity) ** 2 if max_cost is None else max_cost
-    columns = [c for c in pieces.columns if c not in ("sequence_id", "offset")]
+    columns = own_columns(pieces, ("sequence_id", "offset"))
     schema = T.StructType([*[pieces.schema[c] for c in columns], T.StructField("sequence_id", T.LongType()),
                            T.StructField("offset", T.LongType()), T.StructField("_open", T.BooleanType())])
 

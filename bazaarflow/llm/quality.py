@@ -6,7 +6,9 @@ Rules are conjunctions of thresholds; they are grown on two thirds of the labell
 tried in the order in which they were found.
 
 Defined results: a null text has no words and fails the base rules; a null or unlabelled id takes no part in
-learning; of several labels of one id the lowest counts; without labels the list is empty and only base rules reject.
+learning; of several labels of one id the lowest counts; without labels the list is empty and only base rules reject;
+equal rows are judged alike; columns that features() adds replace those of the same name, and columns that begin with an
+underscore go.
 """
 
 from __future__ import annotations
@@ -17,7 +19,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from bazaarflow.llm.common import crc32_of_id, materialise, words_of
+from bazaarflow.llm.common import crc32_of_id, materialise, own_columns, words_of
 
 #: Characters that count as symbols. Fixed value.
 SYMBOLS = "[#*$%&|<>]"
@@ -37,7 +39,8 @@ def features(docs: DataFrame, text: str = "text", prefix: str = "") -> DataFrame
     Windows of three words are compared by their 64-bit hash inside one document. Each step is a column of its own:
     an array that a lambda reads again is then computed once.
     """
-    kept = [F.col(f"`{c}`") for c in docs.columns]
+    names = tuple(prefix + c for c in (*COUNTS, *FEATURES))
+    kept = [F.col(f"`{c}`") for c in own_columns(docs, names)]
     whole = F.coalesce(F.col(f"`{text}`"), F.lit(""))
     words, hashes, placed, where = (F.col(f"_q_{x}") for x in ("words", "hashes", "placed", "where"))
     done = ["_q_lines", "_q_chars", "_q_symbols", "_q_uppers", "_q_digits", "_q_marks"]

@@ -41,7 +41,8 @@ def spread(vectors: np.ndarray, bins: int, weights: tuple[float, ...]) -> np.nda
     return out
 
 
-def _packed(units: DataFrame, cell: Column, bins: int, weights: tuple[float, ...], apart: int = 0) -> DataFrame:
+def _packed(units: DataFrame, cell: Column, bins: int, weights: tuple[float, ...], apart: int = 0,
+            level: int = 0) -> DataFrame:
     """Adds ``bin`` to units (unit, bytes, tokens, rows), cell by cell; ``next`` is the unit of the next level."""
     def one(key: tuple[pa.Scalar, ...], group: pa.Table) -> pa.Table:
         group = group.sort_by("unit")
@@ -55,10 +56,10 @@ def _packed(units: DataFrame, cell: Column, bins: int, weights: tuple[float, ...
 
     placed = units.select("unit", cell.cast("long").alias("cell"), *SIZES).groupBy("cell").applyInArrow(
         one, "unit string, cell long, bytes long, tokens long, rows long, bin long")
-    return placed.withColumn("next", F.when(F.col("bin") < 0, F.col("unit")).otherwise(F.concat_ws("/", "cell", "bin")))
+    return placed.withColumn("next", F.when(F.col("bin") < 0, F.col("unit")).otherwise(F.concat_ws("/", F.lit(f"bin{level}"), "cell", "bin")))
 
 
-def assign(rows: DataFrame, shards: int, weights: tuple[float, float, float] = (1.0, 0.25, 0.25),
+def assign(rows: DataFrame, shards: int, weights: tuple[float, float, float] = (1.0, 0.03, 0.03),
            cell_units: int = 16384, fan: int = 64) -> DataFrame:
     """Adds ``shard`` to rows (id, key, bytes, tokens, rows)."""
     rows = materialise(rows, "shard-rows")
@@ -85,16 +86,16 @@ def assign(rows: DataFrame, shards: int, weights: tuple[float, float, float] = (
     else:
         # at most 3 * 64 * shards units are that large
         large = part(64.0 * shards) > 1
-        def packed(df: DataFrame, cell: Column) -> DataFrame:
-            return materialise(_packed(df, cell, FINER * shards, weights, APART), "cells")
+        def packed(df: DataFrame, cell: Column, number: int) -> DataFrame:
+            return materialise(_packed(df, cell, FINER * shards, weights, APART, number), "cells")
 
         def bins(df: DataFrame) -> DataFrame:
             return df.groupBy(F.col("next").alias("unit"), "cell").agg(*sums)
 
-        level = packed(units.where(~large), F.pmod(F.xxhash64("unit"), F.lit(cells)))
+        level = packed(units.where(~large), F.pmod(F.xxhash64("unit"), F.lit(cells)), 0)
         links = level.select("unit", "next")
-        for _ in range(math.ceil(math.log(cells, fan)) - 1):
-            level = packed(bins(level), F.floor(F.col("cell") / fan))
+        for number in range(1, math.ceil(math.log(cells, fan))):
+            level = packed(bins(level), F.floor(F.col("cell") / fan), number)
             links = links.join(level.select(F.col("unit").alias("next"), F.col("next").alias("_up")), "next") \
                 .select("unit", F.col("_up").alias("next"))
         last = _packed(bins(level).drop("cell").unionByName(units.where(large)), F.lit(0), shards, weights)

@@ -12,9 +12,9 @@ from bazaarflow.llm.packing_query import packed_documents
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keeps what neither the base rules nor the learned list rejects."""
-    featured = materialise(quality.features(docs, prefix="_q_out_"), "featured")
-    rules = quality.learn(featured, table(spark, sf_dir, "labels"), prefix="_q_out_")
-    kept = ~quality.base_failed("_q_out_") & (rules.rule("_q_out_") == 0)
+    featured = materialise(quality.features(docs, prefix="q_out_"), "featured")
+    rules = quality.learn(featured, table(spark, sf_dir, "labels"), prefix="q_out_")
+    kept = ~quality.base_failed("q_out_") & (rules.rule("q_out_") == 0)
     return featured.where(kept).select(*[F.col(f"`{c}`") for c in docs.columns])
 
 
