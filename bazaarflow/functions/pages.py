@@ -161,8 +161,9 @@ def same_site_links(html: Column, page_url: Column) -> Column:
     return F.array_distinct(F.filter(absolute, lambda h: h.isNotNull() & F.contains(h, own)))
 
 
-def operator_names(html: Column, noise=vocab.OPERATOR_NOISE, limit: int = 25) -> Column:
-    """Operator names: supplier elements, "supplied by" phrases, then JSON-LD providers; distinct, at most ``limit``."""
+def operator_names(html: Column, noise=vocab.OPERATOR_NOISE, limit: int | None = None) -> Column:
+    """Operator names: supplier elements, "supplied by" phrases, then JSON-LD providers; distinct, the first ``limit``
+    where one is given."""
     marked = F.regexp_extract_all(html, F.lit(
         r'(?is)<[a-z0-9]+\b[^>]*(?:class\s*=\s*["\'][^"\']*(?:supplier|provider|operator|merchant)|data-supplier)[^>]*>([^<]*)<'), F.lit(1))
     phrases = F.regexp_extract_all(html, F.lit(
@@ -170,7 +171,7 @@ def operator_names(html: Column, noise=vocab.OPERATOR_NOISE, limit: int = 25) ->
     providers = F.transform(ld_items(html), lambda i: F.get_json_object(F.coalesce(i["provider"], i["organizer"]), "$.name"))
     names = F.transform(F.concat(marked, phrases, providers), lambda n: F.trim(n))
     good = F.filter(names, lambda n: n.isNotNull() & F.length(n).between(4, 85) & ~has_any(F.lower(n), noise))
-    return F.slice(F.array_distinct(good), 1, limit)
+    return F.array_distinct(good) if limit is None else F.slice(F.array_distinct(good), 1, limit)
 
 
 def country_of_path(url: Column, slugs=vocab.COUNTRY_URL_SLUGS) -> Column:

@@ -117,11 +117,11 @@ def first_label(text: Column, rules, default=None, match: str = "substring") ->
     """The label of the first rule (keywords, label), in order, with a keyword in the text."""
     rules = [(list(keywords), label) for keywords, label in rules]
     plain = all(isinstance(label, str) for _, label in rules)
-    labels = [label if isinstance(label, Column) else F.lit(label) for _, label in rules] if not plain or len(rules) <= SHORT else []
+    labels = [label if isinstance(label, Column) else F.lit(label) for _, label in rules]
     default = default if isinstance(default, Column) else F.lit(default)
     if match == "word" or sum(len(k) for k, _ in rules) <= SHORT:
         out = None
-        for (keywords, _), label in zip(rules, labels):
+        for (keywords, _), label in zip(rules, labels, strict=True):
             cond = has_any(text, keywords, match)
             out = F.when(cond, label) if out is None else out.when(cond, label)
         return default if out is None else out.otherwise(default)
@@ -178,11 +178,11 @@ def flags(text: Column, vocabulary) -> Column:
     return F.struct(*[has_any(text, kws).alias(label) for label, kws in vocabulary])
 
 
-def tags(text: Column, vocabulary, limit: int) -> Column:
-    """Sorted array of the labels that occur, at most ``limit``."""
+def tags(text: Column, vocabulary, limit: int | None = None) -> Column:
+    """Sorted array of the labels that occur; only the first ``limit`` where one is given."""
     found = once(text, lambda t: F.transform(
         F.filter(_vocabulary(vocabulary), lambda v: F.exists(v["words"], lambda k: F.contains(t, k))), lambda v: v["label"]))
-    return F.slice(F.array_sort(found), 1, limit)
+    return F.array_sort(found) if limit is None else F.slice(F.array_sort(found), 1, limit)
 
 
 def weighted_presence(parts, cap: float = 1.0) -> Column:

@@ -130,11 +130,11 @@ def is_good_line(c: Column, noise=(*vocab.BOOKING_NOISE, *vocab.NAVIGATION_NOISE
     return F.coalesce(F.length(c) >= min_length, F.lit(False)) & ~matches_any(c, noise, "(?i)")
 
 
-def markdown_product(md: Column, max_lines: int = 20) -> Column:
+def markdown_product(md: Column, max_lines: int | None = None) -> Column:
     """struct(title, description, images) of a markdown page.
 
-    Title: first good H1/H2. Description: the next good lines, at most ``max_lines``; a page without
-    heading has neither. Both get the noise cleaning.
+    Title: first good H1/H2. Description: the good lines after it (the first ``max_lines`` where that is given); a
+    page without heading has neither. Both get the noise cleaning.
     """
     lines = F.filter(F.transform(F.split(md, "\n"), lambda s: F.trim(s)), lambda s: s != "")
     tagged = F.transform(lines, lambda s, i: F.struct(
@@ -144,7 +144,8 @@ def markdown_product(md: Column, max_lines: int = 20) -> Column:
     def product(rows: Column, title: Column) -> Column:
         # A later H1 never counts as text.
         body = F.filter(rows, lambda x: (x["pos"] > title["pos"]) & ~x["line"].startswith("# ") & is_good_line(x["line"]))
-        text = F.array_join(F.slice(F.transform(body, lambda x: x["line"]), 1, max_lines), " ")
+        kept = F.transform(body, lambda x: x["line"])
+        text = F.array_join(kept if max_lines is None else F.slice(kept, 1, max_lines), " ")
         return F.struct(
             navigation_title(title["head"]).alias("title"),
             F.when(title.isNull(), F.lit("")).otherwise(clean_description(text)).alias("description"))
@@ -227,7 +228,7 @@ def catalog_embedding_text(title: Column, title_en: Column, description: Column,
 
 def service_embedding_text(service: Column, family: Column, origin: Column, destination: Column, city: Column,
                            country: Column, flag_names: Column, tag_names: Column | None, title: Column,
-                           description: Column, cap: int | None = None) -> Column:
+                           description: Column, cap: int | None = None, tag_limit: int | None = None) -> Column:
     """service:/theme:/from:/to:/city:/country:/flags:/tags: parts, then title and description.
 
     ``tag_names=None`` gives the variant without tags.
@@ -236,7 +237,8 @@ def service_embedding_text(service: Column, family: Column, origin: Column, dest
              _labelled("to:", destination), _labelled("city:", city), _labelled("country:", country),
              F.when(F.size(flag_names) > 0, F.concat(F.lit("flags:"), F.array_join(flag_names, ",")))]
     if tag_names is not None:
-        parts.append(F.when(F.size(tag_names) > 0, F.concat(F.lit("tags:"), F.array_join(F.slice(tag_names, 1, 8), ","))))
+        shown = tag_names if tag_limit is None else F.slice(tag_names, 1, tag_limit)
+        parts.append(F.when(F.size(tag_names) > 0, F.concat(F.lit("tags:"), F.array_join(shown, ","))))
     return F.concat_ws(" | ", *parts, blank_to_null(title), F.nullif(cut(description, cap), F.lit("")))
 
 
@@ -247,13 +249,13 @@ def entity_embedding_text(service: Column, city: Column, country: Column, family
                        F.nullif(cut(description, cap), F.lit("")))
 
 
-def signature(city: Column, activity: Column, title: Column, stop=vocab.SIGNATURE_STOP) -> Column:
-    """``city|type|first three title words`` (80 characters) plus the start of its md5."""
+def signature(city: Column, activity: Column, title: Column, stop=vocab.SIGNATURE_STOP, shown: int | None = None) -> Column:
+    """``city|type|first three title words`` (its first ``shown`` characters where that is given) plus the start of its md5."""
     words = F.filter(F.split(F.lower(title), r"\s+"),
                      lambda w: (w != "") & ~one_of(w, stop))
     key = F.concat(F.lower(F.coalesce(city, F.lit(""))), F.lit("|"), activity, F.lit("|"),
                    F.array_join(F.slice(words, 1, 3), " "))
-    return F.concat(F.substring(key, 1, 80), F.lit("_"), F.substring(F.md5(key), 1, 16))
+    return F.concat(cut(key, shown), F.lit("_"), F.substring(F.md5(key), 1, 16))
 
 
 def supplier_text(name: Column, city: Column, activity: Column, has_channel: Column, cap: int | None = None) -> Column:
@@ -281,12 +283,12 @@ def first_mention(c: Column, patterns) -> Column:
     return F.coalesce(*found, F.lit(""))
 
 
-def city_mentions(c: Column, limit: int = 5) -> Column:
+def city_mentions(c: Column, limit: int | None = None) -> Column:
     """Capitalised places after in/from or before a product word; distinct ignoring case, in order."""
     found = F.concat(*[F.regexp_extract_all(c, F.lit(p), F.lit(1)) for p in CITY_MENTIONS])
     unique = F.filter(found, lambda x, i: F.array_position(
         F.transform(found, lambda y: F.lower(y)), F.lower(x)) == i + 1)
-    return F.slice(unique, 1, limit)
+    return unique if limit is None else F.slice(unique, 1, limit)
 
 
 def mentions(c: Column, keywords=vocab.MENTION_KEYWORDS) -> Column:

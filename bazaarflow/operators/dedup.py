@@ -14,17 +14,17 @@ from bazaarflow.session import materialise
 
 
 def accept_in_order(batch: DataFrame, existing: DataFrame, seq: str, url: str, name: str, supplier: str,
-                    valid: Column | None = None, max_rounds: int = 200) -> DataFrame:
+                    valid: Column | None = None) -> DataFrame:
     """Adds ``disposition``: saved, skipped or rejected, as if rows were taken one by one by ``seq``.
 
-    A row is skipped when its URL, or its (name, supplier), is already stored or was saved earlier in the
+    Rows without a name are rejected. A row is skipped when its URL, or its (name, supplier), is already stored or was saved earlier in the
     batch; a skipped row registers neither key. Rows with an invalid gate are rejected and register nothing.
 
     Taken in rounds: a row that comes first for both keys among the undecided is saved, rows sharing a key
     with it are skipped. Rows equal in both keys collapse to their first one before the rounds, so a key
     held by many copies costs one row.
     """
-    ok = F.coalesce(valid if valid is not None else F.lit(True), F.lit(False)) & F.col(name).isNotNull()
+    ok = F.coalesce(valid if valid is not None else F.lit(True), F.lit(False)) & F.coalesce(F.trim(F.col(name)) != "", F.lit(False))
     base = batch.withColumn("_ok", ok).withColumn("_url", F.nullif(F.col(url), F.lit(""))).withColumn(
         "_ns", F.when(F.trim(F.col(name)) != "", F.to_json(F.struct(
             F.trim(F.col(name)).alias("n"), F.coalesce(F.col(supplier).cast("string"), F.lit("")).alias("s")))))
@@ -35,9 +35,8 @@ def accept_in_order(batch: DataFrame, existing: DataFrame, seq: str, url: str, n
     heads = (base.where("_ok").groupBy("_url", "_ns").agg(F.min(seq).alias("_seq"))
              .join(known_urls, "_url", "left_anti").join(known_names, "_ns", "left_anti"))
     open_rows, saved = materialise(heads), None
-    for _ in range(max_rounds):
-        if open_rows.isEmpty():
-            break
+    # each round decides at least the first open row, so the rounds end
+    while not open_rows.isEmpty():
         # A row without URL is first for "its URL" by definition; the same holds for the name.
         by_url = open_rows.where("_url is not null").groupBy("_url").agg(F.min("_seq").alias("_u1"))
         by_name = open_rows.where("_ns is not null").groupBy("_ns").agg(F.min("_seq").alias("_n1"))
@@ -48,8 +47,6 @@ def accept_in_order(batch: DataFrame, existing: DataFrame, seq: str, url: str, n
         open_rows = materialise(ranked.where("not _win").select("_url", "_ns", "_seq")
                                 .join(won.select("_url").where("_url is not null"), "_url", "left_anti")
                                 .join(won.select("_ns").where("_ns is not null"), "_ns", "left_anti"))
-    else:
-        raise RuntimeError("undecided rows remain; raise max_rounds")
     winners = heads.limit(0).select("_seq") if saved is None else saved.select("_seq")
     out = base.join(winners.withColumn("_saved", F.lit(True)), F.col(seq) == F.col("_seq"), "left")
     return (out.withColumn("disposition", F.when(~F.col("_ok"), "rejected").when(F.col("_saved"), "saved").otherwise("skipped"))
@@ -68,24 +65,28 @@ def keep_latest(df: DataFrame, key: Sequence[str], order: str) -> DataFrame:
 
 def merge_suppliers(existing: DataFrame, incoming: DataFrame, *, host_col: str = "domain", name: str = "name",
                     country: str = "country_id", score: str = "score", seq: str = "seq") -> DataFrame:
-    """Existing suppliers plus new ones.
+    """Existing suppliers plus new ones, as if rows were taken one by one by ``seq``.
 
-    Same host: the higher score is kept. New host but same (name, country): dropped. Within the batch the
-    same rules apply in ``seq`` order. Rows without host or name are dropped.
+    A known host keeps the higher score. A new host with a known (name, country) is dropped and stays unknown. Any other row
+    is added and makes both known; without a country names may repeat. Rows without host or name are dropped.
     """
     usable = incoming.where(F.col(host_col).isNotNull() & (F.col(host_col) != "") & F.col(name).isNotNull() & (F.col(name) != ""))
-    best = usable.groupBy(host_col).agg(F.max(score).alias("_best"), F.min_by(F.struct(name, country), seq).alias("_f"),
-                                        F.min(seq).alias("_seq"))
-    raised = (existing.join(best.select(host_col, "_best"), host_col, "left")
-              .withColumn(score, F.greatest(F.col(score), F.col("_best"))).drop("_best"))
-    fresh = best.select(F.col(host_col), F.col("_f")[name].alias(name), F.col("_f")[country].alias(country),
-                        F.col("_best").alias(score), "_seq").join(existing.select(host_col), host_col, "left_anti")
-    known = existing.where(F.col(country).isNotNull()).select(name, country).distinct()
-    fresh = fresh.join(known, [name, country], "left_anti")
-    # One per (name, country), the first; without a country names may repeat.
-    placed = fresh.where(F.col(country).isNotNull()).groupBy(name, country).agg(
-        F.min_by(F.struct(host_col, score), "_seq").alias("_r")).select(f"_r.{host_col}", name, country, f"_r.{score}")
-    fresh = placed.unionByName(fresh.where(F.col(country).isNull()).select(host_col, name, country, score))
+    # a name counts together with its country only, so a row without country gets a name of its own
+    def keyed(df: DataFrame, own: Column, *more: Column) -> DataFrame:
+        return df.select(*more, F.col(host_col).alias("_h"), F.when(F.col(country).isNull(), own).otherwise(
+            F.to_json(F.struct(F.col(name).alias("n"), F.col(country).alias("c")))).alias("_k"), F.lit("").alias("_s"))
+
+    rows = keyed(usable, F.concat(F.lit("row "), F.col(seq).cast("string")), F.col(seq).alias("_at"))
+    known = keyed(existing, F.lit(None).cast("string"))
+    saved = accept_in_order(rows, known, "_at", "_h", "_k", "_s").where("disposition = 'saved'").select("_at", "_h")
+    saved = materialise(saved, "saved")
+    # scores count from the row on that made the host known
+    since = usable.join(saved.select(F.col("_h").alias(host_col), "_at"), host_col).where(F.col(seq) >= F.col("_at")) \
+        .groupBy(host_col).agg(F.max(score).alias("_best"))
+    fresh = usable.join(saved.select(F.col("_at").alias(seq)), seq).join(since, host_col) \
+        .select(host_col, name, country, F.col("_best").alias(score))
+    best = usable.groupBy(host_col).agg(F.max(score).alias("_best"))
+    raised = existing.join(best, host_col, "left").withColumn(score, F.greatest(F.col(score), F.col("_best"))).drop("_best")
     return raised.select(host_col, name, country, score).unionByName(fresh.select(host_col, name, country, score))
 
 

@@ -22,18 +22,25 @@ def is_garbage_city(city: Column, words=vocab.GARBAGE_CITY_WORDS, countries=voca
     return short | one_of(low, [*words, *countries]) | (has_any(low, attractions) & (word_count(low) > 1))
 
 
-def text_mention(df: DataFrame, key: str, text: str, cities: DataFrame, *, max_words: int = 3,
-                 garbage=is_garbage_city) -> DataFrame:
+def text_mention(df: DataFrame, key: str, text: str, cities: DataFrame, *, stated: str | None = None,
+                 max_words: int | None = None, garbage=is_garbage_city) -> DataFrame:
     """The first gazetteer city named in the text, the longest when several start at one place.
 
-    Every run of 1 to ``max_words`` words is looked up by equality; ``cities`` is (city_id, name, country).
-    A name of several countries takes the city with the lowest id. Returns key, mention, mention_country.
+    Every run of words as long as a gazetteer name (or of at most ``max_words``) is looked up by equality; ``cities`` is
+    (city_id, name, country). Of a name of several countries the city of a country that the text names is taken, then that
+    of the country in column ``stated``, then the lowest id. Returns key, mention, mention_country.
     """
     # Filtered before it is written out; as a filter in the join, Spark would infer it for every span as well.
     named = cities.withColumn("_n", F.lower("name"))
-    names = first_by(named.where(~garbage(F.col("_n"))), ["_n"], "city_id", ["name", "country"])
-    words = F.filter(F.split(F.lower(F.col(text)), r"[^\p{L}\p{N}'-]+"), lambda w: w != "")
-    rows = df.select(key, words.alias("_w"))
+    separators = r"[^\p{L}\p{N}'-]+"
+    named = named.where(~garbage(F.col("_n")))
+    if max_words is None:
+        # one number; a name is found however many words it has
+        max_words = named.agg(F.max(F.size(F.split(F.trim("_n"), r"\s+")))).first()[0] or 1
+    names = named.groupBy("_n", F.lower("country").alias("_c")).agg(F.min(F.struct("city_id", "name", "country")).alias("_city"))
+    words = F.filter(F.split(F.lower(F.col(text)), separators), lambda w: w != "")
+    rows = df.select(key, words.alias("_w"), F.lower(F.col(text)).alias("_text"),
+                     (F.lower(F.trim(F.col(stated))) if stated else F.lit(None).cast("string")).alias("_stated"))
     def run(i: Column, w: Column, n: int) -> Column:
         """The n words from position i on; null past the end."""
         return F.concat(w, *[F.concat(F.lit(" "), F.get("_w", i + k)) for k in range(1, n)])
@@ -42,9 +49,12 @@ def text_mention(df: DataFrame, key: str, text: str, cities: DataFrame, *, max_w
         F.struct(i.alias("pos"), F.lit(n).alias("len"), run(i, w, n).alias("_n")) for n in range(1, max_words + 1)])))
     # Spans meet the gazetteer before any grouping: only the few that are cities get shuffled.
     # The outer form, because Spark would compute the spans of the plain one a second time to test them for emptiness.
-    hits = rows.select(key, F.inline_outer(spans)).join(names, "_n")
-    return hits.groupBy(key).agg(F.min_by(F.struct(F.col("name").alias("mention"), F.col("country").alias("mention_country")),
-                                          F.struct(F.col("pos"), -F.col("len"))).alias("_m")).select(key, "_m.*")
+    hits = rows.select(key, "_text", "_stated", F.inline_outer(spans)).join(names, "_n")
+    in_text = F.coalesce(F.contains("_text", F.col("_c")), F.lit(False))
+    is_stated = F.coalesce(F.col("_c") == F.col("_stated"), F.lit(False))
+    return hits.groupBy(key).agg(F.min_by(
+        F.struct(F.col("_city.name").alias("mention"), F.col("_city.country").alias("mention_country")),
+        F.struct(F.col("pos"), -F.col("len"), ~in_text, ~is_stated, F.col("_city.city_id"))).alias("_m")).select(key, "_m.*")
 
 
 def mapped(c: Column, pairs: Sequence[tuple[str, str]]) -> Column:
@@ -132,7 +142,7 @@ def resolve_places(df: DataFrame, key: str, cities: DataFrame, countries: DataFr
     base = base.withColumn("_within", F.lower("_country_raw"))
     fuzzy = best_city(base.where(F.col("_city_raw").isNotNull()).select(
         F.col("_city_raw").alias("phrase"), F.col("_within").alias("country")), cities)
-    mention = text_mention(base, key, "_text", cities).withColumnRenamed("mention", "_m").withColumnRenamed(
+    mention = text_mention(base, key, "_text", cities, stated="_country_raw").withColumnRenamed("mention", "_m").withColumnRenamed(
         "mention_country", "_mc")
     base = base.join(mention, key, "left")
     base = base.withColumn("_phrase", F.when(F.col("_m").isNull(), F.col("_city_raw")))

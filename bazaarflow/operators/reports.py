@@ -115,11 +115,12 @@ def distinct_titles(df: DataFrame, supplier: str, title: str, order: str, n: int
     return top_per_group(first, [supplier], [F.asc(order)], n)
 
 
-def review_queue(matches: DataFrame, products: DataFrame, suppliers: DataFrame, limit: int = 200) -> DataFrame:
-    """Undecided new products with their supplier, newest first."""
+def review_queue(matches: DataFrame, products: DataFrame, suppliers: DataFrame,
+                 limit: int | None = None) -> DataFrame:
+    """Undecided new products with their supplier, newest first; only ``limit`` of them where one is given."""
     open_ = matches.where((F.col("match_status") == "NEW_PRODUCT") & F.col("validation_decision").isNull())
-    return (open_.join(products, "product_id").join(suppliers, "supplier_id", "left")
-            .orderBy(F.desc("created_at"), F.desc("match_id")).limit(limit))
+    queue = open_.join(products, "product_id").join(suppliers, "supplier_id", "left").orderBy(F.desc("created_at"), F.desc("match_id"))
+    return queue if limit is None else queue.limit(limit)
 
 
 def export_queue(matches: DataFrame, products: DataFrame, raw: DataFrame, suppliers: DataFrame) -> DataFrame:

@@ -8,23 +8,33 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 
-def upsert(base: DataFrame, delta: DataFrame, key: Sequence[str], *, stamp: str | None = None) -> DataFrame:
+def _one_per_key(delta: DataFrame, key: Sequence[str], order: str | None) -> DataFrame:
+    """One row per key: the one with the highest ``order``; without an order, the greatest row."""
+    return latest_per_key(delta, key, order or F.to_json(F.struct(*[F.col(c) for c in delta.columns])))
+
+
+def upsert(base: DataFrame, delta: DataFrame, key: Sequence[str], *, stamp: str | None = None,
+           order: str | None = None) -> DataFrame:
     """``base`` with the rows of ``delta`` replacing those of equal key and the rest appended.
 
-    One shuffle on the key. ``delta`` holds one row per key (see latest_per_key).
-    Columns missing on one side become null. With ``stamp`` the replaced and added rows get the current time.
+    One shuffle on the key. Of several delta rows of one key the one with the highest ``order`` counts (without an order
+    the greatest as JSON, so that the result is defined). Columns missing on one side become null. With ``stamp`` the
+    replaced and added rows get the current time.
     """
+    delta = _one_per_key(delta, key, order)
     if stamp:
         delta = delta.withColumn(stamp, F.current_timestamp())
     return base.join(delta.select(*key), list(key), "left_anti").unionByName(delta, allowMissingColumns=True)
 
 
-def latest_per_key(df: DataFrame, key: Sequence[str], order: str) -> DataFrame:
+def latest_per_key(df: DataFrame, key: Sequence[str], order) -> DataFrame:
     best = df.groupBy(*key).agg(F.max_by(F.struct(*[F.col(c).alias(c) for c in df.columns]), order).alias("_r"))
     return best.select("_r.*")
 
 
-def insert_absent(base: DataFrame, new: DataFrame, key: Sequence[str]) -> DataFrame:
+def insert_absent(base: DataFrame, new: DataFrame, key: Sequence[str], *, order: str | None = None) -> DataFrame:
+    """``base`` with those rows of ``new`` whose key it lacks, one per key as in upsert()."""
+    new = _one_per_key(new, key, order)
     return base.unionByName(new.join(base.select(*key), list(key), "left_anti"), allowMissingColumns=True)
 
 
@@ -45,20 +55,28 @@ def append_log(batch: DataFrame, path: str, batch_id: int) -> None:
     batch.write.mode("overwrite").parquet(f"{path}/batch_id={batch_id}")
 
 
-def read_log(spark, path: str, key: Sequence[str]) -> DataFrame:
-    """Current state of an upsert log: the row of the newest batch per key."""
-    return latest_per_key(spark.read.parquet(path), key, "batch_id").drop("batch_id")
+def read_log(spark, path: str, key: Sequence[str], order: str | None = None) -> DataFrame:
+    """Current state of an upsert log: per key the row with the highest ``order``, of equal ones that of the newest batch;
+    without an order the newest batch decides. A late, older row thus never replaces a newer one."""
+    by = F.struct(order, "batch_id") if order else F.col("batch_id")
+    return latest_per_key(spark.read.parquet(path), key, by).drop("batch_id")
+
+
+def compact_log(spark, path: str, target: str, key: Sequence[str], order: str | None = None) -> None:
+    """Writes the current state of a log as the first batch of a new one at ``target``."""
+    append_log(read_log(spark, path, key, order), target, 0)
 
 
-def catalogue_rows(new: DataFrame, service_type_ids: DataFrame | None = None) -> dict[str, DataFrame]:
+def catalogue_rows(new: DataFrame, service_type_ids: DataFrame | None = None, *, title_cap: int | None = None) -> dict[str, DataFrame]:
     """The product, detail and service rows of accepted new products, sharing one stable id.
 
     ``new``: product_key, title, description, type_label, type_code, category, locality_id, price, currency,
     operator, city, country. The id is hashed from product_key, so a repeated run gives the same rows.
     """
     from bazaarflow.functions.money import derived_prices
+    from bazaarflow.functions.text import cut
 
-    src = (new.withColumn("product_id", F.xxhash64("product_key")).withColumn("title", F.substring("title", 1, 200))
+    src = (new.withColumn("product_id", F.xxhash64("product_key")).withColumn("title", cut(F.col("title"), title_cap))
            .withColumn("text", F.coalesce(F.nullif("description", F.lit("")), "title"))
            .withColumn("place", F.concat_ws(", ", "city", "country")))
     price = derived_prices(F.col("price"))

@@ -36,18 +36,19 @@ def validated_products(items: DataFrame, countries: DataFrame, cities: DataFrame
 
 
 def qualify_leads(places: DataFrame, pages_by_host: DataFrame, *, cities=(), not_words=vocab.NOT_SUPPLIER_WORDS,
-                  skip=vocab.SKIP_DOMAINS, min_html: int = 300) -> DataFrame:
+                  skip=vocab.SKIP_DOMAINS, min_html: int | None = None) -> DataFrame:
     """Connected suppliers among places, scored by their page.
 
     ``places``: seq, name, url, description, address. ``pages_by_host``: host, html, one row per host. The
     first place per host counts. A page worth 50 points or more proves a channel. Places whose page is
-    missing or short score 0.
+    missing, or shorter than ``min_html`` where that is given, score 0.
     """
     leads = places.withColumn("domain", text.host(F.col("url"))).where(
         (F.length("name") >= 3) & ~has_any(F.lower("name"), not_words) & (F.length("domain") >= 5)
         & ~has_any(F.col("domain"), skip) & pages.is_travel_supplier(F.col("name"), F.col("domain")))
     # Pages are scored before the join, so their text is not shuffled with the places.
-    scored = (pages_by_host.where(F.length("html") >= min_html)
+    long_enough = pages_by_host if min_html is None else pages_by_host.where(F.length("html") >= min_html)
+    scored = (long_enough
               .withColumns({"_s": pages.supplier_signals(F.col("html"), cities), "_geo": pages.embedded_geo(F.col("html"))})
               .select("host", F.col("_s.score").alias("_score"), "_geo"))
     wide = (leads.join(scored, F.col("domain") == F.col("host"), "left").withColumn("score", F.coalesce("_score", F.lit(0)))

@@ -150,12 +150,15 @@ def _(t):
 _WORDS = "list_filter(regexp_split_to_array(lower({e}), '[^\\p{{L}}\\p{{N}}''-]+'), lambda w: w <> '')"
 
 
-def sql_mention(source: str, key: str, expr: str) -> str:
+def sql_mention(source: str, key: str, expr: str, stated: str = "NULL") -> str:
     """CTE ``mention(key, mention, mention_country)``."""
-    return f"""mw AS (SELECT {key}, {_WORDS.format(e=expr)} AS w FROM {source}),
-mp AS (SELECT {key}, w, unnest(range(1, len(w) + 1)) AS p FROM mw), ms AS (SELECT {key}, p, n, array_to_string(w[p:p + n - 1], ' ') AS s FROM mp, (SELECT unnest([1, 2, 3]) AS n) WHERE p + n - 1 <= len(w)),
-mn AS (SELECT lower(name) AS k, arg_min(name, city_id) AS name, arg_min(country, city_id) AS country FROM cities GROUP BY 1),
-mention AS (SELECT {key}, name AS mention, country AS mention_country FROM ms JOIN mn ON s = k AND NOT {sql_garbage_city('k')} QUALIFY row_number() OVER (PARTITION BY {key} ORDER BY p, n DESC) = 1)"""
+    return f"""mw AS (SELECT {key}, lower({expr}) AS tx, lower(trim(CAST({stated} AS VARCHAR))) AS st, {_WORDS.format(e=expr)} AS w FROM {source}),
+mp AS (SELECT {key}, tx, st, w, unnest(range(1, len(w) + 1)) AS p FROM mw),
+ml AS (SELECT unnest(range(1, 1 + (SELECT max(len(regexp_split_to_array(trim(lower(name)), '\\s+'))) FROM cities))) AS n),
+ms AS (SELECT {key}, tx, st, p, n, array_to_string(w[p:p + n - 1], ' ') AS s FROM mp, ml WHERE p + n - 1 <= len(w)),
+mn AS (SELECT lower(name) AS k, lower(country) AS ck, arg_min(name, city_id) AS name, arg_min(country, city_id) AS country, min(city_id) AS id FROM cities GROUP BY 1, 2),
+mention AS (SELECT {key}, name AS mention, country AS mention_country FROM ms JOIN mn ON s = k AND NOT {sql_garbage_city('k')} QUALIFY row_number() OVER (PARTITION BY {key}
+ ORDER BY p, n DESC, CASE WHEN contains(tx, ck) THEN 0 ELSE 1 END, CASE WHEN ck = st THEN 0 ELSE 1 END, id) = 1)"""
 
 
 @query("geo2_text_mention", f"""
@@ -169,7 +172,7 @@ def _(t):
 @query("geo1_resolve", f"""
 WITH {inputs.CITIES_SQL}, {inputs.COUNTRIES_SQL}, {inputs.RAW_SQL},
 r AS (SELECT product_id, CASE WHEN product_id % 2 = 0 THEN 'Private tour' ELSE title END AS title, CASE WHEN product_id % 2 = 0 THEN 'Nice' ELSE description END AS description, city_raw, country_raw FROM raw),
-b AS (SELECT *, CASE WHEN NOT {sql_garbage_city('city_raw')} THEN trim(city_raw) END AS cr, nullif(trim(country_raw), '') AS pr, title || ' ' || description AS x FROM r), {sql_mention('b', 'product_id', 'x')},
+b AS (SELECT *, CASE WHEN NOT {sql_garbage_city('city_raw')} THEN trim(city_raw) END AS cr, nullif(trim(country_raw), '') AS pr, title || ' ' || description AS x FROM r), {sql_mention('b', 'product_id', 'x', 'pr')},
 m AS (SELECT b.*, mention, mention_country FROM b LEFT JOIN mention USING (product_id)), q AS (SELECT cr AS phrase, lower(pr) AS country FROM m WHERE mention IS NULL AND cr IS NOT NULL), {sql_best_city('q')},
 f AS (SELECT m.*, fuzzy.city AS fc, fuzzy.city_country AS fcc, co.country AS known FROM m LEFT JOIN fuzzy ON mention IS NULL AND cr = fuzzy.phrase AND lower(pr) IS NOT DISTINCT FROM fuzzy.country
  LEFT JOIN countries co ON length(pr) >= 2 AND lower(pr) = lower(co.country)),
@@ -565,7 +568,7 @@ _cat = case_words("lower(title || ' ' || description)", vocab.STAGE_CATEGORY_RUL
 @query("cls12_normalise", f"""
 WITH {inputs.CITIES_SQL}, {inputs.COUNTRIES_SQL}, {inputs.RAW_SQL},
 r0 AS (SELECT * REPLACE ({_NT} AS title, {_ND} AS description) FROM raw), r AS (SELECT *, {_act} AS activity FROM r0 WHERE length(title) >= 5),
-b AS (SELECT *, CASE WHEN NOT {sql_garbage_city('city_raw')} THEN trim(city_raw) END AS cr, nullif(trim(country_raw), '') AS pr, title || ' ' || description AS x FROM r), {sql_mention('b', 'product_id', 'x')},
+b AS (SELECT *, CASE WHEN NOT {sql_garbage_city('city_raw')} THEN trim(city_raw) END AS cr, nullif(trim(country_raw), '') AS pr, title || ' ' || description AS x FROM r), {sql_mention('b', 'product_id', 'x', 'pr')},
 m AS (SELECT b.*, mention, mention_country FROM b LEFT JOIN mention USING (product_id)), q AS (SELECT cr AS phrase, lower(pr) AS country FROM m WHERE mention IS NULL AND cr IS NOT NULL), {sql_best_city('q')},
 f AS (SELECT m.*, fuzzy.city AS fc, fuzzy.city_country AS fcc, co.country AS known FROM m LEFT JOIN fuzzy ON mention IS NULL AND cr = fuzzy.phrase AND lower(pr) IS NOT DISTINCT FROM fuzzy.country
  LEFT JOIN countries co ON length(pr) >= 2 AND lower(pr) = lower(co.country)),
@@ -574,7 +577,7 @@ z AS (SELECT *, coalesce(mention, fc) AS city, coalesce(mention_country, fcc, CA
  CASE WHEN mention IS NOT NULL THEN 0.9 WHEN fc IS NOT NULL THEN 0.75 WHEN by_raw THEN 0.35 ELSE 0 END AS lc, {sql_stage_price('x')[0]} AS eur, {sql_stage_price('x')[1]} AS est,
  {sql_signature("coalesce(mention, fc)", 'activity', 'title', vocab.SIGNATURE_STOP)} AS sk FROM u)
 SELECT product_id, title, city, country, activity, CASE WHEN activity = 'TRANSFER' THEN 'TRANSPORT' ELSE {_cat} END AS category, eur AS price, est AS price_is_estimated,
- substr(sk, 1, 80) || '_' || substr(md5(sk), 1, 16) AS matching_signature,
+ sk || '_' || substr(md5(sk), 1, 16) AS matching_signature,
  concat_ws(' | ', 'Activity: ' || title, 'Location: ' || coalesce(city, 'Unknown') || ', ' || coalesce(country, 'Unknown'), 'Type: ' || activity, 'Category: ' || CASE WHEN activity = 'TRANSFER' THEN 'TRANSPORT' ELSE {_cat} END, description) AS embedding_text,
  CAST(round(least(1.0, 0.2 + 0.1 + CASE WHEN eur IS NOT NULL AND NOT est THEN 0.2 ELSE 0 END + CASE WHEN city IS NOT NULL THEN 0.2 ELSE 0 END + CASE WHEN country IS NOT NULL THEN 0.1 ELSE 0 END + 0.1 + lc * 0.1), 2) AS DOUBLE) AS confidence FROM z""")
 def _(t):

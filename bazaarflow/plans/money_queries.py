@@ -269,12 +269,12 @@ _tag_list = ", ".join(f"CASE WHEN {any_of('d', kws)} THEN {quoted(l)} END" for l
 WITH {inputs.RAW_SQL}, x AS (SELECT product_id, lower(title || ' ' || description) AS d FROM raw)
 SELECT product_id, {', '.join(f'{any_of("d", kws)} AS {l}' for l, kws in vocab.FLAG_WORDS)},
  {', '.join(f'{any_of("d", kws)} AS stage_{l}' for l, kws in vocab.STAGE_FLAG_WORDS)},
- array_to_string(list_sort(list_filter([{_tag_list}], lambda k: k IS NOT NULL))[1:20], ',') AS tags FROM x""")
+ array_to_string(list_sort(list_filter([{_tag_list}], lambda k: k IS NOT NULL)), ',') AS tags FROM x""")
 def _(t):
     d = F.lower(F.concat(c("title"), F.lit(" "), c("description")))
     stage = rules.flags(d, [(f"stage_{k}", w) for k, w in vocab.STAGE_FLAG_WORDS])
     return inputs.raw(t).withColumn("_f", rules.flags(d, vocab.FLAG_WORDS)).withColumn("_s", stage).select(
-        "product_id", "_f.*", "_s.*", F.array_join(rules.tags(d, vocab.TAG_WORDS, vocab.TAG_LIMIT), ",").alias("tags"))
+        "product_id", "_f.*", "_s.*", F.array_join(rules.tags(d, vocab.TAG_WORDS), ",").alias("tags"))
 
 
 @query("cls7_marketplace", f"""

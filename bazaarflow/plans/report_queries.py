@@ -263,7 +263,7 @@ def _products(t):
 
 @query("jn12_review_queue", f"""
 WITH {inputs.MATCHES_SQL}, {_PROD}, {inputs.SUPPLIERS_SQL} SELECT match_id, title, name AS supplier_name, domain FROM matches JOIN prods USING (product_id) LEFT JOIN suppliers USING (supplier_id)
-WHERE match_status = 'NEW_PRODUCT' AND validation_decision IS NULL ORDER BY created_at DESC, match_id DESC LIMIT 200""")
+WHERE match_status = 'NEW_PRODUCT' AND validation_decision IS NULL ORDER BY created_at DESC, match_id DESC""")
 def _(t):
     sup = inputs.suppliers(t).select("supplier_id", "name", "domain")
     return reports.review_queue(inputs.matches(t), _products(t), sup).select("match_id", "title", c("name").alias("supplier_name"), "domain")

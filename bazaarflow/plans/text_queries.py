@@ -237,8 +237,8 @@ def sql_signature(city: str, activity: str, title: str, stop) -> str:
 @query("txt15_matching_signature", f"""
 WITH {inputs.CATALOG_SQL}, k AS (SELECT catalog_id, {sql_signature('city', 'activity', 'name', vocab.SIGNATURE_STOP)} AS a,
  {sql_signature('city', 'activity', 'name_en', vocab.CATALOG_SIGNATURE_STOP)} AS b FROM catalog)
-SELECT catalog_id, substr(a, 1, 80) || '_' || substr(md5(a), 1, 16) AS signature,
- substr(b, 1, 80) || '_' || substr(md5(b), 1, 16) AS catalog_signature FROM k""")
+SELECT catalog_id, a || '_' || substr(md5(a), 1, 16) AS signature,
+ b || '_' || substr(md5(b), 1, 16) AS catalog_signature FROM k""")
 def _(t):
     return inputs.catalog(t).select("catalog_id", text.signature(c("city"), c("activity"), c("name")).alias("signature"),
                                     text.signature(c("city"), c("activity"), c("name_en"), vocab.CATALOG_SIGNATURE_STOP).alias("catalog_signature"))

@@ -215,7 +215,7 @@ ok AS (SELECT * FROM p WHERE length(name) >= 3 AND NOT {any_of('lower(name)', vo
  AND {any_of("lower(name || ' ' || domain)", vocab.TRAVEL_WORDS)}),
 w AS (SELECT ok.*, h.html, CASE WHEN h.html IS NULL THEN 0 ELSE {sql_score('lower(h.html)')}) END AS score,
  {any_of("lower(name || ' ' || description || ' ' || domain)", vocab.API_SIGNALS)} AS has_api, {_channel("lower(name || ' ' || description || ' ' || domain)")} AS channel_name
- FROM ok LEFT JOIN h ON domain = h.host AND length(h.html) >= 300),
+ FROM ok LEFT JOIN h ON domain = h.host),
 z AS (SELECT *, channel_name IS NOT NULL OR score >= 50 AS has_channel FROM w)
 SELECT domain, seq, name, score, channel_name, CASE WHEN has_api AND has_channel THEN 'BOTH' WHEN has_api THEN 'API' ELSE 'CHANNEL' END AS connection
 FROM z WHERE has_api OR has_channel QUALIFY row_number() OVER (PARTITION BY domain ORDER BY seq) = 1""")
@@ -246,11 +246,11 @@ def _(t):
 
 @query("src2_supplier_reads", f"""
 WITH {inputs.SUPPLIERS_SQL} SELECT supplier_id, name, score, connection FROM suppliers JOIN nation ON country_id = n_nationkey
-WHERE (has_api OR has_channel) AND contains(lower(n_name), 'nation_1') AND run_id = 'run-1' ORDER BY score DESC, supplier_id LIMIT 5000""")
+WHERE (has_api OR has_channel) AND contains(lower(n_name), 'nation_1') AND run_id = 'run-1' ORDER BY score DESC, supplier_id""")
 def _(t):
     wanted = t.nation.select(c("n_nationkey").alias("country_id"), c("n_name").alias("country"))
     rows = readers.suppliers_of_countries(readers.supplier_rows(inputs.suppliers(t), run_id="run-1", connectable=True), wanted, "Nation_1")
-    return rows.select("supplier_id", "name", "score", "connection").orderBy(F.desc("score"), "supplier_id").limit(5000)
+    return rows.select("supplier_id", "name", "score", "connection").orderBy(F.desc("score"), "supplier_id")
 
 
 @query("src3_country_dimension", "SELECT n_nationkey AS country_id, n_name AS country, r_name AS zone, n_regionkey AS zone_id FROM nation JOIN region ON n_regionkey = r_regionkey")
@@ -369,7 +369,7 @@ def _(t):
                              F.when(c("category_raw") == "promo", "TICKET").otherwise(c("category_raw")).alias("activity"), c("category_raw").alias("category"),
                              F.lit(None).cast("int").alias("duration_minutes"), F.lit(None).cast("boolean").alias("price_is_estimated"), "url", "source", "run_id",
                              F.lit(None).cast("double").alias("similarity"), F.lit("s").alias("supplier_name"), F.lit("d").alias("supplier_domain"))
-    return sinks.product_export(r, name_cap=None, text_cap=None).select(
+    return sinks.product_export(r).select(
         "product_id", "name", "type", "list_price", "description", "activity", "country", "method", "similarity", "sale_ok")
 
 

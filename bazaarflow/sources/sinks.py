@@ -28,7 +28,7 @@ def write_csv(df: DataFrame, path: str, columns: Sequence[str]) -> None:
         "escape", '"').csv(path)
 
 
-def product_export(df: DataFrame, *, methods=vocab.SOURCE_METHODS, name_cap: int | None = 250, text_cap: int | None = 2000,
+def product_export(df: DataFrame, *, methods=vocab.SOURCE_METHODS, name_cap: int | None = None, text_cap: int | None = None,
                    names: Mapping[str, str] | None = None) -> DataFrame:
     """Products in the shop's fields, with defaults; ``names`` renames fields to those of the target system."""
     activity = F.when(F.col("activity").isin("EXCURSION", "TICKET", "TRANSFER"), F.col("activity")).otherwise(F.lit("EXCURSION"))

