@@ -15,6 +15,9 @@ from pyspark.sql import functions as F
 
 from bazaarflow.llm.common import materialise
 
+#: Rows of two numbers that may be broadcast.
+BROADCAST_ROWS = 1_000_000
+
 
 def _state(links: DataFrame) -> tuple:
     return tuple(links.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first())
@@ -38,15 +41,19 @@ def components(links: DataFrame) -> DataFrame:
         .unionByName(links.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct())
 
 
-def linked(entries: DataFrame, verified: Callable[[DataFrame], DataFrame]) -> DataFrame:
+def linked(entries: DataFrame, verified: Callable[[DataFrame], DataFrame],
+           across: Callable[[DataFrame], DataFrame]) -> DataFrame:
     """Rows (node, component) of the nodes that have a link, from candidates (bucket, node), each once.
 
     ``verified`` keeps the pairs (u, v), u < v, that are links. In a bucket every node is compared with the one whose buckets
-    hold most nodes, not with all. Where a bucket then still holds several components, nodes of different ones are
-    compared too. So no link between components is missed, and a group of copies does not become all its pairs.
+    hold most nodes, not with all. Where a bucket then still holds several components, the nodes outside its largest one
+    (``odd``) are compared with all those of other components. So no link between components is missed, and a group of
+    copies does not become all its pairs. ``across`` finds the links of such buckets from rows (bucket, node, part, odd).
     """
-    sizes = entries.groupBy("bucket").agg(F.count("*").alias("_n")).where("_n > 1")
-    shared = materialise(entries.join(sizes, "bucket"), "buckets")
+    sizes = materialise(entries.groupBy("bucket").agg(F.count("*").alias("_n")).where("_n > 1"), "sizes")
+    # mostly few buckets are shared; their number is checked before they are broadcast
+    few = F.broadcast(sizes) if sizes.count() <= BROADCAST_ROWS else sizes
+    shared = materialise(entries.join(few, "bucket"), "buckets")
     degree = shared.groupBy("node").agg(F.sum("_n").alias("_degree"))
     pivots = shared.join(degree, "node").groupBy("bucket").agg(F.max_by("node", F.struct("_degree", "node")).alias("_pivot"))
     first = shared.join(pivots, "bucket").where("node <> _pivot") \
@@ -55,10 +62,9 @@ def linked(entries: DataFrame, verified: Callable[[DataFrame], DataFrame]) -> Da
     links = materialise(verified(first).select("u", "v"), "verified")
     parts = components(links).withColumnRenamed("node", "_member")
     placed = materialise(shared.join(parts, F.col("node") == F.col("_member"), "left")
-                         .select("bucket", "node", F.coalesce("component", "node").alias("_part")), "placed")
-    mixed = placed.groupBy("bucket").agg(F.min("_part").alias("_low"), F.max("_part").alias("_high")).where("_low < _high")
-    left = materialise(placed.join(mixed.select("bucket"), "bucket"), "mixed")
-    a, b = (left.select("bucket", F.col("node").alias(u), F.col("_part").alias(p)) for u, p in (("u", "_pu"), ("v", "_pv")))
-    more = a.join(b, "bucket").where("_pu < _pv").select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v"))
-    more = materialise(more.distinct().join(first, ["u", "v"], "left_anti"), "pairs")
-    return components(links.unionByName(verified(more).select("u", "v")))
+                         .select("bucket", "node", F.coalesce("component", "node").alias("part")), "placed")
+    counts = placed.groupBy("bucket", "part").agg(F.count("*").alias("_n"))
+    main = counts.groupBy("bucket").agg(F.max_by("part", F.struct("_n", "part")).alias("_main"), F.count("*").alias("_parts"))
+    mixed = placed.join(main.where("_parts > 1"), "bucket").select("bucket", "node", "part", (F.col("part") != F.col("_main")).alias("odd"))
+    mixed = materialise(mixed, "mixed")
+    return components(links.unionByName(across(mixed).select("u", "v")))

@@ -9,12 +9,13 @@ k-mers of both together, as in a Jaccard index that respects order. For it to re
 be further apart in place than the k-mers that may go without one, so only that band is looked at.
 
 Texts with equal words are one class from the start. In a bucket of candidates each class is compared with the one that
-shares most sketches with others, not with all. When links have made components, classes that share a bucket but not
-a component are compared too; so no link between components is missed, and a group of copies never becomes all pairs.
+shares most sketches with others, not with all. When links have made components, the classes of a bucket that are not in
+its largest one are compared with those of other components, tile by tile: a task multiplies two tiles' k-mer matrices
+and returns only links that join components. So no link between components is missed, and pairs are never rows.
 
 Defined results: null texts and texts without words are alone; letters A-Z are compared without case; the id of a
 class is the smallest doc_id in it, null where all are null, and its document with the smallest id (null last) is the
-one kept, the first in the table among equal ids.
+one kept, the first in the table among equal ids; columns that begin with an underscore go.
 """
 
 from __future__ import annotations
@@ -28,7 +29,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from bazaarflow.llm import wordhash
-from bazaarflow.llm.common import materialise
+from bazaarflow.llm.common import materialise, numbered
 from bazaarflow.llm.components import linked
 
 SHINGLE = 5
@@ -163,9 +164,96 @@ def verified(pairs: DataFrame, rows: DataFrame, threshold: float) -> DataFrame:
     return joined.mapInArrow(compare, "u long, v long, similarity double")
 
 
-def numbered(docs: DataFrame) -> DataFrame:
-    """The documents with a number of their own, written so that it stays."""
-    return materialise(docs.withColumn("_rid", F.monotonically_increasing_id()), "numbered")
+def joining(kmers: list[np.ndarray], parts: list[int], left: list[int], right: list[int], threshold: float) -> list[tuple[int, int]]:
+    """Pairs (i of left, j of right) that are links and join parts that no pair before them has joined."""
+    root: dict[int, int] = {}
+
+    def find(x: int) -> int:
+        while root.get(x, x) != x:
+            root[x] = x = root.get(root[x], root[x])
+        return x
+
+    # k-mers that only one text has are left out of the matrices
+    every = np.concatenate(kmers)
+    of_text = np.repeat(np.arange(len(kmers)), [len(k) for k in kmers])
+    distinct, column, times = np.unique(every, return_inverse=True, return_counts=True)
+    number = np.cumsum(times > 1) - 1
+    keep = times[column] > 1
+    of_text, column = of_text[keep], number[column[keep]]
+    sizes = np.array([len(k) for k in kmers])
+    common = np.zeros((len(left), len(right)), np.float32)
+    row_of = {"l": np.full(len(kmers), -1), "r": np.full(len(kmers), -1)}
+    row_of["l"][left], row_of["r"][right] = np.arange(len(left)), np.arange(len(right))
+    order = np.argsort(column, kind="stable")
+    of_text, column = of_text[order], column[order]
+    width = 4096
+    for at in range(0, int(column[-1]) + 1 if len(column) else 0, width):
+        some = slice(*np.searchsorted(column, [at, at + width]))
+        sides = []
+        for key, n in (("l", len(left)), ("r", len(right))):
+            m = np.zeros((n, width), np.float32)
+            row = row_of[key][of_text[some]]
+            m[row[row >= 0], column[some][row >= 0] - at] = 1
+            sides.append(m)
+        common += sides[0] @ sides[1].T
+    both = sizes[left][:, None] + sizes[right][None, :]
+    part = np.array(parts)
+    found = []
+    for i, j in zip(*np.nonzero((common >= threshold * (both - common)) & (part[left][:, None] != part[right][None, :])), strict=True):
+        a, b = find(parts[left[i]]), find(parts[right[j]])
+        if a != b and similarity(kmers[left[i]], kmers[right[j]], threshold):
+            root[a] = b
+            found.append((left[i], right[j]))
+    return found
+
+
+def across(mixed: DataFrame, rows: DataFrame, threshold: float, tile: int = 512) -> DataFrame:
+    """Links (u, v) between components of a bucket, from rows (bucket, node, part, odd)."""
+    tiles = mixed.groupBy("bucket").agg(F.ceil(F.count("*") / tile).cast("int").alias("_tiles"))
+    texts = rows.select(F.col("_rid").alias("node"), "text").join(mixed.select("node").distinct(), "node", "left_semi")
+    placed = mixed.join(tiles, "bucket").join(texts, "node").withColumn("_own", F.pmod(F.xxhash64("node"), F.col("_tiles")).cast("int"))
+    others = F.explode(F.sequence(F.lit(0), F.col("_tiles") - 1))
+    left = placed.where("odd").withColumn("_other", others).select(
+        "bucket", F.col("_own").alias("_i"), F.col("_other").alias("_j"), F.lit(0).alias("_side"), "node", "part", "text")
+    right = placed.withColumn("_other", others).select(
+        "bucket", F.col("_other").alias("_i"), F.col("_own").alias("_j"), F.lit(1).alias("_side"), "node", "part", "text")
+    dealt = left.unionByName(right).repartition("bucket", "_i", "_j").sortWithinPartitions("bucket", "_i", "_j", "_side", "node")
+
+    def join(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        key, group = None, []
+
+        def links() -> list[tuple[int, int]]:
+            nodes: dict[int, int] = {}
+            left = [nodes.setdefault(g[1], len(nodes)) for g in group if g[0] == 0]
+            right = [nodes.setdefault(g[1], len(nodes)) for g in group if g[0] == 1]
+            by = {g[1]: g for g in group}
+            names = list(nodes)
+            found = joining([by[n][3] for n in names], [by[n][2] for n in names], left, right, threshold) if left and right else []
+            return [(min(names[i], names[j]), max(names[i], names[j])) for i, j in found]
+
+        def batch_of(found: list[tuple[int, int]]) -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array([f[0] for f in found], pa.int64()), pa.array([f[1] for f in found], pa.int64())],
+                                              names=["u", "v"])
+
+        for batch in batches:
+            for at in range(0, batch.num_rows, 500):
+                some = batch.slice(at, 500)
+                found = []
+                for words in wordhash.words(some.column(6)):
+                    kmers, count = labelled(words)
+                    found += np.split(kmers, np.cumsum(count)[:-1])
+                out = []
+                keys = zip(*[some.column(c).to_pylist() for c in (0, 1, 2)], strict=True)
+                for k, side, node, part, own in zip(keys, *[some.column(c).to_pylist() for c in (3, 4, 5)], found, strict=True):
+                    if k != key:
+                        out += links()
+                        key, group = k, []
+                    group.append((side, node, part, own))
+                if out:
+                    yield batch_of(out)
+        yield batch_of(links())
+
+    return dealt.mapInArrow(join, "u long, v long")
 
 
 def groups(rows: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
@@ -175,7 +263,7 @@ def groups(rows: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     exact = materialise(signed.groupBy(*digest).agg(F.min("_rid").alias("_rep"), F.first("_sketches").alias("_sketches")), "exact")
     # equal sketches of one text lead to one bucket, too
     entries = exact.select(F.explode(F.array_distinct("_sketches")).alias("bucket"), F.col("_rep").alias("node"))
-    parts = linked(entries, lambda pairs: verified(pairs, rows, threshold))
+    parts = linked(entries, lambda pairs: verified(pairs, rows, threshold), lambda mixed: across(mixed, rows, threshold))
     classes = exact.select(*digest, "_rep").join(parts, F.col("_rep") == F.col("node"), "left") \
         .select(*digest, F.coalesce("component", "_rep").alias("_class"))
     found = signed.select("_rid", *digest).join(classes, digest).select("_rid", "_class")
@@ -193,6 +281,6 @@ def classes(rows: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
 
 def deduplicated(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """The documents without near copies: one of each class, all columns."""
-    rows = numbered(docs)
+    rows = numbered(docs, "_rid")
     kept = classes(rows, threshold).where("kept").select("_rid")
     return rows.join(kept, "_rid", "left_semi").drop("_rid")

@@ -5,11 +5,11 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from bazaarflow.llm import neardup
-from bazaarflow.llm.common import table
+from bazaarflow.llm.common import numbered, table
 from bazaarflow.llm.registry import query
 
 
 @query("op8_order_minhash")
 def op8_order_minhash(spark: SparkSession, folder: str) -> DataFrame:
-    rows = neardup.numbered(table(spark, folder, "documents").select("doc_id", "text"))
+    rows = numbered(table(spark, folder, "documents").select("doc_id", "text"), "_rid")
     return neardup.classes(rows).drop("_rid")
