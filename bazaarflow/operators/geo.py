@@ -66,9 +66,8 @@ def mapped(c: Column, pairs: Sequence[tuple[str, str]]) -> Column:
 def country_of_city(df: DataFrame, city: str, cities: DataFrame, out: str = "country_of_city",
                     static=vocab.CITY_COUNTRIES) -> DataFrame:
     """Country of a city name: the short fixed list first, then the gazetteer."""
-    pairs = [(c, country) for country, names in static for c in names]
     found = lookup(df, F.col(city), cities, F.col("name"), [("country", "_dim")], "city_id")
-    return found.withColumn(out, F.coalesce(mapped(F.col(city), pairs), F.col("_dim"))).drop("_dim")
+    return found.withColumn(out, F.coalesce(mapped(F.col(city), static), F.col("_dim"))).drop("_dim")
 
 
 def country_of_iso(code: Column, pairs=vocab.ISO_COUNTRIES) -> Column:

@@ -189,7 +189,7 @@ def _(t):
     return out.select("product_id", "city", "country", "lat", "location_confidence", F.array_join("location_sources", ",").alias("sources"))
 
 
-_STATIC = [(x, country) for country, names in vocab.CITY_COUNTRIES for x in names]
+_STATIC = vocab.CITY_COUNTRIES
 _GEO_CITY = inputs.pick("p_size", "'Rome'", "' paris '", "p_name", "'nowhere'", "NULL")
 
 
