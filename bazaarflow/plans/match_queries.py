@@ -9,11 +9,11 @@ from pyspark.sql import functions as F
 from bazaarflow import vocab
 from bazaarflow.functions import similarity as sim
 from bazaarflow.functions import text
-from bazaarflow.operators import ann, embed, geo, lookup, matching, topk, trigram
+from bazaarflow.operators import ann, embed, geo, lookup, matching, trigram
 from bazaarflow.plans import inputs, normalise
-from bazaarflow.plans.money_queries import _STAGE_ACT, sql_stage_price
+from bazaarflow.plans.money_queries import sql_stage_price
 from bazaarflow.plans.registry import query
-from bazaarflow.plans.sqltext import any_match, any_of, case_equal, case_words, in_list, jaccard, quoted, values, words
+from bazaarflow.plans.sqltext import any_of, case_words, in_list, jaccard, values, words
 from bazaarflow.plans.text_queries import sql_drop_tags, sql_garbage_city, sql_signature
 from bazaarflow.plans.web_queries import sql_ground
 
@@ -253,7 +253,6 @@ def _(t):
 
 
 # --- scores over the pairs of equal brand and size ---------------------------------------------
-_DESC = "A {n} visit with guide and lunch for the whole {t} group."
 _PAIR = f"""pair AS (SELECT a.catalog_id AS left_id, b.catalog_id AS right_id, a.name AS title, b.name AS cat_title, b.name_en AS cat_title_en, a.description, b.description AS cat_description,
  a.city, b.city AS cat_city, a.country, b.country AS cat_country, a.category, b.category AS cat_category, a.price, b.price AS cat_price, a.activity
 FROM catalog a JOIN catalog b ON b.catalog_id = a.catalog_id + 1 OR b.catalog_id = a.catalog_id * 2)"""
@@ -559,7 +558,6 @@ def _(t):
 
 
 # --- the combined normalise job ---------------------------------------------------------------
-_CLEAN = "regexp_replace({}, '[\\x00-\\x08\\x0b\\x0c\\x0e-\\x1f]', '', 'g')"
 _NT, _ND = sql_drop_tags("title"), sql_drop_tags("description")
 _act = case_words("lower(title || ' ' || description || ' ' || category_raw)", vocab.STAGE_ACTIVITY_RULES, "EXCURSION")
 _cat = case_words("lower(title || ' ' || description)", vocab.STAGE_CATEGORY_RULES, "CULTUREL")
@@ -585,4 +583,3 @@ def _(t):
         "product_id", "title", "city", "country", "activity", "category", "price", "price_is_estimated", "matching_signature", "embedding_text", "confidence")
 
 
-_ = (any_match, case_equal, quoted, topk, _STAGE_ACT, _CLEAN, _DESC)

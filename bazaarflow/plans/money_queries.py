@@ -5,12 +5,11 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from bazaarflow import vocab
-from bazaarflow.functions import money, pages, rules, similarity, text
+from bazaarflow.functions import money, rules, similarity
 from bazaarflow.operators import geo
 from bazaarflow.plans import inputs, normalise
 from bazaarflow.plans.registry import query
 from bazaarflow.plans.sqltext import any_of, case_equal, case_words, hits, in_list, quoted, values
-from bazaarflow.plans.text_queries import sql_drop_tags, sql_replace, sql_signature, sql_squeeze, sql_strip
 
 c = F.col
 
@@ -376,4 +375,3 @@ def _(t):
         normalise.clean_confidence(c("name"), c("description"), F.coalesce(c("price").cast("string"), F.lit("")), F.array("city")).alias("cleaning"))
 
 
-_ = (pages, text, sql_drop_tags, sql_replace, sql_signature, sql_squeeze, sql_strip)
