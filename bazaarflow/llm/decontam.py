@@ -73,37 +73,51 @@ def _passages(words: wordhash.Words, size: int) -> np.ndarray:
     return np.repeat(first, words.counts) + inside // size
 
 
-def passage_counts(texts: DataFrame, shared, size: int = WINDOWS[1]) -> DataFrame:
-    """Rows (column, n): in how many passages a column's terms are; column -1 counts passages."""
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        vocabulary = shared.value
-        total = np.zeros(vocabulary.size + 1, np.int64)
+def passage_terms(texts: DataFrame, shared, size: int = WINDOWS[1]) -> DataFrame:
+    """Rows (passages, passage, column) for runs of texts: how many passages they have, and for each word of the vocabulary the
+    number of its passage in the run and its column, both as 32-bit integers. Written, as several passes read them."""
+    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for words in wordhash.words(batch.column(0)):
-                place, column = vocabulary.find(words.hashes)
-                passage = _passages(words, size)
-                pairs = np.unique(passage[place] * np.int64(vocabulary.size) + column)
-                total[:-1] += np.bincount(pairs % vocabulary.size, minlength=vocabulary.size)
-                total[-1] += int((-(-words.counts // size)).sum())
+                place, column = shared.value.find(words.hashes)
+                passage = _passages(words, size)[place]
+                yield pa.RecordBatch.from_arrays([
+                    pa.array([int((-(-words.counts // size)).sum())]), pa.array([passage.astype(np.int32).tobytes()], pa.binary()),
+                    pa.array([column.astype(np.int32).tobytes()], pa.binary())], names=["passages", "passage", "column"])
+
+    return materialise(texts.mapInArrow(rows, "passages long, passage binary, column binary"), "passage-terms")
+
+
+def _runs(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+    for batch in batches:
+        for n, passage, column in zip(*[batch.column(i).to_pylist() for i in range(3)], strict=True):
+            yield n, np.frombuffer(passage, np.int32), np.frombuffer(column, np.int32)
+
+
+def passage_counts(terms: DataFrame, size: int) -> DataFrame:
+    """Rows (column, n): in how many passages a column's terms are; column -1 counts passages. ``size``: columns."""
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros(size + 1, np.int64)
+        for n, passage, column in _runs(batches):
+            total[:-1] += np.bincount(np.unique(passage * np.int64(size) + column) % max(1, size), minlength=size)
+            total[-1] += n
         at = np.flatnonzero(total)
-        yield pa.RecordBatch.from_arrays([pa.array(np.where(at == vocabulary.size, -1, at)), pa.array(total[at])], names=["column", "n"])
+        yield pa.RecordBatch.from_arrays([pa.array(np.where(at == size, -1, at)), pa.array(total[at])], names=["column", "n"])
 
-    return texts.mapInArrow(count, "column long, n long").groupBy("column").agg(F.sum("n").alias("n"))
+    return terms.mapInArrow(count, "column long, n long").groupBy("column").agg(F.sum("n").alias("n"))
 
 
-def gram(vocabulary: Vocabulary, x: np.ndarray, runs: Iterator[wordhash.Words], size: int | None) -> tuple[np.ndarray, int]:
-    """A' A x over the passages of the texts, rows of length one, and how many rows count. ``size`` None: whole texts."""
-    out = np.zeros((vocabulary.size, x.shape[1]), np.float32)
+def gram(weights: np.ndarray, x: np.ndarray, runs: Iterator[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, int]:
+    """A' A x over passages, rows of length one, and how many rows count. A run: the passage and the column of each word."""
+    out = np.zeros((len(weights), x.shape[1]), np.float32)
     rows = 0
-    for words in runs:
-        place, column = vocabulary.find(words.hashes)
-        weight = vocabulary.weights[column]
-        place, column, weight = place[weight > 0], column[weight > 0], weight[weight > 0]
-        if not len(place):
+    for passage, column in runs:
+        weight = weights[column]
+        passage, column, weight = passage[weight > 0], column[weight > 0], weight[weight > 0]
+        if not len(passage):
             continue
-        passage = (words.text if size is None else _passages(words, size))[place]
         begin = np.flatnonzero(np.concatenate([[True], passage[1:] != passage[:-1]]))
-        number = np.repeat(np.arange(len(begin)), np.diff(np.concatenate([begin, [len(place)]])))
+        number = np.repeat(np.arange(len(begin)), np.diff(np.concatenate([begin, [len(passage)]])))
         weight = (weight / np.sqrt(np.add.reduceat(weight.astype(np.float64) ** 2, begin))[number]).astype(np.float32)
         y = np.add.reduceat(x[column] * weight[:, None], begin)
         order = np.argsort(column, kind="stable")
@@ -113,16 +127,12 @@ def gram(vocabulary: Vocabulary, x: np.ndarray, runs: Iterator[wordhash.Words],
     return out, rows
 
 
-def distributed_gram(texts: DataFrame, shared, x: np.ndarray) -> tuple[np.ndarray, int]:
+def distributed_gram(terms: DataFrame, weights: np.ndarray, x: np.ndarray) -> tuple[np.ndarray, int]:
     """The sum of gram() over all tasks, by row of the result."""
-    factor = texts.sparkSession.sparkContext.broadcast(x)
+    shared = terms.sparkSession.sparkContext.broadcast((weights, x))
 
     def part(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def runs() -> Iterator[wordhash.Words]:
-            for batch in batches:
-                yield from wordhash.words(batch.column(0))
-
-        out, rows = gram(shared.value, factor.value, runs(), WINDOWS[1])
+        out, rows = gram(*shared.value, ((passage, column) for _, passage, column in _runs(batches)))
         used = np.flatnonzero(np.abs(out).sum(1) > 0)
         # blocks of columns go to one place each, to be added there
         for block in np.unique(used // 256):
@@ -141,7 +151,7 @@ def distributed_gram(texts: DataFrame, shared, x: np.ndarray) -> tuple[np.ndarra
             pa.array([key[0].as_py()]), pa.array([total.astype(np.float32).tobytes()], pa.binary()), pa.array([rows])], names=["begin", "data", "rows"])
 
     schema = "begin long, data binary, rows long"
-    summed = texts.mapInArrow(part, schema).groupBy("begin").applyInArrow(add, schema)
+    summed = terms.mapInArrow(part, schema).groupBy("begin").applyInArrow(add, schema)
     out, rows = np.zeros_like(x, dtype=np.float32), 0
     # at most TERMS rows of the sketch
     for r in summed.toLocalIterator():
@@ -188,16 +198,17 @@ def fit(docs: DataFrame, items: list[str], seed: int = 0) -> Space:
     texts = docs.select(F.lower(F.col("text").cast("string")).alias("text"))
     runs = list(wordhash.words(pa.array(items, pa.string())))
     vocabulary = vocabulary_of(np.concatenate([w.hashes for w in runs]) if runs else np.empty(0, np.uint64))
-    counts = {r["column"]: r["n"] for r in passage_counts(texts, spark.sparkContext.broadcast(vocabulary)).collect()}
+    terms = passage_terms(texts, spark.sparkContext.broadcast(vocabulary))
+    counts = {r["column"]: r["n"] for r in passage_counts(terms, vocabulary.size).collect()}
     n = max(1, counts.get(-1, 0)) + len(items)
     found = np.array([counts.get(i, 0) for i in range(vocabulary.size)], float) + 1
     vocabulary.weights = np.where(found <= max(1, MAX_SHARE * n), np.log(n / found), 0).astype(np.float32)
-    shared = spark.sparkContext.broadcast(vocabulary)
+    own_runs = [(w.text[place], column) for w in runs for place, column in [vocabulary.find(w.hashes)]]
     width = min(RANK + OVERSAMPLE, max(1, vocabulary.size))
     x = np.random.default_rng(seed).standard_normal((vocabulary.size, width)).astype(np.float32)
     for last in (False, True):
-        own, rows_own = gram(vocabulary, x, iter(runs), None)
-        whole, rows = distributed_gram(texts, shared, x)
+        own, rows_own = gram(vocabulary.weights, x, own_runs)
+        whole, rows = distributed_gram(terms, vocabulary.weights, x)
         y = whole + own * np.float32(max(1, rows) / max(1, rows_own))
         if not last:
             x = np.linalg.qr(y.astype(np.float64))[0].astype(np.float32)

@@ -79,8 +79,11 @@ def test_latent_space_equals_a_dense_decomposition(frame, spark):
     space = decontam.fit(frame(list(enumerate(texts))), items)
     v = space.vocabulary
     x = np.eye(v.size, dtype=np.float32)
-    dense, rows = decontam.gram(v, x, wordhash.words(pa.array(texts)), decontam.WINDOWS[1])
-    own, n = decontam.gram(v, x, wordhash.words(pa.array(items)), None)
+    def runs(texts, passage):
+        return [(passage(w)[place], column) for w in wordhash.words(pa.array(texts)) for place, column in [v.find(w.hashes)]]
+
+    dense, rows = decontam.gram(v.weights, x, runs(texts, lambda w: decontam._passages(w, decontam.WINDOWS[1])))
+    own, n = decontam.gram(v.weights, x, runs(items, lambda w: w.text))
     dense = dense + own * rows / n
     basis = np.where(v.weights[:, None] > 0, space.terms / np.maximum(v.weights[:, None], 1e-9), 0)
     values = np.linalg.eigvalsh(dense.astype(float))[::-1]
