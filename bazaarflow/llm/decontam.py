@@ -1,9 +1,9 @@
 """Benchmark decontamination by latent semantic retrieval.
 
 A passage is a run of words of a document, in windows of several lengths that overlap by half. Terms are the words of the
-benchmark that are in at most ``MAX_SHARE`` of the passages; others say nothing about an item. The matrix of TF-IDF weighted
-passages, of all documents and of the benchmark (whose rows together weigh as much), is decomposed by a randomised SVD:
-tasks multiply their rows with a random matrix and back, a sum over tasks gives the sketch, and a second pass refines it.
+benchmark; the more passages a word is in, the less it weighs, but never nothing. The matrix of TF-IDF weighted passages,
+of all documents and of the benchmark (whose rows together weigh as much), is decomposed by a randomised SVD: tasks multiply
+their rows with a random matrix and back, a sum over tasks gives the sketch, and a second pass refines it.
 A window whose vector in the latent space has a cosine of at least ``COSINE`` with an item's is a candidate.
 
 A candidate is a leak if the longest common subsequence of its words and the item's has ``LCS`` of the item's words, or
@@ -31,7 +31,6 @@ from bazaarflow.llm import wordhash
 from bazaarflow.llm.common import materialise, numbered
 
 WINDOWS = (32, 64, 128)
-MAX_SHARE = 0.05
 RANK, OVERSAMPLE = 80, 16
 COSINE = 0.6
 LCS, PARAPHRASE = 0.8, 0.6
@@ -202,7 +201,7 @@ def fit(docs: DataFrame, items: list[str], seed: int = 0) -> Space:
     counts = {r["column"]: r["n"] for r in passage_counts(terms, vocabulary.size).collect()}
     n = max(1, counts.get(-1, 0)) + len(items)
     found = np.array([counts.get(i, 0) for i in range(vocabulary.size)], float) + 1
-    vocabulary.weights = np.where(found <= max(1, MAX_SHARE * n), np.log(n / found), 0).astype(np.float32)
+    vocabulary.weights = np.log1p(n / found).astype(np.float32)
     own_runs = [(w.text[place], column) for w in runs for place, column in [vocabulary.find(w.hashes)]]
     width = min(RANK + OVERSAMPLE, max(1, vocabulary.size))
     x = np.random.default_rng(seed).standard_normal((vocabulary.size, width)).astype(np.float32)
@@ -254,8 +253,6 @@ def _windows(words: wordhash.Words, size: int) -> tuple[np.ndarray, np.ndarray,
 def candidates(space: Space, items: Items, words: wordhash.Words, cosine: float) -> Iterator[tuple[int, int, int, int, float]]:
     """(text, first word, end, item, cosine) of the windows near an item."""
     place, column = space.vocabulary.find(words.hashes)
-    weighty = space.vocabulary.weights[column] > 0
-    place, column = place[weighty], column[weighty]
     if not len(place):
         return
     total = np.concatenate([np.zeros((1, space.terms.shape[1])), np.cumsum(space.terms[column], axis=0, dtype=np.float64)])

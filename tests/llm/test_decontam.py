@@ -89,3 +89,10 @@ def test_latent_space_equals_a_dense_decomposition(frame, spark):
     values = np.linalg.eigvalsh(dense.astype(float))[::-1]
     k = min(decontam.RANK, basis.shape[1])
     assert np.trace(basis.T @ dense @ basis) > 0.97 * values[:k].sum()
+
+
+def test_a_leak_in_a_third_of_the_rows_is_found_in_all(frame, benchmark):
+    rows = [(i + 100, f"{prose(4000 + i, 40)} {ITEMS[4]} {prose(5000 + i, 40)}" if i % 3 == 0 else prose(4000 + i, 120)) for i in range(120)]
+    rows.append((500, f"{prose(6000, 60)} {ITEMS[2]} {prose(6001, 30)}"))
+    found = {(r["doc_id"], r["item_id"]) for r in decontam.leaks(frame(rows), benchmark).collect()}
+    assert found == {(i + 100, 4) for i in range(0, 120, 3)} | {(500, 2)}
