@@ -6,11 +6,16 @@ of all documents and of the benchmark (whose rows together weigh as much), is de
 their rows with a random matrix and back, a sum over tasks gives the sketch, and a second pass refines it.
 A window whose vector in the latent space has a cosine of at least ``COSINE`` with an item's is a candidate.
 
+Whatever the cosine, an inverted index adds all windows that can be leaks, of the first length that is at least twice the
+item's: a leak has ``PARAPHRASE`` of the item's words, so of as many of its rarest words as may be missing and ``HITS``
+more it has at least ``HITS``. No leak within such a window is lost, however many items there are; the latent space adds
+looser ones from longer windows.
+
 A candidate is a leak if the longest common subsequence of its words and the item's has ``LCS`` of the item's words, or
 ``PARAPHRASE`` of them and the whole answer in it too. The answer is the item's last sentence, its last quarter if it has one.
 
 The benchmark is the query set: its words and items are broadcast, in blocks of ``BLOCK`` items. Words beyond ``TERMS``
-distinct ones share columns, which bounds the matrices.
+distinct ones share columns, which bounds the matrices; the index keeps them apart.
 
 Letters are compared without case. Defined results: a null or wordless text leaks nothing; a null or wordless item is left out; equal items are items of their
 own; several windows give one row for each document and item, with the best values; equal rows leak alike; clean()
@@ -35,6 +40,7 @@ RANK, OVERSAMPLE = 80, 16
 COSINE = 0.6
 LCS, PARAPHRASE = 0.8, 0.6
 TERMS, BLOCK = 1 << 16, 4096
+HITS = 4
 
 
 @dataclass
@@ -162,6 +168,34 @@ def distributed_gram(terms: DataFrame, weights: np.ndarray, x: np.ndarray) -> tu
     return out, rows
 
 
+@dataclass
+class Index:
+    """Items by their rarest words."""
+
+    hashes: np.ndarray  # in order, one for each word and item
+    items: np.ndarray
+    hits: np.ndarray  # how many a window needs, by item
+
+    @classmethod
+    def of(cls, vocabulary: Vocabulary, words: list[np.ndarray], paraphrase: float) -> Index:
+        rare, hits = [], np.zeros(len(words), np.int64)
+        for i, w in enumerate(words):
+            needed = max(1, int(np.ceil(paraphrase * len(w) - 1e-9)))
+            hits[i] = min(HITS, needed)
+            order = np.argsort(-vocabulary.weights[vocabulary.find(w)[1]], kind="stable")
+            rare.append(np.unique(w[order[: len(w) - needed + hits[i]]]))
+        hashes = np.concatenate(rare) if rare else np.empty(0, np.uint64)
+        order = np.argsort(hashes, kind="stable")
+        return cls(hashes[order], np.repeat(np.arange(len(words)), [len(r) for r in rare])[order], hits)
+
+    def find(self, words: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The places of the words that are in it, and an item of each; once for each item of a word."""
+        low, high = np.searchsorted(self.hashes, words), np.searchsorted(self.hashes, words, "right")
+        n = high - low
+        inside = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
+        return np.repeat(np.arange(len(words)), n), self.items[np.repeat(low, n) + inside]
+
+
 @dataclass
 class Items:
     """The benchmark: one block of items."""
@@ -170,6 +204,7 @@ class Items:
     words: list[np.ndarray]
     answers: list[np.ndarray]
     vectors: np.ndarray  # in the latent space, of length one
+    index: Index
 
 
 @dataclass
@@ -216,14 +251,15 @@ def fit(docs: DataFrame, items: list[str], seed: int = 0) -> Space:
     return Space(vocabulary, (basis * vocabulary.weights[:, None]).astype(np.float32))
 
 
-def items_of(space: Space, ids: list[int], texts: list[str]) -> Items:
+def items_of(space: Space, ids: list[int], texts: list[str], paraphrase: float = PARAPHRASE) -> Items:
     split = lambda x: [p for w in wordhash.words(pa.array(x, pa.string())) for p in np.split(w.hashes, np.cumsum(w.counts)[:-1])]
     words = split(texts)
     vectors = np.zeros((len(words), space.terms.shape[1]), np.float32)
     for i, w in enumerate(words):
         vectors[i] = space.terms[space.vocabulary.find(w)[1]].sum(0)
     length = np.linalg.norm(vectors, axis=1, keepdims=True)
-    return Items(np.array(ids, np.int64), words, split([answer(t) for t in texts]), vectors / np.maximum(length, 1e-12))
+    return Items(np.array(ids, np.int64), words, split([answer(t) for t in texts]), vectors / np.maximum(length, 1e-12),
+                 Index.of(space.vocabulary, words, paraphrase))
 
 
 def lcs(a: np.ndarray, b: np.ndarray) -> int:
@@ -250,8 +286,25 @@ def _windows(words: wordhash.Words, size: int) -> tuple[np.ndarray, np.ndarray,
     return text, begin, np.minimum(begin + size, base[text] + words.counts[text])
 
 
+def _looked_up(items: Items, words: wordhash.Words, place: np.ndarray, item: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
+    """The windows, by number, and the items of which they have enough rare words."""
+    half = size // 2
+    count = np.where(words.counts > 0, np.maximum(1, -(-words.counts // half) - 1), 0)
+    first = np.cumsum(count) - count
+    bounds = words.bounds
+    text = np.searchsorted(bounds, place, "right") - 1
+    number = (place - bounds[text]) // half
+    # a word is in the window that begins with its half and in the one before
+    key = np.concatenate([(first[text] + number - back)[fits] * len(items.words) + item[fits]
+                          for back in (0, 1) for fits in [(number >= back) & (number - back < count[text])]])
+    key, n = np.unique(key, return_counts=True)
+    window, item = key // len(items.words), key % len(items.words)
+    enough = n >= items.index.hits[item]
+    return window[enough], item[enough]
+
+
 def candidates(space: Space, items: Items, words: wordhash.Words, cosine: float) -> Iterator[tuple[int, int, int, int, float]]:
-    """(text, first word, end, item, cosine) of the windows near an item."""
+    """(text, first word, end, item, cosine) of the windows near an item or with enough of its rare words."""
     place, column = space.vocabulary.find(words.hashes)
     if not len(place):
         return
@@ -260,16 +313,25 @@ def candidates(space: Space, items: Items, words: wordhash.Words, cosine: float)
     sizes = list(WINDOWS)
     while sizes[-1] < 2 * longest:
         sizes.append(2 * sizes[-1])
+    rare, of = items.index.find(words.hashes[place])
+    rare = place[rare]
+    fitting = np.array(sizes)[np.searchsorted(sizes, [2 * len(w) for w in items.words])]
     for size in sizes:
         text, begin, end = _windows(words, size)
+        own = fitting[of] == size
+        window, item = _looked_up(items, words, rare[own], of[own], size)
         low, high = np.searchsorted(place, begin), np.searchsorted(place, end)
         some = high > low
+        window = (np.cumsum(some) - 1)[window]
         text, begin, end, low, high = text[some], begin[some], end[some], low[some], high[some]
         for at in range(0, len(text), 4096):
             part = slice(at, at + 4096)
             vectors = (total[high[part]] - total[low[part]]).astype(np.float32)
             near = (vectors / np.maximum(np.linalg.norm(vectors, axis=1, keepdims=True), 1e-12)) @ items.vectors.T
-            for i, j in zip(*np.nonzero(near >= cosine), strict=True):
+            wanted = near >= cosine
+            inside = slice(*np.searchsorted(window, [at, at + len(vectors)]))
+            wanted[window[inside] - at, item[inside]] = True
+            for i, j in zip(*np.nonzero(wanted), strict=True):
                 yield text[at + i], begin[at + i], end[at + i], j, float(near[i, j])
 
 
@@ -289,7 +351,7 @@ def leaks(docs: DataFrame, benchmark: DataFrame, cosine: float = COSINE, share:
     space = fit(docs, texts)
     found = None
     for at in range(0, len(rows), BLOCK):
-        shared = spark.sparkContext.broadcast((space, items_of(space, ids[at : at + BLOCK], texts[at : at + BLOCK])))
+        shared = spark.sparkContext.broadcast((space, items_of(space, ids[at : at + BLOCK], texts[at : at + BLOCK], paraphrase)))
 
         def search(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
             space, items = shared.value

@@ -96,3 +96,35 @@ def test_a_leak_in_a_third_of_the_rows_is_found_in_all(frame, benchmark):
     rows.append((500, f"{prose(6000, 60)} {ITEMS[2]} {prose(6001, 30)}"))
     found = {(r["doc_id"], r["item_id"]) for r in decontam.leaks(frame(rows), benchmark).collect()}
     assert found == {(i + 100, 4) for i in range(0, 120, 3)} | {(500, 2)}
+
+
+def test_leaks_equal_brute_force_where_the_latent_space_finds_none(frame, spark):
+    """No window has a cosine of 2; the look-up alone finds the leaks of all windows of fitting length."""
+    import numpy as np
+    import pyarrow as pa
+    from bazaarflow.llm import wordhash
+
+    items = [prose(10_000 + i, 16 + i % 44) for i in range(0, 176, 3)]
+    rows = []
+    for i in range(len(items)):
+        words = items[i].split()
+        middle = [w if i % 2 or k % 4 or k >= len(words) * 3 // 4 - 6 else "other" for k, w in enumerate(words)]
+        rows.append((i, " ".join([prose(20_000 + i, i % 150), *middle, prose(30_000 + i, 80)])))
+    own = [next(iter(wordhash.words(pa.array([t.lower()])))).hashes for t in items]
+    answers = [next(iter(wordhash.words(pa.array([decontam.answer(t.lower())])))).hashes for t in items]
+    expected = set()
+    for doc_id, text in rows:
+        words = next(iter(wordhash.words(pa.array([text.lower()]))))
+        for j, item in enumerate(own):
+            size = next(s for s in decontam.WINDOWS if s >= 2 * len(item))
+            for _, begin, end in zip(*decontam._windows(words, size)):
+                window = words.hashes[begin:end]
+                if np.isin(item, window).sum() < 0.6 * len(item):
+                    continue
+                part = decontam.lcs(item, window) / len(item)
+                if part >= 0.8 or part >= 0.6 and decontam.lcs(answers[j], window) == len(answers[j]):
+                    expected.add((doc_id, j))
+    benchmark = spark.createDataFrame(list(enumerate(items)), "item_id long, text string")
+    found = {(r["doc_id"], r["item_id"]) for r in decontam.leaks(frame(rows), benchmark, cosine=2.0).collect()}
+    assert {(i, i) for i in range(1, len(items), 2)} <= expected and len(expected) > len(items) // 2
+    assert found == expected
