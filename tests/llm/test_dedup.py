@@ -155,3 +155,14 @@ def test_line_plans_have_no_python(frame):
     first = linedup.firsts(rows)
     plan = linedup.signatures(linedup.read_lines(rows, first))._jdf.queryExecution().executedPlan().toString()
     assert "Python" not in plan and "Arrow" not in plan
+
+
+def test_lines_that_differ_inside_a_long_word_stay(frame):
+    ways = ["https://www." + "abcdefghijklm"[i:] + "/" + "qrstuvwxyz" * (i + 1) for i in range(3)]
+    han = ["\u4e00" * 12 + "".join(chr(0x4E01 + 40 * i + k) for k in range(30)) for i in range(3)]
+    keys = ["some words and then a key=0123456789" + c * 9 + "0a1b2c3d4e5f" for c in "fgh"]
+    same = "/a/long/path/" + "".join(chr(97 + i * 7 % 26) for i in range(80))
+    wide = "\U0001d518\U0001d52b" * 3 + "".join(chr(0x1D538 + k) for k in range(20, 50))
+    rows = [(i, "\n".join(x)) for i, x in enumerate(zip(ways, han, keys))] + [(10, same), (11, same + "x"), (12, wide), (13, "0" + wide)]
+    found = {r["doc_id"]: r["text"] for r in linedup.deduplicated(frame(rows)).collect()}
+    assert found == {**dict(rows), 11: "", 13: ""}
