@@ -425,7 +425,7 @@ def _(t):
 def _(t):
     e = t.embeddings
     left, right = e.select(c("vec_id").alias("left_id"), c("embedding").alias("left_vec")), e.select(c("vec_id").alias("right_id"), F.reverse("embedding").alias("right_vec"))
-    return ann.approximate_topk(left, right, 10, lists=16, probes=6).select("left_id", "right_id", "rank", F.round("score", 6).alias("score"))
+    return ann.approximate_topk(left, right, 10, lists=16, probes=12).select("left_id", "right_id", "rank", F.round("score", 6).alias("score"))
 
 
 @query("jn4_all_lists_topk", f"""

@@ -336,3 +336,16 @@ def test_rules_of_any_number_in_both_modes(spark):
         df = spark.createDataFrame([(f"a term{n - 1}x here",), (f"zzterm{n - 1}xzz",), ("none",), (None,)], "t string")
         for mode, second in (("substring", f"L{n - 1}"), ("word", "D")):
             assert [r[0] for r in df.select(first_label(F.col("t"), rules, "D", mode)).collect()] == [f"L{n - 1}", second, "D", "D"]
+
+
+def test_registered_index_search_has_a_recall_of_nine_tenths(spark):
+    from bazaarflow.plans.bindings import QUERIES
+
+    folder = "/root/testdata/sf0.01"
+    rows = sorted((r["vec_id"], r["embedding"]) for r in spark.read.parquet(f"{folder}/embeddings.parquet").select("vec_id", "embedding").collect())
+    ids, m = [i for i, _ in rows], np.array([v for _, v in rows], float)
+    unit = m / np.linalg.norm(m, axis=1, keepdims=True)
+    best = np.argsort(-(unit @ unit[:, ::-1].T), axis=1, kind="stable")[:, :10]
+    exact = {(ids[i], ids[j]) for i, row in enumerate(best) for j in row}
+    found = {(r["left_id"], r["right_id"]) for r in QUERIES["jn4_approximate_topk"](spark, folder).collect()}
+    assert len(found & exact) / len(exact) >= 0.9
