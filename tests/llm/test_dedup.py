@@ -123,7 +123,7 @@ def line_result(rows, threshold=0.8):
 
     def shingles(x):
         x = x.lower()
-        return {x[m.start(1) : m.start(1) + 12] for m in re.finditer("(?:^|[ \t\n\x0b\f\r])(?=([^ \t\n\x0b\f\r]))", x)}
+        return {x[at : at + 5] for at in range(max(1, len(x) - 4))}
 
     sets = [shingles(x) for x in texts]
     links = [(i, j) for i in range(len(texts)) for j in range(i) if len(sets[i] & sets[j]) >= threshold * len(sets[i] | sets[j])]
@@ -166,3 +166,10 @@ def test_lines_that_differ_inside_a_long_word_stay(frame):
     rows = [(i, "\n".join(x)) for i, x in enumerate(zip(ways, han, keys))] + [(10, same), (11, same + "x"), (12, wide), (13, "0" + wide)]
     found = {r["doc_id"]: r["text"] for r in linedup.deduplicated(frame(rows)).collect()}
     assert found == {**dict(rows), 11: "", 13: ""}
+
+
+def test_lines_that_share_a_long_link_stay(frame):
+    url = " https://example.org/" + "".join(chr(97 + i * i * 7 % 26) for i in range(130))
+    rows = [(1, "The cat sat quietly on the warm mat all day see" + url), (2, "Rivers flood in spring when snow melts fast see" + url)]
+    found = {r["doc_id"]: r["text"] for r in linedup.deduplicated(frame(rows)).collect()}
+    assert found == dict(rows)
