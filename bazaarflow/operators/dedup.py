@@ -2,27 +2,78 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+import functools
+from collections.abc import Iterator, Sequence
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from bazaarflow import vocab
 from bazaarflow.functions.rules import has_any
 from bazaarflow.functions.text import host
+from bazaarflow.operators.components import components, key_links
 from bazaarflow.session import materialise
 
 
+#: Rows of a component that one task replays.
+REPLAYED_ROWS = 1_000_000
+
+
+def _replayed(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """The rows that are saved, from rows sorted by component and order."""
+    component, urls, names = None, set(), set()
+    for frame in frames:
+        kept = []
+        for part, seq, url, name in zip(*(frame[c].tolist() for c in ("component", "_seq", "_url", "_ns")), strict=True):
+            if part != component:
+                component, urls, names = part, set(), set()
+            if url in urls or name in names:
+                continue
+            kept.append(seq)
+            if url is not None:
+                urls.add(url)
+            if name is not None:
+                names.add(name)
+        yield pd.DataFrame({"_seq": kept}, dtype=frame["_seq"].dtype)
+
+
+def _replay(rows: DataFrame) -> DataFrame:
+    rows = rows.select("component", "_seq", "_url", "_ns")
+    return rows.repartition("component").sortWithinPartitions("component", "_seq").mapInPandas(_replayed, rows.select("_seq").schema)
+
+
+def _in_rounds(open_rows: DataFrame) -> DataFrame:
+    """The saved rows among (_url, _ns, _seq): a row that comes first for both keys is saved, rows sharing a key with it are skipped,
+    and so on. Each round decides at least the first open row, so the rounds end; in a component this large they are few unless it
+    is one long chain."""
+    saved = []
+    while not open_rows.isEmpty():
+        # A row without URL is first for "its URL" by definition; the same holds for the name.
+        by_url = open_rows.where("_url is not null").groupBy("_url").agg(F.min("_seq").alias("_u1"))
+        by_name = open_rows.where("_ns is not null").groupBy("_ns").agg(F.min("_seq").alias("_n1"))
+        ranked = materialise(open_rows.join(by_url, "_url", "left").join(by_name, "_ns", "left").withColumn(
+            "_win", (F.coalesce("_u1", "_seq") == F.col("_seq")) & (F.coalesce("_n1", "_seq") == F.col("_seq"))), "round")
+        won = ranked.where("_win")
+        saved.append(won.select("_seq"))
+        open_rows = materialise(ranked.where("not _win").select("_url", "_ns", "_seq")
+                                .join(won.select("_url").where("_url is not null"), "_url", "left_anti")
+                                .join(won.select("_ns").where("_ns is not null"), "_ns", "left_anti"), "open")
+    return functools.reduce(DataFrame.unionByName, saved)
+
+
 def accept_in_order(batch: DataFrame, existing: DataFrame, seq: str, url: str, name: str, supplier: str,
-                    valid: Column | None = None) -> DataFrame:
+                    valid: Column | None = None, most: int = REPLAYED_ROWS,
+                    whole: int = REPLAYED_ROWS) -> DataFrame:
     """Adds ``disposition``: saved, skipped or rejected, as if rows were taken one by one by ``seq``.
 
     Rows without a name are rejected. A row is skipped when its URL, or its (name, supplier), is already stored or was saved earlier in the
     batch; a skipped row registers neither key. Rows with an invalid gate are rejected and register nothing.
 
-    Taken in rounds: a row that comes first for both keys among the undecided is saved, rows sharing a key
-    with it are skipped. Rows equal in both keys collapse to their first one before the rounds, so a key
-    held by many copies costs one row.
+    Rows equal in both keys collapse to their first one, so a key held by many copies costs one row. Of the others only those
+    count together that hang together by keys: each connected component is replayed in order by one task, which streams its rows and
+    holds the keys that were saved. A component of more than ``most`` rows is taken in rounds instead, and if there are only ``whole``
+    rows in all, one task replays them without looking for components, both with the same result.
     """
     ok = F.coalesce(valid if valid is not None else F.lit(True), F.lit(False)) & F.coalesce(F.trim(F.col(name)) != "", F.lit(False))
     base = batch.withColumn("_ok", ok).withColumn("_url", F.nullif(F.col(url), F.lit(""))).withColumn(
@@ -34,21 +85,20 @@ def accept_in_order(batch: DataFrame, existing: DataFrame, seq: str, url: str, n
         .where("_ns is not null").distinct()
     heads = (base.where("_ok").groupBy("_url", "_ns").agg(F.min(seq).alias("_seq"))
              .join(known_urls, "_url", "left_anti").join(known_names, "_ns", "left_anti"))
-    open_rows, saved = materialise(heads), None
-    # each round decides at least the first open row, so the rounds end
-    while not open_rows.isEmpty():
-        # A row without URL is first for "its URL" by definition; the same holds for the name.
-        by_url = open_rows.where("_url is not null").groupBy("_url").agg(F.min("_seq").alias("_u1"))
-        by_name = open_rows.where("_ns is not null").groupBy("_ns").agg(F.min("_seq").alias("_n1"))
-        ranked = materialise(open_rows.join(by_url, "_url", "left").join(by_name, "_ns", "left").withColumn(
-            "_win", (F.coalesce("_u1", "_seq") == F.col("_seq")) & (F.coalesce("_n1", "_seq") == F.col("_seq"))))
-        won = ranked.where("_win").select("_url", "_ns", "_seq")
-        saved = won if saved is None else saved.unionByName(won)
-        open_rows = materialise(ranked.where("not _win").select("_url", "_ns", "_seq")
-                                .join(won.select("_url").where("_url is not null"), "_url", "left_anti")
-                                .join(won.select("_ns").where("_ns is not null"), "_ns", "left_anti"))
-    winners = heads.limit(0).select("_seq") if saved is None else saved.select("_seq")
-    out = base.join(winners.withColumn("_saved", F.lit(True)), F.col(seq) == F.col("_seq"), "left")
+    heads = materialise(heads, "heads")
+    if heads.count() <= whole:
+        saved = _replay(heads.withColumn("component", F.lit(0)))
+    else:
+        parts = components(key_links(heads, "_seq", ["_url", "_ns"]))
+        sizes = parts.groupBy("component").agg(F.count("*").alias("_n"))
+        linked = materialise(heads.join(parts, F.col("_seq") == F.col("node")).join(sizes, "component")
+                             .select("component", "_seq", "_url", "_ns", "_n"), "linked")
+        alone = heads.join(parts, F.col("_seq") == F.col("node"), "left_anti").select("_seq")
+        saved = alone.unionByName(_replay(linked.where(F.col("_n") <= most)))
+        large = linked.where(F.col("_n") > most)
+        if not large.isEmpty():
+            saved = saved.unionByName(_in_rounds(large.select("_url", "_ns", "_seq")))
+    out = base.join(saved.withColumn("_saved", F.lit(True)), F.col(seq) == F.col("_seq"), "left")
     return (out.withColumn("disposition", F.when(~F.col("_ok"), "rejected").when(F.col("_saved"), "saved").otherwise("skipped"))
             .drop("_ok", "_url", "_ns", "_seq", "_saved"))
 

@@ -11,7 +11,7 @@ from bazaarflow.operators import dedup, impute, reports, upsert
 from bazaarflow.plans import inputs, normalise
 from bazaarflow.plans.registry import query
 from bazaarflow.plans.sqltext import case_equal, case_words
-from bazaarflow.plans.text_queries import _host
+from bazaarflow.plans.text_queries import _host, sql_replace, sql_squeeze
 from bazaarflow.session import scratch_path
 from bazaarflow.streaming import incremental
 
@@ -315,7 +315,22 @@ def _(t):
 
 
 # --- dedup ------------------------------------------------------------------------------------
-@query("set1_batch_dedup")
+#: Row by row in the order of seq: ``rows`` (seq, ok, url, name) against the lists of what is known.
+_IN_ORDER = """
+numbered AS (SELECT *, row_number() OVER (ORDER BY seq) AS i FROM rows),
+replay(i, seq, disposition, urls, names) AS (
+ SELECT CAST(0 AS BIGINT), CAST(NULL AS BIGINT), CAST(NULL AS VARCHAR), (SELECT list(url) FROM known WHERE url IS NOT NULL), (SELECT list(name) FROM known WHERE name IS NOT NULL)
+ UNION ALL
+ SELECT n.i, n.seq, CASE WHEN NOT ok THEN 'rejected' WHEN seen THEN 'skipped' ELSE 'saved' END,
+  CASE WHEN ok AND NOT seen AND url IS NOT NULL THEN list_append(urls, url) ELSE urls END, CASE WHEN ok AND NOT seen AND name IS NOT NULL THEN list_append(names, name) ELSE names END
+ FROM (SELECT d.*, r.urls, r.names, coalesce(list_contains(r.urls, d.url), false) OR coalesce(list_contains(r.names, d.name), false) AS seen FROM replay r JOIN numbered d ON d.i = r.i + 1) n)"""
+_SLUG = sql_squeeze(sql_replace("strip_accents(lower(trim(text)))", r"[^a-z0-9\s]", "' '"))
+
+
+@query("set1_batch_dedup", f"""
+WITH RECURSIVE rows AS (SELECT doc_id AS seq, coalesce(length(text) >= 8, false) AS ok, md5(text) AS url, md5({_SLUG}) || '|' || coalesce(source, '') AS name FROM documents),
+known AS (SELECT md5(text) AS url, md5({_SLUG}) || '|src0' AS name FROM benchmark), {_IN_ORDER}
+SELECT seq AS doc_id, disposition FROM replay WHERE seq IS NOT NULL""")
 def _(t):
     # Exact copies share the URL, texts equal but for case and punctuation share the name within a source.
     docs = t.documents.select("doc_id", F.md5("text").alias("url"), F.md5(slug_text(c("text"))).alias("name"), "source", F.length("text").alias("n"))
@@ -331,11 +346,12 @@ def _(t):
 
 
 @query("set2_merge_suppliers", f"""
-WITH {inputs.SUPPLIERS_SQL}, e AS (SELECT domain, name, country_id, score FROM suppliers), i AS (SELECT c_custkey AS seq, CASE WHEN c_custkey % 2 = 0 THEN 'shop' || CAST(c_custkey % 150 AS STRING) || '.example.com' ELSE 'new' || CAST(c_custkey % 400 AS STRING) || '.example.com' END AS domain,
+WITH RECURSIVE {inputs.SUPPLIERS_SQL}, e AS (SELECT domain, name, country_id, score FROM suppliers), i AS (SELECT c_custkey AS seq, CASE WHEN c_custkey % 2 = 0 THEN 'shop' || CAST(c_custkey % 150 AS STRING) || '.example.com' ELSE 'new' || CAST(c_custkey % 400 AS STRING) || '.example.com' END AS domain,
  CASE WHEN c_custkey % 3 = 0 THEN 'Supplier#' || lpad(CAST(c_custkey % 100 AS STRING), 9, '0') ELSE c_name END AS name, c_nationkey AS country_id, CAST(c_custkey % 120 AS INTEGER) AS score FROM customer),
-b AS (SELECT domain, max(score) AS best, arg_min(name, seq) AS name, arg_min(country_id, seq) AS country_id, min(seq) AS seq FROM i GROUP BY domain),
-f AS (SELECT * FROM b WHERE domain NOT IN (SELECT domain FROM e) AND (name, country_id) NOT IN (SELECT (name, country_id) FROM e) QUALIFY row_number() OVER (PARTITION BY name, country_id ORDER BY seq) = 1)
-SELECT e.domain, e.name, e.country_id, greatest(e.score, coalesce(best, 0)) AS score FROM e LEFT JOIN b USING (domain) UNION ALL SELECT domain, name, country_id, best FROM f""")
+rows AS (SELECT seq, true AS ok, domain AS url, name || '|' || CAST(country_id AS VARCHAR) AS name FROM i), known AS (SELECT domain AS url, name || '|' || CAST(country_id AS VARCHAR) AS name FROM e), {_IN_ORDER},
+f AS (SELECT i.* FROM i JOIN replay USING (seq) WHERE disposition = 'saved'), b AS (SELECT domain, max(score) AS best FROM i GROUP BY domain)
+SELECT e.domain, e.name, e.country_id, greatest(e.score, coalesce(best, 0)) AS score FROM e LEFT JOIN b USING (domain)
+UNION ALL SELECT f.domain, f.name, f.country_id, (SELECT max(x.score) FROM i x WHERE x.domain = f.domain AND x.seq >= f.seq) FROM f""")
 def _(t):
     e = inputs.suppliers(t).select("domain", "name", "country_id", "score")
     i = t.customer.selectExpr("c_custkey AS seq", "CASE WHEN c_custkey % 2 = 0 THEN 'shop' || CAST(c_custkey % 150 AS STRING) || '.example.com' ELSE 'new' || CAST(c_custkey % 400 AS STRING) || '.example.com' END AS domain",

@@ -349,3 +349,32 @@ def test_registered_index_search_has_a_recall_of_nine_tenths(spark):
     exact = {(ids[i], ids[j]) for i, row in enumerate(best) for j in row}
     found = {(r["left_id"], r["right_id"]) for r in QUERIES["jn4_approximate_topk"](spark, folder).collect()}
     assert len(found & exact) / len(exact) >= 0.9
+
+
+def test_batch_dedup_of_a_long_chain_needs_few_rounds(spark, monkeypatch):
+    from bazaarflow.operators import components, dedup
+
+    rounds = []
+    monkeypatch.setattr(components, "_totals", lambda links, f=components._totals: rounds.append(1) or f(links))
+    batch = spark.range(10_000).selectExpr("id AS seq", "'u' || ((id + 1) div 2) AS url", "'n' || (id div 2) AS name", "1L AS supplier")
+    out = dedup.accept_in_order(batch, batch.limit(0), "seq", "url", "name", "supplier", whole=0)
+    assert {r["seq"]: r["disposition"] for r in out.collect()} == {i: "skipped" if i % 2 else "saved" for i in range(10_000)}
+    assert len(rounds) < 25
+
+
+@pytest.mark.parametrize("most", [3, 10_000])
+def test_large_components_give_the_same_result(spark, most):
+    rng = random.Random(11)
+    rows = [(i, f"u{rng.randint(0, 60)}", f"name{rng.randint(0, 60)}", 1) for i in range(150)]
+    batch = spark.createDataFrame(rows, "seq long, url string, name string, supplier long")
+    out = dedup.accept_in_order(batch, batch.limit(0), "seq", "url", "name", "supplier", most=most, whole=0)
+    assert {r["seq"]: r["disposition"] for r in out.collect()} == in_order(rows, [])
+
+
+def test_components_of_key_sharing_rows(spark):
+    from bazaarflow.operators.components import components, key_links
+
+    rows = spark.createDataFrame([(1, "a", "x"), (2, "a", "y"), (3, "b", "y"), (4, "c", None), (5, None, None), (6, "d", "z"), (7, "d", "z")], "id long, p string, q string")
+    found = {(r["node"], r["component"]) for r in components(key_links(rows, "id", ["p", "q"])).collect()}
+    assert found == {(1, 1), (2, 1), (3, 1), (6, 6), (7, 6)}
+    assert components(key_links(rows.limit(0), "id", ["p"])).count() == 0
