@@ -123,7 +123,7 @@ def line_result(rows, threshold=0.8):
 
     def shingles(x):
         x = x.lower()
-        return {x[at : at + 5] for at in range(max(1, len(x) - 4))}
+        return {x[at : at + 12] for at in range(max(1, len(x) - 11))}
 
     sets = [shingles(x) for x in texts]
     links = [(i, j) for i in range(len(texts)) for j in range(i) if len(sets[i] & sets[j]) >= threshold * len(sets[i] | sets[j])]
