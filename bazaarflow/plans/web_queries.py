@@ -12,7 +12,7 @@ from bazaarflow.plans.registry import query
 from bazaarflow.plans.sqltext import any_of, case_equal, case_words, hits, in_list, quoted, values
 from bazaarflow.plans.text_queries import _host, sql_drop_tags, sql_strip
 from bazaarflow.session import scratch_path
-from bazaarflow.sources import places, readers, sinks
+from bazaarflow.sources import partitioned, places, readers, sinks
 
 c = F.col
 
@@ -321,6 +321,19 @@ def _(t):
     return upsert.upsert(base, delta, ["id"])
 
 
+@query("snk1_touched_upsert", """
+WITH d AS (SELECT p_partkey * 2 AS id, arg_max(upper(p_name), p_size) AS name, arg_max(p_retailprice + 1, p_size) AS price FROM part WHERE p_partkey <= 40 GROUP BY p_partkey)
+SELECT id, name, price, true AS stamped FROM d UNION ALL SELECT p_partkey, p_name, p_retailprice, false FROM part WHERE p_partkey NOT IN (SELECT id FROM d)""")
+def _(t):
+    # A table in partitions, of which a small delta rewrites those it touches.
+    path = scratch_path(t.spark, "keyed")
+    base = t.part.select(c("p_partkey").alias("id"), c("p_name").alias("name"), c("p_retailprice").alias("price"), F.lit(None).cast("timestamp").alias("at"))
+    partitioned.create_table(base, path, ["id"], parts=16)
+    delta = t.part.where("p_partkey <= 40").select((c("p_partkey") * 2).alias("id"), F.upper("p_name").alias("name"), (c("p_retailprice") + 1).alias("price"), "p_size")
+    partitioned.upsert_table(path, delta, ["id"], stamp="at", order="p_size")
+    return partitioned.read_table(t.spark, path).select("id", "name", "price", c("at").isNotNull().alias("stamped"))
+
+
 @query("snk2_insert_absent", """
 SELECT c_custkey AS id, c_name AS name FROM customer UNION ALL SELECT c_custkey * 3, 'new' FROM customer WHERE c_custkey * 3 NOT IN (SELECT c_custkey FROM customer)""")
 def _(t):

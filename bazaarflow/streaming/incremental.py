@@ -10,7 +10,7 @@ from pyspark.sql.streaming.query import StreamingQuery
 
 from bazaarflow.operators.upsert import append_log, latest_per_key
 from bazaarflow.session import materialise
-from bazaarflow.sources.partitioned import read_table, upsert_table
+from bazaarflow.sources.partitioned import layout, part_of, read_table, upsert_table
 
 
 def landing_stream(spark: SparkSession, path: str, schema, *, files_per_batch: int | None = None, **options) -> DataFrame:
@@ -50,7 +50,8 @@ def match_run(arriving: DataFrame, snapshot: str, table: str, checkpoint: str, *
         if rows.isEmpty():
             return
         matched = match(normalise(rows), spark.read.parquet(snapshot)).join(rows.select(*key, order), list(key))
-        stored = read_table(spark, table).select(*key, F.col(order).alias("_stored"))
+        parts = [r["p"] for r in rows.select(part_of(key, layout(spark, table)[0]).alias("p")).distinct().collect()]  # at most those of the table
+        stored = read_table(spark, table, parts).select(*key, F.col(order).alias("_stored"))
         fresh = matched.join(stored, list(key), "left").where(F.col("_stored").isNull() | (F.col(order) >= F.col("_stored"))).drop("_stored")
         upsert_table(table, fresh, key, order=order)
 
