@@ -12,10 +12,13 @@ from bazaarflow.functions import text
 from bazaarflow.operators import ann, embed, geo, lookup, matching, trigram
 from bazaarflow.plans import inputs, normalise
 from bazaarflow.plans.money_queries import sql_stage_price
-from bazaarflow.plans.registry import query
+from bazaarflow.plans.registry import ORACLES, query
 from bazaarflow.plans.sqltext import any_of, case_words, in_list, jaccard, values, words
 from bazaarflow.plans.text_queries import sql_drop_tags, sql_garbage_city, sql_signature
 from bazaarflow.plans.web_queries import sql_ground
+from bazaarflow.session import scratch_path
+from bazaarflow.sources import partitioned
+from bazaarflow.streaming import incremental
 
 c = F.col
 
@@ -583,3 +586,34 @@ def _(t):
         "product_id", "title", "city", "country", "activity", "category", "price", "price_is_estimated", "matching_signature", "embedding_text", "confidence")
 
 
+
+
+# --- arriving products, normalised and matched by a stream ----------------------------------------
+_ARRIVED = f"""norm AS ({ORACLES["cls12_normalise"]}), said AS (WITH {inputs.RAW_SQL} SELECT product_id, {_ND} AS description FROM raw), n AS (SELECT count(*) AS n FROM embeddings),
+l AS (SELECT product_id AS left_id, title, city, country, activity, said.description, category, price, CAST(embedding AS DOUBLE[]) AS v FROM norm JOIN said USING (product_id), n JOIN embeddings ON vec_id = product_id % n)"""
+
+
+@query("str1_match_run", f"""
+WITH {inputs.CATALOG_SQL}, {_ARRIVED}, r AS ({_FULL.split("r AS (", 1)[1].replace("city AS cat_city", "CAST(NULL AS VARCHAR) AS cat_city")}, {_FULL_CAND},
+cp AS (SELECT * EXCLUDE (v, v_1) FROM (SELECT cand.*, l.* EXCLUDE (left_id), r.* EXCLUDE (right_id, v), r.v AS v_1 FROM cand JOIN l USING (left_id) JOIN r USING (right_id))), {sql_dimensions('cp')},
+best AS (SELECT *, row_number() OVER (PARTITION BY left_id ORDER BY similarity DESC, vector_sim DESC, right_id) AS rn FROM sc)
+SELECT left_id AS p_partkey, b.right_id, coalesce(b.similarity, 0) AS similarity, CASE WHEN b.similarity >= 0.6 THEN 'SIMILAR' ELSE 'NEW_PRODUCT' END AS match_status FROM l LEFT JOIN (SELECT * FROM best WHERE rn = 1) b USING (left_id)""")
+def _(t):
+    table, checkpoint, snapshot = (scratch_path(t.spark, n) for n in ("matched", "checkpoint", "snapshot"))
+    # without cities, whose edit ratio SQL cannot state
+    _full(t)[1].withColumn("cat_city", F.lit(None).cast("string")).write.parquet(snapshot)
+    n = t.embeddings.agg(F.count("*").alias("n"))  # one row
+    cities, countries, vectors = inputs.cities(t), inputs.countries(t), t.embeddings.select("vec_id", c("embedding").alias("left_vec"))
+
+    def arrived(df):
+        rows = normalise.normalise(inputs.derive(df, inputs.RAW), cities, countries)
+        return rows.join(F.broadcast(n)).withColumn("vec_id", c("product_id") % c("n")).join(vectors, "vec_id").withColumnRenamed("product_id", "left_id")
+
+    def matched(df, catalogue):
+        return matching.match_products(df.select("left_id", "title", "city", "country", "activity", "description", "category", "price", "left_vec"), catalogue) \
+            .select(c("left_id").alias("p_partkey"), "right_id", "similarity", "match_status")
+
+    partitioned.create_table(t.part.limit(0).selectExpr("p_partkey", "p_partkey AS right_id", "CAST(0 AS DOUBLE) AS similarity", "'' AS match_status", "p_size"), table, ["p_partkey"], parts=16)
+    arriving = incremental.landing_stream(t.spark, t.folder, t.part.schema, pathGlobFilter="part.parquet")
+    incremental.match_run(arriving, snapshot, table, checkpoint, normalise=arrived, match=matched, key=["p_partkey"], order="p_size").awaitTermination()
+    return partitioned.read_table(t.spark, table).drop("p_size")
