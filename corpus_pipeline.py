@@ -45,7 +45,7 @@ def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 STAGES = [("quality rules", quality_rules), ("line dedup", line_dedup), ("MinHash near-dedup", near_duplicates),
           ("benchmark decontamination", decontamination), ("best-fit packing", packing)]
 
-#: The learned rules, signatures and tokens have no SQL; tests hold each stage against a brute-force version.
+#: The learned rules, signatures and tokens have no SQL. Tests hold the operators of the stages against brute-force versions, not run() as a whole.
 ORACLE_SQL = None
 
 
