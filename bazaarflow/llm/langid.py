@@ -61,10 +61,11 @@ class SortedTable:
     values: np.ndarray
 
     @classmethod
-    def of(cls, grams: list[str], values: list[float]) -> SortedTable:
-        keys = np.array([hashes(_symbols(g), len(g))[0] for g in grams], np.uint64)
-        order = np.argsort(keys)
-        return cls(keys[order], np.array(values, np.float32)[order])
+    def of(cls, parts: list[tuple[bytes, bytes]]) -> SortedTable:
+        keys = np.concatenate([np.empty(0, np.uint64), *[np.frombuffer(k, np.uint64) for k, _ in parts]])
+        values = np.concatenate([np.empty(0, np.float32), *[np.frombuffer(v, np.float32) for _, v in parts]])
+        order = np.argsort(keys, kind="stable")
+        return cls(keys[order], values[order])
 
     def get(self, keys: np.ndarray, missing: float) -> np.ndarray:
         if not len(self.keys):
@@ -180,6 +181,19 @@ def _ngrams(sample: DataFrame) -> DataFrame:
     return counted.groupBy("lang", "gram").agg(F.sum("n").alias("n"))
 
 
+def _packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Hashes the n-grams of a table where they lie, so that the driver gets twelve bytes for each and no strings."""
+    for batch in batches:
+        for (lang, k, own), part in batch.to_pandas().groupby(["lang", "k", "own"]):
+            size = k if own else k - 1
+            symbols = _symbols("".join(part["gram"])).reshape(-1, size)
+            keys = hashes(symbols.ravel(), size)[::size]
+            yield pa.RecordBatch.from_arrays(
+                [pa.array([lang]), pa.array([k], pa.int32()), pa.array([bool(own)]), pa.array([keys.tobytes()], pa.binary()),
+                 pa.array([part["value"].to_numpy(np.float32).tobytes()], pa.binary())],
+                names=["lang", "k", "own", "keys", "values"])
+
+
 def train(sample: DataFrame) -> Models:
     """Models of the sampled texts that are not set aside."""
     level = materialise(_ngrams(sample.where("not held")), "ngrams")
@@ -198,21 +212,17 @@ def train(sample: DataFrame) -> Models:
             (F.greatest(F.col("n") - F.col("_d"), F.lit(0)) / F.col("_all")).alias("value"))
         rest = after.select("lang", F.lit(k).alias("k"), F.lit(False).alias("own"), F.col("context").alias("gram"),
                             (F.col("_d") * F.col("_kinds") / F.col("_all")).alias("value"))
-        rows += [own, rest]
+        rows += [own, rest] if k > 1 else [own]
     table = rows[0]
     for more in rows[1:]:
         table = table.unionByName(more)
-    found: dict = defaultdict(lambda: ([], []))
-    langs = set()
+    found: dict = defaultdict(list)
     # bounded by the sample
-    for lang, k, own, gram, value in table.toArrow().to_pandas().itertuples(index=False, name=None):
-        langs.add(lang)
-        grams, values = found[lang, k, own]
-        grams.append(gram)
-        values.append(value)
-    langs = sorted(langs)
-    made = [[[SortedTable.of(*found[lang, k, own]) if k > 1 or own else SortedTable(np.empty(0, np.uint64), np.empty(0, np.float32))
-              for k in range(1, ORDER + 1)] for lang in langs] for own in (True, False)]
+    packed = table.mapInArrow(_packed, "lang string, k int, own boolean, keys binary, values binary")
+    for row in packed.collect():
+        found[row["lang"], row["k"], row["own"]].append((row["keys"], row["values"]))
+    langs = sorted({lang for lang, _, _ in found})
+    made = [[[SortedTable.of(found[lang, k, own]) for k in range(1, ORDER + 1)] for lang in langs] for own in (True, False)]
     return Models(langs, *made)
 
 

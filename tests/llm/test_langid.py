@@ -1,4 +1,6 @@
+import math
 import zlib
+from collections import Counter
 
 from bazaarflow.llm import langid
 from bazaarflow.llm.langid_query import op2_kneser_ney_language
@@ -52,6 +54,52 @@ def test_probabilities_sum_to_one(frame):
     assert np.isfinite(base) and 0.9 < whole < 1.01
 
 
+def plain_kneser_ney(texts):
+    """Probability of a symbol after its context, from counts in plain dictionaries."""
+    top = Counter()
+    for t in texts:
+        for word in langid.LETTERS.findall(t.lower()):
+            padded = langid.START * (langid.ORDER - 1) + word + langid.END
+            top.update(padded[i : i + langid.ORDER] for i in range(len(word) + 1))
+    levels = {langid.ORDER: top}
+    for k in range(langid.ORDER - 1, 0, -1):
+        levels[k] = Counter(g[1:] for g in levels[k + 1])
+
+    def discount(level):
+        one, two = (sum(n == c for n in level.values()) for c in (1, 2))
+        return one / (one + 2 * two) if one else (0.75 if not two else 0.0)
+
+    ds = {k: discount(level) for k, level in levels.items()}
+
+    def p(context, symbol):
+        k = len(context) + 1
+        followed = {g: n for g, n in levels[k].items() if g[:-1] == context}
+        whole = sum(followed.values())
+        lower = models_floor if k == 1 else p(context[1:], symbol)
+        if not whole:
+            return lower
+        own = max(levels[k].get(context + symbol, 0) - ds[k], 0) / whole
+        return own + (lower if k == 1 else ds[k] * len(followed) / whole * lower)
+
+    models_floor = langid.Models([], [], []).floor
+    return p
+
+
+def test_probabilities_equal_plain_counts(frame):
+    learned = {lang: [text(lang, i, 12) for i in range(8)] for lang in ALPHABETS}
+    docs = frame([(10 * i + j, t, lang) for i, (lang, ts) in enumerate(learned.items()) for j, t in enumerate(ts)])
+    models = langid.train(docs.selectExpr("doc_id", "lang", "text", "false held"))
+    assert models.langs == sorted(ALPHABETS)
+    words = ["kal", "terandu", "ßzö", "q", "kalomikalomi"]
+    found = models.word_scores(words)
+    for i, lang in enumerate(models.langs):
+        p = plain_kneser_ney(learned[lang])
+        for j, word in enumerate(words):
+            padded = langid.START * (langid.ORDER - 1) + word + langid.END
+            whole = sum(math.log(p(padded[n : n + langid.ORDER - 1], padded[n + langid.ORDER - 1])) for n in range(len(word) + 1))
+            assert abs(found[j, i] - whole) < 1e-3 * abs(whole), (lang, word)
+
+
 def test_no_labels_no_rows(frame, spark, folder):
     found = op2_kneser_ney_language(spark, folder(documents=frame([(1, "abc", None)]))).collect()
     assert [(r["lang_pred"], r["score"]) for r in found] == [("und", 0.0)]
