@@ -154,18 +154,28 @@ def _relation(weights):
     return score
 
 
+def _relation_limit(weights):
+    def limit(cosine: np.ndarray, left: pd.DataFrame) -> np.ndarray:
+        """The score that a cosine allows: a product without city or category can't get their points."""
+        more = (left["city"].fillna("") != "") * weights["city"] + (left["category"].fillna("") != "") * weights["category"]
+        return cosine * weights["embedding"] + more.to_numpy(dtype=float)[:, None]
+
+    return limit
+
+
 def best_suppliers(products: DataFrame, suppliers: DataFrame, weights=vocab.RELATION_WEIGHTS,
                    threshold: float = vocab.RELATION_THRESHOLD, tile_rows: int = TILE_ROWS) -> DataFrame:
     """The best supplier of each product by vector, city and category, kept from ``threshold`` on.
 
     ``products``: left_id, left_vec, city, category. ``suppliers``: right_id, right_vec, sup_city, sup_category.
-    Every product is compared with every supplier, tile by tile; one row per product and tile comes back.
+    Products meet the cells of suppliers that can reach the threshold, and the product's best so far: without city and
+    category only the vector gives points, so few are left. Weights are not negative.
     """
     # One block for everything, written so that it stays an equality join on a column.
     left = products.withColumn("_all", F.when(F.col("left_id").isNotNull(), 1))
     right = suppliers.withColumn("_all", F.when(F.col("right_id").isNotNull(), 1))
     best = tiled_topk(left, right, ["_all"], 1,
-                      score=_relation(weights), left_extra=("city", "category"),
+                      score=_relation(weights), limit=_relation_limit(weights), least=threshold, left_extra=("city", "category"),
                       right_extra=("sup_city", "sup_category"), tile_rows=tile_rows)
     return best.where(F.col("score") >= threshold).select("left_id", "right_id", "score")
 

@@ -3,6 +3,10 @@
 A block may hold any share of the rows. Both sides of a block are dealt into tiles of bounded size;
 each pair of tiles is one group of a cogrouped job, which multiplies the two matrices and returns only
 the k best rows per left row. No group holds more than two tiles, and pairs are never emitted.
+
+Blocks of several right tiles are pruned, exactly: their rows go to the nearest of a few pivot rows, a cell being as wide as
+its furthest row. Each left row first meets one tile of its own cell, which gives a score that its k-th best can't be below,
+and then only the cells that could reach that score by the triangle inequality of angles.
 """
 
 from __future__ import annotations
@@ -18,6 +22,10 @@ from bazaarflow import vocab
 from bazaarflow.session import materialise
 
 TILE_ROWS = 2048
+#: Blocks with at least this many right tiles are pruned; results do not depend on it.
+PRUNE_FROM = 4
+#: Pivots of a block: one for each of its right tiles, up to this many. Larger cells have several tiles.
+PIVOTS = 256
 
 
 def _unit(vectors: pd.Series) -> np.ndarray:
@@ -42,15 +50,104 @@ def _best(scores: np.ndarray, right_ids: np.ndarray, k: int) -> tuple[np.ndarray
     return rows, order[np.concatenate(picked)]
 
 
+def _angles(vectors: pd.Series, pivots: np.ndarray) -> np.ndarray:
+    """Angles to the pivots; what can't be compared counts as opposite, so that it is never pruned."""
+    return np.arccos(np.clip(np.nan_to_num(_unit(vectors) @ pivots.T, nan=-1.0), -1.0, 1.0))
+
+
+def certified_tiles(left: DataFrame, right: DataFrame, block: Sequence[str],
+                    compare: Callable[[pd.DataFrame, pd.DataFrame], np.ndarray],
+                    limit: Callable[[np.ndarray, pd.DataFrame], np.ndarray], least: float | None,
+                    tile_rows: int) -> tuple[DataFrame, DataFrame, list[str]]:
+    """Both sides dealt into the pairs of tiles that can hold one of a left row's k best, and the keys of such a pair.
+
+    ``left`` and ``right`` also have the numbers of their block's tiles, _nl and _nr.
+    """
+    order = Window.partitionBy(*block).orderBy(F.xxhash64("right_id"), "right_id")
+    pivots = right.withColumn("_at", F.row_number().over(order)).where(F.col("_at") <= PIVOTS).where(F.col("_at") <= F.col("_nr"))
+    pivots = pivots.groupBy(*block, "_nl", "_nr").agg(F.sort_array(F.collect_list(F.struct("_at", "_v"))).alias("_p"))
+    pivots = materialise(pivots.select(*block, "_nl", "_nr", F.col("_p._v").alias("_pivots")), "pivots")
+
+    def fields(df: DataFrame, more: str) -> str:
+        return ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema) + ", " + more
+
+    def nearest(rows: pd.DataFrame, of: pd.DataFrame) -> pd.DataFrame:
+        if rows.empty or of.empty:
+            return rows.iloc[:0].assign(_cell=[], _angle=[])
+        angles = _angles(rows["_v"], _unit(pd.Series(list(of["_pivots"].iloc[0]))))
+        cell = angles.argmin(axis=1)
+        return rows.assign(_cell=cell, _angle=angles[np.arange(len(cell)), cell])
+
+    def celled(df: DataFrame, id_col: str, count: str) -> DataFrame:
+        rows = df.withColumn("_t", F.pmod(F.xxhash64(id_col), F.col(count)).cast("int")).drop("_nl", "_nr")
+        each = pivots.select(*block, "_pivots", F.explode(F.sequence(F.lit(0), F.col(count) - 1)).alias("_t"))
+        keys = [*block, "_t"]
+        return materialise(rows.groupBy(*keys).cogroup(each.groupBy(*keys)).applyInPandas(
+            nearest, fields(rows, "_cell int, _angle double")).drop("_t"), "cells")
+
+    def tiles(df: DataFrame, name: str) -> DataFrame:
+        return df.groupBy(*block, "_cell").agg(F.ceil(F.count("*") / F.lit(float(tile_rows))).cast("int").alias(name),
+                                               F.max("_angle").alias("_radius"))
+
+    rhs = celled(right, "right_id", "_nr")
+    cells = materialise(tiles(rhs, "_n"), "cells")
+    rhs = rhs.drop("_angle").join(cells.drop("_radius"), [*block, "_cell"]) \
+        .withColumn("_rt", F.pmod(F.xxhash64("right_id"), F.col("_n")).cast("int")).drop("_n")
+    lhs = celled(left, "left_id", "_nl").drop("_angle").withColumnRenamed("_cell", "_home")
+    homes = lhs.groupBy(*block, "_home").agg(F.ceil(F.count("*") / F.lit(float(tile_rows))).cast("int").alias("_n"))
+    homes = materialise(homes, "homes")
+    lhs = lhs.join(homes, [*block, "_home"]).withColumn("_lt", F.pmod(F.xxhash64("left_id"), F.col("_n")).cast("int")).drop("_n")
+    left_tiles = homes.withColumn("_lt", F.explode(F.sequence(F.lit(0), F.col("_n") - 1))).drop("_n")
+    keys = [*block, "_home", "_lt"]
+
+    def seed(lp: pd.DataFrame, rp: pd.DataFrame) -> pd.DataFrame:
+        floor = np.full(len(lp), -np.inf if least is None else least)
+        k = lp["_k"].to_numpy()
+        if len(lp) and len(rp):
+            scores = np.sort(np.nan_to_num(compare(lp, rp), nan=-np.inf), axis=1)[:, ::-1]
+            there = (k >= 1) & (k <= scores.shape[1])
+            floor[there] = np.maximum(floor[there], scores[there, k[there] - 1])
+        return lp.assign(_floor=floor)
+
+    first = rhs.where("_rt = 0").drop("_rt").withColumnRenamed("_cell", "_home").join(left_tiles, [*block, "_home"])
+    seeded = lhs.groupBy(*keys).cogroup(first.groupBy(*keys)).applyInPandas(seed, fields(lhs, "_floor double"))
+
+    def choose(lp: pd.DataFrame, of: pd.DataFrame) -> pd.DataFrame:
+        if lp.empty or of.empty:
+            return lp.iloc[:0].assign(_need=[])
+        angles = _angles(lp["_v"], _unit(pd.Series(list(of["_pivots"].iloc[0]))))
+        cell, radius = np.array(list(of["_cells"].iloc[0]), int), np.array(list(of["_radii"].iloc[0]), float)
+        # a little more than the bound, for rounding
+        most = limit(np.minimum(np.cos(np.maximum(angles[:, cell] - radius - 1e-6, 0.0)) + 1e-9, 1.0 + 1e-9), lp)
+        need = ~(most < lp["_floor"].to_numpy()[:, None])
+        return lp.assign(_need=[cell[row].tolist() for row in need])
+
+    # at most PIVOTS cells in a block
+    known = cells.groupBy(*block).agg(F.sort_array(F.collect_list(F.struct("_cell", "_radius"))).alias("_c"))
+    known = pivots.join(known, block).select(*block, "_pivots", F.col("_c._cell").alias("_cells"), F.col("_c._radius").alias("_radii"))
+    known = left_tiles.join(known, block)
+    chosen = materialise(seeded.groupBy(*keys).cogroup(known.groupBy(*keys)).applyInPandas(
+        choose, fields(seeded, "_need array<int>")).drop("_floor"), "chosen")
+    a = chosen.withColumn("_cell", F.explode("_need")).drop("_need").join(cells.drop("_radius"), [*block, "_cell"]) \
+        .withColumn("_rt", F.explode(F.sequence(F.lit(0), F.col("_n") - 1))).drop("_n")
+    # new columns, as both sides come from the same table
+    asked = chosen.select(*[F.col(c).alias(c) for c in keys], F.explode("_need").alias("_cell")).distinct()
+    return a, rhs.join(asked, [*block, "_cell"]), [*keys, "_cell", "_rt"]
+
+
 def tiled_topk(left: DataFrame, right: DataFrame, block: Sequence[str], k: int | str, *,
                left_vec: str = "left_vec", right_vec: str = "right_vec", tile_rows: int = TILE_ROWS,
                score: Callable[[np.ndarray, pd.DataFrame, pd.DataFrame], np.ndarray] | None = None,
-               left_extra: Sequence[str] = (), right_extra: Sequence[str] = (), keep: Sequence[str] = ()) -> DataFrame:
+               limit: Callable[[np.ndarray, pd.DataFrame], np.ndarray] | None = None, least: float | None = None,
+               left_extra: Sequence[str] = (), right_extra: Sequence[str] = (), keep: Sequence[str] = (),
+               prune_from: int = PRUNE_FROM) -> DataFrame:
     """The k best right rows for every left row of the same block.
 
     ``left`` has left_id and a vector, ``right`` has right_id and a vector; rows without a vector or block
     take no part. ``k`` may name a column of the left side. ``score`` may turn the cosine matrix of a tile
-    pair into another score (it sees the extra columns of both sides).
+    pair into another score (it sees the extra columns of both sides). Blocks are then pruned only where ``limit`` is
+    given: it turns cosines into scores that no right row of at most that cosine exceeds. Rows that score less than
+    ``least`` may be left out.
     Returns left_id, right_id, score, rank and the block columns named in ``keep``.
     """
     block = list(block)
@@ -63,21 +160,21 @@ def tiled_topk(left: DataFrame, right: DataFrame, block: Sequence[str], k: int |
              .join(right.groupBy(*block).agg(tiles.alias("_nr")), block))
     # Known size: with few blocks neither side is shuffled for this join, only once for the tiles.
     sizes = materialise(sizes, "tiles")
+    prunable = (F.col("_nr") >= prune_from) & F.lit(score is None or limit is not None)
+    pruned, plain = sizes.where(prunable), sizes.where(~prunable)
 
     def deal(df, id_col, own, other, own_tile, other_tile):
-        return (df.join(sizes, block).withColumn(own_tile, F.pmod(F.xxhash64(id_col), F.col(own)).cast("int"))
+        return (df.join(plain, block).withColumn(own_tile, F.pmod(F.xxhash64(id_col), F.col(own)).cast("int"))
                 .withColumn(other_tile, F.explode(F.sequence(F.lit(0), F.col(other) - 1))).drop("_nl", "_nr"))
 
-    keys = [*block, "_lt", "_rt"]
-    a = deal(left, "left_id", "_nl", "_nr", "_lt", "_rt")
-    b = deal(right, "right_id", "_nr", "_nl", "_rt", "_lt")
+    def compare(lp: pd.DataFrame, rp: pd.DataFrame) -> np.ndarray:
+        matrix = _unit(lp["_v"]) @ _unit(rp["_v"]).T
+        return matrix if score is None else score(matrix, lp, rp)
 
     def match(lp: pd.DataFrame, rp: pd.DataFrame) -> pd.DataFrame:
         if lp.empty or rp.empty:
             return pd.DataFrame({name: [] for name in columns})
-        matrix = _unit(lp["_v"]) @ _unit(rp["_v"]).T
-        if score is not None:
-            matrix = score(matrix, lp, rp)
+        matrix = compare(lp, rp)
         rows, cols = _best(matrix, rp["right_id"].to_numpy(), int(lp["_k"].max()))
         return pd.DataFrame({"left_id": lp["left_id"].to_numpy()[rows], "right_id": rp["right_id"].to_numpy()[cols],
                              "score": matrix[rows, cols], "_k": lp["_k"].to_numpy()[rows],
@@ -87,7 +184,18 @@ def tiled_topk(left: DataFrame, right: DataFrame, block: Sequence[str], k: int |
     columns = {"left_id": types["left_id"], "right_id": types["right_id"], "score": "double", "_k": "int",
                **{b: types[b] for b in keep}}
     schema = ", ".join(f"{name} {kind}" for name, kind in columns.items())
-    found = a.groupBy(*keys).cogroup(b.groupBy(*keys)).applyInPandas(match, schema)
+    parts = []
+    # the table of sizes has one row for each block
+    if not plain.isEmpty():
+        keys = [*block, "_lt", "_rt"]
+        parts.append((deal(left, "left_id", "_nl", "_nr", "_lt", "_rt"), deal(right, "right_id", "_nr", "_nl", "_rt", "_lt"), keys))
+    if not pruned.isEmpty():
+        parts.append(certified_tiles(left.join(pruned, block), right.join(pruned, block), block, compare,
+                                     limit or (lambda cosine, _: cosine), least, tile_rows))
+    if not parts:
+        return left.sparkSession.createDataFrame([], schema).drop("_k").withColumn("rank", F.lit(1))
+    found = [a.groupBy(*keys).cogroup(b.groupBy(*keys)).applyInPandas(match, schema) for a, b, keys in parts]
+    found = found[0] if len(found) == 1 else found[0].unionByName(found[1])
     rank = F.row_number().over(Window.partitionBy("left_id").orderBy(F.desc("score"), "right_id"))
     return found.withColumn("rank", rank).where(F.col("rank") <= F.col("_k")).drop("_k")
 

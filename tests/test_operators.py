@@ -39,6 +39,52 @@ def test_tiled_topk_equals_brute_force_with_a_hot_block(spark, tile_rows):
     assert all(1 <= r["rank"] <= 4 for r in got)
 
 
+def clustered(spark, n, id_name, vec_name, seed, clusters=12, dim=16):
+    centres = np.random.default_rng(99).normal(size=(clusters, dim)) * 4
+    rng = np.random.default_rng(seed)
+    rows = [(i, [float(x) for x in (centres[i % clusters] + rng.normal(size=dim) * 0.3)], "hot" if i % 3 else "cold") for i in range(n)]
+    # odd rows: no direction, and many equal vectors
+    rows = [(i, [0.0] * dim if i % 97 == 5 else rows[1][1] if i % 41 == 7 else v, b) for i, v, b in rows]
+    return rows, spark.createDataFrame(rows, f"{id_name} long, {vec_name} array<float>, block string")
+
+
+def test_pruned_topk_equals_brute_force_and_compares_few_tiles(spark):
+    from collections import defaultdict
+
+    _, left = clustered(spark, 500, "left_id", "left_vec", 1)
+    _, right = clustered(spark, 700, "right_id", "right_vec", 2)
+
+    def result(prune_from):
+        rows = topk.tiled_topk(left, right, ["block"], 4, tile_rows=20, prune_from=prune_from).collect()
+        out = defaultdict(list)
+        for r in sorted(rows, key=lambda r: (r["left_id"], r["rank"])):
+            out[r["left_id"]].append((r["right_id"], round(r["score"], 9)))
+        return out
+
+    plain, pruned = result(10**6), result(2)
+    assert len(plain) == 500 and pruned.keys() == plain.keys()
+    # equal vectors score alike but for the last bit, so ranks are compared by score
+    assert all([s for _, s in pruned[i]] == [s for _, s in plain[i]] for i in plain)
+
+    sides = [df.withColumnRenamed(f"{name}_vec", "_v").withColumn("_nl", F.lit(17)).withColumn("_nr", F.lit(24)).withColumn("_k", F.lit(4))
+             for name, df in (("left", left), ("right", right))]
+    a, b, keys = topk.certified_tiles(*sides, ["block"], lambda lp, rp: topk._unit(lp["_v"]) @ topk._unit(rp["_v"]).T,
+                                      lambda cosine, _: cosine, None, 20)
+    whole = sum(r["n"] for r in left.groupBy("block").count().withColumnRenamed("count", "l").join(
+        right.groupBy("block").count(), "block").selectExpr("l * count n").collect())
+    compared = sum(r["l"] * r["count"] for r in a.groupBy(*keys).count().withColumnRenamed("count", "l").join(
+        b.groupBy(*keys).count(), keys).collect())
+    assert 0 < compared < 0.5 * whole
+
+
+def test_pruned_topk_without_structure_and_with_few_rows(spark):
+    lrows, left = vectors(spark, 60, 1, "left_id", "left_vec", ["hot", "hot", "none"])
+    rrows, right = vectors(spark, 80, 2, "right_id", "right_vec", ["hot"])
+    got = topk.tiled_topk(left, right, ["block"], 100, tile_rows=10, prune_from=1).collect()
+    assert {(r["left_id"], r["right_id"]) for r in got} == brute(lrows, rrows, 100)
+    assert topk.tiled_topk(left.where("false"), right, ["block"], 3).count() == 0
+
+
 def test_equal_scores_go_to_the_lower_id(spark):
     left = spark.createDataFrame([(1, [1.0, 0.0])], "left_id long, left_vec array<float>").withColumn("block", F.lit(1))
     right = spark.createDataFrame([(i, [2.0, 0.0]) for i in range(50)], "right_id long, right_vec array<float>").withColumn("block", F.lit(1))
