@@ -22,39 +22,96 @@ def is_garbage_city(city: Column, words=vocab.GARBAGE_CITY_WORDS, countries=voca
     return short | one_of(low, [*words, *countries]) | (has_any(low, attractions) & (word_count(low) > 1))
 
 
-def text_mention(df: DataFrame, key: str, text: str, cities: DataFrame, *, stated: str | None = None,
-                 max_words: int | None = None, garbage=is_garbage_city) -> DataFrame:
-    """The first gazetteer city named in the text, the longest when several start at one place.
+def words_of(text: Column) -> Column:
+    """Lower-case words; apostrophes and hyphens belong to them."""
+    return F.filter(F.split(F.lower(text), r"[^\p{L}\p{N}'-]+"), lambda w: w != "")
 
-    Every run of words as long as a gazetteer name (or of at most ``max_words``) is looked up by equality; ``cities`` is
-    (city_id, name, country). Of a name of several countries the city of a country that the text names is taken, then that
-    of the country in column ``stated``, then the lowest id. Returns key, mention, mention_country.
+
+def phrase_of(text: Column) -> Column:
+    return F.array_join(words_of(text), " ")
+
+
+def dictionary_scan(df: DataFrame, key: str, text: str, phrases: DataFrame, carry: Sequence[str] = ()) -> DataFrame:
+    """Every place of a text at which a phrase of the dictionary stands: key, ``carry``, pos, n, phrase.
+
+    ``phrases``: distinct ``phrase`` (``phrase_of``). A word goes on only if a phrase begins with it, with the lengths such
+    phrases have; so a text gives one row a word, not one for every run of words, and is itself never copied.
+    """
+    size = F.size(F.split("phrase", " "))
+    firsts = phrases.groupBy(F.substring_index("phrase", " ", 1).alias("_first")).agg(F.collect_set(size).alias("_lengths"))
+    longest = phrases.agg(F.coalesce(F.max(size), F.lit(1))).scalar()
+    rows = df.select(key, *carry, words_of(F.col(text)).alias("_w"), longest.alias("_longest"))
+    windows = F.transform("_w", lambda w, i: F.struct(
+        i.alias("pos"), w.alias("_first"), F.slice("_w", i + 1, F.col("_longest")).alias("_window")))
+    runs = rows.select(key, *carry, F.inline(windows)).join(firsts, "_first").select(
+        key, *carry, "pos", "_window", F.explode("_lengths").alias("n")).where(F.size("_window") >= F.col("n"))
+    runs = runs.select(key, *carry, "pos", "n", F.array_join(F.slice("_window", F.lit(1), F.col("n")), " ").alias("phrase"))
+    return runs.join(phrases, "phrase")
+
+
+def place_phrases(cities: DataFrame, countries: DataFrame | None = None, garbage=is_garbage_city) -> DataFrame:
+    """The dictionary of place names, written out: phrase, ``_cities`` (one of each country, lowest id first), ``_country``.
+
+    ``cities``: city_id, name, country. ``countries``: country; those of the gazetteer count as well.
     """
-    # Filtered before it is written out; as a filter in the join, Spark would infer it for every span as well.
-    named = cities.withColumn("_n", F.lower("name"))
-    separators = r"[^\p{L}\p{N}'-]+"
-    named = named.where(~garbage(F.col("_n")))
-    if max_words is None:
-        # one number; a name is found however many words it has
-        max_words = named.agg(F.max(F.size(F.split(F.trim("_n"), r"\s+")))).first()[0] or 1
-    names = named.groupBy("_n", F.lower("country").alias("_c")).agg(F.min(F.struct("city_id", "name", "country")).alias("_city"))
-    words = F.filter(F.split(F.lower(F.col(text)), separators), lambda w: w != "")
-    rows = df.select(key, words.alias("_w"), F.lower(F.col(text)).alias("_text"),
-                     (F.lower(F.trim(F.col(stated))) if stated else F.lit(None).cast("string")).alias("_stated"))
-    def run(i: Column, w: Column, n: int) -> Column:
-        """The n words from position i on; null past the end."""
-        return F.concat(w, *[F.concat(F.lit(" "), F.get("_w", i + k)) for k in range(1, n)])
-
-    spans = F.flatten(F.transform(F.col("_w"), lambda w, i: F.array(*[
-        F.struct(i.alias("pos"), F.lit(n).alias("len"), run(i, w, n).alias("_n")) for n in range(1, max_words + 1)])))
-    # Spans meet the gazetteer before any grouping: only the few that are cities get shuffled.
-    # The outer form, because Spark would compute the spans of the plain one a second time to test them for emptiness.
-    hits = rows.select(key, "_text", "_stated", F.inline_outer(spans)).join(names, "_n")
-    in_text = F.coalesce(F.contains("_text", F.col("_c")), F.lit(False))
-    is_stated = F.coalesce(F.col("_c") == F.col("_stated"), F.lit(False))
-    return hits.groupBy(key).agg(F.min_by(
-        F.struct(F.col("_city.name").alias("mention"), F.col("_city.country").alias("mention_country")),
-        F.struct(F.col("pos"), -F.col("len"), ~in_text, ~is_stated, F.col("_city.city_id"))).alias("_m")).select(key, "_m.*")
+    named = cities.select("city_id", "name", "country", phrase_of(F.col("name")).alias("phrase"), phrase_of(F.col("country")).alias("_c"))
+    towns = (named.where((F.col("phrase") != "") & ~garbage(F.col("phrase"))).groupBy("phrase", "_c")
+             .agg(F.min(F.struct("city_id", "name", "country")).alias("_r"))
+             .groupBy("phrase").agg(F.array_sort(F.collect_list(F.struct("_r.city_id", "_c", "_r.name", "_r.country"))).alias("_cities")))
+    states = cities.select("country")
+    if countries is not None:
+        states = states.unionByName(countries.select("country"))
+    states = states.select(phrase_of(F.col("country")).alias("phrase"), "country").where("phrase <> ''").groupBy("phrase").agg(
+        F.min("country").alias("_country"))
+    return materialise(towns.join(states, "phrase", "full"), "phrases")
+
+
+def text_mention(df: DataFrame, key: str, text: str, cities: DataFrame, *, countries: DataFrame | None = None,
+                 stated: str | None = None, garbage=is_garbage_city) -> DataFrame:
+    """The first gazetteer city and the first country named in the text, the longest when several start at one place.
+
+    Of a name of several countries the city of a country that the text names is taken, then that of the country in column
+    ``stated``, then the lowest id. Names are compared word by word. One row for each text (``key`` is unique) that names a
+    place: key, mention, mention_country, country_mention. Null and empty texts name none.
+    """
+    said = phrase_of(F.col(stated)) if stated else F.lit(None).cast("string")
+    hits = dictionary_scan(df.withColumn("_stated", said), key, text, place_phrases(cities, countries, garbage), ["_stated"])
+    place = F.struct("pos", -F.col("n"))
+    found = hits.groupBy(key).agg(
+        F.first("_stated").alias("_stated"), F.collect_set(F.when(F.col("_country").isNotNull(), F.col("phrase"))).alias("_named"),
+        F.min_by("_cities", F.when(F.col("_cities").isNotNull(), place)).alias("_cities"),
+        F.min_by("_country", F.when(F.col("_country").isNotNull(), place)).alias("country_mention"))
+    best = F.array_min(F.transform("_cities", lambda x: F.struct(
+        F.coalesce(~F.array_contains("_named", x["_c"]), F.lit(True)).alias("a"), F.coalesce(x["_c"] != F.col("_stated"), F.lit(True)).alias("b"),
+        x["city_id"].alias("city_id"), x["name"].alias("name"), x["country"].alias("country"))))
+    return found.withColumn("_m", best).select(
+        key, F.col("_m.name").alias("mention"), F.col("_m.country").alias("mention_country"), "country_mention")
+
+
+def constrained_pick(df: DataFrame, key: str, text: str, country: str, cities: DataFrame, *,
+                     share: float = vocab.PICK_MIN_SHARE, garbage=is_garbage_city) -> DataFrame:
+    """The city of a known country whose name the text holds in scattered words: key, pick, pick_share.
+
+    Ranked by the share of the name's words that are in the text (at least ``share``), then more words, then the name.
+    Words that few names of the country have decide which names are looked at: a name reaches the share only if one of
+    its size - ceil(share * size) + 1 rarest words is in the text.
+    """
+    named = (cities.where(~garbage(phrase_of(F.col("name")))).select(
+        "name", F.lower("country").alias("_c"), F.array_distinct(words_of(F.col("name"))).alias("_names")).where(F.size("_names") > 0)
+        .distinct())
+    spelled = materialise(named.select("name", "_c", F.size("_names").alias("_n"), F.explode("_names").alias("_word")), "names")
+    counts = spelled.groupBy("_c", "_word").agg(F.count("*").alias("_same"))
+    ordered = spelled.join(counts, ["_c", "_word"]).groupBy("_c", "name", "_n").agg(
+        F.array_sort(F.collect_list(F.struct("_same", "_word"))).alias("_o"))
+    prefix = (F.col("_n") - F.ceil(F.col("_n") * F.lit(share) - 1e-9) + 1).cast("int")
+    rare = ordered.select("_c", "name", F.explode(F.slice("_o", F.lit(1), prefix)).alias("_p")).select(
+        "_c", "name", F.col("_p._word").alias("_word"))
+    rows = df.select(key, F.lower(F.col(country)).alias("_c"), F.explode(F.array_distinct(words_of(F.col(text)))).alias("_word"))
+    names = rows.join(rare, ["_c", "_word"]).select(key, "_c", "name").distinct()
+    shared = names.join(spelled, ["_c", "name"]).join(rows, [key, "_c", "_word"], "left_semi").groupBy(key, "name", "_n").agg(
+        (F.count("*") / F.col("_n")).alias("_share")).where(F.col("_share") >= share - 1e-9)
+    best = shared.groupBy(key).agg(F.min(F.struct(-F.col("_share"), -F.col("_n"), F.col("name").alias("name"))).alias("_b"))
+    return best.select(key, F.col("_b.name").alias("pick"), (-F.col("_b.col1")).alias("pick_share"))
 
 
 def mapped(c: Column, pairs: Sequence[tuple[str, str]]) -> Column:
@@ -130,21 +187,24 @@ def resolve_places(df: DataFrame, key: str, cities: DataFrame, countries: DataFr
                    mention_confidence: float = 1.0) -> DataFrame:
     """Adds city, country, lat, lng, location_confidence, location_sources.
 
-    In order: drop garbage cities; a city named in the text; the stated city by trigrams inside the stated
-    country; the stated country unless the text contradicts it; coordinates from the gazetteer.
+    In order: drop garbage cities; a city named in the text, else a country named there; the stated city by trigrams inside
+    that or the stated country; the stated country unless the text contradicts it; with a country alone, the city of it
+    whose words the text holds; coordinates from the gazetteer.
     ``cities``: city_id, name, country, lat, lng. ``countries``: country_id, country.
     """
     base = df.withColumn("_city_raw", F.when(~is_garbage_city(F.col(city_raw)), F.trim(F.col(city_raw)))) \
         .withColumn("_country_raw", blank_to_null(F.col(country_raw))) \
         .withColumn("_text", F.concat_ws(" ", title, description))
-    # The trigram step works on the distinct stated places, from these two columns alone.
-    base = base.withColumn("_within", F.lower("_country_raw"))
-    fuzzy = best_city(base.where(F.col("_city_raw").isNotNull()).select(
-        F.col("_city_raw").alias("phrase"), F.col("_within").alias("country")), cities)
-    mention = text_mention(base, key, "_text", cities, stated="_country_raw").withColumnRenamed("mention", "_m").withColumnRenamed(
-        "mention_country", "_mc")
+    mention = text_mention(base, key, "_text", cities, countries=countries, stated="_country_raw")
+    # Short rows, read twice below: texts are scanned once.
+    mention = materialise(mention.select(key, F.col("mention").alias("_m"), F.col("mention_country").alias("_mc"), F.when(
+        F.col("mention").isNull(), F.col("country_mention")).alias("_said")), "mentions")
     base = base.join(mention, key, "left")
-    base = base.withColumn("_phrase", F.when(F.col("_m").isNull(), F.col("_city_raw")))
+    base = base.withColumn("_phrase", F.when(F.col("_m").isNull(), F.col("_city_raw"))) \
+        .withColumn("_within", F.lower(F.coalesce("_said", "_country_raw")))
+    # The trigram step works on the distinct stated places, from these two columns alone.
+    fuzzy = best_city(base.where(F.col("_phrase").isNotNull()).select(
+        F.col("_phrase").alias("phrase"), F.col("_within").alias("country")), cities)
     fuzzy = materialise(fuzzy, "cities").select(F.col("phrase").alias("_p"), F.col("country").alias("_pc"), F.col("city").alias("_f"),
                          F.col("city_country").alias("_fc"))
     base = base.join(fuzzy, (F.col("_phrase") == F.col("_p")) & F.col("_within").eqNullSafe(F.col("_pc")), "left")
@@ -152,25 +212,30 @@ def resolve_places(df: DataFrame, key: str, cities: DataFrame, countries: DataFr
     base = lookup(base, F.when(F.length(F.trim("_country_raw")) >= 2, F.col("_country_raw")), countries, F.col("country"),
                   [("country", "_known")], "country_id")
     from_text = F.col("_m").isNotNull()
+    said = F.col("_said").isNotNull()
     from_raw = F.col("_f").isNotNull()
-    use_raw_country = ~from_text & ~from_raw & F.col("_known").isNotNull() & ~F.coalesce(
+    use_raw_country = ~from_text & ~said & ~from_raw & F.col("_known").isNotNull() & ~F.coalesce(
         wrong_us(F.col("_country_raw"), F.col(title)), F.lit(False))
     base = (base.withColumn("city", F.coalesce("_m", "_f"))
-            .withColumn("country", F.coalesce("_mc", "_fc", F.when(use_raw_country, F.col("_known"))))
+            .withColumn("country", F.coalesce("_mc", "_said", "_fc", F.when(use_raw_country, F.col("_known"))))
             .withColumn("_raw_country", use_raw_country))
+    picks = constrained_pick(base.where("city is null and country is not null"), key, "_text", "country", cities)
+    base = base.join(picks, key, "left").withColumn("city", F.coalesce("city", "pick"))
 
     places = first_by(cities.withColumn("_n", F.lower("name")).withColumn("_c", F.lower("country")), ["_n", "_c"], "city_id",
                       ["lat", "lng"])
     base = base.join(places, (F.lower("city") == F.col("_n")) & (F.lower("country") == F.col("_c")), "left")
     overridden = from_text & F.coalesce(F.lower("_country_raw") != F.lower("_mc"), F.lit(False))
     confidence = F.greatest(
-        F.when(from_text, F.lit(0.9 * mention_confidence)).otherwise(0.0), F.when(from_raw, 0.75).otherwise(0.0),
-        F.when(F.col("_raw_country"), 0.35).otherwise(0.0))
+        F.when(from_text, F.lit(0.9 * mention_confidence)).otherwise(0.0), F.when(said, F.lit(0.6 * mention_confidence)).otherwise(0.0),
+        F.when(from_raw, 0.75).otherwise(0.0), F.when(F.col("_raw_country"), 0.35).otherwise(0.0),
+        F.coalesce(F.col("pick_share") * 0.65, F.lit(0.0)))
     sources = F.array_compact(F.array(
         F.when(from_text, F.lit("text_mention")), F.when(overridden, F.lit("country_overridden")),
-        F.when(from_raw, F.lit("city_trigram")), F.when(F.col("_raw_country"), F.lit("country_stated"))))
+        F.when(said, F.lit("text_country")),
+        F.when(from_raw, F.lit("city_trigram")), F.when(F.col("_raw_country"), F.lit("country_stated")),
+        F.when(F.col("pick").isNotNull(), F.lit("country_pick"))))
     return (base.withColumn("location_confidence", F.round(F.least(confidence, F.lit(1.0)), 2))
             .withColumn("location_sources", sources)
-            .drop("_city_raw", "_country_raw", "_text", "_m", "_mc", "_phrase", "_within", "_p", "_pc", "_f", "_fc",
-                  "_known", "_raw_country", "_n", "_c"))
-
+            .drop("_city_raw", "_country_raw", "_text", "_m", "_mc", "_said", "_phrase", "_within", "_p", "_pc", "_f", "_fc",
+                  "_known", "_raw_country", "pick", "pick_share", "_n", "_c"))

@@ -153,41 +153,66 @@ def _(t):
 _WORDS = "list_filter(regexp_split_to_array(lower({e}), '[^\\p{{L}}\\p{{N}}''-]+'), lambda w: w <> '')"
 
 
+def _phrase(e: str) -> str:
+    return f"array_to_string({_WORDS.format(e=e)}, ' ')"
+
+
 def sql_mention(source: str, key: str, expr: str, stated: str = "NULL") -> str:
-    """CTE ``mention(key, mention, mention_country)``."""
-    return f"""mw AS (SELECT {key}, lower({expr}) AS tx, lower(trim(CAST({stated} AS VARCHAR))) AS st, {_WORDS.format(e=expr)} AS w FROM {source}),
+    """CTEs ``mention(key, mention, mention_country)`` and ``said(key, said)``."""
+    return f"""mw AS (SELECT {key}, ' ' || {_phrase(expr)} || ' ' AS tx, {_phrase(f"CAST({stated} AS VARCHAR)")} AS st, {_WORDS.format(e=expr)} AS w FROM {source}),
 mp AS (SELECT {key}, tx, st, w, unnest(range(1, len(w) + 1)) AS p FROM mw),
-ml AS (SELECT unnest(range(1, 1 + (SELECT max(len(regexp_split_to_array(trim(lower(name)), '\\s+'))) FROM cities))) AS n),
+ml AS (SELECT unnest(range(1, 1 + (SELECT max(len({_WORDS.format(e='name')})) FROM (SELECT name FROM cities UNION SELECT country FROM cities)))) AS n),
 ms AS (SELECT {key}, tx, st, p, n, array_to_string(w[p:p + n - 1], ' ') AS s FROM mp, ml WHERE p + n - 1 <= len(w)),
-mn AS (SELECT lower(name) AS k, lower(country) AS ck, arg_min(name, city_id) AS name, arg_min(country, city_id) AS country, min(city_id) AS id FROM cities GROUP BY 1, 2),
+mn AS (SELECT {_phrase('name')} AS k, {_phrase('country')} AS ck, arg_min(name, city_id) AS name, arg_min(country, city_id) AS country, min(city_id) AS id FROM cities GROUP BY 1, 2),
+mc AS (SELECT {_phrase('country')} AS k, min(country) AS said FROM cities GROUP BY 1),
+said AS (SELECT {key}, said FROM ms JOIN mc ON s = k QUALIFY row_number() OVER (PARTITION BY {key} ORDER BY p, n DESC) = 1),
 mention AS (SELECT {key}, name AS mention, country AS mention_country FROM ms JOIN mn ON s = k AND NOT {sql_garbage_city('k')} QUALIFY row_number() OVER (PARTITION BY {key}
- ORDER BY p, n DESC, CASE WHEN contains(tx, ck) THEN 0 ELSE 1 END, CASE WHEN ck = st THEN 0 ELSE 1 END, id) = 1)"""
+ ORDER BY p, n DESC, CASE WHEN contains(tx, ' ' || ck || ' ') THEN 0 ELSE 1 END, CASE WHEN ck = st THEN 0 ELSE 1 END, id) = 1)"""
+
+
+def sql_places(columns: str = "") -> str:
+    """CTEs from ``r`` (raw rows) to ``z``: city, country, confidence ``lc`` and sources of every row; ``columns`` are added."""
+    return f"""b AS (SELECT *, CASE WHEN NOT {sql_garbage_city('city_raw')} THEN trim(city_raw) END AS cr, nullif(trim(country_raw), '') AS pr, title || ' ' || description AS x FROM r), {sql_mention('b', 'product_id', 'x', 'pr')},
+m AS (SELECT b.*, mention, mention_country, CASE WHEN mention IS NULL THEN said END AS said FROM b LEFT JOIN mention USING (product_id) LEFT JOIN said USING (product_id)),
+q AS (SELECT cr AS phrase, lower(coalesce(said, pr)) AS country FROM m WHERE mention IS NULL AND cr IS NOT NULL), {sql_best_city('q')},
+f AS (SELECT m.*, fuzzy.city AS fc, fuzzy.city_country AS fcc, co.country AS known FROM m LEFT JOIN fuzzy ON mention IS NULL AND cr = fuzzy.phrase AND lower(coalesce(said, pr)) IS NOT DISTINCT FROM fuzzy.country
+ LEFT JOIN countries co ON length(pr) >= 2 AND lower(pr) = lower(co.country)),
+u AS (SELECT *, mention IS NULL AND said IS NULL AND fc IS NULL AND known IS NOT NULL AND NOT (lower(pr) = 'united states' AND {any_of('lower(title)', vocab.US_CONTRADICTIONS)}) AS by_raw FROM f),
+v AS (SELECT *, coalesce(mention, fc) AS city0, coalesce(mention_country, said, fcc, CASE WHEN by_raw THEN known END) AS country FROM u),
+pw AS (SELECT DISTINCT name, lower(country) AS ck, list_distinct({_WORDS.format(e='name')}) AS nw FROM cities WHERE NOT {sql_garbage_city(_phrase('name'))}),
+pk AS (SELECT product_id, name AS pick, len(list_intersect(nw, {_WORDS.format(e='x')})) / len(nw)::DOUBLE AS share FROM v JOIN pw ON city0 IS NULL AND lower(v.country) = ck
+ WHERE len(list_intersect(nw, {_WORDS.format(e='x')})) / len(nw)::DOUBLE >= {vocab.PICK_MIN_SHARE} - 1e-9 QUALIFY row_number() OVER (PARTITION BY product_id ORDER BY share DESC, len(nw) DESC, name) = 1),
+z AS (SELECT v.*, coalesce(city0, pick) AS city, CASE WHEN mention IS NOT NULL THEN 0.9 WHEN fc IS NOT NULL THEN 0.75 ELSE greatest(CASE WHEN said IS NOT NULL THEN 0.6 WHEN by_raw THEN 0.35 ELSE 0 END, round(coalesce(share * 0.65, 0), 2)) END AS lc,
+ array_to_string(list_filter([CASE WHEN mention IS NOT NULL THEN 'text_mention' END, CASE WHEN mention IS NOT NULL AND lower(pr) <> lower(mention_country) THEN 'country_overridden' END,
+ CASE WHEN said IS NOT NULL THEN 'text_country' END, CASE WHEN fc IS NOT NULL THEN 'city_trigram' END, CASE WHEN by_raw THEN 'country_stated' END, CASE WHEN pick IS NOT NULL THEN 'country_pick' END], lambda s: s IS NOT NULL), ',') AS sources{columns}
+ FROM v LEFT JOIN pk USING (product_id))"""
+
+
+_MENTION_TEXT = "title || ' ' || description || CASE WHEN product_id % 3 = 0 THEN ' in NATION_' || CAST(product_id % 25 AS STRING) ELSE '' END"
 
 
 @query("geo2_text_mention", f"""
-WITH {inputs.CITIES_SQL}, d AS (SELECT product_id, title || ' ' || description AS x FROM (SELECT {inputs.select(inputs.RAW)} FROM part)), {sql_mention('d', 'product_id', 'x')}
-SELECT product_id, mention, mention_country FROM mention""")
+WITH {inputs.CITIES_SQL}, d AS (SELECT product_id, {_MENTION_TEXT} AS x FROM (SELECT {inputs.select(inputs.RAW)} FROM part)), {sql_mention('d', 'product_id', 'x')}
+SELECT product_id, mention, mention_country, said AS country_mention FROM mention FULL JOIN said USING (product_id)""")
 def _(t):
-    d = inputs.raw(t).select("product_id", F.concat("title", F.lit(" "), "description").alias("x"))
+    d = inputs.raw(t).select("product_id", F.expr(_MENTION_TEXT).alias("x"))
     return geo.text_mention(d, "product_id", "x", inputs.cities(t))
 
 
+# Half of the rows name no city in one piece: some a country, some the words of a city apart.
+_PLACE_TITLE = "CASE WHEN product_id % 2 = 0 THEN 'Private tour' ELSE title END"
+_PLACE_TEXT = ("CASE WHEN product_id % 10 = 4 THEN 'A day in NATION_' || CAST(product_id % 25 AS STRING) "
+               "WHEN product_id % 10 = 6 THEN 'The bolt and the ring, small or red' "
+               "WHEN product_id % 10 = 8 THEN 'Gizmo of NATION_' || CAST(product_id % 25 AS STRING) || ', large' WHEN product_id % 2 = 0 THEN 'Nice' ELSE description END")
+
+
 @query("geo1_resolve", f"""
 WITH {inputs.CITIES_SQL}, {inputs.COUNTRIES_SQL}, {inputs.RAW_SQL},
-r AS (SELECT product_id, CASE WHEN product_id % 2 = 0 THEN 'Private tour' ELSE title END AS title, CASE WHEN product_id % 2 = 0 THEN 'Nice' ELSE description END AS description, city_raw, country_raw FROM raw),
-b AS (SELECT *, CASE WHEN NOT {sql_garbage_city('city_raw')} THEN trim(city_raw) END AS cr, nullif(trim(country_raw), '') AS pr, title || ' ' || description AS x FROM r), {sql_mention('b', 'product_id', 'x', 'pr')},
-m AS (SELECT b.*, mention, mention_country FROM b LEFT JOIN mention USING (product_id)), q AS (SELECT cr AS phrase, lower(pr) AS country FROM m WHERE mention IS NULL AND cr IS NOT NULL), {sql_best_city('q')},
-f AS (SELECT m.*, fuzzy.city AS fc, fuzzy.city_country AS fcc, co.country AS known FROM m LEFT JOIN fuzzy ON mention IS NULL AND cr = fuzzy.phrase AND lower(pr) IS NOT DISTINCT FROM fuzzy.country
- LEFT JOIN countries co ON length(pr) >= 2 AND lower(pr) = lower(co.country)),
-u AS (SELECT *, mention IS NULL AND fc IS NULL AND known IS NOT NULL AND NOT (lower(pr) = 'united states' AND {any_of('lower(title)', vocab.US_CONTRADICTIONS)}) AS by_raw FROM f),
-z AS (SELECT *, coalesce(mention, fc) AS city, coalesce(mention_country, fcc, CASE WHEN by_raw THEN known END) AS country FROM u)
-SELECT product_id, z.city, z.country, p.lat, CAST(CASE WHEN mention IS NOT NULL THEN 0.9 WHEN fc IS NOT NULL THEN 0.75 WHEN by_raw THEN 0.35 ELSE 0 END AS DOUBLE) AS location_confidence,
- array_to_string(list_filter([CASE WHEN mention IS NOT NULL THEN 'text_mention' END, CASE WHEN mention IS NOT NULL AND lower(pr) <> lower(mention_country) THEN 'country_overridden' END,
- CASE WHEN fc IS NOT NULL THEN 'city_trigram' END, CASE WHEN by_raw THEN 'country_stated' END], lambda s: s IS NOT NULL), ',') AS sources
+r AS (SELECT product_id, {_PLACE_TITLE} AS title, {_PLACE_TEXT} AS description, city_raw, country_raw FROM raw), {sql_places()}
+SELECT product_id, z.city, z.country, p.lat, CAST(lc AS DOUBLE) AS location_confidence, sources
 FROM z LEFT JOIN (SELECT lower(name) AS n, lower(country) AS k, arg_min(lat, city_id) AS lat FROM cities GROUP BY 1, 2) p ON lower(z.city) = n AND lower(z.country) = k""")
 def _(t):
-    r = inputs.raw(t).withColumn("title", F.expr("CASE WHEN product_id % 2 = 0 THEN 'Private tour' ELSE title END")).withColumn(
-        "description", F.expr("CASE WHEN product_id % 2 = 0 THEN 'Nice' ELSE description END"))
+    r = inputs.raw(t).withColumns({"title": F.expr(_PLACE_TITLE), "description": F.expr(_PLACE_TEXT)})
     out = geo.resolve_places(r, "product_id", inputs.cities(t), inputs.countries(t))
     return out.select("product_id", "city", "country", "lat", "location_confidence", F.array_join("location_sources", ",").alias("sources"))
 
@@ -424,11 +449,38 @@ def _(t):
     return matching.structured_candidates(left, right).select("left_id", "right_id", F.round("score", 6).alias("score"))
 
 
+def _sides(t):
+    e = t.embeddings
+    return e.select(c("vec_id").alias("left_id"), c("embedding").alias("left_vec")), e.select(c("vec_id").alias("right_id"), F.reverse("embedding").alias("right_vec"))
+
+
 @query("jn4_approximate_topk")
 def _(t):
-    e = t.embeddings
-    left, right = e.select(c("vec_id").alias("left_id"), c("embedding").alias("left_vec")), e.select(c("vec_id").alias("right_id"), F.reverse("embedding").alias("right_vec"))
-    return ann.approximate_topk(left, right, 10, lists=16, probes=12).select("left_id", "right_id", "rank", F.round("score", 6).alias("score"))
+    left, right = _sides(t)
+    path = scratch_path(t.spark, "index")
+    ann.build_index(right, path)
+    ann.measure_recall(path, left, 10)
+    return ann.search_index(path, left, 10).select("left_id", "right_id", "rank", F.round("score", 6).alias("score"))
+
+
+# Lists by the largest component: fixed centroids along the axes. A third of the rows enters with another vector and is then replaced.
+_PROBES = 12
+
+
+@query("jn4_stored_index", f"""
+WITH {_LEFT_E}, {_RIGHT_E}, lc AS (SELECT left_id, v, unnest(range(1, len(v) + 1)) AS list FROM l),
+lp AS (SELECT left_id, v, list FROM lc QUALIFY row_number() OVER (PARTITION BY left_id ORDER BY v[list] DESC, list) <= {_PROBES}),
+rc AS (SELECT right_id, v, unnest(range(1, len(v) + 1)) AS list FROM r), rp AS (SELECT right_id, v, list FROM rc QUALIFY row_number() OVER (PARTITION BY right_id ORDER BY v[list] DESC, list) = 1)
+SELECT left_id, right_id, round({_COS.replace('l.', 'lp.').replace('r.', 'rp.')}, 6) AS score FROM lp JOIN rp USING (list) QUALIFY row_number() OVER (PARTITION BY left_id ORDER BY score DESC, right_id) <= 10""")
+def _(t):
+    left, right = _sides(t)
+    path = scratch_path(t.spark, "index")
+    changing = c("right_id") % 3 == 0
+    first = right.withColumn("right_vec", F.when(changing, F.reverse("right_vec")).otherwise(c("right_vec")))
+    width = t.embeddings.agg(F.max(F.size("embedding"))).first()[0]  # one number
+    ann.build_index(first, path, centroids=np.eye(width))
+    ann.add_to_index(path, right.where(changing))
+    return ann.search_index(path, left, 10, probes=_PROBES).select("left_id", "right_id", F.round("score", 6).alias("score"))
 
 
 @query("jn4_all_lists_topk", f"""
@@ -569,14 +621,7 @@ _cat = case_words("lower(title || ' ' || description)", vocab.STAGE_CATEGORY_RUL
 @query("cls12_normalise", f"""
 WITH {inputs.CITIES_SQL}, {inputs.COUNTRIES_SQL}, {inputs.RAW_SQL},
 r0 AS (SELECT * REPLACE ({_NT} AS title, {_ND} AS description) FROM raw), r AS (SELECT *, {_act} AS activity FROM r0 WHERE length(title) >= 5),
-b AS (SELECT *, CASE WHEN NOT {sql_garbage_city('city_raw')} THEN trim(city_raw) END AS cr, nullif(trim(country_raw), '') AS pr, title || ' ' || description AS x FROM r), {sql_mention('b', 'product_id', 'x', 'pr')},
-m AS (SELECT b.*, mention, mention_country FROM b LEFT JOIN mention USING (product_id)), q AS (SELECT cr AS phrase, lower(pr) AS country FROM m WHERE mention IS NULL AND cr IS NOT NULL), {sql_best_city('q')},
-f AS (SELECT m.*, fuzzy.city AS fc, fuzzy.city_country AS fcc, co.country AS known FROM m LEFT JOIN fuzzy ON mention IS NULL AND cr = fuzzy.phrase AND lower(pr) IS NOT DISTINCT FROM fuzzy.country
- LEFT JOIN countries co ON length(pr) >= 2 AND lower(pr) = lower(co.country)),
-u AS (SELECT *, mention IS NULL AND fc IS NULL AND known IS NOT NULL AND NOT (lower(pr) = 'united states' AND {any_of('lower(title)', vocab.US_CONTRADICTIONS)}) AS by_raw FROM f),
-z AS (SELECT *, coalesce(mention, fc) AS city, coalesce(mention_country, fcc, CASE WHEN by_raw THEN known END) AS country,
- CASE WHEN mention IS NOT NULL THEN 0.9 WHEN fc IS NOT NULL THEN 0.75 WHEN by_raw THEN 0.35 ELSE 0 END AS lc, {sql_stage_price('x')[0]} AS eur, {sql_stage_price('x')[1]} AS est,
- {sql_signature("coalesce(mention, fc)", 'activity', 'title', vocab.SIGNATURE_STOP)} AS sk FROM u)
+{sql_places(f""", {sql_stage_price('x')[0]} AS eur, {sql_stage_price('x')[1]} AS est, {sql_signature("coalesce(city0, pick)", 'activity', 'title', vocab.SIGNATURE_STOP)} AS sk""")}
 SELECT product_id, title, city, country, activity, CASE WHEN activity = 'TRANSFER' THEN 'TRANSPORT' ELSE {_cat} END AS category, eur AS price, est AS price_is_estimated,
  sk || '_' || substr(md5(sk), 1, 16) AS matching_signature,
  concat_ws(' | ', 'Activity: ' || title, 'Location: ' || coalesce(city, 'Unknown') || ', ' || coalesce(country, 'Unknown'), 'Type: ' || activity, 'Category: ' || CASE WHEN activity = 'TRANSFER' THEN 'TRANSPORT' ELSE {_cat} END, description) AS embedding_text,

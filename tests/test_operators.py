@@ -1,6 +1,8 @@
 """Operators against brute force, with hot groups."""
 
+import os
 import random
+import re
 import statistics
 
 import numpy as np
@@ -311,6 +313,71 @@ def test_mention_prefers_the_country_of_the_text_then_the_stated_one(spark):
     assert found == {1: ("Paris", "France"), 2: ("Ho Chi Minh City", "Vietnam"), 3: ("Paris", "Canada"), 4: ("Paris", "United States")}
 
 
+def test_countries_in_the_text_and_picks_inside_them(spark):
+    cities, countries = gazetteer(spark)
+    rows = [(1, "Trip in Morocco", "", "Marrakesh", "Italy"), (2, "A united states trip", "", None, None), (3, "New trip to York and beyond", "", "tour", "united states"),
+            (4, "Visit", "New, old: York. In the United States", None, "France"), (5, None, None, None, None), (6, "", "", "", "")]
+    df = spark.createDataFrame(rows, "id int, title string, description string, city_raw string, country_raw string")
+    got = {r["id"]: (r["city"], r["country"], r["location_confidence"], r["location_sources"]) for r in geo.resolve_places(df, "id", cities, countries).collect()}
+    assert got == {
+        1: ("Marrakech", "Morocco", 0.75, ["text_country", "city_trigram"]), 2: (None, "United States", 0.6, ["text_country"]),
+        3: ("York", "United Kingdom", 0.9, ["text_mention", "country_overridden"]),
+        4: ("York", "United Kingdom", 0.9, ["text_mention", "country_overridden"]), 5: (None, None, 0.0, []), 6: (None, None, 0.0, [])}
+    apart = spark.createDataFrame([(1, "new hotel near yorks", "united states"), (2, "york and new", "United States"), (3, "york", "Italy"), (4, None, "Italy"), (5, "york", None)],
+                                  "id int, x string, c string")
+    assert [tuple(r) for r in geo.constrained_pick(apart, "id", "x", "c", cities).collect()] == [(2, "New York", 1.0)]
+    assert geo.constrained_pick(apart, "id", "x", "c", cities.where("false")).count() == 0
+
+
+def test_dictionary_scan_finds_every_place(spark):
+    rng = random.Random(5)
+    phrases = sorted({" ".join(rng.choice("abcd") for _ in range(rng.randint(1, 5))) for _ in range(40)})
+    texts = [(i, " ".join(rng.choice("abcde") for _ in range(rng.choice([0, 1, 30, 3000])))) for i in range(12)] + [(90, None), (91, "A, b. C!")]
+    got = geo.dictionary_scan(spark.createDataFrame(texts, "k int, x string"), "k", "x", spark.createDataFrame([(p,) for p in phrases], "phrase string"))
+    want = set()
+    for k, x in texts:
+        words = re.findall(r"[\w'-]+", (x or "").lower())
+        want |= {(k, i, n, " ".join(words[i:i + n])) for i in range(len(words)) for n in range(1, 6) if " ".join(words[i:i + n]) in phrases and i + n <= len(words)}
+    assert {(r["k"], r["pos"], r["n"], r["phrase"]) for r in got.collect()} == want
+
+
+def test_stored_index_recall_additions_and_untouched_lists(spark, tmp_path):
+    lrows, left = vectors(spark, 80, 3, "left_id", "left_vec")
+    rrows, right = vectors(spark, 900, 4, "right_id", "right_vec")
+    path = str(tmp_path / "index")
+    right = right.drop("block")
+    old = right.where("right_id < 800").withColumn("right_vec", F.when(F.col("right_id") % 9 == 0, F.transform("right_vec", lambda x: -x)).otherwise(F.col("right_vec")))
+    ann.build_index(old, path)
+    assert len(ann.read_centroids(spark, path)) == 16 == ann.lists_for(800)
+    delta = right.where("right_id >= 800 or right_id % 9 = 0")
+    ann.add_to_index(path, delta)
+    assert ann.read_rows(spark, path).count() == 900 == ann.read_rows(spark, path).select("right_id").distinct().count()
+    true = brute(lrows, rrows, 5, same_block=False)
+
+    def found(**how):
+        return {(r["left_id"], r["right_id"]) for r in ann.search_index(path, left, 5, tile_rows=50, **how).collect()}
+
+    assert found(probes=99) == true
+    table = {r["probes"]: r["recall"] for r in ann.measure_recall(path, left, 5).collect()}
+    assert table[16] == 1.0 and all(table[p] <= table[p + 1] for p in range(1, 16))
+    for p in (2, 7):  # every query was measured, so the table is the recall of a search
+        assert len(found(probes=p) & true) / len(true) == pytest.approx(table[p])
+    assert len(found() & true) / len(true) >= 0.95
+
+    def files():
+        return {f for folder, _, names in os.walk(f"{path}/rows") for f in (os.path.join(folder, n) for n in names) if f.endswith(".parquet")}
+
+    before = files()
+    assert ann.add_to_index(path, delta.limit(0)) == [] and files() == before
+    one = spark.createDataFrame([(5, None)], "right_id long, right_vec array<float>")
+    touched = ann.add_to_index(path, one)
+    assert len(touched) == 1 and all(f"list_id={touched[0]}/" in f for f in files() ^ before)
+    assert found(probes=99) == {x for x in brute(lrows, [r for r in rrows if r[0] != 5], 5, same_block=False)}
+    assert ann.search_index(path, left.where("false"), 5, probes=3).count() == 0
+    with pytest.raises(ValueError):
+        ann.build_index(old.where("false"), path + "-none")
+
+
 def one_by_one(existing, incoming):
     hosts = {h: [n, c, s] for h, n, c, s in existing}
     names = {(n, c) for _, n, c, _ in existing if c is not None}
