@@ -607,6 +607,21 @@ def _(t):
     return out.select("doc_id", F.size("embedding").alias("n_words"), total.alias("weighted"))
 
 
+_WORD_LIST = r"list_filter(regexp_split_to_array(lower(text), '[^\p{L}\p{N}]+'), lambda w: w <> '')"
+
+
+@query("sim13_idf_vectors", f"""
+WITH t AS (SELECT DISTINCT text FROM documents WHERE length(text) > 0), w AS (SELECT text, CAST('0x' || substr(md5(unnest({_WORD_LIST})), 1, 8) AS BIGINT) % 64 AS bucket FROM t),
+n AS (SELECT text, bucket, count(*) AS n FROM w GROUP BY 1, 2), i AS (SELECT bucket, ln(((SELECT count(*) FROM t) + 1)::DOUBLE / (count(*) + 1)) AS idf FROM n GROUP BY 1),
+x AS (SELECT text, bucket, n * idf AS x FROM n JOIN i USING (bucket)), u AS (SELECT text, sqrt(sum(x * x)) AS norm FROM x GROUP BY 1),
+v AS (SELECT text, sum(CAST(CAST(CASE WHEN norm > 0 THEN x / norm ELSE 0 END AS FLOAT) AS DOUBLE) * (bucket + 1)) AS weighted, count(*) FILTER (WHERE x > 0) AS filled FROM x JOIN u USING (text) GROUP BY 1)
+SELECT doc_id, CASE WHEN length(text) > 0 THEN round(coalesce(weighted, 0), 3) END AS weighted, CASE WHEN length(text) > 0 THEN coalesce(filled, 0) END AS filled FROM documents LEFT JOIN v USING (text)""")
+def _(t):
+    out = embed.embed_distinct(t.documents, "text")
+    total = F.aggregate(F.transform("embedding", lambda x, i: x.cast("double") * (i + 1)), F.lit(0.0), lambda s, x: s + x)
+    return out.select("doc_id", F.round(total, 3).alias("weighted"), F.size(F.filter("embedding", lambda x: x > 0)).alias("filled"))
+
+
 @query("top1_best_per_group", "SELECT l_suppkey, arg_max(l_orderkey, (l_extendedprice, -l_orderkey, -l_linenumber)) AS l_orderkey, max(l_extendedprice) AS l_extendedprice FROM lineitem GROUP BY l_suppkey")
 def _(t):
     return matching.argmax(t.lineitem, ["l_suppkey"], F.struct("l_extendedprice", -c("l_orderkey"), -c("l_linenumber")), ["l_orderkey", "l_extendedprice"])

@@ -294,6 +294,18 @@ def test_equal_texts_are_embedded_once(spark):
     assert abs(sum(x * x for x in out[1]) - 1) < 1e-5
 
 
+def test_idf_weights_are_fitted_once_and_used_again(spark):
+    old = spark.createDataFrame([(1, "rome tour"), (2, "rome tour"), (3, "paris tour"), (4, "tour of oslo"), (5, "...")], "id int, t string")
+    idf = embed.fit_idf(old, "t")
+    assert idf.count() == 64
+    new = spark.createDataFrame([(1, "tour rome"), (2, "tour"), (3, "..."), (4, None), (5, "rome")], "id int, t string")
+    out = {r["id"]: r["embedding"] for r in embed.embed_distinct(new, "t", idf=idf).collect()}
+    weight = lambda n: float(np.log(5 / (n + 1)))
+    assert sorted(x for x in out[1] if x) == pytest.approx(sorted(w / np.hypot(weight(3), weight(1)) for w in (weight(3), weight(1))))
+    assert sum(out[2]) == pytest.approx(1) and sum(out[3]) == 0 and len(out[3]) == 64 and out[4] is None
+    assert np.dot(out[1], out[5]) > 0.9 > np.dot(out[1], out[2])
+
+
 def test_interval_report(spark):
     df = spark.createDataFrame([(1, "A", 5, True, False), (2, "A", 9, False, True), (3, "A", 7, True, True), (4, "B", 1, False, False)],
                                "supplier_id int, country string, score int, has_api boolean, has_channel boolean")
