@@ -5,8 +5,9 @@ segment that its leading bits name; a segment adds up what it gets. The number o
 
 The filter: a token or bigram seen c times is entered with the levels 1 to 1 + floor(log2 c); its count is read back by
 probing one level after another until one is missing, so it is never too low. Each segment has bits of its own,
-``BITS`` for each entry, which makes the whole a list of small filters that is broadcast. Beyond ``max_filter_mb`` it
-doesn't grow: every entry is still made, and errors become more frequent.
+``BITS`` for each entry at every size, so the whole grows with the corpus and errs as seldom. It is a list of small filters. Up to
+``broadcast_mb`` it is broadcast; a larger one stays a table: texts go in runs of about a megabyte, each run sends what it
+asks to the segments, where a task holds one segment's filter at a time, and gets the counts back. Both ways give the same scores.
 
 Scores: P(w | u) = (c(u w) + MU * P(w)) / (c(u) + MU), P(w) = (c(w) + 1) / (N + V + 1), all counts from the filter. A text's
 first token follows an end token.
@@ -22,10 +23,11 @@ with an underscore go.
 from __future__ import annotations
 
 from collections.abc import Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -109,11 +111,11 @@ def place(keys: np.ndarray, level: int, probe: int, bits: np.ndarray | np.uint64
     return ((base + np.uint64(probe) * ((base >> np.uint64(17)) | np.uint64(1))) >> np.uint64(11)) % bits
 
 
-def filter_bits(keys: np.ndarray, counts: np.ndarray, most: int) -> bytes:
+def filter_bits(keys: np.ndarray, counts: np.ndarray) -> bytes:
     """The filter of one segment."""
     levels = np.floor(np.log2(counts)).astype(np.int64) + 1
     entries = int(levels.sum())
-    n = np.uint64(8 * max(8, min(-(-entries * BITS // 8), most)))
+    n = np.uint64(8 * max(8, -(-entries * BITS // 8)))
     out = np.zeros(int(n), bool)
     for level in range(1, int(levels.max(initial=0)) + 1):
         for probe in range(PROBES):
@@ -121,10 +123,8 @@ def filter_bits(keys: np.ndarray, counts: np.ndarray, most: int) -> bytes:
     return np.packbits(out, bitorder="little").tobytes()
 
 
-def merged(counted: DataFrame, max_filter_mb: int, bits: int) -> DataFrame:
+def merged(counted: DataFrame) -> DataFrame:
     """One row for each kind and segment: its filter, and the sorted keys and counts of tokens."""
-    most = (max_filter_mb << 20) // (2 << bits)
-
     def merge(key: tuple[pa.Scalar, ...], group: pa.Table) -> pa.Table:
         keys, n = summed([np.frombuffer(x, np.uint64) for x in group.column("keys").to_pylist()],
                          [np.frombuffer(x, np.uint32).astype(np.int64) for x in group.column("counts").to_pylist()])
@@ -134,7 +134,7 @@ def merged(counted: DataFrame, max_filter_mb: int, bits: int) -> DataFrame:
             "distinct": pa.array([len(keys)]), "total": pa.array([int(n.sum())]),
             "keys": pa.array([keys.tobytes() if exact else None], pa.binary()),
             "counts": pa.array([n.tobytes() if exact else None], pa.binary()),
-            "filter": pa.array([filter_bits(keys, n, most)], pa.binary())})
+            "filter": pa.array([filter_bits(keys, n)], pa.binary())})
 
     return counted.groupBy("kind", "segment").applyInArrow(
         merge, "kind int, segment long, distinct long, total long, keys binary, counts binary, filter binary")
@@ -173,10 +173,31 @@ class CountFilter:
         return np.where(level > 0, (3 * low - 1) / 2, 0.0)
 
 
+@dataclass
+class Answers:
+    """Counts that the segments gave to one run of texts: sorted keys and their counts."""
+
+    keys: np.ndarray
+    counts: np.ndarray
+
+    @classmethod
+    def of(cls, rows: list[tuple[bytes, bytes]]) -> Answers:
+        keys = np.concatenate([np.empty(0, np.uint64), *[np.frombuffer(k, np.uint64) for k, _ in rows]])
+        counts = np.concatenate([np.empty(0), *[np.frombuffer(n, np.float64) for _, n in rows]])
+        order = np.argsort(keys)
+        return cls(keys[order], counts[order])
+
+    def count(self, keys: np.ndarray) -> np.ndarray:
+        if not len(self.keys):
+            return np.zeros(len(keys))
+        at = np.minimum(np.searchsorted(self.keys, keys), len(self.keys) - 1)
+        return np.where(self.keys[at] == keys, self.counts[at], 0.0)
+
+
 @dataclass
 class Model:
-    tokens: CountFilter
-    bigrams: CountFilter
+    tokens: CountFilter | Answers | None  # None: the filters were not broadcast
+    bigrams: CountFilter | Answers | None
     total: int
     distinct: int
     head_keys: np.ndarray
@@ -225,60 +246,144 @@ def _counts(table: DataFrame, low: int, high: int | None) -> DataFrame:
     return table.select("keys", "counts").mapInArrow(rows, "key long, c long")
 
 
-def fit(texts: DataFrame, head_rows: int = 1_000_000, max_filter_mb: int = 512,
-        segment_mb: int = 4) -> tuple[Model, DataFrame, int]:
-    """The model of all texts (one column), its tokens' table, and the count below which tokens are not in the head."""
+def fit(texts: DataFrame, head_rows: int = 1_000_000, broadcast_mb: int = 256,
+        segment_mb: int = 4) -> tuple[Model, DataFrame, int, int]:
+    """The model of all texts (one column), the table of counts and filters, the count below which tokens are not in the head,
+    and the number of bits that name a segment."""
     size = texts.agg(F.sum(F.octet_length(texts.columns[0]))).first()[0] or 0
     bits = max(0, (size // (segment_mb << 20)).bit_length())
-    counted = materialise(merged(count_segments(texts, bits), max_filter_mb, bits), "counts")
+    counted = materialise(merged(count_segments(texts, bits)), "counts")
     tokens = counted.where(F.col("kind") == TOKEN)
     totals = tokens.agg(F.sum("distinct").alias("v"), F.sum("total").alias("n")).first()
     low = _head(tokens, head_rows)
-    # at most head_rows tokens, and at most max_filter_mb of filters
+    # at most head_rows tokens, and at most broadcast_mb of filters
     head = _counts(tokens, low, None).toArrow()
     key, n = head.column("key").to_numpy().view(np.uint64), head.column("c").to_numpy()
     order = np.argsort(key)
-    filters = {kind: CountFilter.of([(r["segment"], bytes(r["filter"])) for r in counted.where(F.col("kind") == kind)
-                                     .select("segment", "filter").toLocalIterator()], bits) for kind in (TOKEN, BIGRAM)}
+    filters = {TOKEN: None, BIGRAM: None}
+    if (counted.agg(F.sum(F.octet_length("filter"))).first()[0] or 0) <= broadcast_mb << 20:
+        filters = {kind: CountFilter.of([(r["segment"], bytes(r["filter"])) for r in counted.where(F.col("kind") == kind)
+                                         .select("segment", "filter").toLocalIterator()], bits) for kind in filters}
     model = Model(filters[TOKEN], filters[BIGRAM], totals["n"] or 0, totals["v"] or 0, key[order], n[order])
-    return model, tokens, low
+    return model, counted, low, bits
 
 
-def score(docs: DataFrame, training: Column, **options) -> DataFrame:
-    """Learns from the rows of (doc_id, text) where ``training`` holds, and scores all.
+def _columns(model: Model, seq: np.ndarray, before: np.ndarray, begin: np.ndarray) -> list[pa.Array]:
+    """n_tokens, _known, _base, score and _tail of a run of texts."""
+    value = model.logs(before, seq)
+    if len(model.head_keys):
+        at = np.minimum(np.searchsorted(model.head_keys, seq), len(model.head_keys) - 1)
+        known = model.head_keys[at] == seq
+        base = np.where(known, np.log10(model.head_counts[at] + 1.0), 0.0)
+    else:
+        known, base = np.zeros(len(seq), bool), np.zeros(len(seq))
+    ends = np.concatenate([begin[1:], [len(seq)]])
+    tail = np.flatnonzero(~known)
+    bounds = np.searchsorted(tail, np.concatenate([begin, ends[-1:]]))
+    lists = pa.ListArray.from_arrays(pa.array(bounds, pa.int32()), pa.array(seq[tail].view(np.int64)))
+    return [pa.array(ends - begin), pa.array(np.add.reduceat(known.astype(np.int64), begin)),
+            pa.array(np.add.reduceat(base, begin)), pa.array(np.add.reduceat(value, begin)), lists]
 
-    Adds n_tokens, n_known, train_tokens, base_score and score; ``text`` goes.
-    """
-    kept = own_columns(docs, ("text", "n_tokens", "n_known", "train_tokens", "base_score", "score"))
-    model, tokens, low = fit(docs.where(training).select("text"), **options)
+
+_NAMES = ["n_tokens", "_known", "_base", "score", "_tail"]
+_TYPES = "n_tokens long, _known long, _base double, score double, _tail array<long>"
+
+
+def _by_broadcast(docs: DataFrame, fields: str, model: Model) -> DataFrame:
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def scored(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        m = shared.value
-        head_logs = np.log10(m.head_counts + 1.0)
         for batch in batches:
             for words in wordhash.words(batch.column(batch.num_columns - 1)):
-                seq, before, begin = sequences(words)
-                value = m.logs(before, seq)
-                if len(m.head_keys):
-                    at = np.minimum(np.searchsorted(m.head_keys, seq), len(m.head_keys) - 1)
-                    known = m.head_keys[at] == seq
-                    base = np.where(known, head_logs[at], 0.0)
-                else:
-                    known, base = np.zeros(len(seq), bool), np.zeros(len(seq))
-                ends = np.concatenate([begin[1:], [len(seq)]])
-                tail = np.flatnonzero(~known)
-                bounds = np.searchsorted(tail, np.concatenate([begin, ends[-1:]]))
-                lists = pa.ListArray.from_arrays(pa.array(bounds, pa.int32()), pa.array(seq[tail].view(np.int64)))
                 own = batch.slice(words.first, len(words.counts))
-                yield pa.RecordBatch.from_arrays(
-                    [*own.columns[:-1], pa.array(ends - begin), pa.array(np.add.reduceat(known.astype(np.int64), begin)),
-                     pa.array(np.add.reduceat(base, begin)), pa.array(np.add.reduceat(value, begin)), lists],
-                    names=[*own.schema.names[:-1], "n_tokens", "_known", "_base", "score", "_tail"])
+                yield pa.RecordBatch.from_arrays([*own.columns[:-1], *_columns(shared.value, *sequences(words))],
+                                                 names=[*own.schema.names[:-1], *_NAMES])
+
+    return docs.mapInArrow(scored, f"{fields}, {_TYPES}")
+
+
+def _by_shuffle(docs: DataFrame, fields: str, model: Model, counted: DataFrame, bits: int) -> DataFrame:
+    shared = docs.sparkSession.sparkContext.broadcast(model)
+
+    def split(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        run = TaskContext.get().partitionId() << 33
+        for batch in batches:
+            for words in wordhash.words(batch.column(batch.num_columns - 1)):
+                seq, _, begin = sequences(words)
+                own = batch.slice(words.first, len(words.counts))
+                ends = np.concatenate([begin[1:], [len(seq)]])
+                yield pa.RecordBatch.from_arrays([*own.columns[:-1], pa.array(np.full(len(begin), run)), pa.array(
+                    [seq[b:e].tobytes() for b, e in zip(begin, ends, strict=True)], pa.binary())], names=[*own.schema.names[:-1], "_run", "_seq"])
+                run += 1
+
+    def runs(seqs: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        parts = [np.frombuffer(x, np.uint64) for x in seqs]
+        begin = np.concatenate([[0], np.cumsum([len(x) for x in parts])[:-1]]).astype(np.int64)
+        seq = np.concatenate(parts)
+        # a text ends with END, which the first token of the next one follows
+        return seq, np.concatenate([[END], seq[:-1]]).astype(np.uint64), begin
+
+    def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            run = batch.column(0).to_numpy()
+            for first in np.flatnonzero(np.concatenate([[True], run[1:] != run[:-1]])) if len(run) else []:
+                last = first + int(np.argmin(np.concatenate([run[first:] == run[first], [False]])))
+                seq, before, _ = runs(batch.column(1)[first:last].to_pylist())
+                for kind, keys in ((TOKEN, np.unique(np.append(seq, END))), (BIGRAM, np.unique(bigrams(before, seq)))):
+                    segment = (keys >> np.uint64(64 - bits)).astype(np.int64) if bits else np.zeros(len(keys), np.int64)
+                    begin = np.flatnonzero(np.concatenate([[True], segment[1:] != segment[:-1]]))
+                    parts = [keys[b:e].tobytes() for b, e in zip(begin, [*begin[1:], len(keys)], strict=True)]
+                    yield pa.RecordBatch.from_arrays([
+                        pa.array([kind] * len(begin), pa.int32()), pa.array(segment[begin]), pa.array(np.full(len(begin), run[first])),
+                        pa.array(parts, pa.binary())], names=["kind", "segment", "_run", "keys"])
+
+    def answer(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        at, held = None, None
+        for batch in batches:
+            kinds, segments, run, keys, filters = (c.to_pylist() for c in batch.columns)
+            out = []
+            for i in range(len(kinds)):
+                if run[i] is None:
+                    at, held = (kinds[i], segments[i]), CountFilter.of([(0, filters[i])], 0)
+                    continue
+                key = np.frombuffer(keys[i], np.uint64)
+                out.append(held.count(key) if at == (kinds[i], segments[i]) else np.zeros(len(key)))
+            asked = [i for i in range(len(kinds)) if run[i] is not None]
+            yield pa.RecordBatch.from_arrays([
+                pa.array([run[i] for i in asked], pa.int64()), pa.array([kinds[i] for i in asked], pa.int32()),
+                pa.array([keys[i] for i in asked], pa.binary()), pa.array([x.astype(np.float64).tobytes() for x in out], pa.binary())],
+                names=["_run", "kind", "keys", "found"])
+
+    def scored(own: pa.Table, answers: pa.Table) -> pa.Table:
+        seq, before, begin = runs(own.column("_seq").to_pylist())
+        found = {TOKEN: [], BIGRAM: []}
+        for kind, keys, n in zip(*(answers.column(c).to_pylist() for c in ("kind", "keys", "found")), strict=True):
+            found[kind].append((keys, n))
+        m = replace(shared.value, tokens=Answers.of(found[TOKEN]), bigrams=Answers.of(found[BIGRAM]))
+        return pa.table([*own.drop_columns(["_run", "_seq"]).columns, *_columns(m, seq, before, begin)],
+                        names=[*own.drop_columns(["_run", "_seq"]).column_names, *_NAMES])
+
+    # written once: a run keeps its rows, whichever task makes it again
+    rows = materialise(docs.mapInArrow(split, f"{fields}, _run long, _seq binary"), "runs")
+    asked = rows.select("_run", "_seq").mapInArrow(ask, "kind int, segment long, _run long, keys binary")
+    filters = counted.select("kind", "segment", F.lit(None).cast("long").alias("_run"), F.lit(None).cast("binary").alias("keys"), "filter")
+    # a filter comes before what is asked of it
+    found = filters.unionByName(asked.withColumn("filter", F.lit(None).cast("binary"))).repartition("kind", "segment").sortWithinPartitions(
+        "kind", "segment", F.col("_run").asc_nulls_first()).mapInArrow(answer, "_run long, kind int, keys binary, found binary")
+    return rows.groupBy("_run").cogroup(found.groupBy("_run")).applyInArrow(scored, f"{fields}, {_TYPES}")
+
+
+def score(docs: DataFrame, training: Column, **options) -> DataFrame:
+    """Learns from the rows of (doc_id, text) where ``training`` holds, and scores all.
 
+    Adds n_tokens, n_known, train_tokens, base_score and score; ``text`` goes.
+    """
+    kept = own_columns(docs, ("text", "n_tokens", "n_known", "train_tokens", "base_score", "score"))
+    model, counted, low, bits = fit(docs.where(training).select("text"), **options)
+    tokens = counted.where(F.col("kind") == TOKEN)
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.select(*kept).schema)
-    rows = docs.select(*kept, F.col("text").cast("string")).mapInArrow(
-        scored, f"{fields}, n_tokens long, _known long, _base double, score double, _tail array<long>")
+    texts = docs.select(*kept, F.col("text").cast("string"))
+    rows = _by_broadcast(texts, fields, model) if model.tokens is not None else _by_shuffle(texts, fields, model, counted, bits)
     rows = materialise(rows.withColumn("_row", F.monotonically_increasing_id()), "scored")
     # no token outside the head is frequent, so none gathers many rows
     asked = rows.select("_row", F.explode("_tail").alias("key")).groupBy("_row", "key").agg(F.count("*").alias("_n"))

@@ -55,14 +55,35 @@ def test_scores_equal_brute_force(frame, odd_rows, head_rows):
 def test_filter_never_undercounts():
     keys = np.random.default_rng(1).integers(0, 2**63, 5000).astype(np.uint64)
     counts = np.random.default_rng(2).integers(1, 100, 5000)
-    f = lmscore.CountFilter.of([(0, lmscore.filter_bits(keys, counts, 1 << 20))], 0)
+    f = lmscore.CountFilter.of([(0, lmscore.filter_bits(keys, counts))], 0)
     found = f.count(keys)
     low = 2.0 ** np.floor(np.log2(counts))
     assert (found >= (3 * low - 1) / 2 - 1e-9).all() and (found == (3 * low - 1) / 2).mean() > 0.95
     assert (f.count(keys + np.uint64(1)) > 0).mean() < 0.05
 
 
+def test_filters_too_large_to_broadcast_give_the_same_scores(frame, odd_rows):
+    rows = [*odd_rows, *[(20 + i, prose(i % 9, 30 + i)) for i in range(60)]]
+    rows += [(200 + i, " ".join(f"w{(i * 977 + j * j) % 9000}" for j in range(40_000))) for i in range(6)]
+    docs = frame(rows).select("doc_id", "text").repartition(3)
+    columns = ["doc_id", "n_tokens", "n_known", "train_tokens", "base_score", "score"]
+
+    def result(**options):
+        found = lmscore.score(docs, F.coalesce(F.col("doc_id"), F.lit(0)) % 7 != 2, segment_mb=1, **options)
+        return sorted((tuple(r[c] if c != "base_score" else round(r[c], 4) for c in columns) for r in found.collect()), key=repr)
+
+    near = result()
+    far = result(broadcast_mb=0)
+    assert len(near) == len(rows) and [r[:5] for r in far] == [r[:5] for r in near]
+    assert [r[5] for r in far] == pytest.approx([r[5] for r in near], rel=1e-9)
+    for i in (0, 3):  # a filter has its ten bits for each entry however many there are
+        keys = np.random.default_rng(i).integers(0, 2**63, 20_000 * (i + 1)).astype(np.uint64)
+        assert len(lmscore.filter_bits(keys, np.ones(len(keys)))) * 8 == lmscore.BITS * len(keys)
+
+
 def test_no_training_rows_and_no_rows(frame, spark, folder):
     found = lmscore.score(frame([(1, "a b"), (2, None)]).select("doc_id", "text"), F.lit(False)).collect()
     assert {(r["doc_id"], r["n_tokens"], r["n_known"], r["train_tokens"], r["base_score"]) for r in found} == {(1, 3, 0, 0, 0.0), (2, 1, 0, 0, 0.0)}
+    far = lmscore.score(frame([(1, "a b"), (2, None)]).select("doc_id", "text"), F.lit(False), broadcast_mb=-1).collect()
+    assert sorted((r["doc_id"], r["score"]) for r in far) == sorted((r["doc_id"], r["score"]) for r in found)
     assert op9_log_frequency_bloom(spark, folder(documents=frame([]))).count() == 0
