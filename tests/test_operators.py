@@ -164,6 +164,27 @@ def test_trigram_prefix_filter_finds_every_pair(spark):
     assert got == expected
 
 
+def test_trigram_pairs_inside_a_country_compare_few(spark):
+    rng = random.Random(4)
+    names = sorted({"".join(rng.choice("abcdefgh") for _ in range(rng.randint(3, 9))) + rng.choice(["", " beach", " north"]) for _ in range(400)})
+    cities = spark.createDataFrame([(i, n, f"Land {i % 5}", 0.0, 0.0) for i, n in enumerate(names)] + [(900, names[1], None, 0.0, 0.0)],
+                                   "city_id long, name string, country string, lat double, lng double")
+    wanted = [(n[:-1] + "x", f"land {i % 5}" if i % 4 else None) for i, n in enumerate(names)] + [(names[0], "LAND 1"), ("", None), (None, "x"), ("--", None), (names[1], "")]
+    expected = {}
+    for p, c in set(wanted):
+        if p and len(p) >= 2:
+            x = pg_trigrams(p)
+            known = [(len(x & y) / len(x | y), -i, n) for i, n in enumerate(names) for y in [pg_trigrams(n)] if (c is None or c.lower() == f"land {i % 5}") and x | y]
+            best = max((k for k in known if k[0] >= 0.4), default=None)
+            if best:
+                expected[p, c] = best[2]
+    phrases = spark.createDataFrame(wanted, "phrase string, country string")
+    assert {(r["phrase"], r["country"]): r["city"] for r in trigram.best_city(phrases, cities).collect()} == expected
+    sides = [spark.createDataFrame([(n, f"b{i % 5}") for i, n in enumerate(names)], f"{side} string, b string") for side in ("phrase", "name")]
+    inside = trigram._candidates(*sides, 0.4, ["b"]).count()
+    assert len(names) <= inside < 0.05 * len(names) ** 2
+
+
 def in_order(rows, known):
     urls = {u for u, _, _ in known if u}
     names = {(n, s) for _, n, s in known}
