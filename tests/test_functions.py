@@ -145,3 +145,16 @@ def test_address_split(one):
     assert one(geo.fill_from_address(L(""), L(""), L("Rome, Italy"))).asDict() == {"city": "Rome", "country": "Italy"}
     assert one(geo.numeric_or_null(L("12.5"))) == 12.5
     assert one(geo.numeric_or_null(L("n/a"))) is None
+
+
+@pytest.mark.parametrize("line, good", [
+    ("de señales abcdefgh ijkl", False), ("menué of the day today", False), ("ſkip to main abcdefg", False), ("bacK to abcdefg hijk", False),
+    ("de\u000bse abcdefgh ijklmn", True), ("12 results\r", True), ("de se abcdefgh ijklmn", False), ("de sella abcdefgh ijkl", True)])
+def test_noise_patterns_are_read_as_in_sql(one, line, good):
+    import duckdb
+
+    from bazaarflow.plans.sqltext import any_match
+
+    assert one(text.is_good_title(L(line))) is good
+    assert one(rules.matches_any(L(line), vocab.NAVIGATION_NOISE, "(?i)")) is not good
+    assert duckdb.execute(f"SELECT {any_match('x', vocab.NAVIGATION_NOISE, 'i')} FROM (SELECT $1 AS x)", [line]).fetchone()[0] is not good
