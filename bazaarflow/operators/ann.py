@@ -163,14 +163,19 @@ def probes_for(spark: SparkSession, path: str, recall: float) -> int:
     return table.where(F.col("recall") >= recall).agg(F.min("probes")).first()[0]
 
 
-def search_index(path: str, left: DataFrame, k: int, *, probes: int | None = None, recall: float = 0.95, tile_rows: int = TILE_ROWS) -> DataFrame:
+def search_index(path: str, left: DataFrame, k: int, *, probes: int | None = None, recall: float = 0.95, tile_rows: int = TILE_ROWS,
+                 digits: int | None = None) -> DataFrame:
     """Top-k of ``left`` (left_id, left_vec) by cosine among the probed lists, re-ranked exactly; only those lists are read.
 
-    Without ``probes``, as many lists as gave ``recall`` by ``measure_recall``.
+    Without ``probes``, as many lists as gave ``recall`` by ``measure_recall``. With ``digits`` scores are rounded before they are
+    ranked, so that rows alike to that many digits are ranked by id.
     """
     spark = left.sparkSession
     centroids = read_centroids(spark, path)
     probes = min(probes or probes_for(spark, path, recall), len(centroids))
     lhs = materialise(assign_lists(left.select("left_id", "left_vec"), "left_vec", centroids, probes).drop("probe"), "probed")
     wanted = [r["list_id"] for r in lhs.select("list_id").distinct().collect()]  # at most MAX_LISTS
-    return tiled_topk(lhs, read_rows(spark, path, wanted), ["list_id"], k, tile_rows=tile_rows)
+    if digits is None:
+        return tiled_topk(lhs, read_rows(spark, path, wanted), ["list_id"], k, tile_rows=tile_rows)
+    return tiled_topk(lhs, read_rows(spark, path, wanted), ["list_id"], k, tile_rows=tile_rows,
+                      score=lambda cosine, *_: np.round(cosine, digits), limit=lambda cosine, _: cosine + 10.0 ** -digits)

@@ -524,3 +524,14 @@ def test_components_of_key_sharing_rows(spark):
     found = {(r["node"], r["component"]) for r in components(key_links(rows, "id", ["p", "q"])).collect()}
     assert found == {(1, 1), (2, 1), (3, 1), (6, 6), (7, 6)}
     assert components(key_links(rows.limit(0), "id", ["p"])).count() == 0
+
+
+def test_search_ranks_rounded_scores_by_id(spark, tmp_path):
+    # row 9 is nearer than row 3, but not in six digits
+    right = spark.createDataFrame([(9, [1.0, 0.0001]), (3, [1.0, 0.0002]), (4, [1.0, 1.0])], "right_id long, right_vec array<float>")
+    left = spark.createDataFrame([(1, [1.0, 0.0])], "left_id long, left_vec array<float>")
+    path = str(tmp_path / "index")
+    ann.build_index(right, path, centroids=np.eye(2))
+    assert [r["right_id"] for r in ann.search_index(path, left, 2, probes=2).orderBy("rank").collect()] == [9, 3]
+    got = ann.search_index(path, left, 2, probes=2, tile_rows=1, digits=6).orderBy("rank").collect()
+    assert [(r["right_id"], r["score"]) for r in got] == [(3, 1.0), (9, 1.0)]
