@@ -16,7 +16,7 @@ from pyspark.ml.functions import array_to_vector
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from bazaarflow.operators.topk import TILE_ROWS, tiled_topk
+from bazaarflow.operators.topk import TILE_BYTES, tiled_topk
 from bazaarflow.session import materialise
 
 # Centroids are held by every task: 4,096 of 1,024 components are 32 MB.
@@ -66,12 +66,25 @@ def assign_lists(df: DataFrame, vec: str, centroids: np.ndarray, probes: int) ->
 
 def approximate_topk(left: DataFrame, right: DataFrame, k: int, *, lists: int = 100, probes: int = 8,
                      fraction: float = 1.0, left_vec: str = "left_vec", right_vec: str = "right_vec",
-                     tile_rows: int = TILE_ROWS) -> DataFrame:
+                     tile_rows: int | None = None) -> DataFrame:
     """Top-k by cosine among the probed lists, re-ranked exactly. ``probes=lists`` makes it exact."""
     centroids = train_centroids(right, right_vec, lists, fraction=fraction)
-    lhs = assign_lists(left, left_vec, centroids, min(probes, len(centroids))).drop("probe")
-    rhs = assign_lists(right, right_vec, centroids, 1).drop("probe")
-    return tiled_topk(lhs, rhs, ["list_id"], k, left_vec=left_vec, right_vec=right_vec, tile_rows=tile_rows)
+    lhs = assign_lists(left, left_vec, centroids, min(probes, len(centroids))).drop("probe").withColumnRenamed(left_vec, "left_vec")
+    rhs = materialise(assign_lists(right, right_vec, centroids, 1).drop("probe").withColumnRenamed(right_vec, "right_vec"), "listed")
+    return listed_topk(lhs, rhs, k, tile_rows=tile_rows)
+
+
+def listed_topk(left: DataFrame, right: DataFrame, k: int, *, tile_rows: int | None = None, **how) -> DataFrame:
+    """Top-k among the rows of the same list. ``left``: left_id, left_vec, list_id (a row for each probed list); ``right`` alike.
+
+    Short lists share a block, to which a left row goes once, with the lists it asks for there.
+    """
+    rows, width = right.agg(F.count("*"), F.max(F.size("right_vec"))).first()
+    blocks = max(1, math.ceil(rows / (tile_rows or max(1, TILE_BYTES // (8 * max(1, width or 1))))))
+    lhs = left.groupBy("left_id", (F.col("list_id") % blocks).alias("_block")).agg(
+        F.first("left_vec").alias("left_vec"), F.collect_list("list_id").alias("_lists"))
+    return tiled_topk(lhs, right.withColumn("_block", F.col("list_id") % blocks), ["_block"], k, tile_rows=tile_rows,
+                      left_extra=("_lists",), right_extra=("list_id",), lists=("_lists", "list_id"), **how)
 
 
 def lists_for(rows: int) -> int:
@@ -163,7 +176,7 @@ def probes_for(spark: SparkSession, path: str, recall: float) -> int:
     return table.where(F.col("recall") >= recall).agg(F.min("probes")).first()[0]
 
 
-def search_index(path: str, left: DataFrame, k: int, *, probes: int | None = None, recall: float = 0.95, tile_rows: int = TILE_ROWS,
+def search_index(path: str, left: DataFrame, k: int, *, probes: int | None = None, recall: float = 0.95, tile_rows: int | None = None,
                  digits: int | None = None) -> DataFrame:
     """Top-k of ``left`` (left_id, left_vec) by cosine among the probed lists, re-ranked exactly; only those lists are read.
 
@@ -175,7 +188,5 @@ def search_index(path: str, left: DataFrame, k: int, *, probes: int | None = Non
     probes = min(probes or probes_for(spark, path, recall), len(centroids))
     lhs = materialise(assign_lists(left.select("left_id", "left_vec"), "left_vec", centroids, probes).drop("probe"), "probed")
     wanted = [r["list_id"] for r in lhs.select("list_id").distinct().collect()]  # at most MAX_LISTS
-    if digits is None:
-        return tiled_topk(lhs, read_rows(spark, path, wanted), ["list_id"], k, tile_rows=tile_rows)
-    return tiled_topk(lhs, read_rows(spark, path, wanted), ["list_id"], k, tile_rows=tile_rows,
-                      score=lambda cosine, *_: np.round(cosine, digits), limit=lambda cosine, _: cosine + 10.0 ** -digits)
+    rounded = {} if digits is None else {"score": lambda cosine, *_: np.round(cosine, digits)}
+    return listed_topk(lhs, read_rows(spark, path, wanted), k, tile_rows=tile_rows, **rounded)

@@ -535,3 +535,19 @@ def test_search_ranks_rounded_scores_by_id(spark, tmp_path):
     assert [r["right_id"] for r in ann.search_index(path, left, 2, probes=2).orderBy("rank").collect()] == [9, 3]
     got = ann.search_index(path, left, 2, probes=2, tile_rows=1, digits=6).orderBy("rank").collect()
     assert [(r["right_id"], r["score"]) for r in got] == [(3, 1.0), (9, 1.0)]
+
+
+@pytest.mark.parametrize("tile_rows", [4, None])
+def test_equal_rows_are_compared_once_and_ranked_by_id(spark, tile_rows):
+    lrows, left = vectors(spark, 5, 3, "left_id", "left_vec")
+    rrows, right = vectors(spark, 7, 4, "right_id", "right_vec")
+    lrows = [(i, lrows[i % 5][1], "x") for i in range(40)]
+    rrows = [(i, rrows[i % 7][1], "x") for i in range(70)]
+    left = spark.createDataFrame(lrows, "left_id long, left_vec array<float>, block string")
+    right = spark.createDataFrame(rrows, "right_id long, right_vec array<float>, block string")
+    members, found = topk.grouped_topk(left, right, ["block"], 13, tile_rows=tile_rows)
+    assert members.select("group_id").distinct().count() == 5
+    assert found.count() == 5 * 13
+    got = members.join(found, "group_id").select("left_id", "right_id", "rank").collect()
+    assert {(r["left_id"], r["right_id"]) for r in got} == brute(lrows, rrows, 13)
+    assert sorted(r["rank"] for r in got if r["left_id"] == 17) == list(range(1, 14))
