@@ -16,7 +16,8 @@ from pyspark.ml.functions import array_to_vector
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from bazaarflow.operators.topk import TILE_BYTES, tiled_topk
+from bazaarflow.functions.rules import once
+from bazaarflow.operators.topk import rows_of_tile, tiled_topk
 from bazaarflow.session import materialise
 
 # Centroids are held by every task: 4,096 of 1,024 components are 32 MB.
@@ -28,8 +29,9 @@ RECALL_QUERIES = 512
 
 def unit_vector(vec):
     """The vector scaled to length one (zero vectors stay)."""
-    size = F.sqrt(F.aggregate(vec, F.lit(0.0), lambda s, x: s + x.cast("double") * x.cast("double")))
-    return F.transform(vec, lambda x: F.when(size > 0, x / size).otherwise(F.lit(0.0)))
+    length = F.sqrt(F.aggregate(vec, F.lit(0.0), lambda s, x: s + x.cast("double") * x.cast("double")))
+    # the length once a vector, not once a component
+    return once(length, lambda size: F.transform(vec, lambda x: F.when(size > 0, x / size).otherwise(F.lit(0.0))))
 
 
 def train_centroids(df: DataFrame, vec: str, lists: int, *, fraction: float = 1.0, seed: int = 7,
@@ -45,8 +47,8 @@ def train_centroids(df: DataFrame, vec: str, lists: int, *, fraction: float = 1.
     return np.asarray(model.clusterCenters())
 
 
-def assign_lists(df: DataFrame, vec: str, centroids: np.ndarray, probes: int) -> DataFrame:
-    """One row per (row, probed list): the ``probes`` nearest centroids by cosine, numbered in ``probe`` from 0."""
+def probed_lists(vec, centroids: np.ndarray, probes: int):
+    """The numbers of the ``probes`` nearest centroids by cosine, as an array."""
     def unit(m):
         size = np.linalg.norm(m, axis=1, keepdims=True)
         return m / np.where(size > 0, size, 1)
@@ -60,8 +62,13 @@ def assign_lists(df: DataFrame, vec: str, centroids: np.ndarray, probes: int) ->
         sims = unit(np.asarray(np.stack(v.to_numpy()), dtype="float64")) @ centers.T
         return pd.Series(list(np.argsort(-sims, axis=1, kind="stable")[:, :probes].astype("int32")))
 
+    return nearest(vec)
+
+
+def assign_lists(df: DataFrame, vec: str, centroids: np.ndarray, probes: int) -> DataFrame:
+    """One row per (row, probed list): the ``probes`` nearest centroids by cosine, numbered in ``probe`` from 0."""
     rows = df.where(F.col(vec).isNotNull())
-    return rows.select("*", F.posexplode(nearest(F.col(vec))).alias("probe", "list_id"))
+    return rows.select("*", F.posexplode(probed_lists(F.col(vec), centroids, probes)).alias("probe", "list_id"))
 
 
 def approximate_topk(left: DataFrame, right: DataFrame, k: int, *, lists: int = 100, probes: int = 8,
@@ -69,20 +76,22 @@ def approximate_topk(left: DataFrame, right: DataFrame, k: int, *, lists: int =
                      tile_rows: int | None = None) -> DataFrame:
     """Top-k by cosine among the probed lists, re-ranked exactly. ``probes=lists`` makes it exact."""
     centroids = train_centroids(right, right_vec, lists, fraction=fraction)
-    lhs = assign_lists(left, left_vec, centroids, min(probes, len(centroids))).drop("probe").withColumnRenamed(left_vec, "left_vec")
+    lhs = left.withColumnRenamed(left_vec, "left_vec").where("left_vec is not null").withColumn(
+        "list_ids", probed_lists(F.col("left_vec"), centroids, min(probes, len(centroids))))
     rhs = materialise(assign_lists(right, right_vec, centroids, 1).drop("probe").withColumnRenamed(right_vec, "right_vec"), "listed")
     return listed_topk(lhs, rhs, k, tile_rows=tile_rows)
 
 
 def listed_topk(left: DataFrame, right: DataFrame, k: int, *, tile_rows: int | None = None, **how) -> DataFrame:
-    """Top-k among the rows of the same list. ``left``: left_id, left_vec, list_id (a row for each probed list); ``right`` alike.
+    """Top-k among the rows of the same list. ``left``: left_id, left_vec, list_ids (the probed lists); ``right``: right_id, right_vec, list_id.
 
     Short lists share a block, to which a left row goes once, with the lists it asks for there.
     """
     rows, width = right.agg(F.count("*"), F.max(F.size("right_vec"))).first()
-    blocks = max(1, math.ceil(rows / (tile_rows or max(1, TILE_BYTES // (8 * max(1, width or 1))))))
-    lhs = left.groupBy("left_id", (F.col("list_id") % blocks).alias("_block")).agg(
-        F.first("left_vec").alias("left_vec"), F.collect_list("list_id").alias("_lists"))
+    blocks = max(1, math.ceil(rows / (tile_rows or rows_of_tile(rows, width or 1))))
+    dealt = F.transform(F.sequence(F.lit(0), F.lit(blocks - 1)), lambda b: F.struct(
+        b.alias("_block"), F.filter("list_ids", lambda x: x % blocks == b).alias("_lists")))
+    lhs = left.select("left_id", "left_vec", F.inline(F.filter(dealt, lambda x: F.size(x["_lists"]) > 0)))
     return tiled_topk(lhs, right.withColumn("_block", F.col("list_id") % blocks), ["_block"], k, tile_rows=tile_rows,
                       left_extra=("_lists",), right_extra=("list_id",), lists=("_lists", "list_id"), **how)
 
@@ -186,7 +195,8 @@ def search_index(path: str, left: DataFrame, k: int, *, probes: int | None = Non
     spark = left.sparkSession
     centroids = read_centroids(spark, path)
     probes = min(probes or probes_for(spark, path, recall), len(centroids))
-    lhs = materialise(assign_lists(left.select("left_id", "left_vec"), "left_vec", centroids, probes).drop("probe"), "probed")
-    wanted = [r["list_id"] for r in lhs.select("list_id").distinct().collect()]  # at most MAX_LISTS
+    lhs = materialise(left.select("left_id", "left_vec").where("left_vec is not null").withColumn(
+        "list_ids", probed_lists(F.col("left_vec"), centroids, probes)), "probed")
+    wanted = [r["list_id"] for r in lhs.select(F.explode("list_ids").alias("list_id")).distinct().collect()]  # at most MAX_LISTS
     rounded = {} if digits is None else {"score": lambda cosine, *_: np.round(cosine, digits)}
     return listed_topk(lhs, read_rows(spark, path, wanted), k, tile_rows=tile_rows, **rounded)

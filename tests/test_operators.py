@@ -551,3 +551,28 @@ def test_equal_rows_are_compared_once_and_ranked_by_id(spark, tile_rows):
     got = members.join(found, "group_id").select("left_id", "right_id", "rank").collect()
     assert {(r["left_id"], r["right_id"]) for r in got} == brute(lrows, rrows, 13)
     assert sorted(r["rank"] for r in got if r["left_id"] == 17) == list(range(1, 14))
+
+
+def test_copies_sent_do_not_grow_with_the_number_of_rows():
+    for rows in (10_000, 51_282, 600_000, 780_000):
+        assert -(-rows // topk.rows_of_tile(rows, 64)) <= topk.TILES
+    assert topk.rows_of_tile(10**8, 1024) * 8 * 1024 <= topk.TILE_BYTES
+
+
+def test_blocks_without_clusters_are_left_to_plain_tiles(spark):
+    lrows, left = vectors(spark, 60, 1, "left_id", "left_vec", ["hot"])
+    rrows, right = vectors(spark, 80, 2, "right_id", "right_vec", ["hot"])
+    how = {"tile_rows": 5, "prune_from": 1}
+    for most_cells in (0.0, 2.0, float("inf")):
+        got = topk.tiled_topk(left, right, ["block"], 4, most_cells=most_cells, **how).collect()
+        assert {(r["left_id"], r["right_id"]) for r in got} == brute(lrows, rrows, 4)
+    sides = [df.withColumnRenamed(f"{name}_vec", "_v").withColumn("_nl", F.lit(12)).withColumn("_nr", F.lit(16)).withColumn("_k", F.lit(4))
+             for name, df in (("left", left), ("right", right))]
+    *_, wide = topk._certified(*sides, ["block"], lambda lp, rp: topk._unit(lp["_v"]) @ topk._unit(rp["_v"]).T, lambda cosine, _: cosine, None, 5, 2.0)
+    assert [r["block"] for r in wide.collect()] == ["hot"]
+
+
+def test_length_of_a_vector_is_computed_once(spark):
+    df = spark.createDataFrame([([3.0, 4.0],), ([0.0, 0.0],)], "v array<double>").select(ann.unit_vector(F.col("v")).alias("u"))
+    assert df._jdf.queryExecution().optimizedPlan().toString().count("aggregate(") == 1
+    assert [r["u"] for r in df.collect()] == [[0.6, 0.8], [0.0, 0.0]]
