@@ -576,3 +576,15 @@ def test_length_of_a_vector_is_computed_once(spark):
     df = spark.createDataFrame([([3.0, 4.0],), ([0.0, 0.0],)], "v array<double>").select(ann.unit_vector(F.col("v")).alias("u"))
     assert df._jdf.queryExecution().optimizedPlan().toString().count("aggregate(") == 1
     assert [r["u"] for r in df.collect()] == [[0.6, 0.8], [0.0, 0.0]]
+
+
+def test_rows_of_one_small_file_are_dealt_to_all_cores(spark, tmp_path):
+    from bazaarflow.plans import inputs
+    from bazaarflow.plans.registry import Tables
+
+    part = spark.read.parquet("/root/testdata/sf0.001/part.parquet")
+    part.coalesce(1).write.parquet(f"{tmp_path}/part.parquet")
+    rows = inputs.raw(Tables(spark, str(tmp_path)))
+    sizes = rows.groupBy(F.spark_partition_id()).count().collect()
+    assert len(sizes) >= spark.sparkContext.defaultParallelism
+    assert sum(r["count"] for r in sizes) == part.count()
