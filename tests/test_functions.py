@@ -158,3 +158,14 @@ def test_noise_patterns_are_read_as_in_sql(one, line, good):
     assert one(text.is_good_title(L(line))) is good
     assert one(rules.matches_any(L(line), vocab.NAVIGATION_NOISE, "(?i)")) is not good
     assert duckdb.execute(f"SELECT {any_match('x', vocab.NAVIGATION_NOISE, 'i')} FROM (SELECT $1 AS x)", [line]).fetchone()[0] is not good
+
+
+def test_words_a_route_pattern_needs():
+    from bazaarflow import vocab
+    from bazaarflow.functions import rules
+
+    needed = [rules.required_choices(p) for p in vocab.ROUTE_PATTERNS]
+    assert ["transfer", "transport", "shuttle", "navette"] in needed[0]
+    assert ["airport"] in needed[1] and ["to", "à", "→"] in needed[1]
+    assert needed[2][0] == ["transfer", "transport"]
+    assert rules.required_choices("(?:ab|cd)?x") == rules.required_choices("(?i)abc") == rules.required_choices("abc|def") == []
