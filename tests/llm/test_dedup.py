@@ -3,6 +3,8 @@ import re
 from bisect import bisect_left
 from collections import Counter, defaultdict
 
+from pyspark.sql import functions as F
+
 from bazaarflow.llm import components, linedup, neardup
 from bazaarflow.llm.common import numbered
 from bazaarflow.llm.linedup_query import op6_fuzzy_lines
@@ -173,3 +175,29 @@ def test_lines_that_share_a_long_link_stay(frame):
     rows = [(1, "The cat sat quietly on the warm mat all day see" + url), (2, "Rivers flood in spring when snow melts fast see" + url)]
     found = {r["doc_id"]: r["text"] for r in linedup.deduplicated(frame(rows)).collect()}
     assert found == dict(rows)
+
+
+def test_pieces_of_a_line_give_the_values_of_all_its_shingles(spark):
+    chars = "abc é一\U0001d518İZ-" + "".join(chr(0x100 + i * i % 3000) for i in range(300))
+    sizes = sorted({n + d for n in (1, 12, 24, 35, 36, 48, 59, 72, 300) for d in (-1, 0, 1)} - {0})
+    lines = spark.createDataFrame([(n, n, (chars * 2)[n : 2 * n]) for n in sizes], "_row long, _line long, line string")
+    exploded = lines.select("_line", F.explode(linedup.shingles(F.col("line"))).alias("x"))
+    values = {r[0]: r[1:] for r in exploded.groupBy("_line").agg(
+        *[F.min(F.col("x").bitwiseXOR(F.lit(c))) for c in linedup._constants(linedup.VALUES)]).collect()}
+    found = {r["node"]: r["marks0"] | r["marks1"] << 63 for r in linedup.signatures(lines).collect()}
+    assert found == {n: sum((v & 127) << 7 * i for i, v in enumerate(row)) for n, row in values.items()}
+
+
+def test_lines_of_a_bucket_meet_by_their_marks_alone(spark):
+    r = random.Random(5)
+    base = [r.randrange(128) for _ in range(linedup.VALUES)]
+    marks = [[m if r.random() < 0.6 else r.randrange(128) for m in base] for _ in range(60)]
+    packed = [[sum(m << 7 * i for i, m in enumerate(row[at : at + 9])) for at in (0, 9)] for row in marks]
+    signed = spark.createDataFrame([(n, *p) for n, p in enumerate(packed)], "node long, marks0 long, marks1 long")
+    # the last bucket has two lines only, which were compared before
+    rows = [(b, n, n // 3, n >= 12) for b in (1, 2) for n in range(60) if n % b == 0] + [(3, 0, 0, False), (3, 59, 19, True)]
+    mixed = spark.createDataFrame(rows, "bucket long, node long, part long, odd boolean")
+    found = linedup.across(mixed, signed)
+    agreeing = {(u, v) for u in range(60) for v in range(u + 1, 60) if v >= 12 and u // 3 != v // 3
+                and sum(a == b for a, b in zip(marks[u], marks[v])) >= linedup.AGREEING}
+    assert sorted(map(tuple, found.collect())) == sorted(agreeing) and 50 < len(agreeing) < 1500
