@@ -41,6 +41,8 @@ COSINE = 0.6
 LCS, PARAPHRASE = 0.8, 0.6
 TERMS, BLOCK = 1 << 16, 4096
 HITS = 4
+#: Words whose vectors are added at once.
+AT_ONCE = 2048
 
 
 @dataclass
@@ -112,6 +114,22 @@ def passage_counts(terms: DataFrame, size: int) -> DataFrame:
     return terms.mapInArrow(count, "column long, n long").groupBy("column").agg(F.sum("n").alias("n"))
 
 
+def added(rows: np.ndarray, at: np.ndarray, begin: np.ndarray, weight: np.ndarray | None = None) -> np.ndarray:
+    """The sums of rows[at], each times its weight, over the runs of ``at`` that begin there; some runs at a time, which stay in the cache."""
+    ends = np.append(begin[1:], len(at))
+    out = np.empty((len(begin), rows.shape[1]), np.float32)
+    first = 0
+    while first < len(begin):
+        last = max(first + 1, int(np.searchsorted(ends, begin[first] + AT_ONCE, "right")))
+        part = slice(begin[first], ends[last - 1])
+        value = np.take(rows, at[part], axis=0)
+        if weight is not None:
+            value *= weight[part, None]
+        out[first:last] = np.add.reduceat(value, begin[first:last] - begin[first])
+        first = last
+    return out
+
+
 def gram(weights: np.ndarray, x: np.ndarray, runs: Iterator[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, int]:
     """A' A x over passages, rows of length one, and how many rows count. A run: the passage and the column of each word."""
     out = np.zeros((len(weights), x.shape[1]), np.float32)
@@ -124,10 +142,10 @@ def gram(weights: np.ndarray, x: np.ndarray, runs: Iterator[tuple[np.ndarray, np
         begin = np.flatnonzero(np.concatenate([[True], passage[1:] != passage[:-1]]))
         number = np.repeat(np.arange(len(begin)), np.diff(np.concatenate([begin, [len(passage)]])))
         weight = (weight / np.sqrt(np.add.reduceat(weight.astype(np.float64) ** 2, begin))[number]).astype(np.float32)
-        y = np.add.reduceat(x[column] * weight[:, None], begin)
+        y = added(x, column, begin, weight)
         order = np.argsort(column, kind="stable")
         first = np.flatnonzero(np.concatenate([[True], np.diff(column[order]) != 0]))
-        out[column[order][first]] += np.add.reduceat(y[number[order]] * weight[order][:, None], first)
+        out[column[order][first]] += added(y, number[order], first, weight[order])
         rows += len(begin)
     return out, rows
 
@@ -308,7 +326,17 @@ def candidates(space: Space, items: Items, words: wordhash.Words, cosine: float)
     place, column = space.vocabulary.find(words.hashes)
     if not len(place):
         return
-    total = np.concatenate([np.zeros((1, space.terms.shape[1])), np.cumsum(space.terms[column], axis=0, dtype=np.float64)])
+    # windows begin and end with blocks of half the least size: sums of blocks are enough
+    step = WINDOWS[0] // 2
+    blocks = -(-words.counts // step)
+    base, first = words.bounds[:-1], np.cumsum(blocks) - blocks
+    text = np.searchsorted(words.bounds, place, "right") - 1
+    block = first[text] + (place - base[text]) // step
+    begin = np.flatnonzero(np.concatenate([[True], block[1:] != block[:-1]]))
+    total = np.zeros((blocks.sum() + 1, space.terms.shape[1]))
+    total[block[begin] + 1] = added(space.terms, column, begin)
+    np.cumsum(total, axis=0, out=total)
+    known = np.concatenate([[0], np.cumsum(np.bincount(block, minlength=blocks.sum()))])
     longest = max(map(len, items.words), default=0)
     sizes = list(WINDOWS)
     while sizes[-1] < 2 * longest:
@@ -320,8 +348,8 @@ def candidates(space: Space, items: Items, words: wordhash.Words, cosine: float)
         text, begin, end = _windows(words, size)
         own = fitting[of] == size
         window, item = _looked_up(items, words, rare[own], of[own], size)
-        low, high = np.searchsorted(place, begin), np.searchsorted(place, end)
-        some = high > low
+        low, high = first[text] + (begin - base[text]) // step, first[text] - (base[text] - end) // step
+        some = known[high] > known[low]
         window = (np.cumsum(some) - 1)[window]
         text, begin, end, low, high = text[some], begin[some], end[some], low[some], high[some]
         for at in range(0, len(text), 4096):

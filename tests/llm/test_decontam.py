@@ -128,3 +128,29 @@ def test_leaks_equal_brute_force_where_the_latent_space_finds_none(frame, spark)
     found = {(r["doc_id"], r["item_id"]) for r in decontam.leaks(frame(rows), benchmark, cosine=2.0).collect()}
     assert {(i, i) for i in range(1, len(items), 2)} <= expected and len(expected) > len(items) // 2
     assert found == expected
+
+
+def test_windows_are_summed_from_blocks_in_little_memory():
+    import tracemalloc
+
+    import numpy as np
+    import pyarrow as pa
+
+    from bazaarflow.llm import wordhash
+
+    r = np.random.default_rng(4)
+    names = [f"w{i}" for i in range(500)]
+    texts = [" ".join(r.choice(names, n)) for n in (0, 1, 15, 16, 17, 31, 33, 47, 48, 100, 130, 60_000)]
+    vocabulary = decontam.vocabulary_of(next(wordhash.words(pa.array([" ".join(names[::2])]))).hashes)
+    space = decontam.Space(vocabulary, r.standard_normal((vocabulary.size, 80)).astype(np.float32))
+    items = decontam.items_of(space, list(range(5)), [" ".join(r.choice(names[::2], 20)) for _ in range(5)])
+    (words,) = wordhash.words(pa.array(texts))
+    tracemalloc.start()
+    found = list(decontam.candidates(space, items, words, 0.3))
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert len(found) > 50 and peak < 12 << 20  # the vectors of all known words would take 19 MB
+    for text, begin, end, item, near in found:
+        assert words.bounds[text] <= begin < end <= words.bounds[text + 1]
+        vector = space.terms[vocabulary.find(words.hashes[begin:end])[1]].sum(0, dtype=np.float64)
+        assert abs(vector @ items.vectors[item] / np.linalg.norm(vector) - near) < 1e-5
