@@ -10,6 +10,8 @@ from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from bazaarflow.session import materialise
+
 
 def hashed_vectors(df: DataFrame, text: str, out: str = "embedding", size: int = 64) -> DataFrame:
     """Unit vectors of hashed word counts; no model needed."""
@@ -35,10 +37,14 @@ def fit_idf(df: DataFrame, text: str, size: int = 64) -> DataFrame:
 
     An ordinary table: written once, it embeds later texts alike.
     """
-    texts = _distinct_texts(df, text).select(F.array_distinct(_buckets(F.col("_t"), size)).alias("_b"))
-    seen = texts.select(F.explode("_b").alias("bucket")).groupBy("bucket").agg(F.count("*").alias("_n"))
+    return _fitted(_distinct_texts(df, text).select(_buckets(F.col("_t"), size).alias("_b")), size)
+
+
+def _fitted(texts: DataFrame, size: int) -> DataFrame:
+    """``fit_idf`` from the buckets ``_b`` of the distinct texts."""
+    seen = texts.select(F.explode(F.array_distinct("_b")).alias("bucket")).groupBy("bucket").agg(F.count("*").alias("_n"))
     total = texts.agg(F.count("*").alias("_all"))
-    return (df.sparkSession.range(size).select(F.col("id").cast("int").alias("bucket")).join(seen, "bucket", "left").join(F.broadcast(total))
+    return (texts.sparkSession.range(size).select(F.col("id").cast("int").alias("bucket")).join(seen, "bucket", "left").join(F.broadcast(total))
             .select("bucket", F.log((F.col("_all") + 1) / (F.coalesce("_n", F.lit(0)) + 1)).alias("idf")))
 
 
@@ -47,7 +53,12 @@ def idf_vectors(texts: DataFrame, key: str, text: str, idf: DataFrame, out: str
 
     ``key`` is unique; a text without words, or with words of weight 0 only, gets zeros.
     """
-    counts = texts.select(key, F.explode(_buckets(F.col(text), size)).alias("bucket")).groupBy(key, "bucket").agg(F.count("*").alias("_n"))
+    return _weighted(texts.select(key, _buckets(F.col(text), size).alias("_b")), key, idf, out, size)
+
+
+def _weighted(texts: DataFrame, key: str, idf: DataFrame, out: str, size: int) -> DataFrame:
+    """``idf_vectors`` from the buckets ``_b`` of the texts."""
+    counts = texts.select(key, F.explode("_b").alias("bucket")).groupBy(key, "bucket").agg(F.count("*").alias("_n"))
     weighted = counts.join(F.broadcast(idf), "bucket").select(key, "bucket", (F.col("_n") * F.col("idf")).alias("_x"))  # size rows
     rows = weighted.groupBy(key).agg(F.map_from_entries(F.collect_list(F.struct("bucket", "_x"))).alias("_m"),
                                      F.sqrt(F.sum(F.col("_x") * F.col("_x"))).alias("_norm"))
@@ -65,7 +76,9 @@ def embed_distinct(df: DataFrame, text: str, embedder: Callable[[pd.Series], lis
     """
     texts = _distinct_texts(df, text)
     if embedder is None:
-        vectors = idf_vectors(texts, "_h", "_t", fit_idf(df, text, size) if idf is None else idf, out, size)
+        # the words of a text are hashed once: written, as the weights and the vectors both read them
+        texts = materialise(texts.select("_h", _buckets(F.col("_t"), size).alias("_b")), "buckets")
+        vectors = _weighted(texts, "_h", _fitted(texts, size) if idf is None else idf, out, size)
     else:
         def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             for batch in batches:

@@ -588,3 +588,12 @@ def test_rows_of_one_small_file_are_dealt_to_all_cores(spark, tmp_path):
     sizes = rows.groupBy(F.spark_partition_id()).count().collect()
     assert len(sizes) >= spark.sparkContext.defaultParallelism
     assert sum(r["count"] for r in sizes) == part.count()
+
+
+def test_words_are_hashed_once_for_weights_and_vectors(spark):
+    df = spark.createDataFrame([(1, "red car"), (2, "blue car"), (3, "red car"), (4, ""), (5, None), (6, "?!")], "id int, t string")
+    out = embed.embed_distinct(df, "t")
+    assert "conv(" not in out._jdf.queryExecution().optimizedPlan().toString()
+    idf = embed.fit_idf(df, "t")
+    both = embed.embed_distinct(df, "t", idf=idf)
+    assert sorted(map(tuple, out.collect()), key=lambda r: r[0]) == sorted(map(tuple, both.collect()), key=lambda r: r[0])
