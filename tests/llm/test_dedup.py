@@ -201,3 +201,19 @@ def test_lines_of_a_bucket_meet_by_their_marks_alone(spark):
     agreeing = {(u, v) for u in range(60) for v in range(u + 1, 60) if v >= 12 and u // 3 != v // 3
                 and sum(a == b for a, b in zip(marks[u], marks[v])) >= linedup.AGREEING}
     assert sorted(map(tuple, found.collect())) == sorted(agreeing) and 50 < len(agreeing) < 1500
+
+
+def test_bits_deny_no_link_and_no_pair_far_below(spark):
+    base = prose(90, 60)
+    lines = [edited(base, 0.015 * (i % 8), 900 + i) for i in range(60)]
+    sets = [{x.lower()[i : i + linedup.SHINGLE] for i in range(len(x) - linedup.SHINGLE + 1)} for x in lines]
+    docs = spark.createDataFrame(list(enumerate(lines)), "_line long, line string")
+    sketches = linedup.sketched(docs)
+    assert {r["node"]: r["size"] for r in sketches.select("node", "size").collect()} == {i: len(s) for i, s in enumerate(sets)}
+    # all lines are one bucket, and agree in all marks
+    mixed = spark.createDataFrame([(1, i, i, i > 0) for i in range(60)], "bucket long, node long, part long, odd boolean")
+    signed = spark.createDataFrame([(i, 0, 0) for i in range(60)], "node long, marks0 long, marks1 long")
+    found = {(r["u"], r["v"]) for r in linedup.across(mixed, signed, lambda nodes: sketches.join(nodes, "node")).collect()}
+    shares = {(i, j): len(sets[i] & sets[j]) / len(sets[i] | sets[j]) for j in range(60) for i in range(j)}
+    links = {p for p, s in shares.items() if s >= 0.8}
+    assert links and links <= found and min(shares[p] for p in found) > 0.7 and sum(s < 0.7 for s in shares.values()) > 300
