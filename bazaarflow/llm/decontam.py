@@ -33,7 +33,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from bazaarflow.llm import wordhash
-from bazaarflow.llm.common import materialise, numbered
+from bazaarflow.llm.common import materialise, own_columns
 
 WINDOWS = (32, 64, 128)
 RANK, OVERSAMPLE = 80, 16
@@ -363,59 +363,78 @@ def candidates(space: Space, items: Items, words: wordhash.Words, cosine: float)
                 yield text[at + i], begin[at + i], end[at + i], j, float(near[i, j])
 
 
-def leaks(docs: DataFrame, benchmark: DataFrame, cosine: float = COSINE, share: float = LCS,
-          paraphrase: float = PARAPHRASE) -> DataFrame:
-    """Rows (doc_id, _rid where docs has it, item_id, cosine, lcs_share, answer_found) of the leaks found."""
-    spark = docs.sparkSession
+def _blocks(docs: DataFrame, benchmark: DataFrame, paraphrase: float) -> list:
+    """Broadcasts (space, items) of the benchmark's items; none without items."""
     # the benchmark is the query set; it is read here in whole and broadcast in blocks
     rows = benchmark.select(F.col("item_id").cast("long"), F.lower(F.col("text").cast("string")).alias("text")).where(
         F.col("text").rlike("[^\\x20\\x09-\\x0D]")).orderBy("item_id", "text").collect()
     ids, texts = [r[0] for r in rows], [r[1] for r in rows]
+    space = fit(docs, texts) if rows else None
+    return [docs.sparkSession.sparkContext.broadcast((space, items_of(space, ids[at : at + BLOCK], texts[at : at + BLOCK], paraphrase)))
+            for at in range(0, len(rows), BLOCK)]
+
+
+def _found(texts: pa.Array, space: Space, items: Items, cosine: float, share: float,
+           paraphrase: float) -> Iterator[tuple[int, dict[tuple[int, int], tuple[float, float, bool]]]]:
+    """For runs of texts: the number of the first, and (cosine, lcs_share, answer_found) by text of the run and item."""
+    sizes = np.array([len(w) for w in items.words])
+    sets = [np.sort(w) for w in items.words]
+    for words in wordhash.words(texts):
+        best: dict[tuple[int, int], tuple[float, float, bool]] = {}
+        for text, begin, end, j, near in candidates(space, items, words, cosine):
+            window = words.hashes[begin:end]
+            own = sets[j]
+            # words in common are no fewer than those of a common subsequence
+            at = np.minimum(np.searchsorted(own, window), len(own) - 1)
+            if (own[at] == window).sum() < paraphrase * sizes[j]:
+                continue
+            part = lcs(items.words[j], window) / sizes[j]
+            if part < paraphrase:
+                continue
+            answered = lcs(items.answers[j], window) == len(items.answers[j])
+            if part >= share or answered:
+                old = best.get((text, j), (0.0, 0.0, False))
+                best[text, j] = (max(near, old[0]), max(part, old[1]), answered or old[2])
+        if best:
+            yield words.first, best
+
+
+def leaks(docs: DataFrame, benchmark: DataFrame, cosine: float = COSINE, share: float = LCS,
+          paraphrase: float = PARAPHRASE) -> DataFrame:
+    """Rows (doc_id, _rid where docs has it, item_id, cosine, lcs_share, answer_found) of the leaks found."""
     keys = [c for c in ("doc_id", "_rid") if c in docs.columns]
     fields = ", ".join(f"{k} long" for k in keys) + ", item_id long, cosine double, lcs_share double, answer_found boolean"
     source = docs.select(*[F.col(k).cast("long") for k in keys], F.lower(F.col("text").cast("string")))
-    if not rows:
-        return spark.createDataFrame([], fields)
-    space = fit(docs, texts)
     found = None
-    for at in range(0, len(rows), BLOCK):
-        shared = spark.sparkContext.broadcast((space, items_of(space, ids[at : at + BLOCK], texts[at : at + BLOCK], paraphrase)))
+    for shared in _blocks(docs, benchmark, paraphrase):
 
         def search(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
             space, items = shared.value
-            sizes = np.array([len(w) for w in items.words])
-            sets = [np.sort(w) for w in items.words]
             for batch in batches:
-                for words in wordhash.words(batch.column(batch.num_columns - 1)):
-                    best: dict[tuple[int, int], tuple[float, float, bool]] = {}
-                    for text, begin, end, j, near in candidates(space, items, words, cosine):
-                        window = words.hashes[begin:end]
-                        own = sets[j]
-                        # words in common are no fewer than those of a common subsequence
-                        at = np.minimum(np.searchsorted(own, window), len(own) - 1)
-                        if (own[at] == window).sum() < paraphrase * sizes[j]:
-                            continue
-                        part = lcs(items.words[j], window) / sizes[j]
-                        if part < paraphrase:
-                            continue
-                        answered = lcs(items.answers[j], window) == len(items.answers[j])
-                        if part >= share or answered:
-                            old = best.get((text, j), (0.0, 0.0, False))
-                            best[text, j] = (max(near, old[0]), max(part, old[1]), answered or old[2])
-                    if best:
-                        of = pa.array([words.first + t for t, _ in best])
-                        yield pa.RecordBatch.from_arrays(
-                            [*[batch.column(c).take(of) for c in range(len(keys))], pa.array(items.ids[[j for _, j in best]]),
-                             *[pa.array([v[k] for v in best.values()]) for k in range(3)]],
-                            names=[*keys, "item_id", "cosine", "lcs_share", "answer_found"])
+                for first, best in _found(batch.column(batch.num_columns - 1), space, items, cosine, share, paraphrase):
+                    of = pa.array([first + t for t, _ in best])
+                    yield pa.RecordBatch.from_arrays(
+                        [*[batch.column(c).take(of) for c in range(len(keys))], pa.array(items.ids[[j for _, j in best]]),
+                         *[pa.array([v[k] for v in best.values()]) for k in range(3)]],
+                        names=[*keys, "item_id", "cosine", "lcs_share", "answer_found"])
 
         part = source.mapInArrow(search, fields)
         found = part if found is None else found.unionByName(part)
-    return found
+    return docs.sparkSession.createDataFrame([], fields) if found is None else found
 
 
 def clean(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """The documents without leaks, all columns."""
-    rows = numbered(docs, "_rid")
-    leaked = materialise(leaks(rows, benchmark).select("_rid").distinct(), "leaked")
-    return rows.join(leaked, "_rid", "left_anti").drop("_rid")
+    """The documents without leaks, all columns. Rows go through the search and on, so no copy of the texts is written."""
+    rows = docs.select(*[F.col(f"`{c}`") for c in own_columns(docs)])
+    for shared in _blocks(docs, benchmark, PARAPHRASE):
+
+        def free(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
+            space, items = shared.value
+            for batch in batches:
+                keep = np.ones(batch.num_rows, bool)
+                for first, best in _found(batch.column(batch.num_columns - 1), space, items, COSINE, LCS, PARAPHRASE):
+                    keep[[first + text for text, _ in best]] = False
+                yield batch.select(range(batch.num_columns - 1)).filter(pa.array(keep))
+
+        rows = rows.withColumn("_searched", F.lower(F.col("text").cast("string"))).mapInArrow(free, rows.schema)
+    return rows

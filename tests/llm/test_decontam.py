@@ -154,3 +154,18 @@ def test_windows_are_summed_from_blocks_in_little_memory():
         assert words.bounds[text] <= begin < end <= words.bounds[text + 1]
         vector = space.terms[vocabulary.find(words.hashes[begin:end])[1]].sum(0, dtype=np.float64)
         assert abs(vector @ items.vectors[item] / np.linalg.norm(vector) - near) < 1e-5
+
+
+def test_clean_writes_no_copy_of_the_texts(frame, benchmark):
+    docs = frame([(1, prose(1, 90)), (2, prose(2, 90))])
+    plan = decontam.clean(docs, benchmark)._jdf.queryExecution().executedPlan().toString()
+    assert "numbered" not in plan and "bazaarflow_" not in plan and "Exchange" not in plan
+
+
+def test_clean_is_leaks_in_several_blocks(frame, benchmark, monkeypatch):
+    texts = [r["text"] for r in benchmark.collect()]
+    docs = frame([(i, f"{prose(500 + i, 40)} {t} {prose(600 + i, 40)}" if t and i % 2 else prose(700 + i, 90)) for i, t in enumerate(texts)])
+    monkeypatch.setattr(decontam, "BLOCK", 2)
+    leaked = {r["doc_id"] for r in decontam.leaks(docs, benchmark).collect()}
+    kept = [r["doc_id"] for r in decontam.clean(docs, benchmark).collect()]
+    assert leaked and sorted(kept) == sorted(set(range(len(texts))) - leaked)
