@@ -590,6 +590,19 @@ def test_rows_of_one_small_file_are_dealt_to_all_cores(spark, tmp_path):
     assert sum(r["count"] for r in sizes) == part.count()
 
 
+def test_null_and_empty_texts_agree_with_sql(spark, tmp_path):
+    import duckdb
+    from bazaarflow.plans.bindings import ORACLES, QUERIES
+
+    path = str(tmp_path / "documents.parquet")
+    spark.createDataFrame([(1, "a b"), (2, ""), (3, None), (4, "Äjj"), (None, "a b"), (5, " ")], "doc_id long, text string").write.parquet(path)
+    con = duckdb.connect()
+    con.sql(f"create view documents as select * from '{path}/*.parquet'")
+    for name in ("sim13_embed_distinct", "sim13_idf_vectors"):
+        found = [tuple(r) for r in QUERIES[name](spark, str(tmp_path)).collect()]
+        assert sorted(found, key=repr) == sorted(con.sql(ORACLES[name]).fetchall(), key=repr)
+
+
 def test_words_are_hashed_once_for_weights_and_vectors(spark):
     df = spark.createDataFrame([(1, "red car"), (2, "blue car"), (3, "red car"), (4, ""), (5, None), (6, "?!")], "id int, t string")
     out = embed.embed_distinct(df, "t")
