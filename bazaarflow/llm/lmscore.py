@@ -6,8 +6,10 @@ segment that its leading bits name; a segment adds up what it gets. The number o
 The filter: a token or bigram seen c times is entered with the levels 1 to 1 + floor(log2 c); its count is read back by
 probing one level after another until one is missing, so it is never too low. Each segment has bits of its own,
 ``BITS`` for each entry at every size, so the whole grows with the corpus and errs as seldom. It is a list of small filters. Up to
-``broadcast_mb`` it is broadcast; a larger one stays a table: texts go in runs of about a megabyte, each run sends what it
-asks to the segments, where a task holds one segment's filter at a time, and gets the counts back. Both ways give the same scores.
+``broadcast_mb`` it is broadcast; a larger one stays a table, in parts of many segments: four for each core, more only where one would
+be larger than ``held_mb``. Texts go in runs of about a megabyte, each run sends its hashes to the parts, where a task holds one part at
+a time, and gets one byte back for each, its level. So what is sent grows with the texts, and not with the segments too. Both ways give
+the same scores.
 
 Scores: P(w | u) = (c(u w) + MU * P(w)) / (c(u) + MU), P(w) = (c(w) + 1) / (N + V + 1), all counts from the filter. A text's
 first token follows an end token.
@@ -147,16 +149,19 @@ class CountFilter:
     data: np.ndarray
     starts: np.ndarray  # bytes before each segment
     segment_bits: int
+    skip: int = 0  # leading bits before those that name a segment
 
     @classmethod
-    def of(cls, rows: list[tuple[int, bytes]], segment_bits: int) -> CountFilter:
+    def of(cls, rows: list[tuple[int, bytes]], segment_bits: int, skip: int = 0) -> CountFilter:
         by = dict(rows)
         parts = [by.get(i, b"") for i in range(1 << segment_bits)]
-        return cls(np.frombuffer(b"".join(parts), np.uint8), np.cumsum([0, *map(len, parts)]), segment_bits)
+        return cls(np.frombuffer(b"".join(parts), np.uint8), np.cumsum([0, *map(len, parts)]), segment_bits, skip)
 
-    def count(self, keys: np.ndarray) -> np.ndarray:
-        """The middle of the counts that have the highest level found; 0 if none is."""
-        segment = (keys >> np.uint64(64 - self.segment_bits)).astype(np.int64) if self.segment_bits else np.zeros(len(keys), np.int64)
+    def levels(self, keys: np.ndarray) -> np.ndarray:
+        """The highest level found; 0 if none is."""
+        segment = np.zeros(len(keys), np.int64)
+        if self.segment_bits:
+            segment = (keys << np.uint64(self.skip) >> np.uint64(64 - self.segment_bits)).astype(np.int64)
         begin = self.starts[segment]
         bits = (8 * (self.starts[segment + 1] - begin)).astype(np.uint64)
         level = np.zeros(len(keys), np.int64)
@@ -169,21 +174,32 @@ class CountFilter:
                 byte = self.data[begin[active] + (bit >> np.uint64(3)).astype(np.int64)]
                 active = active[(byte >> (bit & np.uint64(7)).astype(np.uint8)) & 1 == 1]
             level[active] = turn
-        low = np.exp2(np.maximum(level - 1, 0))
-        return np.where(level > 0, (3 * low - 1) / 2, 0.0)
+        return level
+
+    def count(self, keys: np.ndarray) -> np.ndarray:
+        return middle(self.levels(keys))
+
+
+def middle(level: np.ndarray) -> np.ndarray:
+    """The middle of the counts that have this level as their highest; 0 if there is none."""
+    low = np.exp2(np.maximum(level.astype(np.int64) - 1, 0))
+    return np.where(level > 0, (3 * low - 1) / 2, 0.0)
 
 
 @dataclass
 class Answers:
-    """Counts that the segments gave to one run of texts: sorted keys and their counts."""
+    """Counts that the filters gave to one run of texts: sorted keys and their counts."""
 
     keys: np.ndarray
     counts: np.ndarray
 
     @classmethod
-    def of(cls, rows: list[tuple[bytes, bytes]]) -> Answers:
-        keys = np.concatenate([np.empty(0, np.uint64), *[np.frombuffer(k, np.uint64) for k, _ in rows]])
-        counts = np.concatenate([np.empty(0), *[np.frombuffer(n, np.float64) for _, n in rows]])
+    def of(cls, rows: list[tuple[np.ndarray, np.ndarray]]) -> Answers:
+        """From some sorted keys and their counts."""
+        if len(rows) == 1:
+            return cls(*rows[0])
+        keys = np.concatenate([np.empty(0, np.uint64), *[k for k, _ in rows]])
+        counts = np.concatenate([np.empty(0), *[n for _, n in rows]])
         order = np.argsort(keys)
         return cls(keys[order], counts[order])
 
@@ -202,6 +218,7 @@ class Model:
     distinct: int
     head_keys: np.ndarray
     head_counts: np.ndarray
+    filter_bytes: int
 
     def logs(self, before: np.ndarray, tokens: np.ndarray) -> np.ndarray:
         """log10 P of each token after the one before it."""
@@ -261,10 +278,11 @@ def fit(texts: DataFrame, head_rows: int = 1_000_000, broadcast_mb: int = 256,
     key, n = head.column("key").to_numpy().view(np.uint64), head.column("c").to_numpy()
     order = np.argsort(key)
     filters = {TOKEN: None, BIGRAM: None}
-    if (counted.agg(F.sum(F.octet_length("filter"))).first()[0] or 0) <= broadcast_mb << 20:
+    filter_bytes = counted.agg(F.sum(F.octet_length("filter"))).first()[0] or 0
+    if filter_bytes <= broadcast_mb << 20:
         filters = {kind: CountFilter.of([(r["segment"], bytes(r["filter"])) for r in counted.where(F.col("kind") == kind)
                                          .select("segment", "filter").toLocalIterator()], bits) for kind in filters}
-    model = Model(filters[TOKEN], filters[BIGRAM], totals["n"] or 0, totals["v"] or 0, key[order], n[order])
+    model = Model(filters[TOKEN], filters[BIGRAM], totals["n"] or 0, totals["v"] or 0, key[order], n[order], filter_bytes)
     return model, counted, low, bits
 
 
@@ -302,8 +320,21 @@ def _by_broadcast(docs: DataFrame, fields: str, model: Model) -> DataFrame:
     return docs.mapInArrow(scored, f"{fields}, {_TYPES}")
 
 
-def _by_shuffle(docs: DataFrame, fields: str, model: Model, counted: DataFrame, bits: int) -> DataFrame:
-    shared = docs.sparkSession.sparkContext.broadcast(model)
+def _asked(seq: np.ndarray, before: np.ndarray) -> dict[int, np.ndarray]:
+    """What some texts ask of the filters, in order."""
+    return {TOKEN: np.unique(np.append(seq, END)), BIGRAM: np.unique(bigrams(before, seq))}
+
+
+def _part_bits(bits: int, filter_bytes: int, cores: int, held_mb: int) -> int:
+    """How many of the ``bits`` that name a segment name its part: four parts a core, or as many as keep a part at ``held_mb``."""
+    parts = max(4 * cores, -(-filter_bytes // (held_mb << 20)))
+    return min(bits, (parts - 1).bit_length())
+
+
+def _by_shuffle(docs: DataFrame, fields: str, model: Model, counted: DataFrame, bits: int, held_mb: int) -> DataFrame:
+    spark = docs.sparkSession
+    shared = spark.sparkContext.broadcast(model)
+    part_bits = _part_bits(bits, model.filter_bytes, spark.sparkContext.defaultParallelism, held_mb)
 
     def split(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         run = TaskContext.get().partitionId() << 33
@@ -312,68 +343,93 @@ def _by_shuffle(docs: DataFrame, fields: str, model: Model, counted: DataFrame,
                 seq, _, begin = sequences(words)
                 own = batch.slice(words.first, len(words.counts))
                 ends = np.concatenate([begin[1:], [len(seq)]])
-                yield pa.RecordBatch.from_arrays([*own.columns[:-1], pa.array(np.full(len(begin), run)), pa.array(
-                    [seq[b:e].tobytes() for b, e in zip(begin, ends, strict=True)], pa.binary())], names=[*own.schema.names[:-1], "_run", "_seq"])
+                yield pa.RecordBatch.from_arrays([
+                    *own.columns[:-1], pa.array(np.full(len(begin), run)), pa.array(np.arange(len(begin))),
+                    pa.array([seq[b:e].tobytes() for b, e in zip(begin, ends, strict=True)], pa.binary())],
+                    names=[*own.schema.names[:-1], "_run", "_text", "_seq"])
                 run += 1
 
     def runs(seqs: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        parts = [np.frombuffer(x, np.uint64) for x in seqs]
-        begin = np.concatenate([[0], np.cumsum([len(x) for x in parts])[:-1]]).astype(np.int64)
-        seq = np.concatenate(parts)
+        texts = [np.frombuffer(x, np.uint64) for x in seqs]
+        begin = np.concatenate([[0], np.cumsum([len(x) for x in texts])[:-1]]).astype(np.int64)
+        seq = np.concatenate(texts)
         # a text ends with END, which the first token of the next one follows
         return seq, np.concatenate([[END], seq[:-1]]).astype(np.uint64), begin
 
     def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            run = batch.column(0).to_numpy()
-            for first in np.flatnonzero(np.concatenate([[True], run[1:] != run[:-1]])) if len(run) else []:
-                last = first + int(np.argmin(np.concatenate([run[first:] == run[first], [False]])))
-                seq, before, _ = runs(batch.column(1)[first:last].to_pylist())
-                for kind, keys in ((TOKEN, np.unique(np.append(seq, END))), (BIGRAM, np.unique(bigrams(before, seq)))):
-                    segment = (keys >> np.uint64(64 - bits)).astype(np.int64) if bits else np.zeros(len(keys), np.int64)
-                    begin = np.flatnonzero(np.concatenate([[True], segment[1:] != segment[:-1]]))
-                    parts = [keys[b:e].tobytes() for b, e in zip(begin, [*begin[1:], len(keys)], strict=True)]
+            run, text = batch.column(0).to_numpy(), batch.column(1).to_numpy()
+            # a run that lies in several batches asks for the texts of each
+            begins = np.flatnonzero(np.concatenate([[True], run[1:] != run[:-1]])) if len(run) else np.empty(0, np.int64)
+            for first, last in zip(begins, [*begins[1:], len(run)], strict=False):
+                seq, before, _ = runs(batch.column(2)[first:last].to_pylist())
+                for kind, keys in _asked(seq, before).items():
+                    part = (keys >> np.uint64(64 - part_bits)).astype(np.int64) if part_bits else np.zeros(len(keys), np.int64)
+                    begin = np.flatnonzero(np.concatenate([[True], part[1:] != part[:-1]]))
+                    n = len(begin)
                     yield pa.RecordBatch.from_arrays([
-                        pa.array([kind] * len(begin), pa.int32()), pa.array(segment[begin]), pa.array(np.full(len(begin), run[first])),
-                        pa.array(parts, pa.binary())], names=["kind", "segment", "_run", "keys"])
+                        pa.array([kind] * n, pa.int32()), pa.array(part[begin]), pa.array([run[first]] * n, pa.int64()),
+                        pa.array([text[first]] * n, pa.int64()), pa.array([last - first] * n, pa.int64()),
+                        pa.array([keys[b:e].tobytes() for b, e in zip(begin, [*begin[1:], len(keys)], strict=True)], pa.binary())],
+                        names=["kind", "part", "_run", "_text", "_texts", "keys"])
 
     def answer(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        at, held = None, None
+        at, filters, held = None, [], None
         for batch in batches:
-            kinds, segments, run, keys, filters = (c.to_pylist() for c in batch.columns)
-            out = []
-            for i in range(len(kinds)):
+            kinds, of, run, keys, segments, data = (batch.column(c).to_pylist() for c in ("kind", "part", "_run", "keys", "segment", "filter"))
+
+            def answered(rows: list[int]) -> pa.RecordBatch:
+                bounds = np.cumsum([0, *[len(keys[i]) // 8 for i in rows]])
+                level = held.levels(np.frombuffer(b"".join(keys[i] for i in rows), np.uint64)).astype(np.uint8)
+                columns = [batch.column(c).take(pa.array(rows)) for c in ("_run", "_text", "_texts", "kind", "part")]
+                return pa.RecordBatch.from_arrays([*columns, pa.array([level[b:e].tobytes() for b, e in zip(bounds, bounds[1:], strict=False)], pa.binary())],
+                                                  names=["_run", "_text", "_texts", "kind", "part", "levels"])
+
+            waiting, size = [], 0
+            for i in range(batch.num_rows):
+                if at != (kinds[i], of[i]) or size > 8 << 20:
+                    if waiting:
+                        yield answered(waiting)
+                    waiting, size = [], 0
+                if at != (kinds[i], of[i]):
+                    at, filters, held = (kinds[i], of[i]), [], None
                 if run[i] is None:
-                    at, held = (kinds[i], segments[i]), CountFilter.of([(0, filters[i])], 0)
+                    filters.append((segments[i] & ((1 << bits - part_bits) - 1), data[i]))
                     continue
-                key = np.frombuffer(keys[i], np.uint64)
-                out.append(held.count(key) if at == (kinds[i], segments[i]) else np.zeros(len(key)))
-            asked = [i for i in range(len(kinds)) if run[i] is not None]
-            yield pa.RecordBatch.from_arrays([
-                pa.array([run[i] for i in asked], pa.int64()), pa.array([kinds[i] for i in asked], pa.int32()),
-                pa.array([keys[i] for i in asked], pa.binary()), pa.array([x.astype(np.float64).tobytes() for x in out], pa.binary())],
-                names=["_run", "kind", "keys", "found"])
+                if held is None:
+                    held, filters = CountFilter.of(filters, bits - part_bits, part_bits), []
+                waiting.append(i)
+                size += len(keys[i])
+            if waiting:
+                yield answered(waiting)
 
     def scored(own: pa.Table, answers: pa.Table) -> pa.Table:
-        seq, before, begin = runs(own.column("_seq").to_pylist())
+        own = own.sort_by("_text")
+        seqs = own.column("_seq").to_pylist()
+        seq, before, begin = runs(seqs)
+        levels: dict[tuple[int, int], dict[int, list[tuple[int, bytes]]]] = {}
+        for text, n, kind, part, level in zip(*(answers.column(c).to_pylist() for c in ("_text", "_texts", "kind", "part", "levels")), strict=True):
+            levels.setdefault((text, n), {TOKEN: [], BIGRAM: []})[kind].append((part, level))
         found = {TOKEN: [], BIGRAM: []}
-        for kind, keys, n in zip(*(answers.column(c).to_pylist() for c in ("kind", "keys", "found")), strict=True):
-            found[kind].append((keys, n))
+        for (text, n), given in levels.items():
+            for kind, keys in _asked(*runs(seqs[text : text + n])[:2]).items():
+                # parts come in the order of their keys
+                found[kind].append((keys, middle(np.frombuffer(b"".join(x for _, x in sorted(given[kind])), np.uint8))))
         m = replace(shared.value, tokens=Answers.of(found[TOKEN]), bigrams=Answers.of(found[BIGRAM]))
-        return pa.table([*own.drop_columns(["_run", "_seq"]).columns, *_columns(m, seq, before, begin)],
-                        names=[*own.drop_columns(["_run", "_seq"]).column_names, *_NAMES])
+        own = own.drop_columns(["_run", "_text", "_seq"])
+        return pa.table([*own.columns, *_columns(m, seq, before, begin)], names=[*own.column_names, *_NAMES])
 
     # written once: a run keeps its rows, whichever task makes it again
-    rows = materialise(docs.mapInArrow(split, f"{fields}, _run long, _seq binary"), "runs")
-    asked = rows.select("_run", "_seq").mapInArrow(ask, "kind int, segment long, _run long, keys binary")
-    filters = counted.select("kind", "segment", F.lit(None).cast("long").alias("_run"), F.lit(None).cast("binary").alias("keys"), "filter")
+    rows = materialise(docs.mapInArrow(split, f"{fields}, _run long, _text long, _seq binary"), "runs")
+    asked = rows.select("_run", "_text", "_seq").mapInArrow(ask, "kind int, part long, _run long, _text long, _texts long, keys binary")
+    filters = counted.select("kind", F.shiftright("segment", bits - part_bits).alias("part"), "segment", "filter")
     # a filter comes before what is asked of it
-    found = filters.unionByName(asked.withColumn("filter", F.lit(None).cast("binary"))).repartition("kind", "segment").sortWithinPartitions(
-        "kind", "segment", F.col("_run").asc_nulls_first()).mapInArrow(answer, "_run long, kind int, keys binary, found binary")
+    found = asked.unionByName(filters, allowMissingColumns=True).repartition("kind", "part").sortWithinPartitions(
+        "kind", "part", F.col("_run").asc_nulls_first()).mapInArrow(answer, "_run long, _text long, _texts long, kind int, part long, levels binary")
     return rows.groupBy("_run").cogroup(found.groupBy("_run")).applyInArrow(scored, f"{fields}, {_TYPES}")
 
 
-def score(docs: DataFrame, training: Column, **options) -> DataFrame:
+def score(docs: DataFrame, training: Column, held_mb: int = 64, **options) -> DataFrame:
     """Learns from the rows of (doc_id, text) where ``training`` holds, and scores all.
 
     Adds n_tokens, n_known, train_tokens, base_score and score; ``text`` goes.
@@ -383,7 +439,8 @@ def score(docs: DataFrame, training: Column, **options) -> DataFrame:
     tokens = counted.where(F.col("kind") == TOKEN)
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.select(*kept).schema)
     texts = docs.select(*kept, F.col("text").cast("string"))
-    rows = _by_broadcast(texts, fields, model) if model.tokens is not None else _by_shuffle(texts, fields, model, counted, bits)
+    rows = _by_broadcast(texts, fields, model) if model.tokens is not None else _by_shuffle(
+        texts, fields, model, counted, bits, held_mb)
     rows = materialise(rows.withColumn("_row", F.monotonically_increasing_id()), "scored")
     # no token outside the head is frequent, so none gathers many rows
     asked = rows.select("_row", F.explode("_tail").alias("key")).groupBy("_row", "key").agg(F.count("*").alias("_n"))

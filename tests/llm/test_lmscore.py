@@ -81,6 +81,33 @@ def test_filters_too_large_to_broadcast_give_the_same_scores(frame, odd_rows):
         assert len(lmscore.filter_bits(keys, np.ones(len(keys)))) * 8 == lmscore.BITS * len(keys)
 
 
+def test_parts_of_many_segments_give_the_same_scores(frame, spark, odd_rows, monkeypatch):
+    # what texts ask grows with the parts: they follow the cores and the memory, not the number of segments
+    assert lmscore._part_bits(12, 900 << 20, 12, 64) == lmscore._part_bits(17, 900 << 20, 12, 64) == 6
+    assert lmscore._part_bits(15, 20 << 30, 12, 64) == 9 and lmscore._part_bits(0, 0, 12, 64) == 0
+    keys = np.random.default_rng(3).integers(0, 2**63, 4000).astype(np.uint64) * np.uint64(2)
+    segment = (keys >> np.uint64(61)).astype(int)
+    filters = [(i, lmscore.filter_bits(keys[segment == i], np.arange(1, 1 + (segment == i).sum()))) for i in range(8)]
+    whole = lmscore.CountFilter.of(filters, 3)
+    for part in range(4):
+        own = lmscore.CountFilter.of([(i & 1, f) for i, f in filters if i >> 1 == part], 1, 2)
+        inside = keys[segment >> 1 == part]
+        assert (own.levels(inside) == whole.levels(inside)).all() and (own.levels(inside) > 0).all()
+
+    rows = [*odd_rows, *[(20 + i, prose(i % 9, 30 + i)) for i in range(60)]]
+    rows += [(200 + i, " ".join(f"w{(i * 977 + j * j) % 9000}" for j in range(40_000))) for i in range(30)]
+    docs = frame(rows).select("doc_id", "text").repartition(3)
+    monkeypatch.setattr(lmscore, "_part_bits", lambda *given: 1)
+    batch = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    found = []
+    for mb, n in ((256, "10000"), (0, "10000"), (0, "7")):  # in small batches a run asks more than once
+        spark.conf.set(batch, n)
+        scored = lmscore.score(docs, F.coalesce(F.col("doc_id"), F.lit(0)) % 7 != 2, segment_mb=1, broadcast_mb=mb).collect()
+        found.append(sorted(((r["doc_id"] or 0, r["n_tokens"], r["n_known"], round(r["score"], 6)) for r in scored)))
+    spark.conf.unset(batch)
+    assert len(found[0]) == len(rows) and found[0] == found[1] == found[2]
+
+
 def test_no_training_rows_and_no_rows(frame, spark, folder):
     found = lmscore.score(frame([(1, "a b"), (2, None)]).select("doc_id", "text"), F.lit(False)).collect()
     assert {(r["doc_id"], r["n_tokens"], r["n_known"], r["train_tokens"], r["base_score"]) for r in found} == {(1, 3, 0, 0, 0.0), (2, 1, 0, 0, 0.0)}
