@@ -217,3 +217,49 @@ def test_bits_deny_no_link_and_no_pair_far_below(spark):
     shares = {(i, j): len(sets[i] & sets[j]) / len(sets[i] | sets[j]) for j in range(60) for i in range(j)}
     links = {p for p, s in shares.items() if s >= 0.8}
     assert links and links <= found and min(shares[p] for p in found) > 0.7 and sum(s < 0.7 for s in shares.values()) > 300
+
+
+def test_pairs_across_components_are_taken_once_by_a_short_condition(spark):
+    # node n is in the buckets 10, 11 and 12, but for a few that miss the first; all marks and bits agree
+    buckets = {n: [b for b in (10, 11, 12) if not (b == 10 and n % 5 == 0)] for n in range(20)}
+    signed = spark.createDataFrame([(n, b, 0, 0) for n, b in buckets.items()], "node long, buckets array<long>, marks0 long, marks1 long")
+    mixed = spark.createDataFrame([(b, n, n // 2, n >= 2) for n in buckets for b in buckets[n]], "bucket long, node long, part long, odd boolean")
+    lines = spark.createDataFrame([(n, "A line of more than twelve characters, é") for n in buckets], "_line long, line string")
+    found = linedup.across(mixed, signed, lambda nodes: linedup.sketched(lines).join(nodes, "node"))
+    pairs = {(u, v) for v in buckets for u in range(v) if u // 2 != v // 2}
+    assert sorted(map(tuple, found.collect())) == sorted(pairs)
+
+    # 32 words named several times over make more code than is compiled, and the bucket hands on a pair once only
+    plan = found._jdf.queryExecution().optimizedPlan()
+    join = next(x for x in plan.toString().split("\n") if "Join" in x)
+    assert join.count("bit_count") <= 3 and "array_intersect" in join
+    inner = plan.children().head()
+    while "Join" not in inner.nodeName():
+        inner = inner.children().head()
+    rows = spark._jvm.org.apache.spark.sql.classic.Dataset.ofRows(spark._jsparkSession, inner).count()
+    assert rows == len(pairs)
+
+
+def test_bits_of_a_line_are_those_of_its_shingles(spark):
+    lines = [prose(91, 40), "short", "É" * 30 + prose(92, 9), "x" * 400, "𝔘𝔫𝔦 " * 9]
+    docs = spark.createDataFrame(list(enumerate(lines)), "_line long, line string")
+    sets = {r[0]: r[1] for r in docs.select("_line", linedup.shingles(F.col("line"))).collect()}
+    for table in (docs, docs.withColumn("_row", F.col("_line") * 7)):
+        for r in linedup.sketched(table).collect():
+            bits = [0] * linedup.WORDS
+            for x in sets[r["node"]]:
+                bits[(x >> 6) % linedup.WORDS] |= 1 << (x & 63)
+            assert (r["size"], r["ones"]) == (len(sets[r["node"]]), sum(b.bit_count() for b in bits))
+            assert [b & (1 << 64) - 1 for b in r["bits"]] == bits
+
+
+def test_shingles_of_ascii_are_those_of_its_characters(spark):
+    lines = ["", "a", "Exactly twelv", "Twelve chars", "ABC def\t" * 40, prose(93, 60), prose(93, 60) + " é", "\x7f\x00" * 8, "İ" + "ASCII but for one" * 3]
+    docs = spark.createDataFrame(list(enumerate(lines)), "_line long, line string").withColumn("low", F.lower("line"))
+    found = {r[0]: set(r[1]) for r in docs.select("_line", linedup.shingles(F.col("line"))).collect()}
+    low = {r["_line"]: r["low"] for r in docs.collect()}
+    runs = [(n, x[i : i + 12]) for n, x in low.items() for i in range(max(1, len(x) - 11))]
+    wanted = {}
+    for r in spark.createDataFrame(runs, "n long, x string").select("n", F.xxhash64("x")).collect():
+        wanted.setdefault(r[0], set()).add(r[1])
+    assert found == wanted
