@@ -161,7 +161,8 @@ class CountFilter:
         """The highest level found; 0 if none is."""
         segment = np.zeros(len(keys), np.int64)
         if self.segment_bits:
-            segment = (keys << np.uint64(self.skip) >> np.uint64(64 - self.segment_bits)).astype(np.int64)
+            own = keys << np.uint64(self.skip) if self.skip else keys
+            segment = (own >> np.uint64(64 - self.segment_bits)).astype(np.int64)
         begin = self.starts[segment]
         bits = (8 * (self.starts[segment + 1] - begin)).astype(np.uint64)
         level = np.zeros(len(keys), np.int64)
@@ -182,7 +183,7 @@ class CountFilter:
 
 def middle(level: np.ndarray) -> np.ndarray:
     """The middle of the counts that have this level as their highest; 0 if there is none."""
-    low = np.exp2(np.maximum(level.astype(np.int64) - 1, 0))
+    low = np.exp2(np.maximum(level.astype(np.int64, copy=False) - 1, 0))
     return np.where(level > 0, (3 * low - 1) / 2, 0.0)
 
 
